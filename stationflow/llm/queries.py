@@ -6,19 +6,38 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stationflow.llm.language import identify_language
 from stationflow.llm.packing import pack_documents
+from stationflow.llm.quality import resample_quality
 from stationflow.llm.token_files import token_digests, write_token_files
+from stationflow.llm.topk import exact_topk
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    best = exact_topk(vectors, F.col("id") % 50 == 0, k=5)
+    return best.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = pack_documents(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = resample_quality(_read(spark, sf_dir, "documents").select("doc_id", "text"), _read(spark, sf_dir, "labels"))
+    return scored.select("doc_id", F.round("log_weight", 9).alias("log_weight"), "sample_key", "selected")
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = identify_language(_read(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    return found.select("doc_id", "held_out", "lang_pred", "score", "ambiguous")
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = write_token_files(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
     return token_digests(spark, path)
@@ -26,7 +45,10 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op1_exact_topk": op1_exact_topk,
         "op5_packing": op5_packing,
+        "op7_quality_classifier": op7_quality_classifier,
+        "op8_language_id": op8_language_id,
         "op10_token_files": op10_token_files,
     }
 
