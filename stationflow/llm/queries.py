@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stationflow.llm.language import identify_language
+from stationflow.llm.neardup import near_duplicates
 from stationflow.llm.packing import pack_documents
 from stationflow.llm.quality import resample_quality
 from stationflow.llm.token_files import token_digests, write_token_files
@@ -38,6 +39,10 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "lang_pred", "score", "ambiguous")
 
 
+def op9_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_read(spark, sf_dir, "documents").select("doc_id", "text"), percent=85)
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = write_token_files(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
     return token_digests(spark, path)
@@ -49,6 +54,7 @@ def queries() -> dict:
         "op5_packing": op5_packing,
         "op7_quality_classifier": op7_quality_classifier,
         "op8_language_id": op8_language_id,
+        "op9_minhash_neardup": op9_minhash_neardup,
         "op10_token_files": op10_token_files,
     }
 
