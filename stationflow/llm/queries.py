@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stationflow.llm.decontaminate import contamination
 from stationflow.llm.language import identify_language
 from stationflow.llm.neardup import near_duplicates
 from stationflow.llm.packing import pack_documents
@@ -29,6 +30,12 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = contamination(_read(spark, sf_dir, "documents").select("doc_id", "text"), _read(spark, sf_dir, "benchmark"))
+    digest = F.sha2(F.concat_ws(",", "item_ids"), 256)
+    return out.select("doc_id", "n_words", "n_hit", "n_items", digest.alias("items_sha256"), "contaminated")
+
+
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = resample_quality(_read(spark, sf_dir, "documents").select("doc_id", "text"), _read(spark, sf_dir, "labels"))
     return scored.select("doc_id", F.round("log_weight", 9).alias("log_weight"), "sample_key", "selected")
@@ -52,6 +59,7 @@ def queries() -> dict:
     return {
         "op1_exact_topk": op1_exact_topk,
         "op5_packing": op5_packing,
+        "op6_benchmark_decontamination": op6_benchmark_decontamination,
         "op7_quality_classifier": op7_quality_classifier,
         "op8_language_id": op8_language_id,
         "op9_minhash_neardup": op9_minhash_neardup,
