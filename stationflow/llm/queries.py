@@ -7,10 +7,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stationflow.llm.decontaminate import contamination
+from stationflow.llm.html_text import extract_text
 from stationflow.llm.language import identify_language
+from stationflow.llm.licenses import oracle as licenses_oracle
+from stationflow.llm.licenses import scan_licenses
 from stationflow.llm.neardup import near_duplicates
 from stationflow.llm.packing import pack_documents
 from stationflow.llm.quality import resample_quality
+from stationflow.llm.token_counts import count_tokens
 from stationflow.llm.token_files import token_digests, write_token_files
 from stationflow.llm.topk import exact_topk
 
@@ -25,6 +29,21 @@ def op1_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = scan_licenses(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_license_sentences", "licenses")
+
+
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = extract_text(_read(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = count_tokens(_read(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
+    return out.select("doc_id", "n_words", "n_tokens")
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = pack_documents(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -58,6 +77,9 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op1_exact_topk": op1_exact_topk,
+        "op2_license_scan": op2_license_scan,
+        "op3_html_extraction": op3_html_extraction,
+        "op4_token_counts": op4_token_counts,
         "op5_packing": op5_packing,
         "op6_benchmark_decontamination": op6_benchmark_decontamination,
         "op7_quality_classifier": op7_quality_classifier,
@@ -68,4 +90,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_license_scan": licenses_oracle()}
