@@ -182,13 +182,13 @@ def e19_geometry(spark, d):
     return E.neighbour_geometry(E.radius_knn_join(t, p, 100.0, 5), t, p, 5).select("target", "rank", "up_m", "height_m")
 
 
-@query(f"WITH {PAIRS}, f AS (SELECT channel, day, avg(an) AS value FROM pairs GROUP BY channel, day), g AS (SELECT channel, day, avg(obs) AS value FROM pairs WHERE day % 2 = 0 GROUP BY channel, day) SELECT day, channel, {r('value', 'value', 2)} FROM f WHERE channel <> 'NO' UNION ALL SELECT day, 'NO', {r('value', 'value', 2)} FROM (SELECT DISTINCT day FROM f) LEFT JOIN (SELECT * FROM g WHERE channel = 'NO') USING (day)")
+@query(f"WITH {PAIRS}, f AS (SELECT channel, day, max(an) AS value FROM pairs GROUP BY channel, day), g AS (SELECT channel, day, max(obs) AS value FROM pairs WHERE day % 2 = 0 GROUP BY channel, day) SELECT day, channel, {r('value', 'value', 6)} FROM f WHERE channel <> 'NO' UNION ALL SELECT day, 'NO', {r('value', 'value', 6)} FROM (SELECT DISTINCT day FROM f) LEFT JOIN (SELECT * FROM g WHERE channel = 'NO') USING (day)")
 def e20_fuse(spark, d):
     """One channel from another source."""
     p = pairs(spark, d)
-    a = p.groupBy("channel", "day").agg(F.avg("an").alias("value"))
-    b = p.filter("day % 2 = 0").groupBy("channel", "day").agg(F.avg("obs").alias("value"))
-    return rounded(E.fuse_fields(a, b, "NO", ["day"]), 2)
+    a = p.groupBy("channel", "day").agg(F.max("an").alias("value"))
+    b = p.filter("day % 2 = 0").groupBy("channel", "day").agg(F.max("obs").alias("value"))
+    return rounded(E.fuse_fields(a, b, "NO", ["day"]))
 
 
 @query(f"WITH {SERIES_DAY}, x AS (SELECT station, day, max(value) AS m FROM reports WHERE var = 'purchase' GROUP BY station, day), j AS (SELECT s.day, x.m FROM series_day s LEFT JOIN x USING (station, day)) SELECT {r('avg(CAST(m IS NOT NULL AS DOUBLE))', 'share')}, count(DISTINCT day) FILTER (WHERE m IS NOT NULL) AS times FROM j")
