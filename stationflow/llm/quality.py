@@ -56,6 +56,8 @@ def bounded_labels(labels: DataFrame, most: int) -> DataFrame:
 class RatioModel:
     """log p_target / p_raw by bucket, and the threshold that parts the labelled documents."""
 
+    prior = 4  # n-grams without evidence that each text counts besides its own
+
     def __init__(self, ratio: np.ndarray, threshold: float, bits: int):
         self.ratio, self.threshold, self.bits = ratio.astype(np.float32), threshold, bits
 
@@ -65,7 +67,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, bits: int = 16, most_labels:
 
     The raw model counts the n-grams of every document. The target model counts those
     of the good documents among at most ``most_labels`` labelled ones (chosen by hash).
-    The threshold is where the two labelled classes are told apart best; without
+    The threshold lies midway between the medians of the two labelled classes; without
     rejected examples it is minus infinity.
     """
     buckets = 1 << bits
@@ -92,23 +94,20 @@ def fit_quality(docs: DataFrame, labels: DataFrame, bits: int = 16, most_labels:
     ratio = np.log(target / target.sum()) - np.log(raw / raw.sum())
     model = RatioModel(ratio, float("-inf"), bits)
     seen = marked.filter(F.col("quality").isNotNull()).select("quality", score_udf(docs.sparkSession, model)("text").alias("s")).toArrow()
-    model.threshold = best_threshold(seen["s"].to_numpy(), seen["quality"].to_numpy() > 0)
+    model.threshold = middle_threshold(seen["s"].to_numpy(), seen["quality"].to_numpy() > 0)
     return model
 
 
-def best_threshold(score: np.ndarray, good: np.ndarray) -> float:
-    """Midpoint between the classes with the least balanced error."""
+def middle_threshold(score: np.ndarray, good: np.ndarray) -> float:
+    """Midway between the medians of the two classes; minus infinity without both.
+
+    Good texts that the labelled sample hardly covers, such as those of a rarer
+    language, score somewhat below the labelled ones; half the distance leaves room for them.
+    """
     if good.all() or not good.any():
         return float("-inf")
-    order = np.argsort(score, kind="stable")
-    s, g = score[order], good[order]
-    lost, caught = np.cumsum(g) / g.sum(), np.cumsum(~g) / (~g).sum()
-    error = lost + (1 - caught)  # rejecting the first k + 1
-    error[:-1][s[1:] == s[:-1]] = np.inf
-    k = int(np.argmin(error))
-    if error[k] >= 1:
-        return float("-inf")
-    return float((s[k] + s[k + 1]) / 2) if k + 1 < len(s) else float(s[k])
+    high, low = float(np.median(score[good])), float(np.median(score[~good]))
+    return (high + low) / 2 if low < high else float("-inf")
 
 
 def score_udf(spark, model: RatioModel):
@@ -122,7 +121,7 @@ def score_udf(spark, model: RatioModel):
             out = []
             for t in s:
                 x = grams(t) if t else ()
-                out.append(float(m.ratio[x].mean()) if len(x) else float("-inf"))
+                out.append(float(m.ratio[x].sum()) / (len(x) + m.prior) if len(x) else float("-inf"))
             yield pd.Series(out)
 
     return score
@@ -138,7 +137,7 @@ def resample_quality(docs: DataFrame, labels: DataFrame, keep: int | None = None
     """Importance resampling towards the labelled good documents.
 
     Adds log_weight (mean log ratio of the target and raw models over a text's
-    n-grams), sample_key (log_weight / temperature plus a Gumbel draw) and selected to
+    n-grams, drawn a little to 0 for short texts), sample_key (log_weight / temperature plus a Gumbel draw) and selected to
     the columns of ``docs``. The ``keep`` largest keys are selected, which is sampling
     without replacement with probability in proportion to the tempered weight. ``keep``
     None: as many as lie at or above the threshold that parts the labelled classes.
