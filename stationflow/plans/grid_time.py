@@ -112,7 +112,7 @@ _ROWS = "rows AS (SELECT var, hour, row_number() OVER (PARTITION BY var ORDER BY
 
 
 @query(f"""WITH {SERIES_HOUR}, {_ROWS} SELECT var, hour, i, split FROM rows JOIN (VALUES ('train'), ('val'), ('test')) s(split)
- ON (split = 'train' AND i < floor(n * 0.7)) OR (split = 'val' AND i >= floor(n * 0.7) - 24 AND i < n - floor(n * 0.2)) OR (split = 'test' AND i >= n - floor(n * 0.2) - 24)""")
+ ON (split = 'train' AND i < floor(n * CAST(0.7 AS DOUBLE))) OR (split = 'val' AND i >= floor(n * CAST(0.7 AS DOUBLE)) - 24 AND i < n - floor(n * CAST(0.2 AS DOUBLE))) OR (split = 'test' AND i >= n - floor(n * CAST(0.2 AS DOUBLE)) - 24)""")
 def b10_split_by_ratio(spark, d):
     """0.7, 0.1, 0.2 with lookback."""
     return B.split_by_ratio(series_hour(spark, d), "var", "hour", 24).select("var", "hour", "i", "split")
@@ -125,7 +125,7 @@ def b11_split_by_borders(spark, d):
     return B.split_by_borders(series_hour(spark, d), "var", "hour", 24, (300, 100, 100)).select("var", "hour", "i", "split")
 
 
-@query(f"WITH {SERIES_HOUR}, {_ROWS} SELECT var, hour, i FROM rows WHERE i >= floor(n * 0.8)")
+@query(f"WITH {SERIES_HOUR}, {_ROWS} SELECT var, hour, i FROM rows WHERE i >= floor(n * CAST(0.8 AS DOUBLE))")
 def b12_holdout_tail(spark, d):
     """The last fifth."""
     return B.holdout_tail(series_hour(spark, d), "var", "hour").select("var", "hour", "i")

@@ -1,0 +1 @@
+"""Structured Streaming forms of ingest, windows and joins."""
