@@ -13,6 +13,9 @@ from pyspark.sql.streaming.query import StreamingQuery
 from stationflow.operators.aggregates import trimmed_mean
 
 
+_SECONDS = {"second": 1, "minute": 60, "hour": 3600, "day": 86400}
+
+
 def ingest(spark: SparkSession, path: str, schema: str, out: str, checkpoint: str, by: list[str]) -> StreamingQuery:
     """New files of a folder go to partitions of a table; the checkpoint remembers which are done.
 
@@ -30,9 +33,10 @@ def ingest(spark: SparkSession, path: str, schema: str, out: str, checkpoint: st
 def complete_windows(stream: DataFrame, key: list[str], ts: str, value: str, step: str, width: int, late: str) -> DataFrame:
     """Sliding windows of ``width`` steps that hold a finite value at each step; ``step`` such as '1 hour'."""
     n, unit = step.split(" ", 1)
-    span = f"{int(n) * width} {unit}"
-    seen = F.approx_count_distinct(F.when(F.col(value).isNotNull(), F.window(ts, step)), 0.01)
-    return stream.withWatermark(ts, late).groupBy(*key, F.window(ts, span, step)).agg(seen.alias("n"), F.avg(value).alias("mean")).filter(F.col("n") == width)
+    size = int(n) * _SECONDS[unit.rstrip("s")]
+    slot = F.floor(F.unix_seconds(ts) / size)
+    seen = F.size(F.collect_set(F.when(F.col(value).isNotNull(), slot)))  # as many as there are steps in a window
+    return stream.withWatermark(ts, late).groupBy(*key, F.window(ts, f"{int(n) * width} {unit}", step)).agg(seen.alias("n"), F.avg(value).alias("mean")).filter(F.col("n") == width)
 
 
 def tumbling_trimmed(stream: DataFrame, key: list[str], ts: str, value: str, step: str, late: str) -> DataFrame:
@@ -53,17 +57,16 @@ class LastValue(StatefulProcessor):
     """The newest value of each station, the slot it belongs to, and the gap before it; a late record of the same slot replaces it."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("last", "slot long, value double")
+        self.state = handle.getValueState("last", "slot long, value double, gap long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        slot, value = self.state.get() if self.state.exists() else (None, None)
-        gap = 0
+        slot, value, gap = self.state.get() if self.state.exists() else (None, None, 0)
         for b in rows:
             for r in b.sort_values(["slot", "arrival"]).itertuples():
                 if slot is None or r.slot >= slot:
-                    gap = 0 if slot is None or r.slot == slot else int(r.slot - slot)
+                    gap = gap if slot is None or r.slot == slot else int(r.slot - slot)
                     slot, value = int(r.slot), float(r.value)
-        self.state.update((slot, value))
+        self.state.update((slot, value, gap))
         yield pd.DataFrame({"station": [key[0]], "slot": [slot], "value": [value], "gap": [gap]})
 
     def close(self) -> None:
