@@ -363,12 +363,13 @@ def labelled_pages(n: int, seed: int = 2) -> Iterator[tuple[str, list[int]]]:
         return (f"<main>{wrap(kinds, inner)}</main>" if rng.random() < 0.2 else wrap(kinds, inner)), labels
 
     for _ in range(n):
-        before = [p() for p in (menu, header, notice, advert, form, side) if rng.random() < 0.45]
-        after = [p() for p in (side, comments, form, advert, menu, notice) if rng.random() < 0.4]
+        bare = rng.random() < 0.1  # an article and nothing else
+        before = [p() for p in (menu, header, notice, advert, form, side) if not bare and rng.random() < 0.45]
+        after = [p() for p in (side, comments, form, advert, menu, notice) if not bare and rng.random() < 0.4]
         rng.shuffle(before)
         rng.shuffle(after)
         pieces = [*before, text(), *after]
-        if rng.random() < 0.85:
+        if not bare and rng.random() < 0.85:
             pieces.append(footer())
         body = "".join(p for p, _ in pieces)
         yield f"<!DOCTYPE html><html><head><title>{prose(1, 8)}</title><script>var a = '<p>';</script></head><body>{body}</body></html>", [x for _, l in pieces for x in l]

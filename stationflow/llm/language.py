@@ -54,6 +54,8 @@ class CodeModel:
     def __init__(self, langs: list[str], counts: np.ndarray, bits: int, full: int = 100, scale: float = 6.0, gap: float = 0.02):
         self.langs, self.bits, self.full, self.scale, self.gap = langs, bits, full, scale, gap
         self.code = codewords(len(langs))
+        if not langs:  # nothing to learn from: every text is und
+            return
         p = counts + 0.5
         p = p / p.sum(1, keepdims=True)
         columns = []
