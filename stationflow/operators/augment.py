@@ -41,10 +41,15 @@ def rotation(df: DataFrame, key: list[str], channel: str, value: str, n_channels
     return df.withColumn(value, F.col(value) * sign).withColumn(channel, moved)
 
 
-def permutation(df: DataFrame, key: str, pos: str, value: str, segments: int = 5, seed: int = 4) -> DataFrame:
-    """Equal segments of each series in a random order."""
+def permutation(df: DataFrame, key: str, pos: str, value: str, segments: int = 5, seed: int = 4, equal: bool = True) -> DataFrame:
+    """Segments of each series, equal or cut at random, in a random order."""
     w = Window.partitionBy(key)
-    rows = df.withColumn("seg_", F.ntile(segments).over(w.orderBy(pos))).withColumn("u_", uniform(seed, F.col(key), F.col("seg_")))
+    if equal:
+        seg = F.ntile(segments).over(w.orderBy(pos))
+    else:
+        i, n = F.row_number().over(w.orderBy(pos)) - 1, F.count("*").over(w)
+        seg = sum(((i >= F.floor(uniform(seed + k, F.col(key)) * n)).cast("int") for k in range(1, segments)), F.lit(0))
+    rows = df.withColumn("seg_", seg).withColumn("u_", uniform(seed, F.col(key), F.col("seg_")))
     return rows.withColumn(pos, F.row_number().over(w.orderBy("u_", "seg_", pos)).cast("long") - 1).drop("seg_", "u_")
 
 

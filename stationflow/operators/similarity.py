@@ -72,22 +72,32 @@ def mean_dtw(pairs: DataFrame, key: str, by: list[str], band: int | None = None)
 
 
 def adf_test(df: DataFrame, by: list[str], step: str, value: str) -> DataFrame:
-    """t statistic of the unit-root regression with a constant and one lagged difference.
+    """Unit-root regression with a constant and no or one lagged difference, the better by AIC: lag, n, coefficient, t.
 
-    Sums of products by series, then the 3 x 3 normal equations in closed form: one shuffle, no Python.
+    Centred sums of products by series, then the normal equations in closed form: one shuffle, no
+    Python. Both regressions are compared on the rows that have the lagged difference; without it
+    the final one uses all rows.
     """
     w = Window.partitionBy(*by).orderBy(step)
     rows = df.withColumn("y1", F.lag(value).over(w)).withColumn("d", F.col(value) - F.col("y1"))
-    rows = rows.withColumn("d1", F.lag("d").over(w)).filter(F.col("d1").isNotNull())
+    rows = rows.withColumn("d1", F.lag("d").over(w)).filter(F.col("d").isNotNull())
+    has = F.col("d1").isNotNull()
     y, z, d = F.col("y1"), F.col("d1"), F.col("d")
-    # Centred sums remove the constant.
-    s = rows.groupBy(*by).agg(F.count("*").alias("n"), *[(F.covar_pop(a, b) * F.count("*")).alias(name) for name, a, b in (("yy", y, y), ("yz", y, z), ("zz", z, z), ("yd", y, d), ("zd", z, d), ("dd", d, d))])
-    det = F.col("yy") * F.col("zz") - F.col("yz") * F.col("yz")
-    b = F.try_divide(F.col("zz") * F.col("yd") - F.col("yz") * F.col("zd"), det)
-    c = F.try_divide(F.col("yy") * F.col("zd") - F.col("yz") * F.col("yd"), det)
-    rss = F.col("dd") - b * F.col("yd") - c * F.col("zd")
-    se = F.sqrt(F.try_divide(rss, F.col("n") - 3) * F.try_divide(F.col("zz"), det))
-    return s.select(*by, "n", b.alias("coefficient"), F.try_divide(b, se).alias("t"))
+    common = lambda x: F.when(has, x)
+    product = lambda a, b: F.covar_pop(a, b) * F.count(F.when(a.isNotNull() & b.isNotNull(), 1))
+    sums = {"yy": (common(y), y), "yz": (common(y), z), "zz": (z, z), "yd": (common(y), d), "zd": (z, d), "dd": (common(d), d), "ya": (y, y), "da": (y, d), "aa": (d, d)}
+    s = rows.groupBy(*by).agg(F.count(F.when(has, 1)).alias("n1"), F.count("*").alias("n0"), *[product(*ab).alias(k) for k, ab in sums.items()])
+    c = F.col
+    det = c("yy") * c("zz") - c("yz") * c("yz")
+    b1 = F.try_divide(c("zz") * c("yd") - c("yz") * c("zd"), det)
+    rss1 = c("dd") - b1 * c("yd") - F.try_divide(c("yy") * c("zd") - c("yz") * c("yd"), det) * c("zd")
+    aic = lambda rss, k: c("n1") * F.log(F.try_divide(rss, c("n1"))) + 2 * k
+    one = aic(rss1, 3) < aic(c("dd") - F.try_divide(c("yd") * c("yd"), c("yy")), 2)
+    b0 = F.try_divide(c("da"), c("ya"))
+    se0 = F.sqrt(F.try_divide(c("aa") - b0 * c("da"), (c("n0") - 2) * c("ya")))
+    se1 = F.sqrt(F.try_divide(rss1, c("n1") - 3) * F.try_divide(c("zz"), det))
+    pick = lambda x, y: F.when(one, x).otherwise(y)
+    return s.select(*by, pick(F.lit(1), F.lit(0)).alias("lag"), pick(c("n1"), c("n0")).alias("n"), pick(b1, b0).alias("coefficient"), pick(F.try_divide(b1, se1), F.try_divide(b0, se0)).alias("t"))
 
 
 def mean_adf(df: DataFrame, by: list[str], step: str, value: str) -> DataFrame:

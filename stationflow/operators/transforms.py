@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stationflow.operators.ordering import seeded
+
 
 def interpolate_linear(df: DataFrame, by: list[str], pos: str, value: str) -> DataFrame:
     """Missing values on the line between the known ones around them; the nearest known one at the ends."""
@@ -95,6 +97,12 @@ def spectrum_mask(spec: DataFrame, share: float) -> DataFrame:
     return mean.orderBy(F.desc("a"), "freq").limit(int(n * share)).select("freq")
 
 
+def choose_modes(spec: DataFrame, k: int, kind: str = "low", seed: int = 0) -> DataFrame:
+    """``k`` frequencies: the lowest, or a seeded choice. One row a frequency is ordered."""
+    freq = spec.select("freq").distinct()
+    return freq.orderBy("freq" if kind == "low" else seeded(F.col("freq") * 7919, seed), "freq").limit(k)
+
+
 def variant_invariant(df: DataFrame, by: str, pos: str, value: str, share: float) -> DataFrame:
     """invariant: the corpus' dominant frequencies; variant: the rest of each series."""
     spec = spectrum(df, by, pos, value)

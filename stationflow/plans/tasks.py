@@ -224,14 +224,19 @@ def l3_forecast_dtw(spark, d):
     return rounded(L.mean_dtw(_dtw_pairs(spark, d), "vec_id", ["label"], band=8))
 
 
-_ADF = f"a AS (SELECT var, v - y1 AS d, y1, hour FROM (SELECT var, hour, v, lag(v) OVER (PARTITION BY var ORDER BY hour) AS y1 FROM series_hour)), b AS (SELECT var, d, y1, lag(d) OVER (PARTITION BY var ORDER BY hour) AS z FROM a), s AS (SELECT var, count(*) AS n, covar_pop(y1, y1) * count(*) AS yy, covar_pop(y1, z) * count(*) AS yz, covar_pop(z, z) * count(*) AS zz, covar_pop(y1, d) * count(*) AS yd, covar_pop(z, d) * count(*) AS zd, covar_pop(d, d) * count(*) AS dd FROM b WHERE z IS NOT NULL GROUP BY var), c AS (SELECT *, yy * zz - yz * yz AS det FROM s), e AS (SELECT *, (zz * yd - yz * zd) / det AS b, (yy * zd - yz * yd) / det AS g FROM c)"
+_ADF = """a AS (SELECT var, hour, v - y1 AS d, y1 FROM (SELECT var, hour, v, lag(v) OVER (PARTITION BY var ORDER BY hour) AS y1 FROM series_hour) WHERE y1 IS NOT NULL),
+ b AS (SELECT *, lag(d) OVER (PARTITION BY var ORDER BY hour) AS z FROM a),
+ f AS (SELECT var, count(*) AS n0, covar_pop(y1, y1) * count(*) AS ya, covar_pop(y1, d) * count(*) AS da, covar_pop(d, d) * count(*) AS aa FROM b GROUP BY var),
+ s AS (SELECT var, count(*) AS n, covar_pop(y1, y1) * count(*) AS yy, covar_pop(y1, z) * count(*) AS yz, covar_pop(z, z) * count(*) AS zz, covar_pop(y1, d) * count(*) AS yd, covar_pop(z, d) * count(*) AS zd, covar_pop(d, d) * count(*) AS dd FROM b WHERE z IS NOT NULL GROUP BY var),
+ c AS (SELECT *, yy * zz - yz * yz AS det FROM s JOIN f USING (var)), e AS (SELECT *, (zz * yd - yz * zd) / det AS b1, (yy * zd - yz * yd) / det AS g, da / ya AS b0 FROM c),
+ h AS (SELECT *, dd - b1 * yd - g * zd AS rss FROM e), k AS (SELECT *, n * ln(rss / n) + 6 < n * ln((dd - yd * yd / yy) / n) + 4 AS one FROM h)"""
 
 
-@query(f"WITH {SERIES_HOUR}, {_ADF} SELECT var, n, {r('b', 'coefficient')}, {r('b / sqrt((dd - b * yd - g * zd) / (n - 3) * zz / det)', 't', 5)} FROM e")
+@query(f"WITH {SERIES_HOUR}, {_ADF} SELECT var, CAST(one AS BIGINT) AS lag, CASE WHEN one THEN n ELSE n0 END AS n, {r('CASE WHEN one THEN b1 ELSE b0 END', 'coefficient')}, {r('CASE WHEN one THEN b1 / sqrt(rss / (n - 3) * zz / det) ELSE b0 / sqrt((aa - b0 * da) / ((n0 - 2) * ya)) END', 't', 5)} FROM k")
 def l4_adf(spark, d):
     """L4: unit-root statistic by series."""
     out = L.adf_test(series_hour(spark, d), ["var"], "hour", "v")
-    return out.select("var", "n", F.round("coefficient", 6).alias("coefficient"), F.round("t", 5).alias("t"))
+    return out.select("var", "lag", "n", F.round("coefficient", 6).alias("coefficient"), F.round("t", 5).alias("t"))
 
 
 @query()

@@ -93,9 +93,21 @@ def test_unit_root(spark):
     df = spark.createDataFrame([(n, i, float(v)) for n, x in (("walk", walk), ("noise", noise)) for i, v in enumerate(x)], "s string, i long, v double")
     t = {r.s: r.t for r in L.adf_test(df, ["s"], "i", "v").collect()}
     assert t["noise"] < -10 < t["walk"]
+    lag = {r.s: r.lag for r in L.adf_test(df, ["s"], "i", "v").collect()}
     for name, x in (("walk", walk), ("noise", noise)):
         d = np.diff(x)
-        a = np.stack([np.ones(398), x[1:-1], d[:-1]], 1)
-        b, res, *_ = np.linalg.lstsq(a, d[1:], rcond=None)
-        se = np.sqrt(res[0] / 395 * np.linalg.inv(a.T @ a)[1, 1])
+        if lag[name]:
+            a, e = np.stack([np.ones(398), x[1:-1], d[:-1]], 1), d[1:]
+        else:
+            a, e = np.stack([np.ones(399), x[:-1]], 1), d
+        b, res, *_ = np.linalg.lstsq(a, e, rcond=None)
+        se = np.sqrt(res[0] / (len(e) - a.shape[1]) * np.linalg.inv(a.T @ a)[1, 1])
         assert abs(t[name] - b[1] / se) < 1e-6
+
+
+def test_random_segments_and_modes(spark, series):
+    got = K.permutation(series, "vec_id", "pos", "x", equal=False)
+    assert {(r.vec_id, round(r.x, 9)) for r in got.collect()} == {(r.vec_id, round(r.x, 9)) for r in series.collect()}
+    spec = X.spectrum(series, "vec_id", "pos", "x")
+    assert [r.freq for r in X.choose_modes(spec, 3).collect()] == [0, 1, 2]
+    assert X.choose_modes(spec, 5, "random", 3).count() == 5
