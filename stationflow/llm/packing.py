@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -67,38 +68,44 @@ def powers(n: int) -> list[int]:
     return [1 << b for b in range(n.bit_length() - 1, -1, -1) if n >> b & 1]
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, length: int = 2048, vocab: int = 1 << 16) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, length: int = 2048, vocab: int = 1 << 16, segment: int = 8192) -> DataFrame:
     """Pack every document into sequences of ``length`` tokens, neighbours on the curve together.
 
     ``docs`` needs doc_id and text. Returns one row per piece: doc_id, start, length,
     ids (binary, little-endian unsigned 32-bit), doc_tokens, sequence_id, offset.
 
-    The ids of a range of the curve fill sequences one after the other; a document is
+    Ids are sorted in segments of at most ``segment``, so rows have a bounded size and ranges
+    of the curve hold about as many ids each, however long its documents are.
+    The ids of a range fill sequences one after the other; a document is
     cut where a sequence is full. What is left at the end of a range is cut into
     sequences whose lengths are powers of two, so nothing needs padding.
 
+    The vocabulary may have up to 65,536 ids.
+
     Null or empty text: the document is its end token alone. Null doc_id: packed, and
     returned with null. Repeated rows: each packed for itself. Ties on the curve go by
-    doc_id, then by ids. Empty table: no rows. Other columns are ignored. A text of
+    doc_id, then by a checksum of the ids. Empty table: no rows. Other columns are ignored. A text of
     any length is cut over as many sequences as it needs.
     """
     spark = docs.sparkSession
     # "length" and "start" may also be names of the input: only two columns are read.
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     tail = np.array([end_id], "<u2").tobytes()
+    columns = ["doc_id", "key", "crc", "start", "total", "ids"]
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, order = encoder(tokenizer, "<u2"), CurveOrder(vocab)
         for b in batches:
-            for part in (b.slice(k, 512) for k in range(0, b.num_rows, 512)):
-                ids = [enc.encode(t) + tail for t in part["text"].to_pylist()]
+            for part in (b.slice(k, 128) for k in range(0, b.num_rows, 128)):
+                ids = [x + tail for x in enc.encode(part["text"].to_pylist())]
                 keys = order.keys([np.frombuffer(x, "<u2") for x in ids])
-                yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(keys, pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "key", "ids"])
+                out = [(d, int(k), crc32(x), at // 2, len(x) // 2, x[at : at + 2 * segment]) for d, k, x in zip(part["doc_id"].to_pylist(), keys, ids, strict=True) for at in range(0, len(x), 2 * segment)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), [pa.int64()] * 5 + [pa.binary()], strict=True)], columns)
 
     # Written once: the range sort samples its input, which must not encode twice.
-    encoded = write_stage(rows.mapInArrow(encode, "doc_id long, key long, ids binary"), "packing")
-    tie = F.xxhash64("ids")
-    ordered = encoded.repartitionByRange(partitions(spark), "key", "doc_id", tie).sortWithinPartitions("key", "doc_id", tie)
+    encoded = write_stage(rows.mapInArrow(encode, "doc_id long, key long, crc long, start long, total long, ids binary"), "packing")
+    by = ["key", "doc_id", "crc", "start"]
+    ordered = encoded.repartitionByRange(partitions(spark), *by).sortWithinPartitions(*by)
 
     names = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
@@ -115,12 +122,16 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, length: int = 2
 
         size = 0
         for b in batches:
-            for doc, ids in zip(b["doc_id"].to_pylist(), b["ids"].to_pylist(), strict=True):
+            for doc, start, total, ids in zip(*[b[c].to_pylist() for c in ("doc_id", "start", "total", "ids")], strict=True):
                 ids = np.frombuffer(ids, "<u2").astype("<u4")
-                at, total = 0, len(ids)
-                while at < total:
-                    n = min(length - fill, total - at)
-                    held.append((doc, at, n, ids[at : at + n].tobytes(), total, sequence, fill))
+                at, here = 0, len(ids)
+                while at < here:
+                    n = min(length - fill, here - at)
+                    last = held[-1] if held else None
+                    if last and last[0] == doc and last[4] == total and last[1] + last[2] == start + at:  # the segment before ends here
+                        held[-1] = (doc, last[1], last[2] + n, last[3] + ids[at : at + n].tobytes(), total, sequence, last[6])
+                    else:
+                        held.append((doc, start + at, n, ids[at : at + n].tobytes(), total, sequence, fill))
                     at, fill = at + n, fill + n
                     if fill == length:
                         out += held
@@ -143,4 +154,4 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, length: int = 2
             yield rows_of(out)
 
     schema = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
-    return ordered.select("doc_id", "ids").mapInArrow(pack, schema)
+    return ordered.select("doc_id", "start", "total", "ids").mapInArrow(pack, schema)

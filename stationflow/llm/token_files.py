@@ -15,7 +15,7 @@ from stationflow.llm.common import new_path, partitions
 from stationflow.llm.tokens import encoder
 
 
-def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, path: str | None = None, encoding: str = "dictionary", row_group_mb: int = 16, page_rows: int = 256) -> str:
+def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, path: str | None = None, encoding: str = "dictionary", compression: str = "zstd", row_group_mb: int = 16, page_rows: int = 256) -> str:
     """Encode every document and write its ids in ascending doc_id order; returns the folder.
 
     The files hold doc_id, n_tokens, shard, before (ids of the shard's documents before
@@ -37,8 +37,8 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, path: str |
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, shard, before = encoder(tokenizer), TaskContext.get().partitionId(), 0
         for b in batches:
-            for part in (b.slice(k, 512) for k in range(0, b.num_rows, 512)):
-                ids = [enc.encode(t) + tail for t in part["text"].to_pylist()]
+            for part in (b.slice(k, 128) for k in range(0, b.num_rows, 128)):
+                ids = [x + tail for x in enc.encode(part["text"].to_pylist())]
                 n = np.array([len(x) // 4 for x in ids], np.int64)
                 start = before + np.cumsum(n) - n
                 before += int(n.sum())
@@ -47,7 +47,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, path: str |
 
     path = path or new_path(spark, "token-ids")
     writer = ordered.mapInArrow(encode, "doc_id long, n_tokens long, shard long, before long, ids array<int>").write
-    options = {"parquet.block.size": row_group_mb << 20, "parquet.page.row.count.limit": page_rows, "compression": "zstd"}
+    options = {"parquet.block.size": row_group_mb << 20, "parquet.page.row.count.limit": page_rows, "compression": compression}
     if encoding == "delta":
         options |= {"parquet.enable.dictionary": "false", "parquet.writer.version": "PARQUET_2_0"}
     writer.options(**options).parquet(path)

@@ -8,17 +8,53 @@ chunk memo and the word memo are bounded; results don't depend on them.
 from __future__ import annotations
 
 import re
+from array import array
 from functools import lru_cache
+from unicodedata import normalize
 
 import numpy as np
+import regex
 from tokenizers import Tokenizer
 
 # White space of the pre-tokenizers' patterns.
 SPACE = "\t-\r \x85\xa0  -     　"
 # Not white space there, although str.split() takes them for it.
 ODD = ("\x1c", "\x1d", "\x1e", "\x1f")
-#: Most chunks and words that a process remembers.
-CHUNKS, WORDS = 350_000, 600_000
+#: Chunks and words of a generation; a process remembers two generations of each.
+CHUNKS, WORDS = 300_000, 400_000
+
+#: The byte-level alphabet: printable Latin-1 stands for itself, other bytes for the letters from U+0100 on.
+_SHOWN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_ALPHABET = {b: b for b in _SHOWN} | {b: 256 + k for k, b in enumerate(x for x in range(256) if x not in _SHOWN)}
+#: Marks that are a word of their own after letters.
+_MARKS = frozenset(".,;:!?|)")
+
+
+def _byte_level(unit: str) -> str:
+    if unit.isascii() and unit.isprintable():
+        return unit.replace(" ", "\u0120")
+    return unit.encode("utf-8").decode("latin-1").translate(_ALPHABET)
+
+
+class Memo(dict):
+    """Values by key, made where they are missing. ``renew`` starts a new generation once
+    there are ``most``; what is used again is taken over from the old one."""
+
+    def __init__(self, make, most: int):
+        super().__init__()
+        self.make, self.most, self.old = make, most, {}
+
+    def __missing__(self, key: str) -> bytes:
+        got = self.old.get(key)
+        if got is None:
+            got = self.make(key)
+        self[key] = got
+        return got
+
+    def renew(self) -> None:
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
 
 
 class Encoder:
@@ -27,47 +63,50 @@ class Encoder:
     def __init__(self, path: str, dtype: str = "<u4"):
         self.tok = Tokenizer.from_file(path)
         self.model, self.norm, self.pre = self.tok.model, self.tok.normalizer, self.tok.pre_tokenizer
-        self.dtype = dtype
+        self.code = {2: "H", 4: "I"}[np.dtype(dtype).itemsize]
         self.special = tuple(t.content for t in self.tok.get_added_tokens_decoder().values())
         self.drops_space = self.norm is not None
         if self.drops_space:  # lower case, white space dropped
-            self.units = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+").findall
+            self.units = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+").findall
+            self.cut = str.split
         else:  # a leading space belongs to the word
+            self.units = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+").findall
             self.cut = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+").findall
-            self.units = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^ A-Za-z0-9]+| +").findall
-        self.chunks: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.words = Memo(self._word, WORDS)
+        self.chunks = Memo(self._chunk, CHUNKS)
 
     def _word(self, unit: str) -> bytes:
-        got = self.words.get(unit)
-        if got is None:
-            if len(self.words) >= WORDS:
-                self.words.clear()
-            got = self.words[unit] = np.array([t.id for t in self.model.tokenize(unit)], self.dtype).tobytes()
-        return got
+        return array(self.code, [t.id for t in self.model.tokenize(_byte_level(unit))]).tobytes()
 
     def _chunk(self, chunk: str) -> bytes:
-        if chunk.isascii() and chunk.isprintable():
-            units = self.units(chunk.lower()) if self.drops_space else [u.replace(" ", "Ġ") for u in self.units(chunk)]
-        else:
-            text = self.norm.normalize_str(chunk) if self.norm is not None else chunk
-            units = [u for u, _ in self.pre.pre_tokenize_str(text)]
-        return b"".join(map(self._word, units))
-
-    def encode(self, text: str) -> bytes:
-        if any(s in text for s in self.special) or any(c in text for c in ODD):
-            return np.array(self.tok.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
-        chunks = text.split() if self.drops_space else self.cut(text)
-        known = self.chunks
-        try:
-            return b"".join(map(known.__getitem__, chunks))
-        except KeyError:
-            pass
-        if len(known) >= CHUNKS:
-            known.clear()
-        for c in set(chunks).difference(known):
-            known[c] = self._chunk(c)
-        return b"".join(map(known.__getitem__, chunks))
+        if self.drops_space:
+            if chunk.isascii():
+                chunk = chunk.lower()
+            elif "\u03a3" in chunk or not chunk.isprintable():  # str.lower() looks at the word's end for a sigma
+                chunk = self.norm.normalize_str(chunk)
+            else:
+                chunk = normalize("NFC", chunk).lower()
+        word = self.words
+        body = chunk[1:] if chunk[:1] == " " else chunk
+        if body.isalpha():
+            return word[chunk]
+        if body[-1:] in _MARKS and body[:-1].isalpha():
+            return word[chunk[:-1]] + word[chunk[-1]]
+        if chunk.isprintable():
+            return b"".join([word[u] for u in self.units(chunk)])
+        # Control or unassigned characters: as the library splits them.
+        return array(self.code, [t.id for u, _ in self.pre.pre_tokenize_str(chunk) for t in self.model.tokenize(u)]).tobytes()
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        self.chunks.renew()
+        self.words.renew()
+        look, cut, out = self.chunks.__getitem__, self.cut, []
+        for text in texts:
+            if any(s in text for s in self.special) or any(c in text for c in ODD):
+                out.append(array(self.code, self.tok.encode(text, add_special_tokens=False).ids).tobytes())
+            else:
+                out.append(b"".join(map(look, cut(text))))
+        return out
 
 
 @lru_cache(maxsize=2)

@@ -59,7 +59,7 @@ def test_packing(spark):
 
 def test_packing_odd_rows(spark):
     docs = odd_docs(spark)
-    check_pieces(pack_documents(docs, WORD, 1).collect(), [r.text for r in docs.collect()])
+    check_pieces(pack_documents(docs, WORD, 1, segment=100).collect(), [r.text for r in docs.collect()])
     assert pack_documents(docs.limit(0), WORD, 1).count() == 0
 
 
