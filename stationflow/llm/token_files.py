@@ -15,7 +15,7 @@ from stationflow.llm.common import new_path, partitions
 from stationflow.llm.tokens import encoder
 
 
-def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, path: str | None = None, encoding: str = "dictionary", compression: str = "zstd", row_group_mb: int = 16, page_rows: int = 256) -> str:
+def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, path: str | None = None, encoding: str = "dictionary", compression: str = "lz4_raw", row_group_mb: int = 16, page_rows: int = 256) -> str:
     """Encode every document and write its ids in ascending doc_id order; returns the folder.
 
     The files hold doc_id, n_tokens, shard, before (ids of the shard's documents before

@@ -21,7 +21,7 @@ SPACE = "\t-\r \x85\xa0  -     　"
 # Not white space there, although str.split() takes them for it.
 ODD = ("\x1c", "\x1d", "\x1e", "\x1f")
 #: Chunks and words of a generation; a process remembers two generations of each.
-CHUNKS, WORDS = 300_000, 400_000
+CHUNKS, WORDS = 350_000, 450_000
 
 #: The byte-level alphabet: printable Latin-1 stands for itself, other bytes for the letters from U+0100 on.
 _SHOWN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -45,6 +45,8 @@ class Memo(dict):
         self.make, self.most, self.old = make, most, {}
 
     def __missing__(self, key: str) -> bytes:
+        if not key:
+            raise KeyError(key)
         got = self.old.get(key)
         if got is None:
             got = self.make(key)
@@ -74,6 +76,8 @@ class Encoder:
             self.cut = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+").findall
         self.words = Memo(self._word, WORDS)
         self.chunks = Memo(self._chunk, CHUNKS)
+        self.spaced = Memo(lambda c: self._chunk(" " + c), CHUNKS)
+        self.newline = b"" if self.drops_space else self._chunk("\n")
 
     def _word(self, unit: str) -> bytes:
         return array(self.code, [t.id for t in self.model.tokenize(_byte_level(unit))]).tobytes()
@@ -97,15 +101,33 @@ class Encoder:
         # Control or unassigned characters: as the library splits them.
         return array(self.code, [t.id for u, _ in self.pre.pre_tokenize_str(chunk) for t in self.model.tokenize(u)]).tobytes()
 
+    def _lines(self, text: str) -> bytes | None:
+        """Ids of a text of words with one space or line end between them; None for any other."""
+        parts: list[bytes] = []
+        first, rest, end = self.chunks.__getitem__, self.spaced.__getitem__, self.newline
+        try:
+            for line in text.split("\n"):
+                if not line.isprintable():  # other white space, among others
+                    return None
+                words = iter(line.split(" "))
+                parts.append(first(next(words)))
+                parts.extend(map(rest, words))
+                parts.append(end)
+        except KeyError:  # no word
+            return None
+        parts.pop()
+        return b"".join(parts)
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        self.chunks.renew()
-        self.words.renew()
+        for memo in (self.chunks, self.spaced, self.words):
+            memo.renew()
         look, cut, out = self.chunks.__getitem__, self.cut, []
         for text in texts:
             if any(s in text for s in self.special) or any(c in text for c in ODD):
                 out.append(array(self.code, self.tok.encode(text, add_special_tokens=False).ids).tobytes())
-            else:
-                out.append(b"".join(map(look, cut(text))))
+                continue
+            ids = None if self.drops_space else self._lines(text)
+            out.append(b"".join(map(look, cut(text))) if ids is None else ids)
         return out
 
 
