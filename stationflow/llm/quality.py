@@ -67,8 +67,9 @@ def fit_quality(docs: DataFrame, labels: DataFrame, bits: int = 16, most_labels:
 
     The raw model counts the n-grams of every document. The target model counts those
     of the good documents among at most ``most_labels`` labelled ones (chosen by hash).
-    The threshold lies midway between the medians of the two labelled classes; without
-    rejected examples it is minus infinity.
+    The threshold is where the two labelled classes are told apart best; good documents are
+    scored for it without their own n-grams in the target model, like the good ones that have no
+    label. Without rejected examples it is minus infinity.
     """
     buckets = 1 << bits
     # most_labels rows at most, by the limit above
@@ -93,21 +94,48 @@ def fit_quality(docs: DataFrame, labels: DataFrame, bits: int = 16, most_labels:
     target[at] += got["target"].to_numpy()
     ratio = np.log(target / target.sum()) - np.log(raw / raw.sum())
     model = RatioModel(ratio, float("-inf"), bits)
-    seen = marked.filter(F.col("quality").isNotNull()).select("quality", score_udf(docs.sparkSession, model)("text").alias("s")).toArrow()
-    model.threshold = middle_threshold(seen["s"].to_numpy(), seen["quality"].to_numpy() > 0)
+    held_out = held_out_udf(docs.sparkSession, raw, target, bits)("text", F.col("quality") > 0)
+    seen = marked.filter(F.col("quality").isNotNull()).select("quality", held_out.alias("s")).toArrow()
+    model.threshold = best_threshold(seen["s"].to_numpy(), seen["quality"].to_numpy() > 0)
     return model
 
 
-def middle_threshold(score: np.ndarray, good: np.ndarray) -> float:
-    """Midway between the medians of the two classes; minus infinity without both.
-
-    Good texts that the labelled sample hardly covers, such as those of a rarer
-    language, score somewhat below the labelled ones; half the distance leaves room for them.
-    """
+def best_threshold(score: np.ndarray, good: np.ndarray) -> float:
+    """Midpoint between the classes with the least balanced error; minus infinity without both."""
     if good.all() or not good.any():
         return float("-inf")
-    high, low = float(np.median(score[good])), float(np.median(score[~good]))
-    return (high + low) / 2 if low < high else float("-inf")
+    order = np.argsort(score, kind="stable")
+    s, g = score[order], good[order]
+    lost, caught = np.cumsum(g) / g.sum(), np.cumsum(~g) / (~g).sum()
+    error = lost + (1 - caught)  # rejecting the first k + 1
+    error[:-1][s[1:] == s[:-1]] = np.inf
+    k = int(np.argmin(error[:-1]))
+    if error[k] >= 1:
+        return float("-inf")
+    return float((s[k] + s[k + 1]) / 2) if s[k] > float("-inf") else float(s[k + 1])
+
+
+def held_out_udf(spark, raw: np.ndarray, target: np.ndarray, bits: int):
+    """The score of a text; a good one's own n-grams are taken out of the target model first."""
+    shared = spark.sparkContext.broadcast((raw, target))  # 2**bits numbers each
+
+    @F.pandas_udf("double")
+    def score(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        raw, target = shared.value
+        grams, all_raw, all_target = NgramHasher(bits), raw.sum(), target.sum()
+        for texts, good in batches:
+            out = []
+            for t, own in zip(texts, good, strict=True):
+                at, n = np.unique(grams(t), return_counts=True) if t else ((), ())
+                if not len(at):
+                    out.append(float("-inf"))
+                    continue
+                took = n if own else np.zeros_like(n)
+                ratio = np.log((target[at] - took) / (all_target - took.sum())) - np.log(raw[at] / all_raw)
+                out.append(float((ratio * n).sum()) / (n.sum() + RatioModel.prior))
+            yield pd.Series(out)
+
+    return score
 
 
 def score_udf(spark, model: RatioModel):

@@ -137,6 +137,20 @@ def test_quality(spark):
     assert all(good) and sum(bad) < 0.1 * len(bad)
 
 
+@pytest.mark.parametrize("size", ["sf0.01", "sf0.1"])
+def test_quality_rejects_labelled_bad(spark, size):
+    d = f"/root/testdata/{size}"
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{d}/labels.parquet").collect()}
+    texts = {r.doc_id: r.text.split() for r in spark.read.parquet(f"{d}/documents.parquet").filter("text is not null").collect()}
+    rows = [r for r in Q.op7_quality_classifier(spark, d).collect() if r.doc_id in texts]
+    good, bad = ([r for r in rows if labels.get(r.doc_id) == q] for q in (1, 0))
+    repeated = [r for r in bad if len(set(texts[r.doc_id])) < 0.2 * len(texts[r.doc_id])]
+    assert len(repeated) > 5 and len(bad) > 50
+    for some, most in ((bad, 0.04), (repeated, 0.1)):
+        assert sum(r.selected for r in some) <= most * len(some)
+    assert sum(r.selected for r in good) >= 0.99 * len(good)
+
+
 def test_quality_odd_rows(spark):
     rows = [*ODD, *[(i, f"clean plain words number {i % 5} here") for i in range(30, 60)], *[(i, "$$$ ### $$$ %%%") for i in range(60, 80)]]
     labels = spark.createDataFrame([(i, int(i < 60), None) for i in range(30, 80)] + [(None, 1, 0), (31, None, 0), (999, 1, 0)], "doc_id long, quality int, toxic int")
