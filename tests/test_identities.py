@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from stationflow.operators import augment as K
 from stationflow.operators import metrics as M
+from stationflow.operators import ordering as O
 from stationflow.operators import similarity as L
 from stationflow.operators import spatial as E
 from stationflow.operators import transforms as X
@@ -111,3 +112,9 @@ def test_random_segments_and_modes(spark, series):
     spec = X.spectrum(series, "vec_id", "pos", "x")
     assert [r.freq for r in X.choose_modes(spec, 3).collect()] == [0, 1, 2]
     assert X.choose_modes(spec, 5, "random", 3).count() == 5
+
+
+def test_stable_ids_past_five_digits(spark):
+    got = O.stable_ids(spark.range(1, 100_021), ["id"], "name", "st_")
+    assert got.select("name").distinct().count() == 100_020
+    assert {r.id: r.name for r in got.filter("id in (1, 99999, 100000, 100019)").collect()} == {1: "st_00001", 99999: "st_99999", 100000: "st_100000", 100019: "st_100019"}
