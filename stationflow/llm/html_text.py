@@ -42,7 +42,7 @@ _HINT = {w: k for k, words in HINTS.items() for w in words.split()}
 ANCESTORS = frozenset("nav header footer aside article main section form table ul ol dl blockquote figure pre fieldset details dialog select button body".split())
 CUES = re.compile(r"cookie|subscribe|sign up|newsletter|all rights reserved|copyright|©|advertis|sponsor|log in|reply|read more|share", re.I)
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']+|"[^"]{0,4000}"|'[^']{0,4000}'|["'])*+)(?:>|\Z)""", re.S)
+_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"'=]+|=\s*(?:"[^"]*(?:"|\Z)|'[^']*(?:'|\Z))?|["'])*+)(?:>|\Z)""", re.S)
 _ATTR = re.compile(r"""(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
 _SPLIT = re.compile(r"[^a-z0-9]+")
 

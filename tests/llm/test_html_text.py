@@ -61,3 +61,12 @@ def test_odd_rows(spark):
     assert len(got) == len(rows) and dict(got)[1] == dict(got)[2] == dict(got)[3] == ""
     assert dict(got)[6].count("long text here.") == 5000 and "in" in dict(got)[8]
     assert extract_text(df.limit(0)).count() == 0
+
+
+def test_attributes_of_any_length():
+    for quote in "\"'":
+        value = "<p>inside > " * 1000
+        blocks = leaf_blocks(f"<p>before</p><div data-x={quote}{value}{quote} class={quote}sidebar{quote}>after</div>")
+        assert [b.text for b in blocks] == ["before", "after"] and "side" in blocks[1].hints
+        assert [b.text for b in leaf_blocks(f"<p>before</p><div data-x={quote}{value}<p>lost</p>")] == ["before"]
+    assert [b.text for b in leaf_blocks("<p don't>one</p><p \"x>two</p>")] == ["one", "two"]
