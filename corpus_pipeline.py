@@ -25,9 +25,15 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def neardup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays."""
-    kept = near_duplicates(docs).filter("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    """One document of each group of near-duplicates stays.
+
+    Null doc_id: linked with nothing, so each such row stays. Rows of equal doc_id and text are one
+    document, of which one row stays. Rows that share a doc_id but not the text are kept or dropped each by its own text.
+    """
+    kept = near_duplicates(docs, text_hash=True).filter("kept and doc_id is not null").select("doc_id", F.col("text_hash").alias("text_hash_")).distinct()
+    known = docs.filter("doc_id is not null").withColumn("text_hash_", F.xxhash64("text"))
+    rest = known.join(kept, ["doc_id", "text_hash_"], "left_semi").dropDuplicates(["doc_id", "text_hash_", "text"])
+    return rest.select(*docs.columns).unionByName(docs.filter("doc_id is null"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -104,9 +104,9 @@ def _codes(docs: DataFrame, width: int, sketch: SetSketch) -> DataFrame:
             sets = [shingles(t) for t in b["text"].to_pylist()]
             digest = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
             regs = [sketch.registers(s).tobytes() if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.binary()), pa.array(regs, pa.binary())], ["doc_id", "n", "digest", "regs"])
+            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.binary()), pa.array(regs, pa.binary())], ["doc_id", "n", "digest", "regs"]).append_column("text_hash", b["text_hash"])
 
-    return docs.select("doc_id", "text").mapInArrow(encode, "doc_id long, n long, digest binary, regs binary")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(encode, "doc_id long, n long, digest binary, regs binary, text_hash long")
 
 
 def _buckets(reps: DataFrame, bands: int, rows: int) -> DataFrame:
@@ -279,11 +279,12 @@ def _links(families: DataFrame, texts: DataFrame, width: int, percent: int, sket
     return dealt.mapInArrow(confirm, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, bands: int = 42, rows: int = 6, base: float = 1.001, block: int = 512) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, bands: int = 42, rows: int = 6, base: float = 1.001, block: int = 512, text_hash: bool = False) -> DataFrame:
     """Groups of documents linked by 100 * intersection >= percent * union of word-shingle sets.
 
     Returns one row per row of ``docs`` (doc_id, text): doc_id, n_shingles,
-    component_id (smallest doc_id reachable over links) and kept (doc_id is that one).
+    component_id (smallest doc_id reachable over links) and kept (doc_id is that one);
+    with ``text_hash`` also xxhash64 of the text, to find the row again.
 
     Equal sets are one node. Each distinct set gets a SetSketch; documents whose
     registers agree in a whole band share a bucket (a pair at the threshold misses all
@@ -312,6 +313,6 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, bands: i
     # Copies hang on their representative.
     parts = connected_components(links)
     named = nodes.join(parts.select(F.col("node").alias("rep"), "component"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
-    out = coded.select("doc_id", "n", "digest").join(named, "digest", "left")
+    out = coded.select("doc_id", "n", "digest", "text_hash").join(named, "digest", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"), *(["text_hash"] if text_hash else []))

@@ -282,6 +282,17 @@ def test_pipeline(spark):
     assert [n for n, _ in P.STAGES] == ["language", "quality", "neardup", "decontaminate", "packing"]
 
 
+def test_neardup_stage_odd_rows(spark):
+    import corpus_pipeline as P
+
+    a, b, c = ("one two three four five six seven", "a quite different text of its own words", "third text that nothing else in here is like")
+    rows = [(None, a), (None, b), (None, None), (1, a), (1, a), (1, b), (2, c), (2, c), (3, a), (4, b), (4, "some more words that are only found in this row"), (5, None), (5, None)]
+    got = P.neardup(spark, frame(spark, rows), DATA)
+    assert got.columns == frame(spark, rows).columns
+    want = [(None, a), (None, b), (None, None), (1, a), (1, b), (2, c), (4, "some more words that are only found in this row"), (5, None)]
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=repr) == sorted(want, key=repr)
+
+
 def test_entry_without_subpackage(monkeypatch):
     import importlib
 
