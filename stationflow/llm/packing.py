@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stationflow.llm.common import partitions, write_stage
+from stationflow.llm.common import partitions, slices, write_stage
 from stationflow.llm.tokens import encoder
 
 
@@ -51,14 +51,14 @@ class CurveOrder:
         rng = np.random.default_rng(seed)
         self.bucket = rng.integers(0, buckets, vocab)
         self.sign = rng.choice([-1.0, 1.0], vocab)
-        self.matrix = rng.normal(size=(buckets, dims))
+        self.matrix = np.round(rng.normal(size=(buckets, dims)) * 4096)  # whole numbers: sums are exact in any order
         self.buckets, self.bits = buckets, bits
 
-    def keys(self, docs: list[np.ndarray]) -> np.ndarray:
-        at = np.zeros((len(docs), self.matrix.shape[1]))
-        for k, ids in enumerate(docs):
-            v = np.bincount(self.bucket[ids], self.sign[ids], self.buckets)
-            at[k] = v @ self.matrix / max(np.sqrt(v @ v), 1e-9)
+    def keys(self, ids: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """A key for each document of ``n`` ids."""
+        row = np.repeat(np.arange(len(n)) * self.buckets, n)
+        v = np.bincount(row + self.bucket[ids], self.sign[ids], len(n) * self.buckets).reshape(len(n), self.buckets)
+        at = v @ self.matrix / (4096 * np.maximum(np.sqrt((v * v).sum(1)), 1e-9))[:, None]
         grid = (0.5 + 0.5 * np.tanh(0.8 * at)) * (1 << self.bits)
         return hilbert_key(np.clip(grid, 0, (1 << self.bits) - 1), self.bits)
 
@@ -90,17 +90,19 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, length: int = 2
     spark = docs.sparkSession
     # "length" and "start" may also be names of the input: only two columns are read.
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    tail = np.array([end_id], "<u2").tobytes()
     columns = ["doc_id", "key", "crc", "start", "total", "ids"]
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, order = encoder(tokenizer, "<u2"), CurveOrder(vocab)
-        for b in batches:
-            for part in (b.slice(k, 128) for k in range(0, b.num_rows, 128)):
-                ids = [x + tail for x in enc.encode(part["text"].to_pylist())]
-                keys = order.keys([np.frombuffer(x, "<u2") for x in ids])
-                out = [(d, int(k), crc32(x), at // 2, len(x) // 2, x[at : at + 2 * segment]) for d, k, x in zip(part["doc_id"].to_pylist(), keys, ids, strict=True) for at in range(0, len(x), 2 * segment)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), [pa.int64()] * 5 + [pa.binary()], strict=True)], columns)
+        for part in slices(batches):
+            ids, n = enc.encode(part["text"], end_id)
+            keys, flat = order.keys(ids, n), ids.tobytes()
+            ends = 2 * np.cumsum(n)
+            out = []
+            for d, k, total, end in zip(part["doc_id"].to_pylist(), keys.tolist(), n.tolist(), ends.tolist(), strict=True):
+                whole = flat[end - 2 * total : end]
+                out += [(d, k, crc32(whole), at // 2, total, whole[at : at + 2 * segment]) for at in range(0, 2 * total, 2 * segment)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), [pa.int64()] * 5 + [pa.binary()], strict=True)], columns)
 
     # Written once: the range sort samples its input, which must not encode twice.
     encoded = write_stage(rows.mapInArrow(encode, "doc_id long, key long, crc long, start long, total long, ids binary"), "packing")

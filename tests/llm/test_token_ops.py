@@ -29,7 +29,27 @@ def odd_docs(spark):
 @given(st.text(alphabet=st.one_of(st.sampled_from(list(" \n\t　\x1c.'!sStdREa1ÉΣİ́")), st.characters(exclude_categories=["Cs"])), max_size=40))
 def test_encoder_equals_the_library(text):
     for path, enc in ENC.items():
-        assert np.frombuffer(enc.encode([text])[0], "<u4").tolist() == enc.tok.encode(text, add_special_tokens=False).ids, path
+        assert enc.kind is not None
+        ids, n = enc.encode([text, None, text + " end."], end_id=7)
+        want = [enc.tok.encode(t, add_special_tokens=False).ids + [7] for t in (text, "", text + " end.")]
+        assert ids.tolist() == sum(want, []) and n.tolist() == [*map(len, want)], path
+
+
+def test_other_tokenizer_files_go_to_the_library(tmp_path):
+    made = json.load(open(BYTE, encoding="utf-8"))
+    made["pre_tokenizer"]["add_prefix_space"] = True
+    (tmp_path / "other.json").write_text(json.dumps(made), encoding="utf-8")
+    enc = Encoder(str(tmp_path / "other.json"))
+    assert enc.kind is None
+    assert enc.encode(["a b  c\n", ""])[0].tolist() == enc.tok.encode("a b  c\n", add_special_tokens=False).ids
+
+
+def test_memo_is_bounded_in_bytes():
+    enc = Encoder(BYTE)
+    enc.words.most = 1 << 16
+    for k in range(40):
+        enc.encode([" ".join(f"w{k}x{j}" for j in range(500))])
+    assert enc.words.size < 3 << 16 and len(enc.words.old) < 4000
 
 
 def check_pieces(pieces, texts):
