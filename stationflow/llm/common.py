@@ -13,6 +13,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Capitals beyond A-Z, and blocks that have some of late: what else lower() could change.
+OTHER_CAPITALS = r"[\x{80}-\x{FFFF}&&[\p{javaUpperCase}\p{javaTitleCase}]]|[\x{2C00}-\x{2C5F}\x{A720}-\x{A7FF}\x{10000}-\x{10FFFF}]"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -67,16 +69,29 @@ def partitions(spark: SparkSession) -> int:
 
 
 def ascii_lower(col: Column) -> Column:
-    """Lower-case A-Z only; other letters stay."""
-    return F.translate(col, UPPER, LOWER)
+    """Lower-case A-Z only; other letters stay. Texts without any other capital take the faster way."""
+    return F.when(col.rlike(OTHER_CAPITALS), F.translate(col, UPPER, LOWER)).otherwise(F.lower(col))
 
 
-def small(df: DataFrame, rows: int) -> bool:
-    """Whether ``df`` has at most ``rows`` rows; reads no more than it must."""
-    return df.limit(rows + 1).count() <= rows
+def fits(df: DataFrame, mb: int) -> bool:
+    """Whether the rows of ``df`` take at most about ``mb`` MB: numbers as 16 bytes each, others by their length.
 
-
-def join_small(left: DataFrame, right: DataFrame, on, how: str = "inner", rows: int = 200_000) -> DataFrame:
-    """Join that broadcasts ``right`` only if its row count is proven to be at most
-    ``rows``, and is otherwise an ordinary shuffled join."""
-    return left.join(F.broadcast(right) if small(right, rows) else right, on, how)
+    Reads no more rows than could fit by their number.
+    """
+    most = (mb << 20) // (16 * len(df.columns))
+    size = F.lit(16 * len(df.columns)).cast("long")
+    for name, kind in df.dtypes:
+        if kind == "string":
+            size = size + F.coalesce(F.octet_length(F.col(name)), F.lit(0))
+        elif kind == "array<string>":
+            size = size + F.coalesce(F.octet_length(F.array_join(F.col(name), "", "")) + 16 * F.size(F.col(name)), F.lit(0))
+        elif kind.startswith(("array", "struct", "map", "binary")):
+            return False
+    rows, total = df.select(size.alias("size")).limit(most + 1).agg(F.count("*"), F.sum("size")).first()
+    return rows <= most and (total or 0) <= mb << 20
+
+
+def join_small(left: DataFrame, right: DataFrame, on, how: str = "inner", mb: int = 16) -> DataFrame:
+    """Join that broadcasts ``right`` only if it is proven to take at most ``mb`` MB,
+    and is otherwise an ordinary shuffled join."""
+    return left.join(F.broadcast(right) if fits(right, mb) else right, on, how)

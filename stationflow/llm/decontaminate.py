@@ -9,6 +9,8 @@ from stationflow.llm.common import ascii_lower, join_small, write_stage
 
 #: What parts words once A-Z is lower-cased: ASCII other than digits and letters.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: The same where the case is left as it is.
+SEPARATORS_ANY_CASE = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def words_of(text: Column) -> Column:
@@ -16,74 +18,81 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), SEPARATORS), "")
 
 
-def _shingles(words: Column, width: int) -> Column:
-    """Array of structs (w0, w1, ...) of ``width`` consecutive words, one for each position."""
-    n = F.size(words) - (width - 1)
-    return F.when(n > 0, F.arrays_zip(*[F.slice(words, k + 1, F.greatest(n, F.lit(0))).alias(f"w{k}") for k in range(width)]))
+def count_words(text: Column) -> Column:
+    """Number of words of a text."""
+    return F.size(F.array_remove(F.split(F.coalesce(text, F.lit("")), SEPARATORS_ANY_CASE), "")).cast("long")
 
 
-def _benchmark(items: DataFrame, window: int, width: int) -> tuple[DataFrame, DataFrame]:
-    """The distinct windows, and which items have them.
-
-    windows: window_id, len, width, shingles (array of structs (at, words)), where the shingles
-    at every offset are listed; item_windows: window_id, item_id.
-    """
+def _windows(items: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
+    """The distinct windows (window: its words, by single spaces; len), and which items have them (window, item_id)."""
     words = items.select("item_id", words_of(F.col("text")).alias("words")).filter(F.size("words") > 0)
     n = F.size("words")
     length = F.least(n, F.lit(window))
-    cut = words.select("item_id", F.explode(F.transform(F.sequence(F.lit(1), n - length + 1), lambda i: F.slice("words", i, length))).alias("window"))
-    cut = cut.withColumn("window_id", F.concat_ws(" ", "window")).distinct()
-    w = F.least(F.size("window"), F.lit(width))
-    offsets = F.sequence(F.lit(0), F.size("window") - w)
-    windows = cut.select("window_id", "window").distinct().select("window_id", F.size("window").alias("len"), w.alias("width"), F.transform(offsets, lambda i: F.struct(i.alias("at"), F.concat_ws(" ", F.slice("window", i + 1, w)).alias("shingle"))).alias("shingles"))
-    return windows, cut.select("window_id", "item_id")
+    cut = words.select("item_id", length.alias("len"), F.explode(F.transform(F.sequence(F.lit(1), n - length + 1), lambda i: F.array_join(F.slice("words", i, length), " "))).alias("window"))
+    return cut.select("window", "len").distinct(), cut.select("window", "item_id").distinct()
 
 
-def find_benchmark(docs: DataFrame, items: DataFrame, window: int = 13, width: int = 5) -> DataFrame:
-    """Where windows of benchmark items occur in documents: doc_id, text_hash, start (from 0), len, window_id, item_id.
+def _shingles(windows: DataFrame, width: int) -> DataFrame:
+    """(window, len, at, width, hash): the shingles of each window. A window of fewer than ``width`` words is one shingle."""
+    w = F.least("len", F.lit(width))
+    words = F.split("window", " ")
+    at = windows.select("window", "len", w.alias("width"), F.explode(F.sequence(F.lit(0), F.col("len") - w)).alias("at"))
+    return at.select("window", "len", "at", "width", F.xxhash64("width", F.array_join(F.slice(words, F.col("at") + 1, F.col("width")), " ")).alias("hash"))
 
-    The sets are the word shingles of a window and of a document. A window can only be contained
-    where all of its shingles are, so its rarest shingle (fewest occurrences in the
-    documents) is the prefix to join on. The offset of that shingle bounds where the window can
-    start; shingles that cover the whole window are then required at their positions,
-    which is exact containment.
-    """
-    windows, item_windows = _benchmark(items, window, width)
-    windows, item_windows = write_stage(windows, "decontam-windows"), write_stage(item_windows, "decontam-items")
-    every = windows.select("window_id", "len", "width", F.explode("shingles").alias("s")).select("window_id", "len", "width", "s.at", "s.shingle")
 
-    # Occurrences of benchmark shingles in the documents, for each width that occurs (items of few words have shorter ones).
+def _occurrences(docs: DataFrame, width: int, widths: list[int]) -> DataFrame:
+    """(doc_id, text_hash, n_words, pos, hash): the shingles of every document, of each of ``widths`` up to ``width``."""
+    words = F.col("words")
+    zipped = F.arrays_zip(words.alias("w0"), *[F.slice(words, F.lit(k + 1), F.greatest(F.size(words), F.lit(1))).alias(f"w{k}") for k in range(1, width)])
     text = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), words_of(F.col("text")).alias("words"))
-    found = None
-    for (w,) in sorted(every.select("width").distinct().limit(width).collect()):
-        known = every.filter(F.col("width") == w).select("shingle").distinct()
-        known = known.select(F.xxhash64(*[F.split("shingle", " ")[k] for k in range(w)]).alias("hash"), "shingle")
-        rows = text.select("doc_id", "text_hash", F.posexplode(_shingles(F.col("words"), w)).alias("pos", "s"))
-        rows = rows.select("doc_id", "text_hash", "pos", *[F.col(f"s.w{k}").alias(f"w{k}") for k in range(w)])
-        rows = rows.withColumn("hash", F.xxhash64(*[f"w{k}" for k in range(w)]))
-        hits = join_small(rows, known, "hash", rows=500_000).filter(F.concat_ws(" ", *[f"w{k}" for k in range(w)]) == F.col("shingle"))
-        hits = hits.select("doc_id", "text_hash", "pos", "shingle")
-        found = hits if found is None else found.unionByName(hits)
-    if found is None:  # no item has a word
-        return docs.sparkSession.createDataFrame([], "doc_id long, text_hash long, start int, len int, window_id string, item_id long")
-    found = write_stage(found, "decontam-shingles")
-
-    # Order by rarity; the rarest shingle of each window is its prefix. A shingle that never occurs rules its windows out.
-    count = found.groupBy("shingle").agg(F.count("*").alias("n"))
-    ranked = join_small(every, count, "shingle", "left")
-    prefix = ranked.groupBy("window_id", "len", "width").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "at", "shingle")).alias("p")).filter("p.n > 0")
-    prefix = write_stage(prefix.select("window_id", "len", "width", F.col("p.at").alias("at"), F.col("p.shingle").alias("shingle")), "decontam-prefix")
+    rows = text.select("doc_id", "text_hash", F.size("words").alias("n_words"), F.posexplode(zipped).alias("pos", "s"))
+
+    def shingle(w: int) -> Column:  # null where the text ends before
+        return F.when(F.col(f"s.w{w - 1}").isNotNull(), F.xxhash64(F.lit(w), F.concat_ws(" ", *[f"s.w{k}" for k in range(w)])))
+
+    keep = ["doc_id", "text_hash", "n_words", "pos"]
+    if len(widths) == 1:
+        return rows.select(*keep, shingle(widths[0]).alias("hash")).filter(F.col("hash").isNotNull())
+    return rows.select(*keep, F.explode(F.array(*[shingle(w) for w in widths])).alias("hash")).filter(F.col("hash").isNotNull())
+
+
+def find_benchmark(docs: DataFrame, items: DataFrame, window: int = 13, width: int = 5) -> DataFrame:
+    """Where windows of benchmark items occur in documents: doc_id, text_hash, start (from 0), len, window.
+
+    The sets are the word shingles of a window and of a document, and containment asks for all of a window's
+    shingles, so any one of them is a sufficient prefix. Shingles are ordered by rarity: one pass over the documents
+    counts those that windows have, and a window with one that never occurs is out. Only the rarest
+    shingle of each window is then joined with the documents. Its offset, the window's length and
+    the document's bound where the window can lie; there the words themselves are compared.
+    """
+    windows, _ = _windows(items, window)
+    shingles = write_stage(_shingles(windows, width), "decontam-shingles")
+    widths = sorted(r.width for r in shingles.select("width").distinct().limit(width).collect())
+    if not widths:  # no item has a word
+        return docs.sparkSession.createDataFrame([], "doc_id long, text_hash long, start int, len int, window string")
+    occurrences = _occurrences(docs, width, widths)
+
+    # Order by rarity; counts alone leave the tasks, no occurrence is written.
+    count = join_small(occurrences.select("hash"), shingles.select("hash").distinct(), "hash").groupBy("hash").agg(F.count("*").alias("n"))
+    ranked = shingles.join(count, "hash", "left")
+    rarest = F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "at", "hash")).alias("p")
+    prefix = ranked.groupBy("window", "len").agg(rarest).filter("p.n > 0").select("window", "len", "p.at", "p.hash")
+    prefix = write_stage(prefix, "decontam-prefix")
+
+    # Join the prefixes, within the bounds.
     start = F.col("pos") - F.col("at")
-    candidates = join_small(found, prefix, "shingle").filter(start >= 0).select("doc_id", "text_hash", start.alias("start"), "len", "width", "window_id")
+    near = join_small(occurrences, prefix, "hash").filter((start >= 0) & (start + F.col("len") <= F.col("n_words")))
+    candidates = near.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct(start.alias("start"), "len", "window")).alias("c"))
+    candidates = write_stage(candidates, "decontam-candidates")
 
-    # Shingles at 0, width, 2 width, ... and the last one cover the window.
-    cover = every.filter((F.col("at") % F.col("width") == 0) | (F.col("at") == F.col("len") - F.col("width"))).select("window_id", "at", "shingle")
-    needed = F.ceil(F.col("len") / F.col("width"))
-    wanted = join_small(candidates, cover, "window_id").withColumn("pos", F.col("start") + F.col("at"))
-    there = found.distinct()
-    same = wanted["doc_id"].eqNullSafe(there["doc_id"]) & (wanted["text_hash"] == there["text_hash"]) & (wanted["pos"] == there["pos"]) & (wanted["shingle"] == there["shingle"])
-    met = wanted.join(there, same, "left_semi").groupBy("doc_id", "text_hash", "start", "len", "width", "window_id").agg(F.countDistinct("at").alias("n")).filter(F.col("n") == needed)
-    return join_small(met.select("doc_id", "text_hash", "start", "len", "window_id"), item_windows, "window_id")
+    # Verify on the words, one row a document.
+    keys = candidates.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h"))
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    texts = join_small(texts, keys, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h")), "left_semi").dropDuplicates(["doc_id", "text_hash"])
+    named = candidates.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h"), "c")
+    both = texts.join(named, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h"))).select("doc_id", "text_hash", words_of(F.col("text")).alias("words"), "c")
+    same = F.filter("c", lambda x: F.array_join(F.slice("words", x["start"] + 1, x["len"]), " ") == x["window"])
+    return both.select("doc_id", "text_hash", F.explode(same).alias("x")).select("doc_id", "text_hash", "x.*")
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = 13, width: int = 5) -> DataFrame:
@@ -97,25 +106,26 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 13, width: in
     Null or empty text: no words, not contaminated. Null doc_id: judged like any other. Null item
     text: no window; null item_id: its windows hit, but it isn't listed. Repeated
     rows: each gets the same answer. Empty table on either side: no row or no hit.
-    Columns of ``docs`` with an added name are replaced.
+    Columns of ``docs`` with an added name are replaced; any others may have any name.
     """
     added = ["n_words", "n_hit", "item_ids", "n_items", "contaminated"]
     docs = docs.select(*[c for c in docs.columns if c not in added])
+    items = items.select("item_id", "text")
     hits = write_stage(find_benchmark(docs.select("doc_id", "text"), items, window, width), "decontam-hits")
 
     # Words covered by any occurrence: what each interval adds beyond those that start before it.
     spans = hits.groupBy("doc_id", "text_hash", "start").agg((F.col("start") + F.max("len")).alias("end"))
     order = Window.partitionBy("doc_id", "text_hash").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
     reached = F.coalesce(F.max("end").over(order), F.lit(0))
-    covered = spans.select("doc_id", "text_hash", F.greatest(F.col("end") - F.greatest("start", reached), F.lit(0)).alias("new")).groupBy("doc_id", "text_hash").agg(F.sum("new").alias("n_hit"))
-    listed = hits.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("item_ids"))
-    found = covered.withColumnRenamed("doc_id", "d").withColumnRenamed("text_hash", "t")
-    found = found.join(listed, found["d"].eqNullSafe(listed["doc_id"]) & (found["t"] == listed["text_hash"])).select("d", "t", "n_hit", "item_ids")
-    found = write_stage(found, "decontam-found")
-
-    rows = docs.withColumn("hash_", F.xxhash64("text")).withColumn("n_words", F.size(words_of(F.col("text"))).cast("long"))
-    out = join_small(rows, found, rows["doc_id"].eqNullSafe(found["d"]) & (rows["hash_"] == found["t"]), "left", rows=100_000)
-    n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
-    ids = F.coalesce("item_ids", F.array().cast("array<string>"))
-    out = out.select(*docs.columns, "n_words", n_hit.alias("n_hit"), ids.alias("item_ids"), F.size(ids).cast("long").alias("n_items"))
-    return out.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
+    new = F.greatest(F.col("end") - F.greatest("start", reached), F.lit(0)).alias("new")
+    covered = spans.select("doc_id", "text_hash", new).groupBy("doc_id", "text_hash").agg(F.sum("new").alias("n_hit"), F.lit(None).cast("array<string>").alias("ids"))
+    _, item_windows = _windows(items, window)
+    named = join_small(hits, item_windows, "window").groupBy("doc_id", "text_hash").agg(F.lit(None).cast("long").alias("n_hit"), F.collect_set(F.col("item_id").cast("string")).alias("ids"))
+    found = covered.unionByName(named).groupBy("doc_id", "text_hash").agg(F.max("n_hit").alias("n_hit"), F.sort_array(F.flatten(F.collect_list("ids"))).alias("ids"))
+    found = write_stage(found.select(F.col("doc_id").alias("d_"), F.col("text_hash").alias("t_"), F.col("n_hit").alias("n_"), F.col("ids").alias("i_")), "decontam-found")
+
+    rows = docs.select(F.struct(*docs.columns).alias("row_"), F.col("doc_id").alias("k_"), F.xxhash64("text").alias("h_"), count_words(F.col("text")).alias("w_"))
+    out = join_small(rows, found, F.col("k_").eqNullSafe(F.col("d_")) & (F.col("h_") == F.col("t_")), "left")
+    n_hit = F.coalesce("n_", F.lit(0)).cast("long")
+    ids = F.coalesce("i_", F.array().cast("array<string>"))
+    return out.select("row_.*", F.col("w_").alias("n_words"), n_hit.alias("n_hit"), ids.alias("item_ids"), F.size(ids).cast("long").alias("n_items"), ((n_hit > 0) & (20 * n_hit >= F.col("w_"))).alias("contaminated"))
