@@ -2,140 +2,230 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Known sentences as they are written; compared after normalisation. Ids are those of the rules below.
+# Sentences of public licence texts and notices, as they are written; compared after normalisation.
 SENTENCES = {
     "mit-notice": "Released under the MIT License.",
     "mit-notice-2": "Licensed under the MIT License.",
+    "mit-notice-3": "This project is licensed under the MIT License.",
     "mit-title": "The MIT License (MIT)",
     "mit-title-2": "MIT License",
+    "mit-title-3": "The MIT License",
     "mit-grant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
     "mit-condition": "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
     "as-is": "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.",
+    "no-event": "IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    "isc-title": "ISC License",
     "isc-grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "isc-grant-2": "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "isc-as-is": "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.",
+    "isc-no-event": "IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    "apache-title": "Apache License Version 2.0, January 2004",
+    "apache-terms": "TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION",
     "apache-notice": "Licensed under the Apache License, Version 2.0.",
-    "apache-notice-2": "Licensed under the Apache License, Version 2.0 (the \"License\");",
-    "apache-comply": "you may not use this file except in compliance with the License.",
+    "apache-notice-2": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.",
     "apache-copy": "You may obtain a copy of the License at",
     "apache-basis": "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
     "apache-limits": "See the License for the specific language governing permissions and limitations under the License.",
     "gpl3-notice": "This work is licensed under the GNU General Public License, version 3.",
-    "gpl-free": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
-    "gpl-warranty": "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY;",
-    "gpl-implied": "without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
+    "gpl2-notice": "This work is licensed under the GNU General Public License, version 2.",
+    "gpl3-title": "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+    "gpl2-title": "GNU GENERAL PUBLIC LICENSE Version 2, June 1991",
+    "lgpl3-title": "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+    "lgpl21-title": "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999",
+    "agpl3-title": "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007",
+    "gnu-copies": "Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed.",
+    "gnu-warranty": "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
+    "gnu-warranty-lib": "This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
     "cc-by-nc-notice": "Licensed under CC BY-NC 4.0.",
     "cc-by-notice": "Licensed under CC BY 4.0.",
     "cc-by-sa-notice": "Licensed under CC BY-SA 4.0.",
+    "cc-by-long": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    "cc-by-sa-long": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "cc-by-nc-long": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
     "cc0-notice": "This work is dedicated to the public domain under the CC0 1.0 Universal license.",
+    "unlicense": "This is free and unencumbered software released into the public domain.",
+    "unlicense-2": "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
     "bsd-intro": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
     "bsd-source": "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
     "bsd-binary": "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
     "bsd-names": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "bsd-as-is": "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.",
+    "bsd-no-event": "IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
     "mpl-notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+    "mpl-copy": "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    "epl-notice": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0.",
+    "bsl-title": "Boost Software License - Version 1.0 - August 17th, 2003",
+    "bsl-notice": "Distributed under the Boost Software License, Version 1.0.",
     "reserved": "All rights reserved.",
 }
+# Names of licences in machine-readable tags.
+TAGS = "MIT ISC Apache-2.0 BSD-2-Clause BSD-3-Clause GPL-2.0-only GPL-2.0-or-later GPL-3.0-only GPL-3.0-or-later LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0-only LGPL-3.0-or-later AGPL-3.0-only AGPL-3.0-or-later MPL-2.0 EPL-2.0 BSL-1.0 Unlicense CC0-1.0 CC-BY-4.0 CC-BY-SA-4.0 CC-BY-NC-4.0".split()
+SENTENCES |= {f"tag-{t}": f"SPDX-License-Identifier: {t}" for t in TAGS}
+#: The notices of the GNU licences differ in few words.
+GNU = [("GPL-2.0", "2", "General"), ("GPL-3.0", "3", "General"), ("LGPL-2.1", "2.1", "Lesser General"), ("LGPL-3.0", "3", "Lesser General"), ("AGPL-3.0", "3", "Affero General")]
+for _name, _version, _kind in GNU:
+    for _what in ("program", "library"):
+        _terms = f"This {_what} is free software: you can redistribute it and/or modify it under the terms of the GNU {_kind} Public License as published by the Free Software Foundation, "
+        SENTENCES[f"{_name}-{_what}"] = _terms + f"either version {_version} of the License, or (at your option) any later version."
+        SENTENCES[f"{_name}-{_what}-only"] = _terms + f"version {_version} of the License."
+    SENTENCES[f"details-{_kind}"] = f"See the GNU {_kind} Public License for more details."
+
 #: (licence, identifiers in order). A rule that comes first takes its sentences before later ones.
 RULES = [
-    ("Apache-2.0", ["apache-notice-2", "apache-comply", "apache-copy", "apache-basis", "apache-limits"]),
-    ("Apache-2.0", ["apache-notice-2", "apache-comply"]),
+    ("Apache-2.0", ["apache-notice-2", "apache-copy", "apache-basis", "apache-limits"]),
+    ("Apache-2.0", ["apache-title", "apache-terms"]),
+    ("Apache-2.0", ["apache-notice-2"]),
+    ("BSD-3-Clause", ["bsd-intro", "bsd-source", "bsd-binary", "bsd-names", "bsd-as-is", "bsd-no-event"]),
     ("BSD-3-Clause", ["bsd-intro", "bsd-source", "bsd-binary", "bsd-names"]),
+    ("BSD-2-Clause", ["bsd-intro", "bsd-source", "bsd-binary", "bsd-as-is", "bsd-no-event"]),
     ("BSD-2-Clause", ["bsd-intro", "bsd-source", "bsd-binary"]),
-    ("GPL-3.0-or-later", ["gpl-free", "gpl-warranty", "gpl-implied"]),
-    ("GPL-3.0-or-later", ["gpl-free"]),
-    ("MIT", ["mit-title", "mit-grant", "mit-condition", "as-is"]),
-    ("MIT", ["mit-title-2", "mit-grant", "mit-condition", "as-is"]),
+    *[(f"{n}-or-later", [f"{n}-{w}", f"gnu-warranty{x}", f"details-{kind}"]) for n, _, kind in GNU for w, x in (("program", ""), ("library", "-lib"))],
+    *[(f"{n}-only", [f"{n}-{w}-only", f"gnu-warranty{x}", f"details-{kind}"]) for n, _, kind in GNU for w, x in (("program", ""), ("library", "-lib"))],
+    *[(f"{n}-or-later", [f"{n}-{w}"]) for n, _, _ in GNU for w in ("program", "library")],
+    *[(f"{n}-only", [f"{n}-{w}-only"]) for n, _, _ in GNU for w in ("program", "library")],
+    ("MIT", ["mit-title", "mit-grant", "mit-condition", "as-is", "no-event"]),
+    ("MIT", ["mit-title-2", "mit-grant", "mit-condition", "as-is", "no-event"]),
+    ("MIT", ["mit-title-3", "mit-grant", "mit-condition", "as-is", "no-event"]),
+    ("MIT", ["mit-grant", "mit-condition", "as-is", "no-event"]),
     ("MIT", ["mit-grant", "mit-condition"]),
+    ("ISC", ["isc-title", "isc-grant", "isc-as-is", "isc-no-event"]),
+    ("ISC", ["isc-title", "isc-grant-2", "isc-as-is", "isc-no-event"]),
     ("ISC", ["isc-grant"]),
+    ("ISC", ["isc-grant-2"]),
+    ("GPL-3.0-only", ["gpl3-title", "gnu-copies"]),
+    ("GPL-2.0-only", ["gpl2-title", "gnu-copies"]),
+    ("LGPL-3.0-only", ["lgpl3-title", "gnu-copies"]),
+    ("LGPL-2.1-only", ["lgpl21-title", "gnu-copies"]),
+    ("AGPL-3.0-only", ["agpl3-title", "gnu-copies"]),
     ("MIT", ["mit-notice"]),
     ("MIT", ["mit-notice-2"]),
+    ("MIT", ["mit-notice-3"]),
     ("Apache-2.0", ["apache-notice"]),
     ("GPL-3.0-only", ["gpl3-notice"]),
+    ("GPL-2.0-only", ["gpl2-notice"]),
     ("CC-BY-NC-4.0", ["cc-by-nc-notice"]),
+    ("CC-BY-NC-4.0", ["cc-by-nc-long"]),
     ("CC-BY-SA-4.0", ["cc-by-sa-notice"]),
+    ("CC-BY-SA-4.0", ["cc-by-sa-long"]),
     ("CC-BY-4.0", ["cc-by-notice"]),
+    ("CC-BY-4.0", ["cc-by-long"]),
     ("CC0-1.0", ["cc0-notice"]),
+    ("Unlicense", ["unlicense", "unlicense-2"]),
+    ("Unlicense", ["unlicense"]),
+    ("MPL-2.0", ["mpl-notice", "mpl-copy"]),
     ("MPL-2.0", ["mpl-notice"]),
+    ("EPL-2.0", ["epl-notice"]),
+    ("BSL-1.0", ["bsl-title"]),
+    ("BSL-1.0", ["bsl-notice"]),
+    *[(t, [f"tag-{t}"]) for t in TAGS],
     ("proprietary", ["reserved"]),
 ]
-#: Every known sentence has one of these words, so a text without any has no known sentence.
-CUES = "licen|permission|copyright|warrant|redistribut|public domain|reserved|noninfringement"
-_SENTENCE_END = "([.!?;:])[ \\t\\r\\f]+"
+#: Every known sentence has one of these, so a text without any has no known sentence.
+CUES = "licen|permi|copyright|warrant|redistribut|public domain|reserved|disclaim|damage|for any purpose|terms and conditions|copy of the mpl"
+#: Marks of comments and list items at the start of a line, and of comments at its end.
+_LINE_START = r"(?m)^[ \t]*(?://+!?|/\*+!?|\*+/?|#+!?|;+|--+|%+|<!--+|\(\*|\.\.|>+|(?i:rem|dnl)[ \t])*[ \t]*(?:\(?(?:[0-9]{1,2}|[a-zA-Z])[.)][ \t]|[*-][ \t])?"
+_LINE_END = r"(?m)[ \t]*(?:\*+/|--+>|\*\))[ \t]*$"
+_SENTENCE_END = r"[.!?;:]+[)\]\"'’”]*[ \t]"
+
+
+def _words(text: str) -> str:
+    return " ".join("".join(c if c.isascii() and c.isalnum() else " " for c in text.lower()).split())
 
 
-def normalise(sentence: Column) -> Column:
-    """Lower case, runs of anything but ASCII letters and digits as one space, trimmed."""
-    return F.trim(F.regexp_replace(F.lower(sentence), "[^a-z0-9]+", " "))
+def sentence_pattern() -> str:
+    """A unit of the stream, or several in a row, whose words are those of a known sentence; the longest first."""
+    known = sorted({_words(s) for s in SENTENCES.values()}, key=lambda s: (-len(s), s))
+    return "< (?:" + "|".join(s.replace(" ", " (?:> < )?") for s in known) + ") >"
 
 
-def _known(spark: SparkSession) -> DataFrame:
-    rows = spark.createDataFrame([(f"{k:03d}", s) for k, s in enumerate(SENTENCES.values())], "sentence_id string, sentence string")
-    return rows.select("sentence_id", normalise(F.col("sentence")).alias("norm"))
+def unit_stream(text: Column) -> Column:
+    """The units of a text as "< word word >< word >": lines and sentences, lower case, ASCII letters and digits only.
+
+    Comment marks and the numbers of list items at the start of a line are left out.
+    """
+    lines = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, "\r\n?", "\n"), _LINE_END, ""), _LINE_START, "")
+    cut = F.regexp_replace(F.concat(lines, F.lit("\n")), _SENTENCE_END, "\n")
+    words = F.trim(F.regexp_replace(F.regexp_replace(F.lower(cut), "[^a-z0-9\n]+", " "), " *\n[ \n]*", "\n"), F.lit(" \n"))
+    return F.concat(F.lit("< "), F.regexp_replace(words, "\n", " > < "), F.lit(" >"))
+
 
+def rule_patterns(gap: int) -> list[tuple[str, str]]:
+    """(licence, regular expression over a sequence of identifiers) in the order of the rules.
 
-def rule_patterns() -> list[tuple[str, str]]:
-    """(licence, regular expression over a sequence of identifiers) in the order of the rules."""
+    A sequence has an identifier and ";" for a known sentence, and "." for each unknown unit.
+    """
     code = {name: f"{k:03d}" for k, name in enumerate(SENTENCES)}
-    return [(lic, "".join(code[s] + ";" for s in seq)) for lic, seq in RULES]
+    return [(lic, f"\\.{{0,{gap}}}".join(code[s] + ";" for s in seq)) for lic, seq in RULES]
 
 
-def scan_licenses(docs: DataFrame, gap: int = 3) -> DataFrame:
-    """Add n_license_sentences, license_sentences (positions and identifiers) and licenses to the columns of ``docs``.
+def scan_licenses(docs: DataFrame, gap: int = 6) -> DataFrame:
+    """Add n_license_sentences, license_sentences (identifiers in text order) and licenses to the columns of ``docs``.
 
-    A text is cut into sentences at line ends and after . ! ? ; :, each is normalised and
-    mapped to a known identifier. A rule matches where its identifiers follow each other
-    in order, with fewer than ``gap`` unknown sentences between two. Rules take their sentences in the
-    order of the list, so a full text is not also a notice. licenses holds licence:count, sorted by name.
+    A text is cut into units at line ends and after . ! ? ; : (comment marks and list numbers at a
+    line's start don't count), which are normalised. A known sentence is recognised where one or more whole units
+    in a row have just its words, so it may be wrapped over lines in any way; of several that
+    start at one unit the longest counts, and the next is looked for behind it. A rule matches
+    where its identifiers follow each other in order, with at most ``gap`` unknown units between two. Rules take
+    their sentences in the order of the list, so a full text is not also a notice. licenses holds
+    licence:count, sorted by name.
 
     Null, empty or unknown text: 0, an empty array and an empty string. Null doc_id: scanned like any
     other. Repeated rows: each gets the same answer. Empty table: no rows. Columns of
-    ``docs`` with an added name are replaced. Texts of any length are scanned whole.
+    ``docs`` with an added name are replaced; any others may have any name. Texts of any length are scanned whole.
     """
-    spark = docs.sparkSession
     added = ["n_license_sentences", "license_sentences", "licenses"]
     docs = docs.select(*[c for c in docs.columns if c not in added])
-    keyed = docs.withColumn("hash_", F.xxhash64("text"))
-    maybe = keyed.filter(F.col("text").rlike(f"(?i){CUES}")).select("doc_id", "hash_", "text")
-    sentences = maybe.select("doc_id", "hash_", F.posexplode(F.split(F.regexp_replace("text", _SENTENCE_END, "$1\n"), "\n")).alias("pos", "sentence"))
-    # The table of known sentences is fixed.
-    hits = sentences.withColumn("norm", normalise(F.col("sentence"))).join(F.broadcast(_known(spark)), "norm").select("doc_id", "hash_", "pos", "sentence_id").distinct()
-    far = F.col("pos") - F.lag("pos").over(Window.partitionBy("doc_id", "hash_").orderBy("pos")) > gap
-    parts = hits.withColumn("part", F.concat(F.when(far, "|").otherwise(""), "sentence_id", F.lit(";")))
-    listed = parts.groupBy("doc_id", "hash_").agg(F.sort_array(F.collect_list(F.struct("pos", "sentence_id", "part"))).alias("s"))
-    listed = listed.withColumn("seq", F.array_join(F.col("s.part"), ""))
-    counts: dict[str, Column] = {}
-    for k, (lic, pattern) in enumerate(rule_patterns()):
-        listed = listed.withColumn(f"n{k}", F.regexp_count("seq", F.lit(pattern))).withColumn("seq", F.regexp_replace("seq", pattern, "-"))
-        counts[lic] = counts.get(lic, F.lit(0)) + F.col(f"n{k}")
-    found = F.concat_ws(",", *[F.when(counts[lic] > 0, F.concat(F.lit(lic + ":"), counts[lic].cast("string"))) for lic in sorted(counts)])
-    spans = F.transform("s", lambda x: F.struct(x["pos"].alias("pos"), x["sentence_id"].alias("sentence_id")))
-    listed = listed.select(F.col("doc_id").alias("d"), F.col("hash_").alias("h"), F.size("s").cast("long").alias("n"), spans.alias("spans"), found.alias("found"))
-    out = keyed.join(listed, keyed["doc_id"].eqNullSafe(listed["d"]) & (keyed["hash_"] == listed["h"]), "left")
-    empty = F.array().cast("array<struct<pos:int,sentence_id:string>>")
-    return out.select(*docs.columns, F.coalesce("n", F.lit(0)).alias("n_license_sentences"), F.coalesce("spans", empty).alias("license_sentences"), F.coalesce("found", F.lit("")).alias("licenses"))
-
-
-def oracle(gap: int = 3) -> str:
-    """DuckDB SQL for (doc_id, n_license_sentences, licenses) over ``documents``."""
-    text = {k: s.replace("'", "''") for k, s in enumerate(SENTENCES.values())}
-    known = ", ".join(f"('{k:03d}', '{s}')" for k, s in text.items())
-    norm = "trim(regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g'))"
-    steps, seq = [], "s0"
-    counts: dict[str, list[str]] = {}
-    for k, (lic, pattern) in enumerate(rule_patterns()):
-        steps.append(f"c{k} AS (SELECT *, len(regexp_extract_all(seq, '{pattern}')) AS n{k} FROM {seq}), s{k + 1} AS (SELECT * REPLACE (regexp_replace(seq, '{pattern}', '-', 'g') AS seq) FROM c{k})")
-        seq = f"s{k + 1}"
-        counts.setdefault(lic, []).append(f"n{k}")
-    found = ", ".join(f"CASE WHEN {' + '.join(counts[c])} > 0 THEN '{c}:' || CAST({' + '.join(counts[c])} AS VARCHAR) END" for c in sorted(counts))
+    code = F.create_map(*[F.lit(x) for k, s in enumerate(SENTENCES.values()) for x in (_words(s), f"{k:03d}")])
+    pattern = sentence_pattern()
+
+    # One row a document throughout: no shuffle. Texts without a cue skip the patterns.
+    stream = F.when(F.col("text").rlike(f"(?i){CUES}"), unit_stream(F.col("text")))
+    found = F.regexp_extract_all("s_", F.lit(f"({pattern})"), F.lit(1))
+    ids = F.transform("f_", lambda x: F.element_at(code, F.trim(F.regexp_replace(x, "[ <>]+", " "))))
+    between = F.transform(F.split("s_", pattern, -1), lambda x: F.repeat(F.lit("."), F.regexp_count(x, F.lit("<"))))
+    seq = F.concat(F.element_at("b_", 1), F.array_join(F.zip_with("i_", F.slice("b_", 2, F.size("i_")), lambda i, b: F.concat(i, F.lit(";"), b)), ""))
+    one = {"s_": stream, "f_": found, "i_": ids, "b_": between, "q_": seq}
+    rows = docs.select(F.struct(*docs.columns).alias("row_"), "text")
+    for name, column in one.items():
+        rows = rows.withColumn(name, column)
+    rows = rows.select("row_", "i_", "q_")
+    rules = F.array(*[F.struct(F.lit(rule[:4]).alias("first"), F.lit(rule).alias("rule"), F.lit(f"~{lic}~").alias("mark")) for lic, rule in rule_patterns(gap)])
+    marked = F.aggregate(rules, F.col("q_"), lambda q, r: F.when(q.contains(r["first"]), F.regexp_replace(q, r["rule"], r["mark"])).otherwise(q))
+    rows = rows.withColumn("l_", F.when(F.size("i_") > 0, F.array_sort(F.regexp_extract_all(marked, F.lit("~([^~]+)~"), F.lit(1)))))
+    listed = F.array_join(F.transform(F.array_distinct("l_"), lambda x: F.concat(x, F.lit(":"), F.size(F.filter("l_", lambda y: y == x)).cast("string"))), ",")
+    ids = F.coalesce("i_", F.array().cast("array<string>"))
+    return rows.select("row_.*", F.size(ids).cast("long").alias("n_license_sentences"), ids.alias("license_sentences"), F.coalesce(listed, F.lit("")).alias("licenses"))
+
+
+def oracle(gap: int = 6) -> str:
+    """DuckDB SQL for (doc_id, n_license_sentences, licenses) over ``documents``: words and unit borders by position."""
+
+    def quoted(x: str) -> str:
+        return "'" + x.replace("'", "''") + "'"
+
+    known = ", ".join(f"('{k:03d}', {quoted(s)})" for k, s in enumerate(SENTENCES.values()))
+    seq = "seq"
+    for lic, rule in rule_patterns(gap):
+        seq = f"regexp_replace({seq}, '{rule}', '~{lic}~', 'g')"
     return f"""
-WITH known AS (SELECT k AS sentence_id, {norm.format('s')} AS norm FROM (VALUES {known}) v(k, s)),
-cut AS (SELECT doc_id, generate_subscripts(a, 1) AS pos, unnest(a) AS sentence
-        FROM (SELECT doc_id, string_split(regexp_replace(text, '([.!?;:])[ \\t\\r\\f]+', '\\1' || chr(10), 'g'), chr(10)) AS a FROM documents)),
-hits AS (SELECT DISTINCT c.doc_id, c.pos, k.sentence_id FROM (SELECT *, {norm.format('sentence')} AS norm FROM cut) c JOIN known k USING (norm)),
-parts AS (SELECT *, CASE WHEN pos - lag(pos) OVER (PARTITION BY doc_id ORDER BY pos) > {gap} THEN '|' ELSE '' END || sentence_id || ';' AS part FROM hits),
-s0 AS (SELECT doc_id, count(*) AS n, string_agg(part, '' ORDER BY pos) AS seq FROM parts GROUP BY doc_id),
-{', '.join(steps)}
-SELECT d.doc_id, coalesce(f.n, 0) AS n_license_sentences, coalesce(f.found, '') AS licenses
-FROM documents d LEFT JOIN (SELECT doc_id, n, concat_ws(',', {found}) AS found FROM {seq}) f ON d.doc_id = f.doc_id
+WITH known AS (SELECT k AS sentence_id, string_split(trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g')), ' ') AS w FROM (VALUES {known}) v(k, s)),
+lines AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), {quoted(_LINE_END)}, '', 'g'), {quoted(_LINE_START)}, '', 'g') || chr(10) AS t FROM documents),
+cut AS (SELECT doc_id, string_split(regexp_replace(t, {quoted(_SENTENCE_END)}, chr(10), 'g'), chr(10)) AS a FROM lines),
+raw AS (SELECT doc_id, generate_subscripts(a, 1) AS i, trim(regexp_replace(lower(unnest(a)), '[^a-z0-9]+', ' ', 'g')) AS u FROM cut),
+units AS (SELECT doc_id, row_number() OVER w AS unit, len(string_split(u, ' ')) AS n, sum(len(string_split(u, ' '))) OVER w AS stop, string_split(u, ' ') AS words FROM raw WHERE u <> '' WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+texts AS (SELECT doc_id, flatten(list(words ORDER BY unit)) AS words FROM units GROUP BY doc_id),
+may AS (SELECT u.doc_id, u.unit, u.stop - u.n AS start, k.sentence_id, k.w, u.stop - u.n + len(k.w) AS stop FROM units u JOIN known k ON u.words[1] = k.w[1]),
+hits AS (SELECT m.*, e.unit AS last_unit FROM may m JOIN texts t USING (doc_id) JOIN units e ON e.doc_id = m.doc_id AND e.stop = m.stop WHERE t.words[m.start + 1 : m.stop] = m.w),
+longest AS (SELECT * FROM hits QUALIFY row_number() OVER (PARTITION BY doc_id, start ORDER BY stop DESC, sentence_id) = 1),
+apart AS (SELECT * FROM longest QUALIFY coalesce(max(stop) OVER (PARTITION BY doc_id ORDER BY start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) <= start),
+gaps AS (SELECT *, unit - 1 - coalesce(lag(last_unit) OVER (PARTITION BY doc_id ORDER BY start), 0) AS gap FROM apart),
+seqs AS (SELECT doc_id, count(*) AS n, string_agg(repeat('.', CAST(gap AS INT)) || sentence_id || ';', '' ORDER BY start) AS seq FROM gaps GROUP BY doc_id),
+marked AS (SELECT doc_id, n, list_sort(regexp_extract_all({seq}, '~([^~]+)~', 1)) AS l FROM seqs),
+counted AS (SELECT doc_id, lic, count(*) AS c FROM (SELECT doc_id, unnest(l) AS lic FROM marked) GROUP BY ALL),
+listed AS (SELECT doc_id, string_agg(lic || ':' || c, ',' ORDER BY lic) AS licenses FROM counted GROUP BY doc_id)
+SELECT d.doc_id, coalesce(m.n, 0) AS n_license_sentences, coalesce(l.licenses, '') AS licenses
+FROM documents d LEFT JOIN marked m USING (doc_id) LEFT JOIN listed l USING (doc_id)
 """
