@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -44,6 +45,7 @@ CUES = re.compile(r"cookie|subscribe|sign up|newsletter|all rights reserved|copy
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"'=]+|=\s*(?:"[^"]*(?:"|\Z)|'[^']*(?:'|\Z))?|["'])*+)(?:>|\Z)""", re.S)
 _ATTR = re.compile(r"""(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
+_RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I | re.A) for tag in RAW}
 _SPLIT = re.compile(r"[^a-z0-9]+")
 
 
@@ -94,7 +96,7 @@ def leaf_blocks(page: str) -> list[Block]:
             blocks.append(Block(text, linked, tag, tags, hints, hidden))
         parts.clear()
 
-    at, low, end = 0, None, len(page)
+    at, end, paragraphs = 0, len(page), 0
     while at < end:
         start = page.find("<", at)
         m = _TAG.match(page, start) if start >= 0 else None
@@ -114,9 +116,8 @@ def leaf_blocks(page: str) -> list[Block]:
         tag = tag.lower()
         if not m[1]:
             if tag in RAW:
-                low = page.lower() if low is None else low
-                at = low.find(f"</{tag}", at) if len(low) == end else page.find(f"</{tag}", at)
-                at = end if at < 0 else (page.find(">", at) + 1 or end)
+                close = _RAW_END[tag].search(page, at)
+                at = (page.find(">", close.start()) + 1 or end) if close else end
                 if tag not in ("svg", "math"):
                     flush()
                 continue
@@ -130,16 +131,19 @@ def leaf_blocks(page: str) -> list[Block]:
             else:
                 flush()
                 links = 0
-                if any(e[0] == "p" for e in stack[-4:]) and tag not in INLINE:
-                    while stack[-1][0] != "p" and stack[-1][0] in INLINE:
-                        stack.pop()
-                    if stack[-1][0] == "p":
-                        stack.pop()
+                if paragraphs:  # a block ends the paragraph that is open around it, and what is open inside that
+                    k = len(stack) - 1
+                    while stack[k][0] in INLINE:
+                        k -= 1
+                    if stack[k][0] == "p":
+                        del stack[k:]
+                        paragraphs -= 1
                 ends, limits = CLOSES.get(tag, ((), ()))
                 for k in range(len(stack) - 1, 0, -1):
                     if stack[k][0] in limits:
                         break
                     if stack[k][0] in ends:
+                        paragraphs -= sum(e[0] == "p" for e in stack[k:])
                         del stack[k:]
                         break
             _, tags, hints, hidden = stack[-1]
@@ -148,6 +152,7 @@ def leaf_blocks(page: str) -> list[Block]:
                 hints, hidden = hints | more if more else hints, hidden or off
             if tag in ANCESTORS and tag not in tags:
                 tags = tags | {tag}
+            paragraphs += tag == "p"
             stack.append((tag, tags, hints, hidden))
         else:
             if tag not in INLINE:
@@ -157,6 +162,7 @@ def leaf_blocks(page: str) -> list[Block]:
                 links = max(0, links - 1)
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k][0] == tag:
+                    paragraphs -= sum(e[0] == "p" for e in stack[k:])
                     del stack[k:]
                     break
                 if tag in INLINE and stack[k][0] not in INLINE:
@@ -375,8 +381,9 @@ def labelled_pages(n: int, seed: int = 2) -> Iterator[tuple[str, list[int]]]:
         yield f"<!DOCTYPE html><html><head><title>{prose(1, 8)}</title><script>var a = '<p>';</script></head><body>{body}</body></html>", [x for _, l in pieces for x in l]
 
 
+@lru_cache(maxsize=4)
 def train(pages: int = 500, seed: int = 2) -> tuple[dict[str, float], list[list[float]]]:
-    """Fit on ``pages`` labelled pages: a fixed number, whatever the input."""
+    """Fit on ``pages`` labelled pages: a fixed number, whatever the input, once in a process."""
     rows = []
     for page, labels in labelled_pages(pages, seed):
         blocks = leaf_blocks(page)
