@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_LETTER = re.compile(r"[^\W\d_]").search
+from stationflow.llm.common import slices, write_stage
+
+_LETTER = regex.compile(r"\p{L}").search
 #: ASCII other than a-z counts as a space; bytes of other letters stay.
 _TABLE = bytes(b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
 
@@ -35,11 +37,11 @@ def codewords(n: int, seed: int = 3) -> np.ndarray:
     rng = np.random.default_rng(seed)
     length = 8 * int(np.ceil(np.log2(n))) + 7
     best = None
-    for _ in range(200):  # the widest gap between any two codewords
+    for _ in range(max(1, min(200, 20_000_000 // (n * n)))):  # the widest gap between any two codewords; with very many classes the first try
         code = rng.choice([-1.0, 1.0], (n, length))
-        gap = min((code[i] != code[j]).sum() for i in range(n) for j in range(i))
-        if best is None or gap > best[0]:
-            best = gap, code
+        alike = max(np.max(np.where(np.arange(k, min(k + 256, n))[:, None] == np.arange(n), -length, code[k : k + 256] @ code.T)) for k in range(0, n, 256))
+        if best is None or alike < best[0]:
+            best = alike, code
     return best[1]
 
 
@@ -51,17 +53,20 @@ class CodeModel:
     scaled by its length up to ``full`` n-grams (few n-grams say little).
     """
 
-    def __init__(self, langs: list[str], counts: np.ndarray, bits: int, full: int = 100, scale: float = 6.0, gap: float = 0.02):
+    def __init__(self, langs: list[str], counts: Iterable[np.ndarray], bits: int, full: int = 100, scale: float = 6.0, gap: float = 0.02):
+        """``counts``: the n-gram counts of each language, one after the other."""
         self.langs, self.bits, self.full, self.scale, self.gap = langs, bits, full, scale, gap
         self.code = codewords(len(langs))
         if not langs:  # nothing to learn from: every text is und
             return
-        p = counts + 0.5
-        p = p / p.sum(1, keepdims=True)
-        columns = []
-        for c in self.code.T:
-            columns.append(np.log(p[c > 0].mean(0) / (p[c < 0].mean(0) if (c < 0).any() else p[c > 0].mean(0))))
-        self.weights = np.array(columns, np.float32).T.copy()
+        sums = np.zeros((2, self.code.shape[1], 1 << bits))
+        for word, x in zip(self.code, counts, strict=True):
+            p = (x + 0.5) / (x + 0.5).sum()
+            sums[0, word > 0] += p
+            sums[1, word < 0] += p
+        mean = sums / np.maximum(np.stack([(self.code > 0).sum(0), (self.code < 0).sum(0)]), 1)[:, :, None]
+        mean[1] = np.where((self.code < 0).any(0)[:, None], mean[1], mean[0])
+        self.weights = np.log(mean[0] / mean[1]).T.astype(np.float32).copy()
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         """(language, score, ambiguous)."""
@@ -83,34 +88,43 @@ def held_out() -> Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
 
 
-def fit_language_model(docs: DataFrame, train: Column, bits: int = 14, most_langs: int = 512) -> CodeModel:
+def fit_language_model(docs: DataFrame, train: Column, bits: int = 14, at_once: int = 64) -> CodeModel:
     """Count hashed n-grams by language over all rows where ``train`` holds.
 
-    Only n-gram totals by language reach the driver: 2**bits numbers a language. More
-    than ``most_langs`` languages are an error.
+    Only n-gram totals by language reach the driver, one language after the other: 2**bits
+    numbers each. A task hands on its counts when it holds ``at_once`` languages.
     """
     rows = docs.filter(train & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("lang").cast("string").alias("lang"), "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
-        for b in batches:
+
+        def out():
+            for lang, x in total.items():
+                at = np.flatnonzero(x)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int64()), pa.array(x[at])], ["lang", "bucket", "n"])
+            total.clear()
+
+        for b in slices(batches):
             for lang, text in zip(b["lang"].to_pylist(), b["text"].to_pylist(), strict=True):
                 if lang not in total:
+                    if len(total) == at_once:
+                        yield from out()
                     total[lang] = np.zeros(1 << bits, np.int64)
                 total[lang] += np.bincount(trigrams(text, bits), minlength=1 << bits)
-        for lang, x in total.items():
-            at = np.flatnonzero(x)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int64()), pa.array(x[at])], ["lang", "bucket", "n"])
+        yield from out()
 
     sums = rows.mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    by_lang = sums.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("bucket", "n"))).alias("x")).limit(most_langs + 1)
-    found = sorted(by_lang.toArrow().to_pylist(), key=lambda r: r["lang"])
-    if len(found) > most_langs:
-        raise ValueError(f"more than {most_langs} languages")
-    counts = np.zeros((len(found), 1 << bits))
-    for k, r in enumerate(found):
-        counts[k, [x["bucket"] for x in r["x"]]] = [x["n"] for x in r["x"]]
-    return CodeModel([r["lang"] for r in found], counts, bits)
+    sums = write_stage(sums, "language-counts")
+    langs = [r.lang for r in sums.select("lang").distinct().orderBy("lang").toLocalIterator()]
+
+    def counts() -> Iterator[np.ndarray]:
+        for r in sums.groupBy("lang").agg(F.collect_list(F.struct("bucket", "n")).alias("x")).orderBy("lang").toLocalIterator():
+            x = np.zeros(1 << bits)
+            x[[y.bucket for y in r.x]] = [y.n for y in r.x]
+            yield x
+
+    return CodeModel(langs, counts(), bits)
 
 
 def identify_language(docs: DataFrame, bits: int = 14) -> DataFrame:
