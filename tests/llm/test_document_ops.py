@@ -1,18 +1,25 @@
 import hashlib
+import math
 import re
+import struct
 import sys
+import textwrap
+import unicodedata
+import zlib
+from collections import Counter
 
 import duckdb
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from stationflow.llm import queries as Q
 from stationflow.llm.components import connected_components
 from stationflow.llm.decontaminate import contamination
 from stationflow.llm.language import codewords, identify_language
-from stationflow.llm.licenses import CUES, SENTENCES, scan_licenses
-from stationflow.llm.neardup import SetSketch, Shingler, near_duplicates, plausible
+from stationflow.llm.licenses import CUES, RULES, SENTENCES, scan_licenses
+from stationflow.llm.neardup import SetSketch, near_duplicates, plausible, shingle_sets
 from stationflow.llm.quality import resample_quality
 from stationflow.llm.topk import exact_topk, kth_largest
 
@@ -67,25 +74,72 @@ def test_kth_largest(spark):
 
 # licences
 
-def test_licenses_equal_sql(spark):
+def licences_by_sql(rows):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{DATA}/documents.parquet'")
-    want = sorted(con.execute(Q.oracle_sql()["op2_license_scan"]).fetchall())
-    assert sorted(tuple(r) for r in Q.op2_license_scan(spark, DATA).select("doc_id", "n_license_sentences", "licenses").collect()) == want
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", [list(r) for r in rows])
+    return sorted(con.execute(Q.oracle_sql()["op2_license_scan"]).fetchall())
+
+
+def scanned(spark, rows):
+    return {r.doc_id: (r.n_license_sentences, r.licenses) for r in scan_licenses(frame(spark, rows)).collect()}
+
+
+def test_licenses_equal_sql(spark):
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()]
+    assert sorted(tuple(r) for r in Q.op2_license_scan(spark, DATA).select("doc_id", "n_license_sentences", "licenses").collect()) == licences_by_sql(docs)
+
+
+WRAPS = {
+    "as written": lambda s: s,
+    "wrapped": lambda s: textwrap.fill(s, 72),
+    "narrow": lambda s: textwrap.fill(s, 30, break_long_words=False).replace("\n", "\r\n"),
+    "# comment": lambda s: textwrap.indent(textwrap.fill(s, 72), "# "),
+    "// comment": lambda s: textwrap.indent(textwrap.fill(s, 72), "   // "),
+    "/* comment": lambda s: "/*\n" + textwrap.indent(textwrap.fill(s, 72), " * ") + "\n */",
+    "list item": lambda s: "1. " + textwrap.fill(s, 60),
+}
+
+
+@pytest.mark.parametrize("wrap", WRAPS)
+def test_every_sentence_and_rule_matches_itself(spark, wrap):
+    w = WRAPS[wrap]
+    assert all(re.search(CUES, s, re.I) for s in SENTENCES.values())
+    rows = [(k, f"Some words before.\n\n{w(s)}\n\nAnd some behind it.") for k, s in enumerate(SENTENCES.values())]
+    rows += [(1000 + k, "\n\n".join(w(SENTENCES[n]) + ("\n\nCopyright (c) 2020 Some One\n" if j == 0 else "") for j, n in enumerate(names))) for k, (_, names) in enumerate(RULES)]
+    got = scanned(spark, rows)
+    assert [k for k in range(len(SENTENCES)) if got[k][0] != 1] == []
+    for k, (lic, names) in enumerate(RULES):
+        assert got[1000 + k] == (len(names), f"{lic}:1"), (lic, names)
+    assert sorted((i, *x) for i, x in got.items()) == licences_by_sql(rows)
 
 
 def test_license_rules(spark):
-    assert all(re.search(CUES, s, re.I) or n in ("apache-copy", "gpl-free") for n, s in SENTENCES.items())
     mit = "\n".join(SENTENCES[k] for k in ("mit-title-2", "mit-grant", "mit-condition", "as-is"))
-    rows = [(10, mit), (11, "x\nMIT License\n" + SENTENCES["bsd-intro"]), (12, SENTENCES["mit-grant"] + "\na\nb\nc\nd\n" + SENTENCES["mit-condition"]), (13, "Text. LICENSED UNDER the apache license, version 2.0!  More."), *ODD]
-    got = {r.doc_id: r.licenses for r in scan_licenses(frame(spark, rows)).collect()}
-    assert (got[10], got[11], got[12], got[13], got[1], got[2]) == ("MIT:1", "", "", "Apache-2.0:1", "", "")
+    far = "\n".join("abcdefg")
+    rows = [(10, mit), (11, "x\nMIT License\n" + SENTENCES["bsd-intro"]), (12, SENTENCES["mit-grant"] + f"\n{far}\n" + SENTENCES["mit-condition"]), (13, "Text. LICENSED UNDER the apache license, version 2.0!  More."), (14, "It is not released under the MIT License."), (15, mit + "\n" + mit + "\nReleased under the MIT License.\nAll rights reserved."), (16, "MIT\n\n\nLicense"), *ODD]
+    got = scanned(spark, rows)
+    assert [got[k][1] for k in (10, 11, 12, 13, 14, 15, 1, 2)] == ["MIT:1", "", "", "Apache-2.0:1", "", "MIT:3,proprietary:1", "", ""]
     assert scan_licenses(frame(spark, rows)).count() == len(rows)
     assert scan_licenses(frame(spark, ODD).limit(0)).count() == 0
+    clash = frame(spark, rows)
+    for name in ("n", "d", "h", "found", "spans", "row_", "s_", "i_", "q_", "hash_", "licenses"):
+        clash = clash.withColumn(name, F.lit("x"))
+    out = scan_licenses(clash).collect()
+    assert {r.doc_id: r.licenses for r in out} == {i: x[1] for i, x in got.items()} and all(r.d == r.row_ == "x" for r in out)
 
 
 # decontamination
 
+def test_ascii_lower_changes_no_other_letter(spark):
+    from stationflow.llm.common import ascii_lower
+
+    letters = [chr(c) for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000]
+    rows = [("".join(letters[k : k + 997]),) for k in range(0, len(letters), 997)] + [(c,) for c in letters if c != c.lower() or c in "\u0130\u03a3"]
+    for r in spark.createDataFrame(rows, "t string").withColumn("l", ascii_lower(F.col("t"))).collect():
+        assert r.l == r.t.translate(UP)
+
+
 def brute_contamination(docs, items):
     find = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+").findall
     windows = {}
@@ -125,6 +179,12 @@ def test_decontamination_odd_rows(spark):
     got = sorted(((r.doc_id, r.n_words, r.n_hit, r.n_items, hashlib.sha256(",".join(r.item_ids).encode()).hexdigest(), r.contaminated) for r in rows), key=repr)
     assert got == brute_contamination(docs, items)
     assert {r.n_hit for r in contamination(frame(spark, ODD), table.limit(0)).collect()} == {0}
+    clash = frame(spark, docs)
+    for name in ("d", "t", "h", "d_", "t_", "hash_", "row_", "k_", "n_", "i_", "start", "words", "item_id", "window"):
+        clash = clash.withColumn(name, F.lit("x"))
+    rows = contamination(clash, table.withColumn("doc_id", F.lit("y")).withColumn("len", F.lit("y"))).collect()
+    assert sorted(((r.doc_id, r.n_words, r.n_hit, r.n_items) for r in rows), key=repr) == sorted((x[:4] for x in got), key=repr) and all(r.hash_ == r.d_ == r.start == "x" for r in rows)
+    assert contamination(frame(spark, docs), table.limit(1).filter("text is null")).count() == len(docs)
     assert contamination(frame(spark, ODD).limit(0), table).count() == 0
 
 
@@ -164,6 +224,106 @@ def test_quality_odd_rows(spark):
     assert resample_quality(docs.limit(0), labels).count() == 0
 
 
+def brute_quality(rows, labels, most=20_000, bits=16, temperature=0.002, seed=11):
+    """log weight, key and choice of every (doc_id, text), number by number."""
+    size = 1 << bits
+
+    def grams(text):
+        h = [zlib.crc32(t.encode()) for c in text.split() for t in re.findall(r"\w+|[^\w\s]+", c)]
+        two = [(a * 2246822519 + b * 3266489917) % 2**32 for a, b in zip(h, h[1:], strict=False)]
+        return [x >> (32 - bits) for x in [a * 2654435761 % 2**32 for a in h] + [t ^ (t >> 15) for t in two]]
+
+    def hashed(i, *then):
+        h = xxhash.xxh64(struct.pack("<q", i), seed=42).intdigest()
+        for x in then:
+            h = xxhash.xxh64(struct.pack("<i", x), seed=h).intdigest()
+        return h - 2**64 if h >= 2**63 else h
+
+    label = {}
+    for i, q in labels:
+        if i is not None and q is not None:
+            label[i] = min(q, label.get(i, q))
+    label = dict(sorted(label.items(), key=lambda x: (hashed(x[0]), x[0]))[:most])
+    raw, target = [0.5] * size, [0.5] * size
+    texts = {i: grams(t) for i, t in rows if t is not None}
+    for i, g in texts.items():
+        for x in g:
+            raw[x] += 1
+            target[x] += label.get(i, 0) > 0
+    all_raw, all_target = sum(raw), sum(target)
+    weight = {i: sum(math.log(target[x] / all_target) - math.log(raw[x] / all_raw) for x in g) / (len(g) + 4) if g else None for i, g in texts.items()}
+
+    def apart(i):  # a labelled text's score without its own n-grams
+        g, own = texts[i], Counter(texts[i]) if label[i] > 0 else Counter()
+        return sum(math.log((target[x] - own[x]) / (all_target - own.total())) - math.log(raw[x] / all_raw) for x in g) / (len(g) + 4)
+
+    seen = sorted((apart(i), label[i] > 0) for i in label if texts.get(i))
+    good, bad = sum(g for _, g in seen), sum(not g for _, g in seen)
+    error, k = min((sum(g for _, g in seen[: k + 1]) / good + sum(not g for _, g in seen[k + 1 :]) / bad, k) for k in range(len(seen) - 1) if seen[k][0] != seen[k + 1][0])
+    threshold = (seen[k][0] + seen[k + 1][0]) / 2
+    key = {i: math.floor((w / temperature - math.log(-math.log((hashed(i, seed) % 2**52 + 0.5) / 2**52))) * 1e6) for i, w in weight.items() if w is not None}
+    keep = sum(w is not None and w >= threshold for w in weight.values())
+    chosen = set(sorted(key, key=lambda i: (-key[i], i))[:keep])
+    return {i: (weight.get(i), key.get(i), i in chosen) for i, _ in rows}
+
+
+def test_quality_equals_brute_force(spark):
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()]
+    labels = [(r.doc_id, r.quality) for r in spark.read.parquet(f"{DATA}/labels.parquet").collect()]
+    want = brute_quality(docs, labels)
+    got = Q.op7_quality_classifier(spark, DATA).collect()
+    assert len(got) == len(docs) and any(r.selected for r in got) and not all(r.selected for r in got)
+    for r in got:
+        weight, key, chosen = want[r.doc_id]
+        assert (r.log_weight is None) == (weight is None) and r.selected == chosen
+        if weight is not None:
+            assert abs(r.log_weight - weight) < 1e-4 and abs(r.sample_key - key) < 1e5  # single precision weights over the temperature
+
+
+def test_language_equals_brute_force(spark):
+    docs = [(r.doc_id, r.text, r.lang) for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()]
+    bits = 14
+
+    def grams(text):
+        b = bytes(x if x >= 128 or 97 <= x <= 122 else 32 for x in f" {text.lower()} ".encode())
+        return [((x << 16 | y << 8 | z) * 2654435761 % 2**32) >> (32 - bits) for x, y, z in zip(b, b[1:], b[2:], strict=False)]
+
+    count = {}
+    for i, text, lang in docs:
+        if text is not None and lang is not None and zlib.crc32(str(i).encode()) % 4 != 2:
+            count.setdefault(lang, Counter()).update(grams(text))
+    langs = sorted(count)
+    p = [[(count[x][k] + 0.5) / (count[x].total() + 0.5 * 2**bits) for k in range(2**bits)] for x in langs]
+    code = codewords(len(langs))
+    for r in Q.op8_language_id(spark, DATA).collect():
+        text = next(t for i, t, _ in docs if i == r.doc_id)
+        if not any(unicodedata.category(c)[0] == "L" for c in text or ""):
+            assert r.lang_pred == "und"
+            continue
+        g, losses = grams(text), []
+        side = lambda b, s: [k for k in range(len(langs)) if code[k][b] == s]
+        ratio = lambda b, x: sum(p[k][x] for k in side(b, 1)) / len(side(b, 1)) * len(side(b, -1)) / sum(p[k][x] for k in side(b, -1))
+        margin = [6 * sum(math.log(ratio(b, x)) * n for x, n in Counter(g).items()) / len(g) * min(1, math.sqrt(len(g) / 100)) for b in range(code.shape[1])]
+        losses = [sum(math.log1p(math.exp(-c * m)) for c, m in zip(word, margin, strict=True)) for word in code]
+        best = min(losses)
+        assert langs[losses.index(best)] == r.lang_pred and abs(1 / sum(math.exp(best - x) for x in losses) - r.score) < 1e-4
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2)
+
+
+def test_letters_are_of_category_l(spark):
+    rows = [(1, "½ ② ²"), (2, "1 2 3 ①"), (3, "٣ ๓"), (4, "a"), (5, "漢"), (6, "ʰ")] + [(k, "alpha beta gamma") for k in range(10, 30)]
+    got = {r.doc_id: r.lang_pred for r in identify_language(frame(spark, rows)).collect()}
+    assert [got[k] for k in range(1, 7)] == ["und", "und", "und", "en", "en", "en"]
+
+
+def test_many_languages(spark):
+    rows = [(k, f"word{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{chr(97 + k // 26 % 26)} " * 30, f"l{k % 600}") for k in range(1800)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = identify_language(docs).collect()
+    assert sum(r.lang_pred == r.lang for r in got) > 0.25 * len(got) and len({r.lang_pred for r in got}) > 200
+    assert len(codewords(3000)) == 3000
+
+
 def test_language(spark):
     docs = {r.doc_id: r.lang for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
     got = Q.op8_language_id(spark, "/root/testdata/sf0.01").collect()
@@ -241,15 +401,38 @@ def test_near_duplicates_odd_rows(spark):
     assert near_duplicates(frame(spark, ODD).limit(0)).count() == 0
 
 
+def test_shingle_sets():
+    import pyarrow as pa
+
+    texts = ["a b c d e f", None, "", " \t", "A  b\nC d É", "a b c d e f a b c d e f", " x ", "a b c d e", "\x0b\x1ca b"]
+    sets, n = shingle_sets(pa.array(texts, pa.string()))
+    assert n.tolist() == [2, 0, 0, 0, 1, 6, 1, 1, 1]
+    ends = np.cumsum(n)
+    one = [set(sets[e - m : e].tolist()) for e, m in zip(ends, n, strict=True)]
+    assert one[0] < one[5] and one[7] < one[0] and not one[4] & one[7]
+    for t, s in zip(texts, one, strict=True):  # alone or among others: the same fingerprints
+        assert set(shingle_sets(pa.array([t], pa.string()))[0].tolist()) == s
+    assert shingle_sets(pa.array([], pa.string()))[1].tolist() == []
+
+
 def test_sketches():
-    sk, sh = SetSketch(), Shingler()
-    a = sh(" ".join(f"a{k}" for k in range(1000)))
-    b = sh(" ".join(f"a{k}" for k in range(60, 1060)))
-    ra, rb = sk.registers(a), sk.registers(b)
-    assert (np.maximum(ra, rb) == sk.registers(np.union1d(a, b))).all()  # mergeable
+    sk, rng = SetSketch(), np.random.default_rng(1)
+    a = rng.integers(0, 1 << 63, 1000).astype(np.uint64)
+    b = np.concatenate([a[60:], rng.integers(0, 1 << 63, 60).astype(np.uint64)])
+    sets = [a, b, np.union1d(a, b), a[:1], a[:40], a[:0], rng.integers(0, 1 << 63, 30000).astype(np.uint64)]
+    regs = sk.registers(np.concatenate(sets), np.array([*map(len, sets)]))
+    for s, r in zip(sets, regs, strict=True):  # alone or among others: the same registers
+        if len(s):
+            assert (sk.registers(s, np.array([len(s)]))[0] == r).all()
+    assert (np.maximum(regs[0], regs[1]) == regs[2]).all()  # mergeable
     j = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
-    ok, est = plausible(ra[None], np.array([float(len(a))]), rb[None], np.array([float(len(b))]), 0.85)
+    ok, est = plausible(regs[0][None], np.array([float(len(a))]), regs[1][None], np.array([float(len(b))]), 0.85)
     assert ok[0] and abs(est[0] - j) < 0.1
+    # every register is the least of exponential hashes: its mean tells the size
+    for s, r in zip(sets, regs, strict=True):
+        if len(s):
+            size = len(sk.registers(s, np.array([len(s)]))[0]) / np.sum(1.001 ** -(r.astype(float) - (1 << 14) - 0.5))
+            assert 0.8 < size / len(s) < 1.25
 
 
 def test_components(spark):

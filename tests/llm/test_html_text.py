@@ -70,3 +70,14 @@ def test_attributes_of_any_length():
         assert [b.text for b in blocks] == ["before", "after"] and "side" in blocks[1].hints
         assert [b.text for b in leaf_blocks(f"<p>before</p><div data-x={quote}{value}<p>lost</p>")] == ["before"]
     assert [b.text for b in leaf_blocks("<p don't>one</p><p \"x>two</p>")] == ["one", "two"]
+
+
+def test_raw_text_ends_in_any_case():
+    page = "<p>İ one</p><SCRIPT>var a = '<p>no</p>';</Script ><p>two</p><style>x</STYLE><title>t</TITLE\n><p>three</p>"
+    assert [b.text for b in leaf_blocks(page)] == ["İ one", "two", "three"]
+    assert [b.text for b in leaf_blocks("<p>a</p><script>b")] == ["a"]
+
+
+def test_block_ends_an_open_paragraph_at_any_depth():
+    blocks = leaf_blocks('<div><p class="ad">one<b><i><u><s><em><q>deep<div>two</div><p>three<table><tr><td>four</table>five')
+    assert [(b.text, "ad" in b.hints) for b in blocks] == [("onedeep", True), ("two", False), ("three", False), ("four", False), ("five", False)]
