@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stationflow.operators.similarity import dtw_path
+from stationflow.operators.similarity import _together
 
 
 def uniform(seed: int, *key: Column) -> Column:
@@ -79,14 +79,6 @@ def missing_mask(df: DataFrame, key: str, pos: str, value: str, rate: float, see
     return df.withColumn("mask", F.when(hidden, 0).otherwise(1)).withColumn("hidden", F.when(hidden, 0.0).otherwise(F.col(value)))
 
 
-def run_augmentation(df: DataFrame, key: str, pos: str, value: str, rounds: int, seed: int = 9) -> DataFrame:
-    """The original and ``rounds`` jittered and scaled copies, labels repeated."""
-    out = df.withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds))))
-    k, r = F.col(key), F.col("round")
-    changed = F.col(value) * (1 + 0.1 * normal(seed, k, r)) + 0.03 * normal(seed + 1, k, r, F.col(pos))
-    return out.withColumn(value, F.when(r == 0, F.col(value)).otherwise(changed))
-
-
 def _spline(x: np.ndarray, y: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Natural cubic spline through (x, y)."""
     n = len(x)
@@ -146,97 +138,215 @@ def window_warp(df: DataFrame, key: str, pos: str, value: str, share: float = 0.
     return _each(df, key, pos, value, f, seed)
 
 
-def partners(series: DataFrame, key: str, label: str, seed: int, other: bool = False) -> DataFrame:
-    """One other series of the same class (another class if ``other``) for each series, never itself.
+def members(series: DataFrame, key: str, label: str, seed: int, buckets: int = 4096) -> DataFrame:
+    """(key, label, i, n): the place of each series in the hashed order of its class of n.
 
-    Members of a class are put in a ring in hashed order; each takes the next one. For another class, the
-    ring holds all series and the class of the next one differs by construction of the order
-    (classes one after the other, shifted by the largest class) — done on numbers alone.
+    The hash is cut into ``buckets`` ranges that are numbered by themselves and raised by the rows of
+    the ranges before, so no task holds a class.
     """
-    h = F.xxhash64(F.col(key), F.lit(seed))
-    if not other:
-        w = Window.partitionBy(label).orderBy(h, key)
-        n = F.count("*").over(Window.partitionBy(label))
-        rows = series.select(key, label).withColumn("i", F.row_number().over(w) - 1).withColumn("n", n).filter("n > 1")
-        nxt = rows.select(label, F.col("i").alias("j"), F.col(key).alias("partner"))
-        return rows.withColumn("j", (F.col("i") + 1) % F.col("n")).join(nxt, [label, "j"]).select(key, "partner")
-    classes = series.select(label).distinct()
-    following = F.coalesce(F.lead(label).over(Window.orderBy(label)), F.first(label).over(Window.orderBy(label)))
-    ring = classes.withColumn("to", following).filter(F.col("to") != F.col(label))
-    w = Window.partitionBy(label).orderBy(h, key)
-    rows = series.select(key, label).withColumn("i", F.row_number().over(w) - 1)
-    n = rows.groupBy(F.col(label).alias("to")).agg(F.count("*").alias("n"))
-    nxt = rows.select(F.col(label).alias("to"), F.col("i").alias("j"), F.col(key).alias("partner"))
-    return rows.join(F.broadcast(ring), label).join(F.broadcast(n), "to").withColumn("j", F.col("i") % F.col("n")).join(nxt, ["to", "j"]).select(key, "partner")
-
-
-def _paired(series: DataFrame, pairs: DataFrame, key: str, values: str) -> DataFrame:
-    a = series.select(key, F.col(values).alias("x"))
-    b = series.select(F.col(key).alias("partner"), F.col(values).alias("y"))
-    return pairs.join(a, key).join(b, "partner")
-
-
-def _map_pairs(df: DataFrame, key: str, f) -> DataFrame:
+    u = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1 << 52))
+    rows = series.select(key, label).withColumn("u_", u).withColumn("b_", F.floor(F.col("u_") / ((1 << 52) / buckets)))
+    counts = rows.groupBy(label, "b_").agg(F.count("*").alias("n_"))  # up to ``buckets`` rows a class
+    w = Window.partitionBy(label)
+    counts = counts.select(F.col(label).alias("l_"), F.col("b_").alias("c_"), (F.sum("n_").over(w.orderBy("b_")) - F.col("n_")).alias("before_"), F.sum("n_").over(w).alias("n"))
+    local = rows.withColumn("i_", F.row_number().over(Window.partitionBy(label, "b_").orderBy("u_", key)) - 1)
+    return local.join(counts, F.col(label).eqNullSafe(F.col("l_")) & (F.col("b_") == F.col("c_"))).select(key, label, (F.col("i_") + F.col("before_")).alias("i"), "n")
+
+
+def partners(series: DataFrame, key: str, label: str, seed: int, first: int = 1, last: int = 1) -> DataFrame:
+    """(key, partner): the ``first``-th to ``last``-th next series of the same class in its hashed ring, each once, 0 being the series itself."""
+    rows = members(series, key, label, seed)
+    nxt = rows.select(F.col(label).alias("l_"), F.col("i").alias("j_"), F.col(key).alias("partner"))
+    asked = rows.withColumn("k_", F.explode(F.sequence(F.lit(first), F.lit(last)))).filter(F.col("k_") < F.col("n"))
+    return asked.join(nxt, F.col(label).eqNullSafe(F.col("l_")) & ((F.col("i") + F.col("k_")) % F.col("n") == F.col("j_"))).select(key, "partner")
+
+
+def strangers(series: DataFrame, key: str, label: str, seed: int, n: int = 1) -> DataFrame:
+    """(key, partner): up to ``n`` hashed choices among the series of other classes, each once."""
+    rows = members(series, key, label, seed)
+    order = Window.orderBy("c_")
+    classes = rows.groupBy(F.col(label).alias("c_")).agg(F.max("n").alias("size_"))  # one row a class
+    classes = classes.withColumn("at_", F.row_number().over(order) - 1)
+    many = classes.agg(F.count("*").alias("many_"))
+    own = rows.select(key, label).join(classes.select("c_", "at_"), F.col(label).eqNullSafe(F.col("c_"))).crossJoin(F.broadcast(many))  # one row
+    draw = lambda j, top: F.pmod(F.xxhash64(F.col(key), F.col("k_"), F.lit(seed + j)), top)
+    asked = own.filter("many_ > 1").withColumn("k_", F.explode(F.sequence(F.lit(1), F.lit(n))))
+    asked = asked.withColumn("to_", (F.col("at_") + 1 + draw(1, F.col("many_") - 1)) % F.col("many_")).select(key, "k_", "to_")
+    asked = asked.join(classes.select(F.col("at_").alias("to_"), F.col("c_").alias("l_"), "size_"), "to_").withColumn("j_", draw(2, F.col("size_")))
+    other = rows.select(F.col(label).alias("m_"), F.col("i").alias("i_"), F.col(key).alias("partner"))
+    return asked.join(other, F.col("l_").eqNullSafe(F.col("m_")) & (F.col("j_") == F.col("i_"))).select(key, "partner").distinct()
+
+
+def _with_partners(series: DataFrame, key: str, values: str, picks: DataFrame) -> DataFrame:
+    """(key, x, picks): each series with the arrays of its few partners, in partner order; none where it has none."""
+    named = picks.withColumn("side_", F.lit(1)) if "side_" not in picks.columns else picks
+    found = named.join(series.select(F.col(key).alias("partner"), F.col(values).alias("y_")), "partner")
+    listed = found.groupBy(F.col(key).alias("k_")).agg(F.sort_array(F.collect_list(F.struct(F.col("side_").alias("side"), F.col("partner"), F.col("y_").alias("y")))).alias("picks"))
+    return series.select(F.col(key).cast("long").alias(key), F.col(values).alias("x")).join(listed, F.col(key) == F.col("k_"), "left").select(key, "x", "picks")
+
+
+def _map_picks(df: DataFrame, key: str, f, more: str = "") -> DataFrame:
+    """f(key, x, [(side, y)]) for each row; a series without partners goes through f as well."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({key: b[key], "v": [f(int(k), np.asarray(x, float), np.asarray(y, float)) for k, x, y in zip(b[key], b["x"], b["y"], strict=True)]})
+            rows = []
+            for k, x, picks in zip(b[key], b["x"], b["picks"], strict=True):
+                got = f(int(k), np.asarray(x, float), [(p["side"], np.asarray(p["y"], float)) for p in picks] if picks is not None else [])
+                rows.append((k, *(v.tolist() if isinstance(v, np.ndarray) else v for v in (got if isinstance(got, tuple) else (got,)))))
+            yield pd.DataFrame(rows, columns=[key, "v", *[m.split()[0] for m in more.split(",") if m]])
+
+    return df.mapInPandas(run, f"{key} long, v array<double>" + (f", {more}" if more else ""))
+
+
+def _band(x: np.ndarray) -> int:
+    """A tenth of the length."""
+    return int(np.ceil(len(x) / 10))
+
+
+def _path(x: np.ndarray, y: np.ndarray, band: int, shape: bool = False) -> np.ndarray:
+    return _together([x], [y], "symmetric", band, shape)[0][1]
+
 
-    return df.select(key, "x", "y").mapInPandas(run, f"{key} long, v array<double>")
+def _stretched(v: np.ndarray, n: int) -> np.ndarray:
+    return np.interp(np.arange(n), np.linspace(0, n - 1, len(v)), v)
 
 
 def spawner(series: DataFrame, key: str, label: str, values: str, sigma: float = 0.05, seed: int = 13) -> DataFrame:
-    """Mean along two warping paths, before and after a random point, with a same-class partner; then jitter."""
+    """Mean along two warping paths, before and after a random point, with a same-class partner; then jitter.
 
-    def f(k, x, y):
-        rng = np.random.default_rng([seed, k])
-        n = len(x)
-        s = int(rng.integers(max(1, n // 10), max(2, n - n // 10)))
-        path = [*dtw_path(x[:s], y[:s])[1], *[(i + s, j + s) for i, j in dtw_path(x[s:], y[s:])[1]]]
-        mean = np.array([(x[i] + y[j]) / 2 for i, j in path])
-        out = np.interp(np.linspace(0, len(mean) - 1, n), np.arange(len(mean)), mean)
-        return (out + rng.normal(0, sigma, n)).tolist()
+    Paths stay within a tenth of the length. Alone in its class, a series is only jittered.
+    """
+
+    def f(k, x, picks):
+        rng, n = np.random.default_rng([seed, k]), len(x)
+        out = x
+        if picks and n > 2:
+            y, s = picks[0][1], int(rng.integers(1, n - 1))
+            path = np.concatenate([_path(x[:s], y[:s], _band(x)), _path(x[s:], y[s:], _band(x)) + s])
+            out = _stretched((x[path[:, 0]] + y[path[:, 1]]) / 2, n)
+        return out + rng.normal(0, sigma, n)
+
+    return _map_picks(_with_partners(series, key, values, partners(series, key, label, seed)), key, f)
+
+
+def guided_warp(series: DataFrame, key: str, label: str, values: str, shape: bool = False, seed: int = 14) -> DataFrame:
+    """A same-class partner's time order put on the series by the warping path (of descriptors if ``shape``), within a
+    tenth of the length. Alone in its class, a series stays as it is."""
 
-    return _map_pairs(_paired(series, partners(series, key, label, seed), key, values), key, f)
+    def f(_, x, picks):
+        return _stretched(x[_path(picks[0][1], x, _band(x), shape)[:, 1]], len(x)) if picks else x
 
+    return _map_picks(_with_partners(series, key, values, partners(series, key, label, seed)), key, f)
 
-def guided_warp(series: DataFrame, key: str, label: str, values: str, discriminative: bool = False, shape: bool = False, seed: int = 14) -> DataFrame:
-    """A same-class partner's time order put on the series by the warping path (with descriptors if ``shape``).
 
-    ``discriminative``: the partner is a teacher of the class that lies furthest from a series of another class.
+def discriminative_warp(series: DataFrame, key: str, label: str, values: str, shape: bool = False, slices: bool = True, seed: int = 16) -> DataFrame:
+    """The time order of the one of up to three same-class series that tells the classes apart best.
+
+    That is where the mean warping distance to up to three series of other classes exceeds that to the other same-class ones
+    most. With ``slices`` a window of 0.9 to 1 of the result, more for what was warped more (in share of the largest warp
+    of all), is stretched back. Without series on both sides a series stays as it is.
     """
-    from stationflow.operators.similarity import descriptors
+    picks = partners(series, key, label, seed, 1, 3).withColumn("side_", F.lit(1)).unionByName(strangers(series, key, label, seed, 3).withColumn("side_", F.lit(0)))
+
+    def f(_, x, picks):
+        same, other = ([y for side, y in picks if side == s] for s in (1, 0))
+        if not same or not other:
+            return x, 0.0
+        n, m, band = len(same), len(other), _band(x)
+        pairs = [(a, b) for a in range(n) for b in range(a + 1, n)]
+        near = np.zeros((n, n))
+        for (a, b), (d, _) in zip(pairs, _together([same[a] for a, _ in pairs], [same[b] for _, b in pairs], "symmetric", band, shape), strict=True):
+            near[a, b] = near[b, a] = d
+        far = np.array([d for d, _ in _together([a for a in same for _ in other], other * n, "symmetric", band, shape)]).reshape(n, m)
+        teacher = same[int(np.argmax(far.mean(1) - near.sum(1) / max(n - 1, 1)))]
+        order = _path(teacher, x, band, shape)[:, 1]
+        return _stretched(x[order], len(x)), float(np.abs(np.arange(len(x)) - _stretched(order.astype(float), len(x))).sum())
+
+    warped = _map_picks(_with_partners(series, key, values, picks), key, f, "warp double")
+    if not slices:
+        return warped
+    most = warped.agg(F.max("warp").alias("most"))  # one row
+    n = F.size("v")
+    share = 0.9 + 0.1 * F.coalesce(F.try_divide("warp", F.col("most")), F.lit(0.0))
+    m = F.least(F.ceil(F.round(share * n, 9)), n).cast("int")
+    start = F.floor(uniform(seed, F.col(key)) * (n - m)).cast("int")
 
-    def f(_, x, y):
-        path = dtw_path(descriptors(y), descriptors(x))[1] if shape else dtw_path(y, x)[1]
-        warped = np.array([x[j] for _, j in path])
-        return np.interp(np.linspace(0, len(warped) - 1, len(x)), np.arange(len(warped)), warped).tolist()
+    def at(i: Column) -> Column:
+        x = i * F.col("m_") / (n - 1)
+        low = F.least(F.floor(x), F.col("m_") - 1).cast("int")
+        high = F.least(low + 1, F.col("m_") - 1)
+        return F.element_at("v", F.col("s_") + low + 1) + (F.least(x, F.col("m_") - 1.0) - low) * (F.element_at("v", F.col("s_") + high + 1) - F.element_at("v", F.col("s_") + low + 1))
 
-    pairs = partners(series, key, label, seed)
-    if discriminative:
-        same = pairs.select(key, F.lit(1).alias("good"), "partner").unionByName(partners(series, key, label, seed + 1).select(key, F.lit(1).alias("good"), "partner"))
-        foe = partners(series, key, label, seed, other=True).withColumnRenamed("partner", "foe")
-        a = same.join(foe, key).join(series.select(F.col(key).alias("partner"), F.col(values).alias("p")), "partner").join(series.select(F.col(key).alias("foe"), F.col(values).alias("q")), "foe")
-        gap = F.aggregate(F.zip_with("p", "q", lambda u, v: F.abs(u - v)), F.lit(0.0), lambda s, v: s + v)
-        pairs = a.groupBy(key).agg(F.max(F.struct(gap.alias("gap"), F.col("partner")))["partner"].alias("partner"))
-    return _map_pairs(_paired(series, pairs, key, values), key, f)
+    cut = warped.crossJoin(F.broadcast(most)).withColumn("m_", m).withColumn("s_", start)
+    return cut.select(key, F.when(F.col("m_") >= n, F.col("v")).otherwise(F.transform(F.sequence(F.lit(0), n - 1), at)).alias("v"), "warp")
 
 
 def weighted_dba(series: DataFrame, key: str, label: str, values: str, size: int = 6, seed: int = 15) -> DataFrame:
-    """Barycentre of up to ``size`` same-class series around their medoid, weighted by distance to it."""
-    w = Window.partitionBy(label).orderBy(F.xxhash64(F.col(key), F.lit(seed)), key)
-    groups = series.withColumn("i_", F.row_number().over(w) - 1).withColumn("g_", F.floor(F.col("i_") / size))
-
-    def one(g: pd.DataFrame) -> pd.DataFrame:
-        x = np.array([np.asarray(v, float) for v in g.sort_values(key)["v"]])
-        dist = np.abs(x[:, None] - x[None]).sum(2)
+    """For each series the barycentre of up to ``size`` of its class: the medoid by warping distance, and the others brought
+    on its time, weighted by a half to the power of their distance over that of the nearest."""
+
+    def f(_, x, picks):
+        group = [y for _, y in picks]
+        n, band = len(group), _band(x)
+        pairs = [(a, b) for a in range(n) for b in range(a + 1, n)]
+        dist = np.zeros((n, n))
+        for (a, b), (d, _) in zip(pairs, _together([group[a] for a, _ in pairs], [group[b] for _, b in pairs], "symmetric", band, False), strict=True):
+            dist[a, b] = dist[b, a] = d
         medoid = int(dist.sum(1).argmin())
-        near = np.sort(dist[medoid])[1] if len(x) > 1 else 1.0
-        weight = np.exp(np.log(0.5) * dist[medoid] / max(near, 1e-9))
-        total, n = np.zeros(x.shape[1]), np.zeros(x.shape[1])
-        for s, u in zip(x, weight, strict=True):
-            for i, j in dtw_path(x[medoid], s)[1]:
-                total[i] += u * s[j]
-                n[i] += u
-        return pd.DataFrame({key: [int(g[key].min())], "v": [(total / n).tolist()]})
-
-    return groups.select(key, label, "g_", F.col(values).alias("v")).groupBy(label, "g_").applyInPandas(one, f"{key} long, v array<double>")
+        nearest = np.sort(dist[medoid])[1] if n > 1 else 0.0
+        total, weights = np.zeros(len(group[medoid])), np.zeros(len(group[medoid]))
+        for k, y in enumerate(group):
+            if k == medoid or nearest == 0:
+                total += group[medoid]
+                weights += 1
+                continue
+            path, w = _path(group[medoid], y, band), float(np.exp(np.log(0.5) * dist[medoid, k] / nearest))
+            # of several steps that meet one step of the medoid, the last counts
+            last = np.append(path[1:, 0] != path[:-1, 0], True)
+            total[path[last, 0]] += w * y[path[last, 1]]
+            weights[path[last, 0]] += w
+        return total / weights
+
+    return _map_picks(_with_partners(series, key, values, partners(series, key, label, seed, 0, size - 1)), key, f)
+
+
+def as_arrays(df: DataFrame, keys: list[str], pos: str, value: str) -> DataFrame:
+    """One row a series, its values as the array v."""
+    return df.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct(pos, value))), lambda s: s[value]).alias("v"))
+
+
+#: Operations of the chain, in the order they are applied.
+CHAIN = ["jitter", "scaling", "rotation", "permutation", "randompermutation", "magwarp", "timewarp", "windowslice", "windowwarp", "spawner", "dtwwarp", "shapedtwwarp", "wdba", "discdtw", "discsdtw"]
+
+
+def augment(df: DataFrame, key: str, label: str, pos: str, value: str, ops: list[str], n: int, seed: int = 9) -> DataFrame:
+    """The enabled operations of ``CHAIN`` one after the other on series of ``n`` steps: key, label, pos, value."""
+    if unknown := set(ops) - set(CHAIN):
+        raise ValueError(f"unknown operations: {sorted(unknown)}")
+    labels = df.select(key, label).distinct()
+    out = df.select(key, pos, value)
+    by_array = {"spawner": spawner, "dtwwarp": guided_warp, "shapedtwwarp": lambda *a, **k: guided_warp(*a, shape=True, **k), "wdba": weighted_dba, "discdtw": discriminative_warp, "discsdtw": lambda *a, **k: discriminative_warp(*a, shape=True, **k)}
+    for k, op in enumerate(o for o in CHAIN if o in ops):
+        s = seed * 1000 + k
+        if op in by_array:
+            arrays = as_arrays(out.join(labels, key), [key, label], pos, value)
+            out = by_array[op](arrays, key, label, "v", seed=s).select(key, F.posexplode("v").alias(pos, value)).withColumn(pos, F.col(pos).cast("long"))
+        elif op == "scaling":
+            out = scaling(out, [key], value, seed=s)
+        elif op == "rotation":  # one channel: a sign for each series
+            out = rotation(out.withColumn("channel_", F.lit(0)), [key], "channel_", value, 1, seed=s).drop("channel_")
+        elif op == "windowslice":
+            out = window_slice(out, key, pos, value, n, seed=s).withColumn(pos, F.col(pos).cast("long"))
+        else:
+            f = {"jitter": jitter, "permutation": permutation, "randompermutation": lambda *a, **b: permutation(*a, equal=False, **b), "magwarp": magnitude_warp, "timewarp": time_warp, "windowwarp": window_warp}[op]
+            out = f(out, key, pos, value, seed=s)
+    return out.join(labels, key).select(key, label, pos, value)
+
+
+def run_augmentation(df: DataFrame, key: str, label: str, pos: str, value: str, rounds: int, ops: list[str], n: int, seed: int = 9) -> DataFrame:
+    """The original (round 0) and ``rounds`` copies, each through the enabled operations with its own draws; labels repeated."""
+    out = df.select(F.lit(0).alias("round"), key, label, pos, value)
+    for r in range(1, rounds + 1):
+        out = out.unionByName(augment(df, key, label, pos, value, ops, n, seed + r).select(F.lit(r).alias("round"), key, label, pos, value))
+    return out

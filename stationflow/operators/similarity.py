@@ -10,65 +10,139 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def dtw_path(x: np.ndarray, y: np.ndarray, slope: str = "symmetric", band: int | None = None) -> tuple[float, list[tuple[int, int]]]:
-    """Distance and path of two series (steps or step vectors) with Euclidean cost.
+def dtw_paths(x: np.ndarray, y: np.ndarray, slope: str = "symmetric", band: int | None = None, cost: str = "euclidean") -> tuple[np.ndarray, list[np.ndarray]]:
+    """Warping distances and paths of pairs of series (pairs, steps) or of step vectors (pairs, steps, width).
 
-    symmetric: steps (1,0), (0,1), (1,1); asymmetric: (1,0), (1,1), (1,2). ``band``: largest distance from the diagonal.
+    symmetric: steps (1,1), (1,0), (0,1), the first of equal ones; asymmetric: (1,0), (1,1), (1,2). ``band``: largest distance from the
+    diagonal. ``cost`` of two steps: euclidean or absolute. All pairs advance together, by anti-diagonals or by rows.
     """
-    a = x[:, None] if x.ndim == 1 else x
-    b = y[:, None] if y.ndim == 1 else y
-    n, m = len(a), len(b)
-    cost = np.sqrt(((a[:, None] - b[None]) ** 2).sum(2))
+    a, b = (v[:, :, None] if v.ndim == 2 else v for v in (x, y))
+    pairs, n, m = len(a), a.shape[1], b.shape[1]
+    d = np.zeros((pairs, n, m))
+    for k in range(a.shape[2]):  # width by width: no array of pairs x steps x steps x width
+        gap = a[:, :, None, k] - b[:, None, :, k]
+        d += np.abs(gap) if cost == "absolute" else gap * gap
+    if cost != "absolute":
+        np.sqrt(d, out=d)
     if band is not None:
         i, j = np.indices((n, m))
-        cost = np.where(np.abs(i * (m / n) - j) <= band, cost, np.inf)
-    moves = [(1, 0), (0, 1), (1, 1)] if slope == "symmetric" else [(1, 0), (1, 1), (1, 2)]
-    total = np.full((n + 1, m + 2), np.inf)
-    total[0, 0] = 0
-    back = np.zeros((n, m), np.int8)
-    for i in range(n):
-        for j in range(m):
-            best = min(range(3), key=lambda k: total[i + 1 - moves[k][0], j + 1 - moves[k][1]] if j + 1 - moves[k][1] >= 0 else np.inf)
-            di, dj = moves[best]
-            total[i + 1, j + 1] = cost[i, j] + (total[i + 1 - di, j + 1 - dj] if j + 1 - dj >= 0 else np.inf)
-            back[i, j] = best
-    path, i, j = [], n - 1, m - 1
-    while i >= 0 and j >= 0:
-        path.append((i, j))
-        di, dj = moves[back[i, j]]
-        i, j = i - di, j - dj
-    return float(total[n, m]), path[::-1]
+        d[:, np.abs(i - j) > band] = np.inf
+    total = np.full((pairs, n + 1, m + 3), np.inf)  # one row and two columns of margin before the first cell, one behind
+    total[:, 0, 1] = 0
+    back = np.zeros((pairs, n, m), np.int8)
+    if slope == "symmetric":
+        moves = [(1, 1), (1, 0), (0, 1)]
+        for s in range(n + m - 1):
+            i = np.arange(max(0, s - m + 1), min(n, s + 1))
+            j = s - i
+            before = np.stack([total[:, i, j + 1], total[:, i, j + 2], total[:, i + 1, j + 1]])
+            best = before.argmin(0)
+            back[:, i, j] = best
+            total[:, i + 1, j + 2] = d[:, i, j] + np.take_along_axis(before, best[None], 0)[0]
+    else:
+        moves = [(1, 0), (1, 1), (1, 2)]
+        for i in range(n):
+            before = np.stack([total[:, i, 2 : m + 2], total[:, i, 1 : m + 1], total[:, i, :m]])
+            best = before.argmin(0)
+            back[:, i] = best
+            total[:, i + 1, 2 : m + 2] = d[:, i] + np.take_along_axis(before, best[None], 0)[0]
+    step = np.array(moves)
+    at, who = np.tile([n - 1, m - 1], (pairs, 1)), np.arange(pairs)
+    seen, live = [], np.ones(pairs, bool)
+    while live.any():
+        seen.append((at.copy(), live.copy()))
+        move = step[back[who, np.maximum(at[:, 0], 0), np.maximum(at[:, 1], 0)]]
+        at = np.where(live[:, None], at - move, at)
+        live = live & (at >= 0).all(1)
+    places, there = np.stack([p for p, _ in seen[::-1]], 1), np.stack([t for _, t in seen[::-1]], 1)
+    return total[:, n, m + 1], [places[k, there[k]] for k in range(pairs)]
+
+
+def dtw_path(x: np.ndarray, y: np.ndarray, slope: str = "symmetric", band: int | None = None) -> tuple[float, list[tuple[int, int]]]:
+    """Distance and path of one pair."""
+    total, paths = dtw_paths(x[None], y[None], slope, band)
+    return float(total[0]), [tuple(p) for p in paths[0].tolist()]
+
+
+def warping_error(x: np.ndarray, y: np.ndarray, warp: int = 1, w: float = np.inf, s: float = 1.0) -> float:
+    """Warping error of two series with absolute gaps.
+
+    A cell follows the diagonal one before it, or one of the ``warp`` cells behind it in the row before or in the column
+    before, those times ``s``; cells further than ``w`` from the diagonal are closed. With ``warp`` above 1 a cell of the column
+    before that isn't summed up yet counts with its own gap.
+    """
+    r, c = len(x), len(y)
+    d = np.full((r + 1, c + 1), np.inf)
+    i, j = np.indices((r, c))
+    d[1:, 1:] = np.where(np.abs(i - j) <= w, np.abs(np.subtract.outer(x, y)), np.inf)
+    d[0, 0] = 0
+    for i in range(r):
+        for j in range(c) if np.isinf(w) else range(max(0, int(i - w)), min(c, int(i + w) + 1)):
+            ahead = range(1, warp + 1)
+            d[i + 1, j + 1] += min(d[i, j], *(s * d[min(i + k, r), j] for k in ahead), *(s * d[i, min(j + k, c)] for k in ahead))
+    return float(d[r, c])
 
 
 def descriptors(x: np.ndarray) -> np.ndarray:
-    """A window around each step (5 % of the length, 5 to 100), the edges repeated."""
+    """A window around each step (5 % of the length, 5 to 100; the longer half before it), the edges repeated."""
     w = int(np.clip(round(0.05 * len(x)), 5, 100))
-    padded = np.pad(x, (w // 2, w - 1 - w // 2), mode="edge")
+    padded = np.pad(x, ((w + 1) // 2, w // 2), mode="edge")
     return np.stack([padded[k : k + len(x)] for k in range(w)], 1)
 
 
-def pairwise_dtw(pairs: DataFrame, key: list[str], slope: str = "symmetric", band: int | None = None, shape: bool = False, tasks: int = 64) -> DataFrame:
+def _together(x: list[np.ndarray], y: list[np.ndarray], slope: str, band: int | None, shape: bool, cost: str = "euclidean", cells: int = 1 << 21) -> list[tuple[float, np.ndarray]]:
+    """Distance and path of each pair; pairs of the same lengths go together, ``cells`` cells at a time."""
+    out: list = [None] * len(x)
+    same: dict[tuple[int, int], list[int]] = {}
+    for k, (a, b) in enumerate(zip(x, y, strict=True)):
+        same.setdefault((len(a), len(b)), []).append(k)
+    for (n, m), at in same.items():
+        if not n or not m:
+            for k in at:
+                out[k] = (0.0 if n == m else float("inf"), np.zeros((0, 2), int))
+            continue
+        size = max(1, cells // (n * m))
+        for part in (at[k : k + size] for k in range(0, len(at), size)):
+            a, b = np.stack([x[k] for k in part]), np.stack([y[k] for k in part])
+            if shape:
+                a, b = (np.stack([descriptors(v) for v in s]) for s in (a, b))
+            for k, *got in zip(part, *dtw_paths(a, b, slope, band, cost), strict=True):
+                out[k] = (float(got[0]), got[1])
+    return out
+
+
+def pairwise_dtw(pairs: DataFrame, key: list[str], slope: str = "symmetric", band: int | None = None, shape: bool = False, tasks: int = 64, cost: str = "euclidean") -> DataFrame:
     """(key, distance, path) for rows with arrays x and y; pairs are dealt evenly over ``tasks``."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            got = []
-            for x, y in zip(b["x"], b["y"], strict=True):
-                x, y = np.asarray(x, float), np.asarray(y, float)
-                got.append(dtw_path(descriptors(x), descriptors(y), slope, band) if shape else dtw_path(x, y, slope, band))
-            out = b[key].copy()
-            out["distance"] = [d for d, _ in got]
-            out["path"] = [[{"i": i, "j": j} for i, j in p] for _, p in got]
-            yield out
+            for part in (b.iloc[k : k + 512] for k in range(0, len(b), 512)):
+                got = _together([np.asarray(v, float) for v in part["x"]], [np.asarray(v, float) for v in part["y"]], slope, band, shape, cost)
+                out = part[key].copy()
+                out["distance"] = [d for d, _ in got]
+                out["path"] = [[{"i": i, "j": j} for i, j in p.tolist()] for _, p in got]
+                yield out
 
     schema = ", ".join(f"{k} long" for k in key) + ", distance double, path array<struct<i:long,j:long>>"
     return pairs.repartition(tasks, *key).select(*[F.col(k).cast("long").alias(k) for k in key], "x", "y").mapInPandas(run, schema)
 
 
-def mean_dtw(pairs: DataFrame, key: str, by: list[str], band: int | None = None) -> DataFrame:
-    """Mean warping error of forecast windows by group."""
-    d = pairwise_dtw(pairs, [key], band=band).select(key, "distance")
-    return pairs.select(key, *by).join(d, key).groupBy(*by).agg(F.avg("distance").alias("dtw"), F.count("*").alias("n"))
+def mean_dtw(pairs: DataFrame, key: str, by: list[str], warp: int = 1, w: float = float("inf"), s: float = 1.0, tasks: int = 64) -> DataFrame:
+    """Mean warping error of forecast windows (x against y) by group, with absolute gaps."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            x, y = [np.asarray(v, float) for v in b["x"]], [np.asarray(v, float) for v in b["y"]]
+            if warp == 1 and s == 1 and w == float("inf"):
+                error = [d for d, _ in _together(x, y, "symmetric", None, False, "absolute")]
+            else:
+                error = [warping_error(u, v, warp, w, s) for u, v in zip(x, y, strict=True)]
+            yield b[by].assign(distance=error)
+
+    kinds = dict(pairs.dtypes)
+    schema = ", ".join(f"{k} {kinds[k]}" for k in by) + ", distance double"
+    d = pairs.repartition(tasks, key).select(*by, "x", "y").mapInPandas(run, schema)
+    return d.groupBy(*by).agg(F.avg("distance").alias("dtw"), F.count("*").alias("n"))
 
 
 def adf_test(df: DataFrame, by: list[str], step: str, value: str) -> DataFrame:
@@ -104,17 +178,59 @@ def mean_adf(df: DataFrame, by: list[str], step: str, value: str) -> DataFrame:
     return adf_test(df, by, step, value).agg(F.avg("t").alias("mean_t"), F.count("*").alias("n"))
 
 
-def linear_forecaster(windows: DataFrame, horizon: int, ridge: float = 1e-3):
-    """A linear map from trend and seasonal inputs to each step ahead, by ``pyspark.ml``: (models, assembled table).
+def decompose_window(x: Column, kernel: int) -> Column:
+    """trend and seasonal of a window by itself: a centred average, the ends repeated, and what is left."""
+    ends = lambda at, n: F.array_repeat(F.element_at(x, at), n)
+    padded = F.concat(ends(1, (kernel - 1) // 2), x, ends(-1, kernel // 2))
+    trend = F.transform(F.sequence(F.lit(1), F.size(x)), lambda i: F.aggregate(F.slice(padded, i, kernel), F.lit(0.0), lambda a, v: a + v) / kernel)
+    return F.struct(trend.alias("trend"), F.zip_with(x, trend, lambda v, t: v - t).alias("seasonal"))
+
+
+def linear_forecaster(windows: DataFrame, train: Column, horizon: int, by: list[str] | None = None, kernel: int = 5, ridge: float = 1e-3) -> tuple[DataFrame, DataFrame]:
+    """(coefficients, windows with pred): trend and seasonal parts of each window x mapped linearly to the ``horizon`` values y after it.
 
-    ``windows``: trend, seasonal (arrays) and y (array of ``horizon``).
+    Each window is decomposed by itself, so nothing of y gets into its input. One map for all, or one for each group of
+    ``by`` (a map per channel). Fitted on the rows where ``train`` holds, from sums of products that tasks add up: one
+    pass, whatever the horizon; applied to all rows. A group without training rows gets null.
     """
-    from pyspark.ml.functions import array_to_vector
-    from pyspark.ml.regression import LinearRegression
+    by = by or []
+    parts = decompose_window(F.col("x"), kernel)
+    table = windows.withColumn("p_", parts).withColumn("f_", F.concat("p_.trend", "p_.seasonal", F.array(F.lit(1.0)))).drop("p_")
+    kinds = dict(windows.dtypes)
+    head = "".join(f"{k} {kinds[k]}, " for k in by)
+
+    def products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total: dict = {}
+
+        def out():
+            rows = [(*(k if isinstance(k, tuple) else (k,))[: len(by)], *v) for k, g in total.items() for v in enumerate(g.reshape(-1).tolist())]
+            total.clear()
+            return pd.DataFrame(rows, columns=[*by, "at", "v"])
+
+        for b in batches:
+            for k, g in b.groupby(by, dropna=False) if by else [((), b)]:
+                f = np.stack([np.asarray(v, float) for v in g["f_"]])
+                y = np.stack([np.asarray(v, float) for v in g["y"]])
+                new = f.T @ np.hstack([f, y])
+                total[k] = total[k] + new if k in total else new
+            if len(total) > 200:
+                yield out()
+        if total:
+            yield out()
+
+    sums = table.filter(train).select(*by, "f_", "y").mapInPandas(products, f"{head}at long, v double").groupBy(*by, "at").agg(F.sum("v").alias("v"))
+
+    def solve(g: pd.DataFrame) -> pd.DataFrame:  # (features) x (features + horizon) numbers
+        v = g.sort_values("at")["v"].to_numpy()
+        n = int((np.sqrt(horizon * horizon + 4 * len(v)) - horizon) / 2 + 0.5)
+        m = v.reshape(n, n + horizon)
+        coef = np.linalg.solve(m[:, :n] + ridge * np.eye(n), m[:, n:])
+        return pd.DataFrame({**{k: [g[k].iloc[0]] for k in by}, "coef": [coef.T.tolist()]})
 
-    table = windows.withColumn("features", array_to_vector(F.concat("trend", "seasonal"))).cache()
-    models = [LinearRegression(featuresCol="features", labelCol="y_", regParam=ridge, predictionCol=f"y{h}", solver="normal").fit(table.withColumn("y_", F.element_at("y", h + 1))) for h in range(horizon)]
-    return models, table
+    coefs = sums.groupBy(*by).applyInPandas(solve, f"{head}coef array<array<double>>")
+    dot = lambda c: F.aggregate(F.zip_with("f_", c, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+    joined = table.join(coefs, by, "left") if by else table.join(F.broadcast(coefs), F.lit(True), "left")  # without groups one row
+    return coefs, joined.withColumn("pred", F.transform("coef", dot)).drop("f_", "coef")
 
 
 def score_windows(df: DataFrame, fn: Callable[[np.ndarray], np.ndarray], key: list[str], x: str, batch: int = 256, mean: float = 0.0, std: float = 1.0) -> DataFrame:

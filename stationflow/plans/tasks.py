@@ -182,14 +182,14 @@ def k11_guided_warp(spark, d):
 
 @query()
 def k12_discriminative_warp(spark, d):
-    """The order of the partner that tells the classes apart."""
-    return K.guided_warp(_vecs(spark, d), "vec_id", "label", "v", discriminative=True, shape=True)
+    """The order of the partner that tells the classes apart, and a slice by warp."""
+    return K.discriminative_warp(_vecs(spark, d), "vec_id", "label", "v", shape=True).select("vec_id", "v")
 
 
 @query()
 def k14_run_augmentation(spark, d):
-    """The original and two changed copies."""
-    return K.run_augmentation(labelled_series(spark, d), "vec_id", "pos", "x", 2)
+    """The original and two copies through a chain of operations."""
+    return K.run_augmentation(labelled_series(spark, d), "vec_id", "label", "pos", "x", 2, ["jitter", "scaling", "permutation", "windowslice", "dtwwarp"], 64)
 
 
 @query(f"WITH {LABELLED}, h AS (SELECT *, ((vec_id * 10007 + pos) * 1103515245 + 8) % 2147483647 < CAST(floor(0.25 * 2147483647) AS BIGINT) AS hid FROM labelled) SELECT vec_id, pos, CASE WHEN hid THEN 0 ELSE 1 END AS mask, {r('CASE WHEN hid THEN 0 ELSE x END', 'hidden')} FROM h")
@@ -199,10 +199,11 @@ def k15_missing_mask(spark, d):
 
 
 def _dtw_pairs(spark, d):
-    """Each vector with the next of its class in id order: one pair a vector."""
+    """Each vector with the next of its class in a hashed ring: one pair a vector."""
     v = _vecs(spark, d)
-    n = F.lead(F.struct("vec_id", "v")).over(Window.partitionBy("label").orderBy("vec_id"))
-    return v.withColumn("n", n).filter("n is not null").select("vec_id", F.col("n.vec_id").alias("other"), "label", F.col("v").alias("x"), F.col("n.v").alias("y"))
+    other = v.select(F.col("vec_id").alias("other"), F.col("v").alias("y"))
+    pairs = K.partners(v, "vec_id", "label", 1).withColumnRenamed("partner", "other")
+    return pairs.join(v.select("vec_id", "label", F.col("v").alias("x")), "vec_id").join(other, "other")
 
 
 @query()
@@ -221,7 +222,7 @@ def l2_shape_dtw(spark, d):
 @query()
 def l3_forecast_dtw(spark, d):
     """L3: mean warping error by class."""
-    return rounded(L.mean_dtw(_dtw_pairs(spark, d), "vec_id", ["label"], band=8))
+    return rounded(L.mean_dtw(_dtw_pairs(spark, d), "vec_id", ["label"]))
 
 
 _ADF = """a AS (SELECT var, hour, v - y1 AS d, y1 FROM (SELECT var, hour, v, lag(v) OVER (PARTITION BY var ORDER BY hour) AS y1 FROM series_hour) WHERE y1 IS NOT NULL),
@@ -241,15 +242,13 @@ def l4_adf(spark, d):
 
 @query()
 def l5_linear_forecast(spark, d):
-    """Trend and seasonal parts mapped to two steps ahead."""
-    s = X.trend_seasonal(series_hour(spark, d), ["var"], "hour", "v", [5])
-    t = make_windows(s, "var", "hour", "trend", 12, 0, 2).select("var", "start", F.col("x").alias("trend"))
-    z = make_windows(s, "var", "hour", "seasonal", 12, 0, 2).select("var", "start", F.col("x").alias("seasonal"))
-    y = make_windows(s, "var", "hour", "v", 12, 0, 2).select("var", "start", "y")
-    models, table = L.linear_forecaster(t.join(z, ["var", "start"]).join(y, ["var", "start"]), 2)
-    for m in models:
-        table = m.transform(table)
-    return table.select("var", "start", F.round("y0", 4).alias("y0"), F.round("y1", 4).alias("y1"))
+    """Trend and seasonal parts of each window mapped to the two steps after it, a map per channel."""
+    w = make_windows(series_hour(spark, d), "var", "hour", "v", 12, 0, 2)
+    # fitted on windows whose last value lies before the first that is to be forecast in the held-out ones
+    cut = F.floor(0.8 * F.max("start").over(Window.partitionBy("var")))
+    w = w.withColumn("held_out", F.col("start") > cut).withColumn("train_", F.col("start") + 2 <= cut + 1)
+    _, out = L.linear_forecaster(w, F.col("train_"), 2, ["var"])
+    return out.select("var", "start", "held_out", *[F.round(F.element_at("pred", k + 1), 4).alias(f"y{k}") for k in (0, 1)], *[F.round(F.element_at("y", k + 1), 4).alias(f"true{k}") for k in (0, 1)])
 
 
 @query("WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings) SELECT vec_id, round(list_avg(x) * 2 + 1, 6) AS pred FROM v")

@@ -68,7 +68,64 @@ def test_warping(spark):
     assert L.dtw_path(np.array([0.0, 0.0, 1.0]), np.array([0.0, 1.0]))[0] == 0
     assert L.dtw_path(np.array([0.0, 3.0]), np.array([1.0, 1.0]))[0] == 3.0
     assert L.dtw_path(x, x[::-1], band=0)[0] == np.abs(x - x[::-1]).sum()
-    assert L.descriptors(x).shape == (4, 5)
+    assert L.descriptors(x).tolist()[0] == [0, 0, 0, 0, 1] and L.descriptors(x).shape == (4, 5)
+
+
+def slow_warp(x, y, slope, band, cost):
+    """Distance and path by the definition, cell by cell."""
+    moves = [(1, 1), (1, 0), (0, 1)] if slope == "symmetric" else [(1, 0), (1, 1), (1, 2)]
+    total = {(-1, -1): (0.0, None)}
+    for i in range(len(x)):
+        for j in range(len(y)):
+            if band is None or abs(i - j) <= band:
+                at, best = None, np.inf
+                for a, b in moves:
+                    if total.get((i - a, j - b), (np.inf,))[0] < best:
+                        at, best = (i - a, j - b), total[i - a, j - b][0]
+                total[i, j] = (best + cost(x[i], y[j]), at)
+    path, at = [], (len(x) - 1, len(y) - 1)
+    while at in total and at != (-1, -1) and at is not None:
+        path.append(at)
+        at = total[at][1]
+    return total[len(x) - 1, len(y) - 1][0], path[::-1]
+
+
+@pytest.mark.parametrize("slope,band,shape", [("symmetric", None, False), ("symmetric", 3, False), ("asymmetric", None, False), ("symmetric", None, True)])
+def test_warping_equals_the_definition(slope, band, shape):
+    rng = np.random.default_rng(5)
+    x, y = [rng.integers(0, 4, 12).astype(float) for _ in range(7)], [rng.integers(0, 4, 12).astype(float) for _ in range(7)]
+    for a, b, (d, path) in zip(x, y, L._together(x, y, slope, band, shape), strict=True):
+        u, v = (L.descriptors(a), L.descriptors(b)) if shape else (a[:, None], b[:, None])
+        want, way = slow_warp(u, v, slope, band, lambda p, q: float(np.sqrt(((p - q) ** 2).sum())))
+        assert abs(d - want) < 1e-9 and [tuple(p) for p in path.tolist()] == way
+    assert L.warping_error(x[0], y[0]) == pytest.approx(slow_warp(x[0], y[0], "symmetric", None, lambda p, q: abs(p - q))[0])
+    assert L.warping_error(x[0], y[0], w=2) == pytest.approx(slow_warp(x[0], y[0], "symmetric", 2, lambda p, q: abs(p - q))[0])
+    assert L.warping_error(x[0], x[0], warp=2, s=1.5) == 0
+    assert L._together([np.zeros(0), np.zeros(2)], [np.zeros(0), np.zeros(0)], slope, band, shape)[1][0] == np.inf
+
+
+def test_linear_forecast_per_channel(spark):
+    rng = np.random.default_rng(6)
+    rows = [(c, k, [float(v) for v in x], [float(x[-1] * (c + 1)), float(x.mean() - c)], k < 60) for c in range(2) for k, x in enumerate(rng.normal(size=(80, 8)))]
+    df = spark.createDataFrame(rows, "c long, k long, x array<double>, y array<double>, train boolean")
+    for by in (["c"], None):
+        coefs, out = L.linear_forecaster(df, F.col("train"), 2, by, kernel=3, ridge=1e-6)
+        assert coefs.count() == (2 if by else 1)
+        got = {(r.c, r.k): r.pred for r in out.collect()}
+        for c in range(2):
+            part = [r for r in rows if r[4] and (not by or r[0] == c)]
+            a = np.array([[*r[2], 1.0] for r in part])  # trend and seasonal parts span the same maps as x
+            fit = np.linalg.lstsq(a, np.array([r[3] for r in part]), rcond=None)[0]
+            for r in rows:
+                if r[0] == c:
+                    assert np.allclose(got[c, r[1]], np.array([*r[2], 1.0]) @ fit, atol=1e-3)
+        if by:  # held out: the map is exact per channel
+            assert max(abs(got[r[0], r[1]][0] - r[3][0]) for r in rows if not r[4]) < 1e-3
+    t = np.array(df.select(L.decompose_window(F.col("x"), 4)["trend"].alias("t")).first().t)
+    x = np.array(rows[0][2])
+    assert np.allclose(t, [np.pad(x, (1, 2), mode="edge")[k : k + 4].mean() for k in range(8)])
+    changed = df.withColumn("y", F.array(F.lit(9.0), F.lit(9.0)))  # nothing of y gets into the input
+    assert df.select(L.decompose_window(F.col("x"), 3)).collect() == changed.select(L.decompose_window(F.col("x"), 3)).collect()
 
 
 def test_augmentation_keeps_shape_and_is_reproducible(series):
@@ -81,11 +138,67 @@ def test_augmentation_keeps_shape_and_is_reproducible(series):
     v = arrays(series)
     for p in K.partners(v, "vec_id", "label", 1).collect():
         assert p.partner != p.vec_id and p.partner % 2 == p.vec_id % 2
-    for p in K.partners(v, "vec_id", "label", 1, other=True).collect():
+    for p in K.strangers(v, "vec_id", "label", 1, 3).collect():
         assert p.partner % 2 != p.vec_id % 2
-    for f in (K.spawner, K.guided_warp):
-        assert all(len(r.v) == 32 for r in f(v, "vec_id", "label", "v").collect())
-    assert K.weighted_dba(v, "vec_id", "label", "v").count() == 2
+    alone = v.withColumn("label", F.col("vec_id"))
+    for f in (K.spawner, K.guided_warp, K.discriminative_warp, K.weighted_dba):
+        one = {r.vec_id: r.v for r in f(v, "vec_id", "label", "v").collect()}
+        assert len(one) == 6 and all(len(x) == 32 for x in one.values())
+        assert one == {r.vec_id: r.v for r in f(v.repartition(5), "vec_id", "label", "v").collect()}
+        assert f(alone, "vec_id", "label", "v").count() == 6
+
+
+def test_members_are_numbered_without_gaps(spark):
+    df = spark.range(3000).withColumn("label", F.when(F.col("id") % 3 == 0, "a").when(F.col("id") < 2990, "b"))
+    got = K.members(df, "id", "label", 1, buckets=16)
+    for r in got.groupBy("label").agg(F.collect_set("i").alias("i"), F.max("n").alias("n")).collect():
+        assert sorted(r.i) == list(range(r.n))
+    assert got.count() == 3000
+    picks = K.partners(df, "id", "label", 1, 0, 5)
+    assert picks.groupBy("id").count().filter("count <> 6").count() == 0 and picks.filter("id = partner").count() == 3000
+
+
+def test_barycentre_and_teacher_equal_the_definition(spark, series):
+    v = arrays(series)
+    x = {r.vec_id: np.array(r.v) for r in v.collect()}
+    cost = lambda p, q: float(abs(p - q))
+    warp = lambda a, b: slow_warp(a, b, "symmetric", 4, cost)
+    groups, same, other = {}, {}, {}
+    for found, picks in ((groups, K.partners(v, "vec_id", "label", 15, 0, 5)), (same, K.partners(v, "vec_id", "label", 16, 1, 3)), (other, K.strangers(v, "vec_id", "label", 16, 3))):
+        for r in picks.collect():
+            found.setdefault(r.vec_id, []).append(r.partner)
+    for r in K.weighted_dba(v, "vec_id", "label", "v").collect():
+        ids = sorted(groups[r.vec_id])
+        dist = [[warp(x[a], x[b])[0] if a != b else 0.0 for b in ids] for a in ids]
+        medoid = min(range(len(ids)), key=lambda k: sum(dist[k]))
+        near = sorted(dist[medoid])[1]
+        total, weight = [0.0] * 32, [0.0] * 32
+        for k, i in enumerate(ids):
+            step = dict(warp(x[ids[medoid]], x[i])[1])  # of several steps the last
+            for p, q in step.items():
+                u = 1.0 if k == medoid else 0.5 ** (dist[medoid][k] / near)
+                total[p] += u * x[i][q]
+                weight[p] += u
+        assert np.allclose(r.v, np.array(total) / weight)
+    for r in K.discriminative_warp(v, "vec_id", "label", "v", slices=False).collect():
+        a, b = sorted(same[r.vec_id]), sorted(other[r.vec_id])
+        gain = [np.mean([warp(x[p], x[q])[0] for q in b]) - sum(warp(x[p], x[q])[0] for q in a if q != p) / max(len(a) - 1, 1) for p in a]
+        teacher = x[a[int(np.argmax(gain))]]
+        order = np.array([j for _, j in warp(teacher, x[r.vec_id])[1]])
+        at = np.linspace(0, 31, len(order))
+        assert np.allclose(r.v, np.interp(range(32), at, x[r.vec_id][order]))
+        assert r.warp == pytest.approx(np.abs(np.arange(32) - np.interp(range(32), at, order)).sum())
+
+
+def test_chain_of_augmentation(series):
+    out = K.run_augmentation(series, "vec_id", "label", "pos", "x", 2, ["dtwwarp", "jitter", "windowslice", "wdba"], 32)
+    assert out.groupBy("round", "vec_id").count().filter("count <> 32").count() == 0 and out.select("round").distinct().count() == 3
+    assert out.filter("round = 0").select("vec_id", "label", "pos", "x").exceptAll(series.select("vec_id", "label", "pos", "x")).count() == 0
+    by_hand = K.weighted_dba(K.as_arrays(series, ["vec_id", "label"], "pos", "x"), "vec_id", "label", "v", seed=10000)
+    one = K.augment(series, "vec_id", "label", "pos", "x", ["wdba"], 32, seed=10)
+    assert {(r.vec_id, r.pos): r.x for r in one.collect()} == {(r.vec_id, k): y for r in by_hand.collect() for k, y in enumerate(r.v)}
+    with pytest.raises(ValueError):
+        K.augment(series, "vec_id", "label", "pos", "x", ["none"], 32)
 
 
 def test_unit_root(spark):
