@@ -81,6 +81,16 @@ def lat_weighted_error(df: DataFrame, grid: DataFrame, lat: str, row: str, err:
     return df.join(weights, row).groupBy(*by).agg(F.try_divide(F.sum(err * F.col("w")), F.sum("w")).alias("weighted"), F.avg(err).alias("unweighted"))
 
 
+def masked_lat_weighted_error(df: DataFrame, grid: DataFrame, lat: str, row: str, err: Column, mask: Column, frame: list[str], by: list[str]) -> DataFrame:
+    """The weighted error over the cells where ``mask`` is 1: sum(err w m) over the weights of each frame's cells, averaged over
+    the frames of a group (a frame: one sample, time and channel); the frames count even where nothing is masked in."""
+    weights = grid.select(row, F.cos(F.radians(F.col(lat))).alias("c")).distinct()
+    weights = weights.crossJoin(weights.agg(F.avg("c").alias("m"))).select(row, (F.col("c") / F.col("m")).alias("w_"))  # one row
+    w = F.col("w_") * mask.cast("double")
+    per = df.join(weights, row).groupBy(*by, *[f for f in frame if f not in by]).agg(F.sum(F.when(w > 0, err * w)).alias("s_"), F.sum(w).alias("w_"))
+    return per.groupBy(*by).agg(F.try_divide(F.sum("s_"), F.sum("w_")).alias("masked"), F.count("*").alias("n_frames"))
+
+
 def time_then_mean(df: DataFrame, time: str, err: Column, by: list[str]) -> DataFrame:
     """Mean of the errors of each time, beside the pooled error."""
     per = df.groupBy(*by, time).agg(F.avg(err).alias("e"), F.sum(err).alias("s"), F.count(err).alias("k"))
@@ -166,6 +176,19 @@ def geo_scaler(df: DataFrame, channel: str, value: str, onehot: Column, real: Co
     return df.groupBy(channel).agg(F.when(hot, 0.0).otherwise(F.coalesce(F.avg(v), F.lit(0.0))).alias("mean"), F.when(hot, 1.0).otherwise(F.coalesce(F.stddev_pop(v), F.lit(1.0)) + 1e-6).alias("std"))
 
 
+def target_scaler(stations: DataFrame, trained: DataFrame, key: str, values: list[str], onehot: tuple[str, ...] = ()) -> DataFrame:
+    """(channel, mean, std) of station values (one row a station) over the stations that have training rows, over all if none
+    has; std + 1e-6. One-hot channels stay at (0, 1). Missing values take no part."""
+    marked = stations.join(trained.select(key).distinct().withColumn("used_", F.lit(True)), key, "left")
+    long = marked.select(F.coalesce("used_", F.lit(False)).alias("used_"), *values).unpivot(["used_"], values, "channel", "v")
+    v = F.when(~F.isnan(F.col("v").cast("double")), F.col("v").cast("double"))
+    some = F.count(F.when(F.col("used_"), v)) > 0
+    pick = lambda f: F.when(some, f(F.when(F.col("used_"), v))).otherwise(f(v))
+    hot = F.first("channel").isin(*onehot) if onehot else F.lit(False)
+    mean, std = F.coalesce(pick(F.avg), F.lit(0.0)), F.coalesce(pick(F.stddev_pop), F.lit(1.0)) + 1e-6
+    return long.groupBy("channel").agg(F.when(hot, 0.0).otherwise(mean).alias("mean"), F.when(hot, 1.0).otherwise(std).alias("std"))
+
+
 def window_scaler(series: DataFrame, kept: DataFrame, width: int, rank: str = "rank") -> DataFrame:
     """Mean and std by neighbour rank, each value weighted by the kept windows that hold it.
 

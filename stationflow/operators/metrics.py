@@ -61,6 +61,21 @@ def owa(model: DataFrame, baseline: DataFrame, group: str) -> DataFrame:
     return groups.unionByName(total)
 
 
+#: The groups of the competition that stand alone; the rest are told as Others.
+ALONE = ("Yearly", "Quarterly", "Monthly")
+
+
+def competition_summary(model: DataFrame, baseline: DataFrame, group: str, digits: int = 3) -> DataFrame:
+    """(grp, smape, mase, owa, n): Yearly, Quarterly and Monthly, Others (all other groups weighted by size) and Average, to ``digits`` digits."""
+    named = F.when(F.col(group).isin(*ALONE), F.col(group)).otherwise("Others")
+    mean = lambda x, p: x.groupBy(named.alias("grp")).agg(F.avg("smape").alias(f"smape{p}"), F.avg("mase").alias(f"mase{p}"), F.count("*").alias(f"n{p}"))
+    j = mean(model, "").join(mean(baseline, "_b"), "grp").drop("n_b")
+    w = lambda c: F.try_divide(F.sum(F.col(c) * F.col("n")), F.sum("n"))
+    total = j.agg(*[w(c).alias(c) for c in ("smape", "mase", "smape_b", "mase_b")], F.sum("n").alias("n")).withColumn("grp", F.lit("Average"))
+    owa = (F.try_divide("smape", "smape_b") + F.try_divide("mase", "mase_b")) / 2
+    return j.unionByName(total).select("grp", *[F.round(x, digits).alias(n) for x, n in ((F.col("smape"), "smape"), (F.col("mase"), "mase"), (owa, "owa"))], "n")
+
+
 def anomaly_flags(train: DataFrame, test: DataFrame, score: str, ratio: float) -> DataFrame:
     """Test rows flagged where the score is over the percentile of both parts that leaves ``ratio`` percent."""
     t = train.select(score).unionByName(test.select(score)).agg(F.percentile(score, 1 - ratio / 100).alias("threshold"))  # one row

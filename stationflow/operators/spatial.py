@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from stationflow.functions.expr import EARTH_KM, enu, haversine_km, initial_bearing, station_key, wrap_lon_180
 from stationflow.operators.ordering import seeded
+from stationflow.operators.windows import step_frames
 
 
 def match_station_key(reports: DataFrame, stations: DataFrame, name: str = "station_id") -> DataFrame:
@@ -124,6 +125,26 @@ def regrid_bilinear(field: DataFrame, n_lat: int, n_lon: int, out_lat: int, out_
     return bilinear_sample(field, corners(grid, 0.0, 0.0, 1.0, n_lat, n_lon).select("ti", "tj", "i", "j", "w"), ["ti", "tj"])
 
 
+def regrid_axes(field: DataFrame, lat_axis: list[float], lon_axis: list[float], points: DataFrame) -> DataFrame:
+    """(id, value): linear between the ascending axes at each point (id, lat, lon); NULL outside of them or beside a missing cell."""
+
+    def between(x: Column, axis: list[float]) -> tuple[Column, Column]:
+        ticks = F.array(*[F.lit(float(a)) for a in axis])
+        low = F.least(F.greatest(F.size(F.filter(ticks, lambda a: a <= x)), F.lit(1)), F.lit(len(axis) - 1))  # 1-based
+        a, b = F.element_at(ticks, low), F.element_at(ticks, low + 1)
+        inside = (x >= axis[0]) & (x <= axis[-1])
+        return F.when(inside, low - 1), (x - a) / (b - a)
+
+    (i, u), (j, v) = between(F.col("lat"), lat_axis), between(F.col("lon"), lon_axis)
+    at = points.select("id", i.alias("i0"), j.alias("j0"), u.alias("u"), v.alias("v"))
+    four = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (0, 1) for b in (0, 1)])
+    side = lambda k, w: F.when(F.col(k) == 1, F.col(w)).otherwise(1 - F.col(w))
+    each = at.withColumn("c", F.explode(four)).select("id", (F.col("i0") + F.col("c.a")).alias("i"), (F.col("j0") + F.col("c.b")).alias("j"), (side("c.a", "u") * side("c.b", "v")).alias("w"))
+    got = each.join(field.select("i", "j", F.col("value").alias("x_")), ["i", "j"], "left").groupBy("id")
+    missing = F.count_if((F.col("w") > 0) & (F.col("x_").isNull() | F.isnan("x_")))
+    return got.agg(F.when((missing == 0) & (F.count("w") == 4), F.sum(F.when(F.col("w") > 0, F.col("w") * F.col("x_")))).alias("value"))
+
+
 def map_stations_to_grid(stations: DataFrame, lat0: float, lon0: float, step: float, n_lat: int, n_lon: int, seed: int) -> DataFrame:
     """Every cell of the grid with its number of stations, and one of them by a seeded choice (NULL in an empty cell)."""
     i, j = F.floor((F.col("lat") - lat0) / step + 0.5), F.floor((F.col("lon") - lon0) / step + 0.5)
@@ -133,8 +154,14 @@ def map_stations_to_grid(stations: DataFrame, lat0: float, lon0: float, step: fl
     return grid.join(cells, ["i", "j"], "left").select("i", "j", F.coalesce("n_stations", F.lit(0)).alias("n_stations"), F.col("n_stations").isNotNull().alias("mask"), "station_id")
 
 
-def attach_metadata(df: DataFrame, stations: DataFrame, key: str) -> DataFrame:
-    return df.join(stations, key, "left")
+def attach_metadata(df: DataFrame, stations: DataFrame, key: str, strict: bool = False) -> DataFrame:
+    """Columns of the stations beside each row. ``strict``: keys without a station are an error when the rows are read;
+    otherwise they get NULL."""
+    if not strict:
+        return df.join(stations, key, "left")
+    out = df.join(stations.withColumn("found_", F.lit(True)), key, "left")
+    lost = F.raise_error(F.concat(F.lit(f"no station for {key} "), F.coalesce(F.col(key).cast("string"), F.lit("NULL"))))
+    return out.filter(F.coalesce("found_", lost.cast("boolean"))).drop("found_")
 
 
 def unmatched(df: DataFrame, stations: DataFrame, key: str) -> DataFrame:
@@ -150,10 +177,7 @@ def join_on_time_station(keys: list[str], *tables: DataFrame) -> DataFrame:
 
 def window_join(series: DataFrame, samples: DataFrame, key: str, step: str, value: str, back: int) -> DataFrame:
     """Frames T-back+1 .. T of each sample, NULL for missing ones; samples without any frame go."""
-    want = samples.select(key, F.col(step).alias("t"), F.explode(F.sequence(F.col(step) - (back - 1), F.col(step))).alias(step))
-    got = want.join(series, [key, step], "left").groupBy(key, "t")
-    out = got.agg(F.transform(F.sort_array(F.collect_list(F.struct(step, value))), lambda s: s[value]).alias("frames"), F.count(value).alias("n"))
-    return out.filter("n > 0")
+    return step_frames(series, samples, [key], step, value, back).filter("n > 0").select(key, F.col(step).alias("t"), "frames", F.col("n").cast("long").alias("n"))
 
 
 def dem_mean_3x3(dem: DataFrame, points: DataFrame, lat0: float, lon0: float, step: float, n_lat: int, n_lon: int) -> DataFrame:
@@ -184,15 +208,27 @@ def neighbour_list(edges: DataFrame, k: int) -> DataFrame:
     return edges.filter(F.col("rank") <= k).groupBy("target").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "point"))), lambda s: s["point"]).alias("points"))
 
 
-def neighbour_geometry(edges: DataFrame, targets: DataFrame, points: DataFrame, k: int) -> DataFrame:
-    """East, north, up and height of each neighbour by rank; zeros for ranks that are missing."""
+def neighbour_geometry(edges: DataFrame, targets: DataFrame, points: DataFrame, k: int, n_geo: int = 4, static: DataFrame | None = None) -> DataFrame:
+    """East, north, up and height of each neighbour by rank; with ``n_geo`` 8 also both places; with ``static`` (id, static)
+    the neighbour's vector too. Zeros for ranks that are missing."""
+    if n_geo not in (4, 8):
+        raise ValueError("n_geo must be 4 or 8")
     t = targets.select(F.col("id").alias("target"), F.col("lat").alias("tlat"), F.col("lon").alias("tlon"), F.col("h").alias("th"))
     p = points.select(F.col("id").alias("point"), F.col("lat").alias("plat"), F.col("lon").alias("plon"), F.col("h").alias("ph"))
     e = edges.filter(F.col("rank") <= k).join(t, "target").join(p, "point")
     g = enu("tlat", "tlon", "th", "plat", "plon", "ph")
-    e = e.select("target", "rank", g["east_km"].alias("east_km"), g["north_km"].alias("north_km"), g["up_m"].alias("up_m"), F.col("ph").alias("height_m"))
+    places = {"target_lat": "tlat", "target_lon": "tlon", "lat": "plat", "lon": "plon"} if n_geo == 8 else {}
+    columns = [g["east_km"].alias("east_km"), g["north_km"].alias("north_km"), g["up_m"].alias("up_m"), F.col("ph").alias("height_m"), *[F.col(c).alias(n) for n, c in places.items()]]
+    if static is not None:
+        e = e.join(static.select(F.col("id").alias("point"), "static"), "point", "left")
+        columns.append("static")
+    e = e.select("target", "rank", *columns)
     every = edges.select("target").distinct().withColumn("rank", F.explode(F.sequence(F.lit(1), F.lit(k))))
-    return every.join(e, ["target", "rank"], "left").na.fill(0.0)
+    out = every.join(e, ["target", "rank"], "left").na.fill(0.0)
+    if static is not None:
+        size = static.agg(F.coalesce(F.max(F.size("static")), F.lit(0)).alias("n_static_"))  # one row
+        out = out.crossJoin(F.broadcast(size)).withColumn("static", F.coalesce("static", F.array_repeat(F.lit(0.0), F.col("n_static_")))).drop("n_static_")
+    return out
 
 
 def fuse_fields(a: DataFrame, b: DataFrame, channel: str, axis: list[str]) -> DataFrame:

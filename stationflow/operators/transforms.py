@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -117,10 +119,22 @@ def fourier_extrapolate(df: DataFrame, by: str, pos: str, value: str, k: int, le
     return rebuild(strongest(spec, by, k), by, F.lit(True), length + horizon)
 
 
-def autocorrelation(df: DataFrame, by: str, pos: str, value: str, length: int) -> DataFrame:
-    """(series, lag, r): circular correlation of each series with itself, for series of up to some hundred steps."""
+def autocorrelation(df: DataFrame, by: str, pos: str, value: str, length: int, short: int = 256) -> DataFrame:
+    """(series, lag, r): circular correlation of each series with itself.
+
+    Sums of products for series of up to ``short`` steps, where they are native and cheap; by the spectrum, in length times its
+    logarithm, for longer ones.
+    """
     a = df.select(by, F.col(pos).alias("p"), F.col(value).alias("x"))
     listed = a.groupBy(by).agg(F.transform(F.sort_array(F.collect_list(F.struct("p", "x"))), lambda s: s["x"]).alias("v"))
+    if length > short:
+
+        def spectra(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                yield b[[by]].assign(r=[np.fft.irfft(np.abs(np.fft.rfft(np.asarray(v, float))) ** 2, length).tolist() for v in b["v"]])
+
+        kind = dict(df.dtypes)[by]
+        return listed.mapInPandas(spectra, f"{by} {kind}, r array<double>").select(by, F.posexplode("r").alias("lag", "r"))
     r = lambda lag: F.aggregate(F.zip_with(F.col("v"), F.concat(F.slice("v", lag + 1, F.lit(length) - lag), F.slice("v", 1, lag)), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     return listed.select(by, F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(length - 1)), r)).alias("lag", "r"))
 
@@ -158,6 +172,20 @@ def wavelet_decompose(df: DataFrame, by: str, pos: str, value: str, level: int,
     return out.unionByName(cur.select(by, F.lit(level).alias("level"), F.lit("low").alias("band"), "pos", "v"))
 
 
+def wavelet_reconstruct(bands: DataFrame, by: str, level: int, low: tuple[float, ...] = (0.5**0.5, 0.5**0.5)) -> DataFrame:
+    """(series, pos, v): the inverse of ``wavelet_decompose``, level by level. With filters of more than two taps the
+    positions near an end whose taps were cut off don't come back whole."""
+    m = len(low)
+    taps = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(low[k]).alias("lo"), F.lit((-1) ** k * low[m - 1 - k]).alias("hi")) for k in range(m)])
+    cur = bands.filter("band = 'low'").select(by, "pos", "v")
+    for lev in range(level, 0, -1):
+        high = bands.filter((F.col("band") == "high") & (F.col("level") == lev)).select(by, "pos", F.col("v").alias("h_"))
+        both = cur.join(high, [by, "pos"], "full").withColumn("t", F.explode(taps))
+        part = F.coalesce(F.col("v"), F.lit(0.0)) * F.col("t.lo") + F.coalesce(F.col("h_"), F.lit(0.0)) * F.col("t.hi")
+        cur = both.groupBy(by, (2 * F.col("pos") + F.col("t.k")).alias("pos")).agg(F.sum(part).alias("v"))
+    return cur
+
+
 def damped_trend(growth: Column, phi: float, h: Column) -> Column:
     """The last growth times phi + phi^2 + ... + phi^h."""
     return growth * (phi * (1 - F.pow(F.lit(phi), h)) / (1 - phi))

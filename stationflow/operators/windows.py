@@ -11,7 +11,27 @@ from stationflow.operators.ordering import seeded
 def complete_window(series: DataFrame, keys: list[str], step: str, value: str, width: int) -> DataFrame:
     """Adds complete: all of the last ``width`` steps are there and finite. Gaps need no filling in."""
     w = Window.partitionBy(*keys).orderBy(step).rangeBetween(-(width - 1), 0)
-    return series.withColumn("complete", F.count(value).over(w) == width)
+    return series.withColumn("complete", F.count(F.when(_finite(value), 1)).over(w) == width)
+
+
+def _finite(value: str) -> Column:
+    """Not NULL, NaN or infinite."""
+    v = F.col(value).cast("double")
+    return v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))
+
+
+def step_frames(series: DataFrame, wanted: DataFrame, keys: list[str], step: str, value: str, width: int) -> DataFrame:
+    """(keys, step, frames, n): for each row of ``wanted`` the finite values at the last ``width`` steps, NULL for missing ones.
+
+    Wanted steps are put among the steps of their series and look back over a RANGE frame: one shuffle by the
+    keys, and no row for each step of each window.
+    """
+    rows = series.select(*keys, step, F.when(_finite(value), F.struct(F.col(step).alias("s"), F.col(value).cast("double").alias("v"))).alias("x_"), F.lit(False).alias("asks_"))
+    asked = wanted.select(*keys, step).distinct().withColumn("x_", F.lit(None).cast(rows.schema["x_"].dataType)).withColumn("asks_", F.lit(True))
+    w = Window.partitionBy(*keys).orderBy(step).rangeBetween(-(width - 1), 0)
+    got = rows.unionByName(asked).withColumn("m_", F.map_from_entries(F.collect_list("x_").over(w))).filter("asks_")
+    at = F.sequence(F.col(step) - (width - 1), F.col(step))
+    return got.select(*keys, step, F.transform(at, lambda i: F.col("m_")[i]).alias("frames"), F.size("m_").alias("n"))
 
 
 def valid_neighbours(edges: DataFrame, complete: DataFrame, target: str, station: str, step: str) -> DataFrame:
@@ -125,6 +145,18 @@ def downsample(df: DataFrame, by: list[str], pos: str, value: str, width: int, k
     return g.filter(F.col("n_") == width).drop("n_")
 
 
+def downsample_levels(df: DataFrame, by: list[str], pos: str, value: str, mark: str, width: int, levels: int, kind: str = "avg") -> DataFrame:
+    """(by, level, bin, v, mark): a series at full length (level 0) and ``levels`` times downsampled, each from the one before,
+    with the mark of the first position of every run."""
+    out = now = df.select(*by, F.lit(0).alias("level"), F.col(pos).cast("long").alias("bin"), F.col(value).cast("double").alias("v"), F.col(mark).alias("mark"))
+    for k in range(1, levels + 1):
+        values = downsample(now, by, "bin", "v", width, kind)
+        marks = now.filter(F.col("bin") % width == 0).select(*by, F.floor(F.col("bin") / width).alias("bin"), "mark")
+        now = values.join(marks, [*by, "bin"]).select(*by, F.lit(k).alias("level"), "bin", "v", "mark")
+        out = out.unionByName(now)
+    return out
+
+
 def even_odd(df: DataFrame, pos: str) -> DataFrame:
     return df.withColumn("half", F.when(F.col(pos) % 2 == 0, "even").otherwise("odd")).withColumn("at", F.floor(F.col(pos) / 2))
 
@@ -154,14 +186,45 @@ def gate_by_validity(df: DataFrame, target: list[str], rank: str, valid: Column,
     return got.select(*target, F.transform(F.sequence(F.lit(1), F.lit(k)), lambda i: F.coalesce(F.element_at("m", i.cast("long")), F.lit(0.0))).alias("x"))
 
 
-def assemble_samples(index: DataFrame, edges: DataFrame, series: DataFrame, target: str, station: str, step: str, value: str, width: int, k: int) -> DataFrame:
-    """x (width x k) of each sample: the window of each neighbour by rank, zeros for missing values and ranks.
+def assemble_samples(index: DataFrame, edges: DataFrame, series: DataFrame, target: str, station: str, step: str, value: str, width: int, k: int, geometry: tuple[str, ...] = (), mean: float = 0.0, std: float = 1.0, y: DataFrame | None = None, marks=None, features: DataFrame | None = None, background: DataFrame | None = None, target_background: DataFrame | None = None) -> DataFrame:
+    """One row a sample of ``index`` (target, step as t) with what a model takes in:
+
+    x (width x k, scaled windows of the neighbours by rank), geometry (k x columns of ``edges``) and bg (k x values of
+    ``background`` (station, step, bg) at T), all 0 for a neighbour whose window isn't complete and for missing ranks;
+    y and bg_target at T from ``y`` (target, step, y) and ``target_background`` (target, step, bg), features from
+    ``features`` (target, features), 0 for what is missing; marks at all steps and mark_t at T by the function ``marks``
+    of a step. Arrays of double; parts that aren't given are left out.
 
-    A sample's steps are listed and joined on (station, step): no range join.
+    The window of each (station, T) is made once and joined to the samples that use it: k rows a sample.
     """
-    want = index.select(target, F.col(step).alias("t"), F.explode(F.sequence(F.col(step) - (width - 1), F.col(step))).alias(step)).join(edges, target)
-    got = want.join(series, [station, step], "left")
-    at = F.col(step) - F.col("t") + (width - 1)
-    row = got.groupBy(target, "t", at.alias("pos")).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.col("rank").cast("long").alias("rank"), F.coalesce(value, F.lit(0.0)).alias("v"))))).alias("m"))
-    row = row.withColumn("x", F.transform(F.sequence(F.lit(1), F.lit(k)), lambda i: F.coalesce(F.element_at("m", i.cast("long")), F.lit(0.0))))
-    return row.groupBy(target, "t").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "x"))), lambda s: s["x"]).alias("x"))
+    want = index.select(target, F.col(step).alias(step)).distinct().join(edges.filter(F.col("rank") <= k).select(target, station, "rank", *geometry), target)
+    frames = step_frames(series, want.select(station, step), [station], step, value, width)
+    near = want.join(frames, [station, step])
+    zero = F.lit(0.0)
+    parts = [F.col("rank").cast("long").alias("rank"), F.transform("frames", lambda v: (v - mean) / std).alias("x"), F.array(*[F.coalesce(F.col(g).cast("double"), zero) for g in geometry]).cast("array<double>").alias("g")]
+    if background is not None:
+        near = near.join(background.select(station, step, F.col("bg").alias("b_")), [station, step], "left")
+        parts.append(F.transform("b_", lambda v: F.coalesce(v, zero)).alias("b"))
+    listed = F.collect_list(F.when(F.col("n") == width, F.struct(*parts)))
+    row = near.groupBy(target, F.col(step).alias("t")).agg(F.map_from_entries(F.transform(listed, lambda p: F.struct(p["rank"], p))).alias("m"))
+    ranks, at = F.sequence(F.lit(1), F.lit(k)), F.sequence(F.lit(1), F.lit(width))
+    there = lambda r: F.col("m")[r.cast("long")]
+    row = row.withColumn("x", F.transform(at, lambda p: F.transform(ranks, lambda r: F.coalesce(F.get(there(r)["x"], p - 1), zero))))
+    out = ["x"]
+
+    def gated(field: str, size: Column) -> Column:
+        return F.transform(ranks, lambda r: F.coalesce(there(r)[field], F.array_repeat(zero, size)))
+
+    if geometry:
+        row, out = row.withColumn("geometry", gated("g", F.lit(len(geometry)))), [*out, "geometry"]
+    if background is not None:
+        n = background.agg(F.coalesce(F.max(F.size("bg")), F.lit(0)).alias("n_bg_"))  # one row
+        row, out = row.crossJoin(F.broadcast(n)).withColumn("bg", gated("b", F.col("n_bg_"))), [*out, "bg"]
+    if marks is not None:
+        row = row.withColumn("marks", F.transform(F.sequence(F.col("t") - (width - 1), F.col("t")), marks)).withColumn("mark_t", marks(F.col("t")))
+        out = [*out, "marks", "mark_t"]
+    for name, table, column, keyed in (("y", y, "y", True), ("bg_target", target_background, "bg", True), ("features", features, "features", False)):
+        if table is not None:
+            right = table.select(target, *([F.col(step).alias("t")] if keyed else []), F.transform(column, lambda v: F.coalesce(F.nanvl(v.cast("double"), zero), zero)).alias(name))
+            row, out = row.join(right, [target, *(["t"] if keyed else [])], "left"), [*out, name]
+    return row.select(target, "t", *out)

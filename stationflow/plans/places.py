@@ -133,12 +133,12 @@ def e13_missing(spark, d):
     return E.unmatched(targets(spark, d).select("id"), neighbours(spark, d).select("id"), "id")
 
 
-@query(f"""WITH {SERIES_DAY}, s AS (SELECT station, day AS t FROM series_day WHERE day % 2 = 0), w AS (SELECT s.station, s.t, unnest(range(t - 2, t + 1)) AS day FROM s)
+@query(f"""WITH {SERIES_DAY}, s AS (SELECT station, day AS t FROM series_day), w AS (SELECT s.station, s.t, unnest(range(t - 2, t + 1)) AS day FROM s)
  SELECT station, t, count(v) AS n, {r('sum(v)', 'total')} FROM w LEFT JOIN series_day USING (station, day) GROUP BY station, t HAVING count(v) > 0""")
 def e14_window_join(spark, d):
     """Frames of each sample's window."""
     s = series_day(spark, d)
-    out = E.window_join(s, s.filter("day % 2 = 0").select("station", "day"), "station", "day", "v", 3)
+    out = E.window_join(s, s.select("station", "day"), "station", "day", "v", 3)
     return rounded(out.select("station", "t", "n", F.aggregate("frames", F.lit(0.0), lambda a, x: a + F.coalesce(x, F.lit(0.0))).alias("total")))
 
 
@@ -182,6 +182,22 @@ def e19_geometry(spark, d):
     return E.neighbour_geometry(E.radius_knn_join(t, p, 100.0, 5), t, p, 5).select("target", "rank", "up_m", "height_m")
 
 
+@query(f"WITH {POINTS}, {_NEAR}, {_RANKED}, t AS (SELECT DISTINCT target FROM ranked), k AS (SELECT target, unnest(range(1, 6)) AS rank FROM t) SELECT k.target, k.rank, coalesce(dh, 0) AS up_m, coalesce(p.h, 0) AS height_m, {r('CASE WHEN p.id IS NULL THEN 0 ELSE g.lat END', 'target_lat')}, {r('coalesce(p.lon, 0)', 'lon')}, {r('coalesce(p.h + 2 * p.lat, 0)', 'static')} FROM k LEFT JOIN ranked USING (target, rank) LEFT JOIN points p ON p.id = point LEFT JOIN targets g ON g.id = k.target")
+def e19_geometry8(spark, d):
+    """With both places and a static vector."""
+    t, p = targets(spark, d), neighbours(spark, d)
+    static = p.select("id", F.array("h", "lat").alias("static"))
+    out = E.neighbour_geometry(E.radius_knn_join(t, p, 100.0, 5), t, p, 5, 8, static)
+    return rounded(out.select("target", "rank", "up_m", "height_m", "target_lat", "lon", (F.col("static")[0] + 2 * F.col("static")[1]).alias("static")))
+
+
+@query(f"""WITH {POINTS}, {FIELD}, a AS (SELECT id, CASE WHEN lat <= 36.5 + 0.25 * 59 THEN least(CAST(floor((lat - 36.5) / 0.25) AS BIGINT), 58) END AS i0, least(CAST(floor((lon + 5.25) / 0.25) AS BIGINT), 118) AS j0, (lat - 36.5) / 0.25 AS y, (lon + 5.25) / 0.25 AS x FROM targets)
+ SELECT a.id, {r('sum((1 - abs(y - i)) * (1 - abs(x - j)) * value)', 'value', 4)} FROM a LEFT JOIN field ON i BETWEEN i0 AND i0 + 1 AND j BETWEEN j0 AND j0 + 1 GROUP BY a.id""")
+def e9_regrid_axes(spark, d):
+    """Linear between given axes, NULL outside."""
+    return rounded(E.regrid_axes(field(spark, d), [36.5 + 0.25 * k for k in range(60)], [-5.25 + 0.25 * k for k in range(120)], targets(spark, d)), 4)
+
+
 @query(f"WITH {PAIRS}, f AS (SELECT channel, day, max(an) AS value FROM pairs GROUP BY channel, day), g AS (SELECT channel, day, max(obs) AS value FROM pairs WHERE day % 2 = 0 GROUP BY channel, day) SELECT day, channel, {r('value', 'value', 6)} FROM f WHERE channel <> 'NO' UNION ALL SELECT day, 'NO', {r('value', 'value', 6)} FROM (SELECT DISTINCT day FROM f) LEFT JOIN (SELECT * FROM g WHERE channel = 'NO') USING (day)")
 def e20_fuse(spark, d):
     """One channel from another source."""

@@ -217,6 +217,21 @@ def g25_wavelet(spark, d):
     return rounded(X.wavelet_decompose(labelled_series(spark, d), "vec_id", "pos", "x", 2))
 
 
+@query(f"WITH {LABELLED} SELECT vec_id, pos, {r('x', 'v')} FROM labelled")
+def g25_inverse(spark, d):
+    """The series back from its bands."""
+    bands = X.wavelet_decompose(labelled_series(spark, d), "vec_id", "pos", "x", 3)
+    return rounded(X.wavelet_reconstruct(bands, "vec_id", 3).select("vec_id", F.col("pos").cast("long").alias("pos"), "v"))
+
+
+@query(f"""WITH {LABELLED}, l1 AS (SELECT vec_id, pos // 3 AS bin, avg(x) AS v, min(pos) % 7 AS mark, count(*) AS n FROM labelled GROUP BY vec_id, pos // 3 HAVING count(*) = 3), l2 AS (SELECT vec_id, bin // 3 AS bin, avg(v) AS v, arg_min(mark, bin) AS mark FROM l1 GROUP BY vec_id, bin // 3 HAVING count(*) = 3)
+ SELECT vec_id, 0 AS level, pos AS bin, {r('x', 'v')}, pos % 7 AS mark FROM labelled UNION ALL SELECT vec_id, 1, bin, {r('v', 'v')}, mark FROM l1 UNION ALL SELECT vec_id, 2, bin, {r('v', 'v')}, mark FROM l2""")
+def g16_levels(spark, d):
+    """Several levels, marks by the stride."""
+    s = labelled_series(spark, d).withColumn("mark", F.col("pos") % 7)
+    return rounded(G.downsample_levels(s, ["vec_id"], "pos", "x", "mark", 3, 2))
+
+
 @query(f"WITH {LABELLED} SELECT vec_id, pos, {r('x - lag(x, 12) OVER (PARTITION BY vec_id ORDER BY pos)', 'diff')} FROM labelled")
 def g26_seasonal_diff(spark, d):
     """Difference to a season before."""
@@ -232,16 +247,35 @@ def g27_gate(spark, d):
     return rounded(out.select("target", "day", *[F.element_at("x", k).alias(f"x{k}") for k in (1, 2, 3)]))
 
 
-@query(f"""WITH {SERIES_DAY}, {POINTS}, {_EDGES}, s AS (SELECT DISTINCT e.target, d.day AS t FROM edges e JOIN series_day d ON d.station = e.station WHERE d.day % 5 = 0), w AS (SELECT target, t, unnest(range(t - 2, t + 1)) AS day FROM s)
- SELECT w.target, w.t, {r('sum(coalesce(d.v, 0))', 'total', 5)}, {r('sum(coalesce(d.v, 0) * e.rank * (w.day - w.t + 3))', 'weighted', 4)} FROM w JOIN edges e ON e.target = w.target LEFT JOIN series_day d ON d.station = e.station AND d.day = w.day GROUP BY w.target, w.t""")
+@query(f"""WITH {SERIES_DAY}, {_COMPLETE}, {POINTS}, {_EDGES}, s AS (SELECT DISTINCT e.target, d.day AS t FROM edges e JOIN series_day d ON d.station = e.station),
+ ok AS (SELECT s.target, s.t, e.rank, e.station, p.h - g.h AS up FROM s JOIN edges e ON e.target = s.target JOIN complete c ON c.station = e.station AND c.day = s.t AND c.complete JOIN points p ON p.id = e.station JOIN targets g ON g.id = s.target),
+ x AS (SELECT ok.target, ok.t, sum(d.v / 2) AS total, sum(d.v / 2 * ok.rank * (d.day - ok.t + 3)) AS weighted FROM ok JOIN series_day d ON d.station = ok.station AND d.day BETWEEN ok.t - 2 AND ok.t GROUP BY ok.target, ok.t),
+ n AS (SELECT ok.target, ok.t, sum(ok.up * ok.rank) AS up, sum(b.n * ok.rank) AS bg FROM ok LEFT JOIN (SELECT station, day, count(*) AS n FROM reports GROUP BY station, day) b ON b.station = ok.station AND b.day = ok.t GROUP BY ok.target, ok.t)
+ SELECT s.target, s.t, {r('coalesce(x.total, 0)', 'total', 5)}, {r('coalesce(weighted, 0)', 'weighted', 4)}, {r('coalesce(up, 0)', 'up', 4)}, {r('coalesce(n.bg, 0)', 'bg')}, {r('CASE WHEN y.station IS NOT NULL THEN coalesce(y.v, 0) END', 'y', 5)}, {r('(s.t - 2) % 7 + 10 * ((s.t - 1) % 7) + 100 * (s.t % 7)', 'marks')}, {r('s.t % 7', 'mark_t')}, {r('g.h', 'height')}, {r('q.n', 'bg_target')}
+ FROM s JOIN targets g ON g.id = s.target LEFT JOIN x ON x.target = s.target AND x.t = s.t LEFT JOIN n ON n.target = s.target AND n.t = s.t LEFT JOIN series_day y ON y.station = s.target AND y.day = s.t
+ LEFT JOIN (SELECT station, day, count(*) AS n FROM reports GROUP BY station, day) q ON q.station = s.target AND q.day = s.t""")
 def g28_assemble(spark, d):
-    """Samples as steps x neighbours."""
-    s, e = series_day(spark, d), _edges(spark, d)
-    idx = e.select("target", "station").join(s.filter("day % 5 = 0"), "station").select("target", "day").distinct()
-    x = G.assemble_samples(idx, e, s, "target", "station", "day", "v", 3, 3)
-    total = F.aggregate(F.flatten("x"), F.lit(0.0), lambda a, v: a + v)
-    weighted = F.aggregate(F.transform("x", lambda row, i: F.aggregate(F.transform(row, lambda v, k: v * (k + 1)), F.lit(0.0), lambda a, v: a + v) * (i + 1)), F.lit(0.0), lambda a, v: a + v)
-    return x.select("target", "t", F.round(total, 5).alias("total"), F.round(weighted, 4).alias("weighted"))
+    """Samples with inputs, target, marks, geometry, features and background."""
+    s, t, p = series_day(spark, d), targets(spark, d), neighbours(spark, d)
+    up = t.select(F.col("id").alias("target"), F.col("h").alias("th"))
+    e = _edges(spark, d).join(up, "target").join(p.select(F.col("id").alias("station"), "h"), "station").withColumn("up", F.col("h") - F.col("th"))
+    idx = e.select("target", "station").join(s, "station").select("target", "day").distinct()
+    bg = reports(spark, d).groupBy("station", "day").agg(F.array(F.count("*").cast("double")).alias("bg"))
+    x = G.assemble_samples(
+        idx, e, s, "target", "station", "day", "v", 3, 3, ("up",), 0.0, 2.0,
+        y=s.select(F.col("station").alias("target"), "day", F.array("v").alias("y")),
+        marks=lambda step: F.array((step % 7).cast("double")),
+        features=t.select(F.col("id").alias("target"), F.array("h").alias("features")),
+        background=bg, target_background=bg.withColumnRenamed("station", "target"),
+    )
+    add = lambda a: F.aggregate(a, F.lit(0.0), lambda u, v: u + v)
+    by_rank = lambda a: add(F.transform(a, lambda v, k: F.element_at(v, 1) * (k + 1)))
+    total = add(F.flatten("x"))
+    weighted = add(F.transform("x", lambda row, i: add(F.transform(row, lambda v, k: v * (k + 1))) * (i + 1)))
+    marks = F.element_at(F.col("marks")[0], 1) + 10 * F.element_at(F.col("marks")[1], 1) + 100 * F.element_at(F.col("marks")[2], 1)
+    one = {"y": F.element_at("y", 1), "marks": marks, "mark_t": F.element_at("mark_t", 1), "height": F.element_at("features", 1), "bg_target": F.element_at("bg_target", 1), "up": by_rank(F.col("geometry")), "bg": by_rank(F.col("bg"))}
+    out = x.select("target", "t", total.alias("total"), weighted.alias("weighted"), *[v.alias(k) for k, v in one.items()])
+    return out.select("target", "t", *[F.round(c, n).alias(c) for c, n in (("total", 5), ("weighted", 4), ("up", 4), ("y", 5), ("bg", 6), ("marks", 6), ("mark_t", 6), ("height", 6), ("bg_target", 6))])
 
 
 @query(f"WITH {REPORTS} SELECT event_id, CAST(max(CASE WHEN value IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY station, day) AS BIGINT) AS mask, {r('coalesce(value, 0)', 'filled')} FROM reports")

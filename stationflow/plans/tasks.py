@@ -88,6 +88,20 @@ def m6_owa(spark, d):
     return rounded(M.owa(e("p"), e("b"), "grp"), 4)
 
 
+_NAMES = "CASE s % 6 WHEN 0 THEN 'Yearly' WHEN 1 THEN 'Quarterly' WHEN 2 THEN 'Monthly' WHEN 3 THEN 'Weekly' WHEN 4 THEN 'Daily' ELSE 'Hourly' END"
+
+
+@query(f"""WITH {_M4.format(cols=_m4_sql('p') + ', ' + _m4_sql('b'))}, g AS (SELECT CASE WHEN s % 6 < 3 THEN {_NAMES} ELSE 'Others' END AS grp, avg(smape_p) AS sm, avg(mae_p / scale) AS ma, avg(smape_b) AS sb, avg(mae_b / scale) AS mb, count(*) AS n FROM er LEFT JOIN sc USING (s) GROUP BY 1),
+ t AS (SELECT * FROM g UNION ALL SELECT 'Average', sum(sm * n) / sum(n), sum(ma * n) / sum(n), sum(sb * n) / sum(n), sum(mb * n) / sum(n), CAST(sum(n) AS BIGINT) FROM g)
+ SELECT grp, {r('sm', 'smape', 3)}, {r('ma', 'mase', 3)}, {r('(sm / sb + ma / mb) / 2', 'owa', 3)}, n FROM t""")
+def m6_summary(spark, d):
+    """M6: by named group, the rest together, and overall."""
+    train, test = _m4(spark, d)
+    name = F.element_at(F.array(*[F.lit(x) for x in ("Yearly", "Quarterly", "Monthly", "Weekly", "Daily", "Hourly")]), (F.col("s") % 6 + 1).cast("int"))
+    e = lambda p: M.competition_errors(test, ["s"], "m", "y", p, train, 12).withColumn("grp", name)
+    return M.competition_summary(e("p"), e("b"), "grp")
+
+
 _RUNS = "runs AS (SELECT doc_id, CAST(toxic AS BIGINT) AS truth, CAST(n_chars AS DOUBLE) AS score FROM documents JOIN labels USING (doc_id)), th AS (SELECT quantile_cont(score, 0.75) AS t FROM (SELECT score FROM runs WHERE doc_id % 2 = 0 UNION ALL SELECT score FROM runs WHERE doc_id % 2 = 1)), fl AS (SELECT doc_id, truth, CAST(score > t AS BIGINT) AS pred FROM runs, th WHERE doc_id % 2 = 1)"
 _ADJ = "ad AS (SELECT *, sum(s) OVER (PARTITION BY doc_id // 1000 ORDER BY doc_id) AS run FROM (SELECT *, CASE WHEN truth <> lag(truth) OVER (PARTITION BY doc_id // 1000 ORDER BY doc_id) THEN 1 ELSE 0 END AS s FROM fl)), aj AS (SELECT doc_id, truth, pred, CASE WHEN truth = 1 THEN max(pred) OVER (PARTITION BY doc_id // 1000, run) ELSE pred END AS adjusted FROM ad)"
 

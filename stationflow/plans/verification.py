@@ -47,6 +47,13 @@ def f5_geo_scaler(spark, d):
     return rounded(A.geo_scaler(pairs(spark, d), "channel", "an", F.col("channel").startswith("N"), F.col("j") < 60), 4)
 
 
+@query(f"""WITH {SERIES_DAY}, {POINTS}, u AS (SELECT * FROM targets WHERE id IN (SELECT station FROM series_day)) SELECT 'h' AS channel, {r('avg(h)', 'mean', 4)}, {r('stddev_pop(h) + 1e-6', 'std', 4)} FROM u UNION ALL SELECT 'lat', {r('avg(lat)', 'mean', 4)}, {r('stddev_pop(lat) + 1e-6', 'std', 4)} FROM u UNION ALL SELECT 'lon', 0, 1""")
+def f5_target_scaler(spark, d):
+    """scaler of target heights over the stations with training rows."""
+    trained = series_day(spark, d).select(F.col("station").alias("id"))
+    return rounded(A.target_scaler(targets(spark, d), trained, "id", ["h", "lat", "lon"], ("lon",)), 4)
+
+
 @query(f"""WITH {PAIRS} SELECT channel, count(*) AS n, {r('avg(bg - an)', 'mean', 4)}, {r('stddev_pop(bg - an)', 'std_all', 4)}, count(*) FILTER (WHERE (i + j) % 7 = 0) AS n_station, {r('stddev_pop(bg - an) FILTER (WHERE (i + j) % 7 = 0)', 'std_station', 4)} FROM pairs GROUP BY channel""")
 def f6_background_std(spark, d):
     """spread of forecast minus analysis, all and station cells."""
@@ -114,6 +121,15 @@ def f12_lat_weighted(spark, d):
     return rounded(A.lat_weighted_error(pairs(spark, d), grid, "lat", "i", F.abs(F.col("an") - F.col("obs")), ["channel"]), 4)
 
 
+@query(f"""WITH {PAIRS}, w AS (SELECT i, cos(radians(36.5 + 0.25 * i)) / (SELECT avg(cos(radians(36.5 + 0.25 * i))) FROM range(80) x(i)) AS w FROM range(80) g(i))
+ SELECT channel, {r('sum(CASE WHEN (i + j) % 3 = 0 THEN abs(an - obs) * w END) / sum(CASE WHEN (i + j) % 3 = 0 THEN w END)', 'masked', 4)}, count(DISTINCT day) AS n_frames FROM pairs JOIN w USING (i) GROUP BY channel""")
+def f12_masked(spark, d):
+    """the same over masked cells, averaged over the frames."""
+    grid = spark.range(80).select(F.col("id").alias("i"), (36.5 + 0.25 * F.col("id")).alias("lat"))
+    mask = (F.col("i") + F.col("j")) % 3 == 0
+    return rounded(A.masked_lat_weighted_error(pairs(spark, d), grid, "lat", "i", F.abs(F.col("an") - F.col("obs")), mask, ["channel", "day"], ["channel"]), 4)
+
+
 @query(f"WITH {PAIRS}, t AS (SELECT channel, day, avg(abs(an - obs)) AS e, sum(abs(an - obs)) AS s, count(*) AS k FROM pairs GROUP BY channel, day) SELECT channel, {r('avg(e)', 'time_mean', 4)}, {r('sum(s) / sum(k)', 'pooled', 4)}, count(*) AS n_times FROM t GROUP BY channel")
 def f13_time_then_mean(spark, d):
     """mean over times beside the pooled error."""
@@ -176,11 +192,11 @@ def f22_partial_mean(spark, d):
     return rounded(A.partial_mean(pairs(spark, d), F.col("l_orderkey") % 8, ["channel"], "an"), 4)
 
 
-@query(f"WITH {PAIRS}, {_MASKS}, n AS (SELECT i, j, count(l_orderkey) AS n FROM cells LEFT JOIN (SELECT * FROM pairs WHERE l_orderkey % 7 = 0) p USING (i, j) GROUP BY i, j) SELECT count(*) FILTER (WHERE n = 0) AS empty, count(*) FILTER (WHERE n = 1) AS one, count(*) FILTER (WHERE n > 1) AS many FROM n")
+@query(f"WITH {PAIRS}, {_MASKS}, n AS (SELECT i, j, count(l_orderkey) AS n FROM cells LEFT JOIN pairs p USING (i, j) GROUP BY i, j) SELECT count(*) FILTER (WHERE n = 0) AS empty, count(*) FILTER (WHERE n = 1) AS one, count(*) FILTER (WHERE n > 1) AS many FROM n")
 def f23_cell_summary(spark, d):
     """cells with none, one and many."""
     cells = _masks(spark).filter("mask = 'all'").select("i", "j")
-    n = cells.join(pairs(spark, d).filter("l_orderkey % 7 = 0"), ["i", "j"], "left").groupBy("i", "j").agg(F.count("l_orderkey").alias("n"))
+    n = cells.join(pairs(spark, d), ["i", "j"], "left").groupBy("i", "j").agg(F.count("l_orderkey").alias("n"))
     return A.cell_summary(n, "n")
 
 
@@ -231,11 +247,11 @@ def i4_limit_size(spark, d):
 
 
 @query(f"""WITH {SERIES_DAY}, a AS (SELECT station, day, (day // 3) AS chunk, row_number() OVER (PARTITION BY day // 3 ORDER BY ((station * 10007 + day) * 1103515245 + 7) % 2147483647, station, day) - 1 AS i FROM series_day)
- SELECT station, day, chunk, CAST(i // 64 AS BIGINT) AS batch FROM a""")
+ SELECT station, day, chunk, CAST(i // 64 AS BIGINT) AS batch, pl - 1 AS chunk_at FROM a JOIN (SELECT chunk, row_number() OVER (ORDER BY (chunk * 1103515245 + 7) % 2147483647, chunk) AS pl FROM (SELECT DISTINCT chunk FROM a)) USING (chunk)""")
 def i5_batches(spark, d):
     """Shuffled batches within time chunks."""
     s = series_day(spark, d).withColumn("k", F.col("station") * 10007 + F.col("day"))
-    return O.grouped_batches(s, F.floor(F.col("day") / 3), "k", 64, 7, ["station", "day"]).select("station", "day", "chunk", "batch")
+    return O.grouped_batches(s, F.floor(F.col("day") / 3), "k", 64, 7, ["station", "day"]).select("station", "day", "chunk", "batch", "chunk_at")
 
 
 @query(f"WITH {POINTS} SELECT id, lat, 't' AS src FROM targets UNION ALL SELECT id, lat, 'p' FROM points")
