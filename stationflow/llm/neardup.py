@@ -183,7 +183,7 @@ def _within(rows: DataFrame) -> DataFrame:
     many = rows.filter("blocks > 1")
     hashed = F.struct(F.xxhash64("group", "doc").alias("h"), "doc")
     pivots = many.groupBy("group").agg(F.array(F.min(hashed), F.max(hashed)).alias("p")).select("group", F.explode("p.doc").alias("doc")).distinct()
-    guests = many.join(pivots, ["group", "doc"]).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)))
+    guests = join_small(many, pivots, ["group", "doc"]).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)))
     return own.unionByName(guests.select(own.columns)).withColumn("j", F.lit(0)).withColumn("side", F.lit(0)).withColumn("part", F.col("doc"))
 
 
@@ -197,7 +197,7 @@ def _across(rows: DataFrame, parts: DataFrame) -> DataFrame:
     sizes = many.groupBy("group", "part").agg(F.count("*").alias("rows"))
     groups = sizes.groupBy("group").agg(F.max(F.struct("rows", "part"))["part"].alias("main"), F.sum("rows").alias("all"), F.max("rows").alias("most")).filter(F.col("all") > F.col("most"))
     share = F.ceil(F.col("blocks") * (F.col("all") - F.col("most")) / F.col("all")).cast("int")
-    many = many.join(groups, "group").withColumn("share", F.greatest(share, F.lit(1)))
+    many = join_small(many, groups, "group").withColumn("share", F.greatest(share, F.lit(1)))
     block = F.pmod(F.xxhash64("doc", "group"), "blocks").cast("int")
     rest = many.filter("part <> main").withColumn("i", F.pmod(F.xxhash64("group", "doc"), "share").cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1))).withColumn("side", F.lit(0))
     every = many.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("share") - 1))).withColumn("j", block).withColumn("side", F.lit(1))
@@ -319,7 +319,7 @@ def _linked(families: DataFrame, reps: DataFrame, texts: DataFrame, width: int,
     found = join_small(texts.withColumn("text_hash", F.xxhash64("text")), keys, ["doc_id", "text_hash"])
     used = write_stage(found.select(F.col("doc_id").alias("doc"), "text_hash", "text").dropDuplicates(["doc", "text_hash"]).join(named, ["doc", "text_hash"]), "neardup-texts")
     sizes = used.groupBy("group").agg(F.greatest(F.ceil(F.count("*") / F.lit(block)), F.ceil(F.sum(F.octet_length("text").cast("long")) / F.lit(block_mb << 20))).cast("int").alias("blocks"))
-    rows = used.join(sizes, "group").select("group", "doc", "blocks", "n", "regs", "text")
+    rows = join_small(used, sizes, "group").select("group", "doc", "blocks", "n", "regs", "text")
 
     def exact(t: pa.Table) -> Callable[[int, int], bool]:
         sets, n = shingle_sets(t["text"].combine_chunks(), width)
