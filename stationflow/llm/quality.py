@@ -25,7 +25,7 @@ class NgramHasher:
     bounded and doesn't change results.
     """
 
-    def __init__(self, bits: int, most: int = 300_000):
+    def __init__(self, bits: int, most: int = 150_000):
         self.shift, self.most, self.known = np.uint32(32 - bits), most, {}
 
     def _chunk(self, chunk: str) -> bytes:
