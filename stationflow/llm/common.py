@@ -64,6 +64,14 @@ def slices(batches: Iterable[pa.RecordBatch], column: str = "text", most: int =
                 yield b.slice(i, j - i)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name += "_"
+    return name
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

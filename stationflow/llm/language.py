@@ -11,7 +11,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stationflow.llm.common import slices, write_stage
+from stationflow.llm.common import slices, unused, write_stage
 
 _LETTER = regex.compile(r"\p{L}").search
 #: ASCII other than a-z counts as a space; bytes of other letters stay.
@@ -151,4 +151,5 @@ def identify_language(docs: DataFrame, bits: int = 14) -> DataFrame:
         for s in texts:
             yield pd.DataFrame([m.predict(t) for t in s], columns=["lang_pred", "score", "ambiguous"])
 
-    return rows.withColumn("held_out", held_out()).withColumn("p_", predict("text")).select(*rows.columns, "held_out", "p_.lang_pred", "p_.score", "p_.ambiguous")
+    got = unused(rows, "p_")
+    return rows.withColumn(got, predict("text")).select(*rows.columns, held_out().alias("held_out"), *[f"{got}.{x}" for x in added[1:]])

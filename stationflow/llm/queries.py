@@ -89,5 +89,46 @@ def queries() -> dict:
     }
 
 
+TOPK_SQL = """
+WITH usable AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+                WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+scored AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score FROM usable q JOIN usable c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 50 = 0)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored) WHERE rank <= 5
+"""
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+#: Every window of every document beside every window of every item.
+CONTAMINATION_SQL = f"""
+WITH docs AS (SELECT doc_id, list_filter(string_split_regex({_LOWER}, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS w FROM documents),
+items AS (SELECT item_id, list_filter(string_split_regex({_LOWER}, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS w FROM benchmark),
+cuts AS (SELECT item_id, w, least(len(w), 13) AS n, unnest(range(0, len(w) - least(len(w), 13) + 1)) AS i FROM items WHERE len(w) > 0),
+wanted AS (SELECT DISTINCT item_id, n, array_to_string(w[i + 1 : i + n], ' ') AS win FROM cuts),
+sizes AS (SELECT DISTINCT n FROM wanted),
+places AS (SELECT doc_id, w, n, unnest(range(0, len(w) - n + 1)) AS i FROM docs, sizes WHERE len(w) >= n),
+hits AS (SELECT p.doc_id, p.i, p.n, x.item_id FROM (SELECT doc_id, i, n, array_to_string(w[i + 1 : i + n], ' ') AS win FROM places) p JOIN wanted x USING (n, win)),
+words AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS k FROM (SELECT DISTINCT doc_id, i, n FROM hits)) GROUP BY doc_id),
+ids AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS list FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits WHERE item_id IS NOT NULL) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(list, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(d.w) AS contaminated
+FROM docs d LEFT JOIN words USING (doc_id) LEFT JOIN ids USING (doc_id)
+"""
+
+#: All pairs that share a shingle, and all that can be reached from each document.
+NEARDUP_SQL = f"""
+WITH RECURSIVE docs AS (SELECT doc_id, list_filter(string_split_regex({_LOWER}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+cuts AS (SELECT doc_id, w, least(len(w), 5) AS n, unnest(range(0, len(w) - least(len(w), 5) + 1)) AS i FROM docs WHERE len(w) > 0),
+shingles AS (SELECT DISTINCT doc_id, array_to_string(w[i + 1 : i + n], ' ') AS s FROM cuts),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT doc_id AS node, doc_id AS low FROM docs UNION SELECT b, low FROM reach JOIN ways ON a = node WHERE low < b)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, r.component_id, d.doc_id = r.component_id AS kept
+FROM docs d LEFT JOIN sizes USING (doc_id) JOIN (SELECT node, min(low) AS component_id FROM reach GROUP BY node) r ON r.node = d.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_license_scan": licenses_oracle()}
+    return {"op1_exact_topk": TOPK_SQL, "op2_license_scan": licenses_oracle(), "op6_benchmark_decontamination": CONTAMINATION_SQL, "op9_minhash_neardup": NEARDUP_SQL}

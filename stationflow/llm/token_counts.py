@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stationflow.llm.common import unused
 from stationflow.llm.tokens import _ALPHABET
 
 #: A word takes the space before it along; white space is otherwise a word of its own.
@@ -117,4 +118,5 @@ def count_tokens(docs: DataFrame, vocabulary: str) -> DataFrame:
         for s in texts:
             yield pd.DataFrame([counter(t) if t else (0, 0) for t in s], columns=["n_words", "n_tokens"])
 
-    return rows.withColumn("c_", counts("text")).select(*rows.columns, "c_.n_words", "c_.n_tokens")
+    got = unused(rows, "c_")
+    return rows.withColumn(got, counts("text")).select(*rows.columns, f"{got}.n_words", f"{got}.n_tokens")

@@ -447,6 +447,16 @@ def test_components(spark):
     assert got == low
 
 
+@pytest.mark.parametrize("name", ["op1_exact_topk", "op6_benchmark_decontamination", "op9_minhash_neardup"])
+def test_equals_sql(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "embeddings", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
+    want = con.execute(Q.oracle_sql()[name])
+    names = [c[0] for c in want.description]
+    assert sorted(tuple(r) for r in want.fetchall()) == sorted(tuple(r) for r in Q.queries()[name](spark, DATA).select(*names).collect())
+
+
 # pipeline and guard
 
 def test_pipeline(spark):
@@ -476,6 +486,34 @@ def test_neardup_stage_odd_rows(spark):
     assert sorted(((r.doc_id, r.text) for r in got.collect()), key=repr) == sorted(want, key=repr)
 
 
+def test_stages_odd_rows(spark):
+    import corpus_pipeline as P
+
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{DATA}/labels.parquet").collect()}
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{DATA}/documents.parquet").collect() if labels.get(r.doc_id, 0)][:40]
+    item = spark.read.parquet(f"{DATA}/benchmark.parquet").filter("length(text) > 200").first().text
+    rows = [*ODD, *docs, docs[0], (None, docs[1][1]), (1_000_001, item), (None, item)]
+    table = frame(spark, rows)
+    for name in ("row_", "p_", "score", "ambiguous", "selected", "log_weight", "hash_", "n_words", "contaminated", "kept", "start", "length"):
+        table = table.withColumn(name, F.lit("x"))
+    gone = {}
+    for name, stage in P.STAGES[:-1]:
+        out = stage(spark, table, DATA)
+        assert out.columns == table.columns and stage(spark, table.limit(0), DATA).count() == 0
+        kept = out.collect()
+        assert {r[c] for r in kept for c in ("row_", "p_", "score", "selected", "hash_")} == {"x"}
+        gone[name] = Counter(rows) - Counter((r.doc_id, r.text) for r in kept)
+    blank = [(1, None), (2, ""), (3, "  \n "), (6, "12 34 !!")]
+    assert all(gone["language"][x] for x in blank) and not any(gone["language"][x] for x in docs)
+    assert all(gone["quality"][x] for x in blank[:3]) and not any(gone["quality"][x] for x in docs)
+    assert not any(gone["neardup"][x] for x in blank) and gone["neardup"][docs[0]] == 1 and gone["neardup"][(5, "a")] > 0
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
+    bad = {rows[c[0]] for c in brute_contamination([(k, t) for k, (_, t) in enumerate(rows)], items) if c[5]}
+    assert set(gone["decontaminate"]) == bad and {(1_000_001, item), (None, item)} <= bad
+    pieces = P.packing(spark, table, DATA).collect()
+    assert sum(r.length for r in pieces) == sum(r.doc_tokens for r in pieces if r.start == 0) and sum(r.start == 0 for r in pieces) == len(rows)
+
+
 def test_entry_without_subpackage(monkeypatch):
     import importlib
 
