@@ -14,21 +14,37 @@ from stationflow.llm.packing import pack_documents
 from stationflow.llm.quality import resample_quality
 
 
+# Each stage returns all columns of its documents as they are, whatever their names; an empty table gives no rows.
+
+
+def _whole(docs: DataFrame, *columns: str) -> DataFrame:
+    """``columns`` for an operator, and each row whole beside them."""
+    return docs.select(*columns, F.struct(*docs.columns).alias("row_"))
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a recognisable language go: no letters, or too near to call."""
-    return identify_language(docs).filter(~F.col("ambiguous")).select(*docs.columns)
+    """Documents without a recognisable language go: null or empty text, no letters, or too near to call.
+
+    Null doc_id: judged by its text. Repeated rows share their fate. A table without any known
+    language teaches nothing, so all go.
+    """
+    return identify_language(_whole(docs, "doc_id", "text", "lang")).filter(~F.col("ambiguous")).select("row_.*")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the resampling towards good text doesn't select go."""
-    return resample_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).filter("selected").select(*docs.columns)
+    """Documents that the resampling towards good text doesn't select go, and those with null or blank text.
+
+    Null doc_id: judged by its text. Repeated rows share their fate. Ties of the sampling key go to the smaller doc_id. Without labels all
+    documents with text stay.
+    """
+    return resample_quality(_whole(docs, "doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet")).filter("selected").select("row_.*")
 
 
 def neardup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays.
 
     Null doc_id: linked with nothing, so each such row stays. Rows of equal doc_id and text are one
-    document, of which one row stays. Rows that share a doc_id but not the text are kept or dropped each by its own text.
+    document, of which one row stays. Null or blank text: like no other, stays. Rows that share a doc_id but not the text are kept or dropped each by its own text.
     """
     kept = near_duplicates(docs, text_hash=True).filter("kept and doc_id is not null").select("doc_id", F.col("text_hash").alias("text_hash_")).distinct()
     known = docs.filter("doc_id is not null").withColumn("text_hash_", F.xxhash64("text"))
@@ -37,12 +53,18 @@ def neardup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which a twentieth or more is benchmark text go."""
-    return contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).filter(~F.col("contaminated")).select(*docs.columns)
+    """Documents of which a twentieth or more is benchmark text go.
+
+    Null or empty text: stays. Null doc_id: judged by its text. Repeated rows share their fate. Without benchmark items all stay.
+    """
+    return contamination(_whole(docs, "doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).filter(~F.col("contaminated")).select("row_.*")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the packed sequences."""
+    """Pieces of the packed sequences.
+
+    Null or empty text: its end token alone. Null doc_id: packed, with null. Repeated rows: each for itself. Long texts run over many sequences.
+    """
     pieces = pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
