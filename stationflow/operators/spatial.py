@@ -50,23 +50,34 @@ def radius_join(targets: DataFrame, points: DataFrame, radius_km: float, salt: i
     return near.filter(F.col("distance_km") <= radius_km)
 
 
-def radius_knn_join(targets: DataFrame, points: DataFrame, radius_km: float, k: int) -> DataFrame:
-    """The ``k`` nearest points within the radius by rank, with bearing, height difference and the number within the radius."""
-    near = radius_join(targets, points, radius_km)
+def crowding_salt(points: DataFrame, radius_km: float, rows: int = 20_000) -> int:
+    """How many parts the fullest cell of ``radius_join`` is worth, at ``rows`` points a part."""
+    degrees = math.degrees(radius_km / EARTH_KM) * 1.0001
+    band = F.floor((F.col("lat") + 90.0) / degrees).cast("int")
+    cell = _lon_cell(F.col("x"), _lon_cells(F.col("band"), degrees))
+    cells = points.select(band.alias("band"), wrap_lon_180("lon").alias("x")).groupBy("band", cell.alias("cell")).count()
+    return max(1, math.ceil((cells.agg(F.max("count")).first()[0] or 0) / rows))
+
+
+def radius_knn_join(targets: DataFrame, points: DataFrame, radius_km: float, k: int, salt: int = 1) -> DataFrame:
+    """The ``k`` nearest points within the radius by rank, with bearing, height difference and the number within the radius.
+
+    ``salt``: parts of a crowded cell, see ``crowding_salt``."""
+    near = radius_join(targets, points, radius_km, salt)
     w = Window.partitionBy("target")
     out = near.withColumn("rank", F.row_number().over(w.orderBy("distance_km", "point"))).withColumn("n_radius", F.least(F.count("*").over(w), F.lit(65535)))
     return out.filter(F.col("rank") <= k).select("target", "point", "rank", "distance_km", initial_bearing("tlat", "tlon", "plat", "plon").alias("bearing_deg"), (F.col("ph") - F.col("th")).alias("height_difference_m"), "n_radius")
 
 
-def nearest_within(targets: DataFrame, points: DataFrame, max_km: float) -> DataFrame:
+def nearest_within(targets: DataFrame, points: DataFrame, max_km: float, salt: int = 1) -> DataFrame:
     """The single nearest point within ``max_km``; ties to the smaller id."""
-    near = radius_join(targets, points, max_km)
+    near = radius_join(targets, points, max_km, salt)
     return near.groupBy("target").agg(F.min(F.struct("distance_km", "point")).alias("m")).select("target", F.col("m.point").alias("point"), F.col("m.distance_km").alias("distance_km"))
 
 
-def coverage(cells: DataFrame, stations: DataFrame, radius_km: float, k: int, least: int) -> DataFrame:
+def coverage(cells: DataFrame, stations: DataFrame, radius_km: float, k: int, least: int, salt: int = 1) -> DataFrame:
     """Number of cells, and share of them with ``least`` of ``k`` neighbours."""
-    n = radius_knn_join(cells, stations, radius_km, k).groupBy(F.col("target").alias("id")).agg(F.count("*").alias("n"))
+    n = radius_knn_join(cells, stations, radius_km, k, salt).groupBy(F.col("target").alias("id")).agg(F.count("*").alias("n"))
     return cells.select("id").join(n, "id", "left").agg(F.count("*").alias("cells"), F.count("n").alias("with_any"), F.avg((F.coalesce("n", F.lit(0)) >= least).cast("double")).alias("share"))
 
 

@@ -154,8 +154,8 @@ def common_times(step: str, *sources: DataFrame) -> DataFrame:
 def clamp_window(df: DataFrame, step: str, low: int, high: int) -> DataFrame:
     """Rows of the requested range, clipped to what there is; an empty range is an error."""
     first, last = df.agg(F.min(step), F.max(step)).first()
-    low, high = max(low, first), min(high, last)
-    if low > high:
+    low, high = (low, high) if first is None else (max(low, first), min(high, last))
+    if first is None or low > high:
         raise ValueError("no data in the window")
     return df.filter(F.col(step).between(low, high))
 

@@ -38,20 +38,23 @@ def e1_station_key(spark, d):
 @query(f"WITH {POINTS}, {_NEAR}, {_RANKED} SELECT target, point, rank, {r('km', 'distance_km', 5)}, {r(_BEARING, 'bearing_deg', 4)}, dh AS height_difference_m, n_radius FROM ranked WHERE rank <= 5")
 def e2_radius_knn(spark, d):
     """Nearest points within a radius."""
-    out = E.radius_knn_join(targets(spark, d), neighbours(spark, d), 100.0, 5)
+    t, p = targets(spark, d), neighbours(spark, d)
+    out = E.radius_knn_join(t, p, 100.0, 5, E.crowding_salt(p, 100.0))
     return out.withColumn("distance_km", F.round("distance_km", 5)).withColumn("bearing_deg", F.round("bearing_deg", 4))
 
 
 @query(f"WITH {POINTS}, {_NEAR}, {_RANKED} SELECT target, point, {r('km', 'distance_km', 5)} FROM ranked WHERE rank = 1")
 def e3_nearest(spark, d):
     """The nearest point."""
-    return rounded(E.nearest_within(targets(spark, d), neighbours(spark, d), 100.0), 5)
+    t, p = targets(spark, d), neighbours(spark, d)
+    return rounded(E.nearest_within(t, p, 100.0, E.crowding_salt(p, 100.0)), 5)
 
 
 @query(f"WITH {POINTS}, {GRID}, n AS (SELECT g.id, least(count(*), 5) AS n FROM grid g, points p WHERE {HAV('g.lat', 'p.lat', 'g.lon', 'p.lon')} <= 50 GROUP BY g.id) SELECT count(*) AS cells, count(n) AS with_any, {r('avg(CAST(coalesce(n, 0) >= 3 AS DOUBLE))', 'share')} FROM grid LEFT JOIN n USING (id)")
 def e4_grid_knn(spark, d):
     """How many cells have neighbours."""
-    return rounded(E.coverage(grid(spark).select("id", "lat", "lon", "h"), neighbours(spark, d), 50.0, 5, 3))
+    p = neighbours(spark, d)
+    return rounded(E.coverage(grid(spark).select("id", "lat", "lon", "h"), p, 50.0, 5, 3, E.crowding_salt(p, 50.0)))
 
 
 @query(f"""WITH {POINTS} SELECT id, greatest(0, least(79, CAST(ceil((lat - 36.5) / 0.25 - 0.5) AS BIGINT))) AS i, greatest(0, least(119, CAST(ceil((lon + 5.25) / 0.25 - 0.5) AS BIGINT))) AS j,

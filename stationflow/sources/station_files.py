@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stationflow.functions.expr import dms_to_deg
+from stationflow.functions.expr import dms_to_deg, nan_to_null
 from stationflow.operators.timegrid import parse_epoch
 
 _SCHEMA = "archive string, site string, epoch string, total double, wet double"
@@ -63,7 +63,7 @@ def ingest_station_archives(spark: SparkSession, path: str, step_s: int, start:
     ok = rows.filter(F.col("epoch").rlike(r"^\d\d:\d{1,3}:\d{1,5}$")).withColumn("ts", parse_epoch(F.col("epoch")))
     ok = ok.filter(F.unix_seconds("ts") % step_s == 0).filter(F.col("ts") >= F.lit(start).cast("timestamp"))
     ok = ok.filter(F.col("ts") <= F.lit(end).cast("timestamp") if closed else F.col("ts") < F.lit(end).cast("timestamp"))
-    return ok.groupBy(F.upper("site").alias("station_id"), "ts").agg(F.max(F.struct("archive", "total", "wet")).alias("r")).select("station_id", "ts", "r.total", "r.wet")
+    return ok.groupBy(F.upper("site").alias("station_id"), "ts").agg(F.max(F.struct("archive", "total", "wet")).alias("r")).select("station_id", "ts", nan_to_null("r.total").alias("total"), nan_to_null("r.wet").alias("wet"))
 
 
 def ingest_station_catalog(spark: SparkSession, path: str, ids: DataFrame, glob: str = "*.zip") -> DataFrame:
@@ -88,14 +88,20 @@ def ingest_station_catalog(spark: SparkSession, path: str, ids: DataFrame, glob:
     return ids.join(newest, "station_id", "left")
 
 
+def without_nan(df: DataFrame) -> DataFrame:
+    """NaN marks a missing value in the files; NULL does in the engine. Every scan of this module goes through here."""
+    return df.select(*[nan_to_null(F.col(f"`{n}`")).alias(n) if t in ("double", "float") else F.col(f"`{n}`") for n, t in df.dtypes])
+
+
 def file_hour(path: Column) -> Column:
-    """Hour in a name such as surf_2024010106."""
-    return F.try_to_timestamp(F.regexp_extract(path, r"(\d{10})(?:\.\w+)?$", 1), F.lit("yyyyMMddHH"))
+    """Hour in a name such as surf_2024010106, of a file or of a folder of part files."""
+    return F.try_to_timestamp(F.regexp_extract(path, r"(\d{10})(?:\.\w+)?(?:/part-[^/]+)?$", 1), F.lit("yyyyMMddHH"))
 
 
 def scan_report_files(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Reports with the hour of their file."""
-    return spark.read.schema(schema).parquet(path).withColumn("ts", file_hour(F.col("_metadata.file_path")))
+    df = spark.read.schema(schema).parquet(path)
+    return without_nan(df.select("*", file_hour(F.col("_metadata.file_path")).alias("ts")))
 
 
 def missing_hours(reports: DataFrame) -> DataFrame:
@@ -110,7 +116,7 @@ def scan_checked(spark: SparkSession, path: str, required: list[str], key: list[
     df = spark.read.parquet(path)
     if lost := [c for c in required if c not in df.columns]:
         raise ValueError(f"missing columns: {lost}")
-    df = df.na.drop(subset=key)
+    df = without_nan(df).na.drop(subset=key)
     if df.groupBy(*key).count().filter("count > 1").limit(1).count():
         raise ValueError(f"duplicate keys: {key}")
     return df
@@ -118,7 +124,7 @@ def scan_checked(spark: SparkSession, path: str, required: list[str], key: list[
 
 def scan_wide_csv(spark: SparkSession, path: str, schema: str, target: str, features: str = "M") -> DataFrame:
     """date, features, target; S keeps the target only."""
-    df = spark.read.csv(path, header=True, schema=schema)
+    df = without_nan(spark.read.csv(path, header=True, schema=schema))
     if features == "S":
         return df.select("date", target)
     return df.select("date", *[c for c in df.columns if c not in ("date", target)], target)
@@ -126,7 +132,7 @@ def scan_wide_csv(spark: SparkSession, path: str, schema: str, target: str, feat
 
 def scan_labelled_csv(spark: SparkSession, path: str, schema: str, label_last: bool = False) -> DataFrame:
     """Without its first column, missing values 0; the last column is the label if ``label_last``."""
-    df = spark.read.csv(path, header=True, schema=schema)
+    df = without_nan(spark.read.csv(path, header=True, schema=schema))
     df = df.drop(df.columns[0]).na.fill(0)
     return df.withColumnRenamed(df.columns[-1], "label") if label_last else df
 
@@ -140,7 +146,7 @@ def spread_variables(df: DataFrame, keys: list[str], variables: list[str]) -> Da
 
 
 def explode_nested(df: DataFrame, key: list[str], values: str) -> DataFrame:
-    return df.select(*key, F.posexplode(values).alias("step", "value"))
+    return without_nan(df.select(*key, F.posexplode(values).alias("step", "value")))
 
 
 def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None, max_rows: int = 5_000_000) -> None:
@@ -169,8 +175,28 @@ def pending(todo: DataFrame, done: DataFrame, key: list[str]) -> DataFrame:
     return todo.join(done.select(*key).distinct(), key, "left_anti")
 
 
-def resume_build(spark: SparkSession, build, todo: DataFrame, key: list[str], path: str, force: bool = False) -> None:
-    """Build the keys that ``path`` lacks (all if ``force``) and write them partition by partition."""
-    exists = not force and spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration()).exists(spark._jvm.org.apache.hadoop.fs.Path(path))
-    rest = pending(todo, spark.read.parquet(path), key) if exists else todo
-    build(rest).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*key).parquet(path)
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def resume_build(spark: SparkSession, build, todo: DataFrame, key: list[str], path: str, force: bool = False, axes: dict[str, str] | None = None) -> None:
+    """Build the keys that ``path`` lacks (all, from nothing, if ``force``) and write them partition by partition.
+
+    A partition appears whole or not at all, so a key is done when it is there, and no markers are left behind. ``key`` should be
+    as coarse as the partitions are wanted. ``axes`` (such as start, end, step, a digest of the stations) are kept beside
+    the table; a build that goes on with others is refused.
+    """
+    kept, going_on = f"{path.rstrip('/')}.axes", _exists(spark, path) and not force
+    if axes is not None:
+        if going_on:
+            if not _exists(spark, kept):
+                raise ValueError("the table has no axes to compare with; use force")
+            before = {r["name"]: r["value"] for r in spark.read.schema("name string, value string").json(kept).collect()}  # a few rows
+            if before != axes:
+                raise ValueError(f"the table's axes differ ({before}); use force")
+        else:
+            spark.createDataFrame(sorted(axes.items()), "name string, value string").coalesce(1).write.mode("overwrite").json(kept)
+    rest = pending(todo, spark.read.parquet(path), key) if going_on else todo
+    w = build(rest).write.mode("overwrite").partitionBy(*key)
+    (w.option("partitionOverwriteMode", "dynamic") if going_on else w.option("partitionOverwriteMode", "static")).parquet(path)

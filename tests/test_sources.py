@@ -54,6 +54,10 @@ def test_report_files(spark, tmp_path):
     assert [str(r.ts) for r in got.collect()] == ["2024-01-01 03:00:00", "None"]
     reports = spark.createDataFrame([("a/surf_2024010100",), ("a/surf_2024010103",)], "x string").select(hours.alias("ts"))
     assert A.missing_hours(reports).count() == 2
+    spark.sql("select double('NaN') as p").write.parquet(str(tmp_path / "surf_2024010105"))
+    read = A.scan_report_files(spark, str(tmp_path / "surf_*"), "p double")
+    assert read.count() == 7 and read.filter("p is null").select(F.date_format("ts", "HH").alias("h")).first().h == "05" and read.filter("isnan(p)").count() == 0
+    assert [F"{r.ts:%H}" for r in A.missing_hours(read).orderBy("ts").collect()] == ["02", "04"]
 
 
 def test_tables(spark, tmp_path):
@@ -95,3 +99,38 @@ def test_resume(spark, tmp_path):
     assert built == [2, 2] and spark.read.parquet(out).count() == 4
     A.resume_build(spark, build, todo, ["k"], out, force=True)
     assert built[-1] == 4
+
+    axes = {"start": "2024", "stations": "a,b"}
+    other = str(tmp_path / "s")
+    A.resume_build(spark, build, todo.filter("k < 3"), ["k"], other, axes=axes)
+    with pytest.raises(ValueError, match="differ"):
+        A.resume_build(spark, build, todo, ["k"], other, axes=axes | {"start": "2023"})
+    with pytest.raises(ValueError, match="no axes"):
+        A.resume_build(spark, build, todo, ["k"], out, axes=axes)
+    A.resume_build(spark, build, todo, ["k"], other, axes=axes)
+    assert built[-1] == 1 and spark.read.parquet(other).count() == 4
+    A.resume_build(spark, build, todo.filter("k < 1"), ["k"], other, force=True, axes=axes | {"start": "2023"})
+    assert spark.read.parquet(other).count() == 1
+    assert sorted(p.name for p in (tmp_path / "s").iterdir() if not p.name.startswith((".", "_SUCCESS"))) == ["k=0"]
+
+
+def test_nan_is_null_from_the_scans_on(spark, tmp_path):
+    df = spark.sql("select 1L as k, double('NaN') as v, float('NaN') as w union all select 2L, 3.0, float(1)")
+    df.write.parquet(str(tmp_path / "d"))
+    df.write.csv(str(tmp_path / "c"), header=True)
+    for got in (A.scan_checked(spark, str(tmp_path / "d"), ["v"], ["k"]), A.scan_wide_csv(spark, str(tmp_path / "c"), "date string, v double, w double", "w")):
+        assert got.filter("v is null").count() == 1 and got.filter("w is null").count() == 1
+    assert A.scan_labelled_csv(spark, str(tmp_path / "c"), "k long, v double, w double").filter("v = 0 and w = 0").count() == 1
+    assert A.explode_nested(spark.sql("select 1 as k, array(double('NaN'), 1.0) as a"), ["k"], "a").filter("value is null").count() == 1
+
+
+def test_incomplete_where_a_value_is_nan(spark):
+    from stationflow.operators import timegrid, windows
+
+    df = spark.createDataFrame([("s", d, v) for d, v in enumerate([1.0, 2.0, float("nan"), 4.0, 5.0, 6.0, float("inf"), None])], "station string, day long, v double")
+    got = windows.complete_window(df, ["station"], "day", "v", 3)
+    assert [r.complete for r in got.orderBy("day").collect()] == [False, False, False, False, False, True, False, False]
+    frames = windows.step_frames(df, df.select("station", "day"), ["station"], "day", "v", 3)
+    assert {r.day: (r.frames, r.n) for r in frames.collect()}[4] == ([None, 4.0, 5.0], 2)
+    with pytest.raises(ValueError, match="no data"):
+        timegrid.clamp_window(df.limit(0), "day", 0, 5)
