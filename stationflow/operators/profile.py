@@ -75,6 +75,34 @@ def delay_variants(profile: DataFrame, surface: DataFrame, by: list[str]) -> Dat
     return out
 
 
+def delay_layers(profile: DataFrame, by: list[str], ground: str | None = None, compressibility: bool = False, trapezoid: bool = False) -> DataFrame:
+    """zhd and zwd in mm by height alone: columns p (hPa), t (K), r (%), z (m) and, if named, ``ground`` (m).
+
+    Each layer counts with the value at its lower side, or the mean of both sides. Where the ground lies between
+    the lowest and the highest level, the column begins there, with a node interpolated by height.
+    ``compressibility``: the inverse compressibility of water vapour on the wet part.
+    """
+    tc = F.col("t") - 273.15
+    rows = profile.withColumn("e", F.col("r") / 100.0 * 6.112 * F.exp(17.67 * tc / (tc + 243.5)))
+    w = Window.partitionBy(*by).orderBy("z")
+    if ground:
+        whole = Window.partitionBy(*by)
+        g, low, high = F.col(ground), F.min("z").over(whole), F.max("z").over(whole)
+        cut = (g > low) & (g < high)
+        part = (g - F.lag("z").over(w)) / (F.col("z") - F.lag("z").over(w))
+        at = lambda c: F.lag(c).over(w) + part * (F.col(c) - F.lag(c).over(w))
+        first = F.when(cut & (F.col("z") > g) & (F.lag("z").over(w) <= g), F.struct(at("p").alias("p"), at("t").alias("t"), at("e").alias("e"), g.alias("z")))
+        keep = F.when(~F.coalesce(cut, F.lit(False)) | (F.col("z") > g), F.struct("p", "t", "e", "z"))
+        rows = rows.withColumn("n_", F.array_compact(F.array(first, keep))).select(*by, F.explode("n_").alias("n_")).select(*by, "n_.*")
+    tc, e, t = F.col("t") - 273.15, F.col("e"), F.col("t")
+    inverse = 1.0 + 1650.0 * (e / (t * t * t)) * (1.0 - 0.01317 * tc + 1.75e-4 * tc * tc + 1.44e-6 * tc * tc * tc) if compressibility else F.lit(1.0)
+    dry, wet = K1 * (F.col("p") - e) / t, ((K2 - EPS_WET * K1) * e / t + K3 * e / (t * t)) * inverse
+    dz = F.lead("z").over(w) - F.col("z")
+    layer = lambda x: (0.5 * (x + F.lead(x).over(w)) if trapezoid else x) * dz
+    areas = rows.select(*by, layer(dry).alias("d"), layer(wet).alias("w"))
+    return areas.groupBy(*by).agg((1e-3 * F.sum("d")).alias("zhd"), (1e-3 * F.sum("w")).alias("zwd"))
+
+
 def orography_height(profile: DataFrame, surface: DataFrame, by: list[str]) -> DataFrame:
     """Height of the model's ground: from the lowest level above it down to the surface pressure. NULL without such a level."""
     rows = profile.join(surface.select(*by, "p_s"), by)

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from stationflow.operators.timegrid import to_utc
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -47,7 +49,7 @@ REPORTS = """reports AS (SELECT event_id, user_id AS station, event_type AS var,
 
 def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reports of stations (users) with missing and placeholder values."""
-    e = read(spark, sf_dir, "events").withColumn("sec", F.unix_seconds(F.col("ts").cast("timestamp")))
+    e = read(spark, sf_dir, "events").withColumn("sec", F.unix_seconds(to_utc(F.col("ts"))))
     value = F.when(F.col("event_id") % 11 == 0, None).when(F.col("event_id") % 13 == 0, 0.0).otherwise(F.col("value"))
     return e.select("event_id", F.col("user_id").alias("station"), F.col("event_type").alias("var"), F.floor(F.col("sec") / 86400).alias("day"), F.floor(F.col("sec") / 3600).alias("hour"), "sec", value.alias("value"))
 

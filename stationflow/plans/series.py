@@ -343,6 +343,21 @@ def h4_variants(spark, d):
     return rounded(H.delay_variants(_profile(spark, d), _surface(spark, d), ["vec_id"]), 5)
 
 
+_LAYERS = """x AS (SELECT vec_id, p, t, z, r / 100 * 6.112 * exp(17.67 * (t - 273.15) / (t - 273.15 + 243.5)) AS e FROM profile),
+ b AS (SELECT vec_id, h, (SELECT max(z) FROM x WHERE x.vec_id = s.vec_id AND z <= h) AS z0, (SELECT min(z) FROM x WHERE x.vec_id = s.vec_id AND z > h) AS z1, (SELECT min(z) FROM x WHERE x.vec_id = s.vec_id) AS lowest FROM surface s),
+ y AS (SELECT x.vec_id, p, t, e, z FROM x JOIN b USING (vec_id) WHERE NOT (lowest < h AND z1 IS NOT NULL) OR z > h
+  UNION ALL SELECT b.vec_id, u.p + (h - z0) / (z1 - z0) * (v.p - u.p), u.t + (h - z0) / (z1 - z0) * (v.t - u.t), u.e + (h - z0) / (z1 - z0) * (v.e - u.e), h FROM b JOIN x u ON u.vec_id = b.vec_id AND u.z = z0 JOIN x v ON v.vec_id = b.vec_id AND v.z = z1 WHERE lowest < h),
+ l AS (SELECT vec_id, 77.6890 * (p - e) / t AS nh, (71.2952 - 0.62198 * 77.6890) * e / t + 375463.0 * e / (t * t) AS nw, 1 + 1650 * (e / (t * t * t)) * (1 - 0.01317 * (t - 273.15) + 1.75e-4 * pow(t - 273.15, 2) + 1.44e-6 * pow(t - 273.15, 3)) AS c, lead(z) OVER (PARTITION BY vec_id ORDER BY z) - z AS dz FROM y)"""
+
+
+@query(f"WITH {_VEC}, {PROFILE}, {_LAYERS} SELECT vec_id, {r('1e-3 * sum(nh * dz)', 'zhd', 4)}, {r('1e-3 * sum(nw * dz)', 'zwd', 4)}, {r('1e-3 * sum(nw * c * dz)', 'exact', 4)} FROM l GROUP BY vec_id")
+def h4_layers(spark, d):
+    """H4: by layers from an interpolated ground up, plain and with compressibility."""
+    p = _profile(spark, d).join(_surface(spark, d).select("vec_id", "h"), "vec_id")
+    exact = H.delay_layers(p, ["vec_id"], "h", compressibility=True).select("vec_id", F.col("zwd").alias("exact"))
+    return rounded(H.delay_layers(p, ["vec_id"], "h").join(exact, "vec_id"), 4)
+
+
 @query(f"WITH {_VEC}, {PROFILE}, m AS (SELECT vec_id, p_s, max(CASE WHEN p < p_s THEN {{'p': p, 'z': z, 't': t}} END) AS m FROM profile JOIN surface USING (vec_id) GROUP BY vec_id, p_s) SELECT vec_id, {r('m.z + 287.05 * m.t / 9.80665 * ln(m.p / p_s)', 'h_oro')} FROM m")
 def h5_orography(spark, d):
     """H5: height of the model's ground."""

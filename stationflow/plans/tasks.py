@@ -254,6 +254,12 @@ def l4_adf(spark, d):
     return out.select("var", "lag", "n", F.round("coefficient", 6).alias("coefficient"), F.round("t", 5).alias("t"))
 
 
+@query(f"WITH {SERIES_HOUR}, {_ADF}, t AS (SELECT CASE WHEN one THEN b1 / sqrt(rss / (n - 3) * zz / det) ELSE b0 / sqrt((aa - b0 * da) / ((n0 - 2) * ya)) END AS t FROM k) SELECT {r('avg(t)', 'mean_t', 5)}, count(*) AS n FROM t")
+def l4_mean_adf(spark, d):
+    """L4: the mean statistic of all series."""
+    return rounded(L.mean_adf(series_hour(spark, d), ["var"], "hour", "v"), 5)
+
+
 @query()
 def l5_linear_forecast(spark, d):
     """Trend and seasonal parts of each window mapped to the two steps after it, a map per channel."""

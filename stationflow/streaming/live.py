@@ -54,9 +54,16 @@ def live_samples(series: DataFrame, reports: DataFrame, key: str, back: str, lat
 
 
 class LastValue(StatefulProcessor):
-    """The newest value of each station, the slot it belongs to, and the gap before it; a late record of the same slot replaces it."""
+    """The newest value of each station, the slot it belongs to, and the gap before it; a late record of the same slot replaces it.
+
+    With ``silent_ms`` a station without a record for that long is reported once with value and gap NULL and forgotten.
+    """
+
+    def __init__(self, silent_ms: int | None = None):
+        self.silent_ms = silent_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.state = handle.getValueState("last", "slot long, value double, gap long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
@@ -67,15 +74,29 @@ class LastValue(StatefulProcessor):
                     gap = gap if slot is None or r.slot == slot else int(r.slot - slot)
                     slot, value = int(r.slot), float(r.value)
         self.state.update((slot, value, gap))
-        yield pd.DataFrame({"station": [key[0]], "slot": [slot], "value": [value], "gap": [gap]})
+        if self.silent_ms is not None:
+            for at in list(self.handle.listTimers()):
+                self.handle.deleteTimer(at)
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.silent_ms)
+        yield _last(key[0], slot, value, gap)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        slot = self.state.get()[0] if self.state.exists() else None
+        self.state.clear()
+        yield _last(key[0], slot, None, None)
 
     def close(self) -> None:
         pass
 
 
-def last_values(stream: DataFrame) -> DataFrame:
+def _last(station, slot, value, gap) -> pd.DataFrame:
+    return pd.DataFrame({"station": [station], "slot": pd.array([slot], "Int64"), "value": pd.array([value], "Float64"), "gap": pd.array([gap], "Int64")})
+
+
+def last_values(stream: DataFrame, silent_ms: int | None = None) -> DataFrame:
     """Station, slot, arrival, value in; the state of each station that changed out. Needs the RocksDB state store."""
-    return stream.groupBy("station").transformWithStateInPandas(LastValue(), "station long, slot long, value double, gap long", "Update", "None")
+    mode = "None" if silent_ms is None else "ProcessingTime"
+    return stream.groupBy("station").transformWithStateInPandas(LastValue(silent_ms), "station long, slot long, value double, gap long", "Update", mode)
 
 
 def exact_repeats(stream: DataFrame, key: list[str], ts: str, late: str) -> DataFrame:

@@ -231,3 +231,24 @@ def test_stable_ids_past_five_digits(spark):
     got = O.stable_ids(spark.range(1, 100_021), ["id"], "name", "st_")
     assert got.select("name").distinct().count() == 100_020
     assert {r.id: r.name for r in got.filter("id in (1, 99999, 100000, 100019)").collect()} == {1: "st_00001", 99999: "st_99999", 100000: "st_100000", 100019: "st_100019"}
+
+
+def test_long_lags_by_the_spectrum(series):
+    native = {(r.vec_id, r.lag): r.r for r in X.autocorrelation(series, "vec_id", "pos", "x", 32).collect()}
+    fast = {(r.vec_id, r.lag): r.r for r in X.autocorrelation(series, "vec_id", "pos", "x", 32, short=0).collect()}
+    assert native.keys() == fast.keys() and all(abs(native[k] - fast[k]) < 1e-9 for k in native)
+
+
+def test_metadata_without_a_station_is_an_error(spark):
+    rows, stations = spark.createDataFrame([(1,), (2,)], "id long"), spark.createDataFrame([(1, 5.0)], "id long, h double")
+    assert E.attach_metadata(rows, stations, "id").count() == 2
+    assert E.attach_metadata(rows.filter("id = 1"), stations, "id", strict=True).first().h == 5.0
+    with pytest.raises(Exception, match="no station for id 2"):
+        E.attach_metadata(rows, stations, "id", strict=True).collect()
+
+
+def test_crowded_cells_are_salted(spark):
+    p = spark.range(300).select("id", F.lit(40.0).alias("lat"), (F.col("id") / 1e6).alias("lon"), F.lit(0.0).alias("h"))
+    assert E.crowding_salt(p, 50.0, rows=100) == 3 and E.crowding_salt(p.limit(0), 50.0) == 1
+    one, two = (sorted((r.target, r.point, r["rank"]) for r in E.radius_knn_join(p.limit(20), p, 50.0, 4, salt).collect()) for salt in (1, 3))
+    assert one == two

@@ -61,3 +61,20 @@ def test_last_value_and_repeats(spark, tmp_path):
     stream = spark.readStream.schema(SCHEMA).parquet(str(tmp_path / "s"))
     once = drain(live.exact_repeats(stream, ["station", "slot", "value"], "ts", "1 hour"), "append", "once", spark, tmp_path)
     assert once.count() == 4
+
+
+def test_silent_stations_are_told_once(spark, tmp_path):
+    import time
+
+    src = tmp_path / "in"
+    write(spark, src, [(1, 0, 5, 1.0, 0), (2, 0, 9, 8.0, 0)])
+    stream = spark.readStream.schema(SCHEMA).parquet(str(src)).select("station", "slot", "arrival", "value")
+    q = live.last_values(stream, silent_ms=1500).writeStream.format("memory").queryName("silent").outputMode("update").option("checkpointLocation", str(tmp_path / "cp")).trigger(processingTime="1 second").start()
+    for _ in range(60):
+        time.sleep(1)
+        if spark.table("silent").filter("value is null").count() == 2:
+            break
+    time.sleep(3)
+    q.stop()
+    rows = [(r.station, r.slot, r.value, r.gap) for r in spark.table("silent").collect()]
+    assert sorted(rows, key=str) == [(1, 5, 1.0, 0), (1, 5, None, None), (2, 9, 8.0, 0), (2, 9, None, None)]
