@@ -65,6 +65,13 @@ def _integers(batches: Iterator[pa.RecordBatch], block: int) -> Iterator[pa.Reco
         yield out(dim)
 
 
+def _queries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row a query: its id, and floor(256 x) as bytes."""
+    for b in batches:
+        vectors = [np.floor(256.0 * np.array(v, np.float64)).astype("<f8") for v in b["vector"].to_pylist()]
+        yield pa.RecordBatch.from_arrays([b["id"], pa.array([len(v) for v in vectors], pa.int32()), pa.array([v.tobytes() for v in vectors], pa.binary())], ["query_id", "dim", "vector"])
+
+
 _BLOCK = "dim int, ids binary, vectors binary"
 
 
@@ -113,9 +120,7 @@ def exact_topk(vectors: DataFrame, is_query, k: int = 5, bins: int = 1024, block
     usable = vectors.select(F.col("id").cast("long").alias("id"), F.col("vector").cast("array<double>").alias("vector"), is_query.alias("asks")).filter(F.col("id").isNotNull() & F.col("vector").isNotNull() & finite)
     cands = write_stage(usable.select("id", "vector").mapInArrow(lambda it: _integers(it, block), _BLOCK), "topk-candidates")
     asked = usable.filter("asks").groupBy("id").agg(F.min("vector").alias("vector"))
-    asked = asked.mapInArrow(lambda it: _integers(it, 1), _BLOCK)
-    number = F.udf(lambda b: int(np.frombuffer(b, "<i8")[0]), "long")
-    asked = write_stage(asked.select(number("ids").alias("query_id"), "dim", F.col("vectors").alias("vector")), "topk-queries")
+    asked = write_stage(asked.select("id", "vector").mapInArrow(_queries, "query_id long, dim int, vector binary"), "topk-queries")
     n = asked.count()
     groups = max(1, math.ceil(n / (query_block * at_once)))
     part = F.pmod(F.xxhash64("query_id"), F.lit(groups * at_once)).cast("int")
