@@ -9,20 +9,21 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stationflow.llm.common import write_stage
+from stationflow.llm.common import slices, write_stage
 from stationflow.llm.topk import kth_largest
 
 _TOKENS = re.compile(r"\w+|[^\w\s]+").findall
 
 
 class NgramHasher:
-    """Buckets of the 1- and 2-grams of a text's words and punctuation runs.
+    """Buckets of the 1- and 2-grams of texts' words and punctuation runs.
 
-    Tokens are hashed once per distinct chunk between white space; the memo is
-    bounded and doesn't change results.
+    Tokens are hashed once per distinct chunk between white space of a slice of texts; what is remembered
+    is bounded and doesn't change results.
     """
 
     def __init__(self, bits: int, most: int = 150_000):
@@ -31,19 +32,32 @@ class NgramHasher:
     def _chunk(self, chunk: str) -> bytes:
         return np.array([zlib.crc32(t.encode("utf-8", "replace")) for t in _TOKENS(chunk)], np.uint32).tobytes()
 
-    def __call__(self, text: str) -> np.ndarray:
-        chunks, known = text.split(), self.known
-        try:
-            got = b"".join(map(known.__getitem__, chunks))
-        except KeyError:
-            if len(known) >= self.most:
-                known.clear()
-            for c in set(chunks).difference(known):
-                known[c] = self._chunk(c)
-            got = b"".join(map(known.__getitem__, chunks))
-        h = np.frombuffer(got, np.uint32)
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(buckets, the place of the text of each, their number by text) of all texts; null counts as empty."""
+        split = pc.utf8_split_whitespace(pc.fill_null(texts, ""))
+        coded = split.values.dictionary_encode()
+        at, begin = coded.indices.to_numpy(), split.offsets.to_numpy()
+        chunks, known = coded.dictionary.to_pylist(), self.known
+        if len(known) >= self.most:
+            known.clear()
+        parts = [known.get(c) for c in chunks]
+        for k, part in enumerate(parts):
+            if part is None:
+                parts[k] = known[chunks[k]] = self._chunk(chunks[k])
+        size = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(np.frombuffer(b"".join(parts), np.uint32)))
+        h = lists.take(pa.array(at)).flatten().to_numpy()
+        tokens = np.diff(np.concatenate([[0], np.cumsum(size[at])])[begin])
+        row = np.repeat(np.arange(len(tokens)), tokens)
         two = h[:-1] * np.uint32(2246822519) + h[1:] * np.uint32(3266489917)
-        return np.concatenate([h * np.uint32(2654435761), two ^ (two >> np.uint32(15))]) >> self.shift
+        inside = row[1:] == row[:-1]
+        grams = np.concatenate([h * np.uint32(2654435761), (two ^ (two >> np.uint32(15)))[inside]]) >> self.shift
+        return grams, np.concatenate([row, row[1:][inside]]), tokens + np.maximum(tokens - 1, 0)
+
+
+def _slices(texts: pd.Series) -> Iterator[pa.Array]:
+    for part in slices([pa.RecordBatch.from_arrays([pa.array(texts, pa.string(), from_pandas=True)], ["text"])]):
+        yield part["text"]
 
 
 def bounded_labels(labels: DataFrame, most: int) -> DataFrame:
@@ -77,12 +91,12 @@ def fit_quality(docs: DataFrame, labels: DataFrame, bits: int = 16, most_labels:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams, raw, target = NgramHasher(bits), np.zeros(buckets, np.int64), np.zeros(buckets, np.int64)
-        for b in batches:
-            for text, quality in zip(b["text"].to_pylist(), b["quality"].to_pylist(), strict=True):
-                n = np.bincount(grams(text), minlength=buckets)
-                raw += n
-                if quality is not None and quality > 0:
-                    target += n
+        for b in slices(batches):
+            x, row, _ = grams(b["text"])
+            raw += np.bincount(x, minlength=buckets)
+            good = pc.fill_null(pc.greater(b["quality"], 0), False).to_numpy(zero_copy_only=False)
+            if good.any():
+                target += np.bincount(x[good[row]], minlength=buckets)
         at = np.flatnonzero(raw)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(raw[at]), pa.array(target[at])], ["bucket", "raw", "target"])
 
@@ -124,16 +138,19 @@ def held_out_udf(spark, raw: np.ndarray, target: np.ndarray, bits: int):
         raw, target = shared.value
         grams, all_raw, all_target = NgramHasher(bits), raw.sum(), target.sum()
         for texts, good in batches:
-            out = []
-            for t, own in zip(texts, good, strict=True):
-                at, n = np.unique(grams(t), return_counts=True) if t else ((), ())
-                if not len(at):
-                    out.append(float("-inf"))
-                    continue
-                took = n if own else np.zeros_like(n)
-                ratio = np.log((target[at] - took) / (all_target - took.sum())) - np.log(raw[at] / all_raw)
-                out.append(float((ratio * n).sum()) / (n.sum() + RatioModel.prior))
-            yield pd.Series(out)
+            out, marks = [], iter(good)
+            for part in _slices(texts):
+                x, row, n = grams(part)
+                x = x[np.argsort(row, kind="stable")]
+                for own, g in zip([next(marks) for _ in range(len(n))], np.split(x, np.cumsum(n)[:-1]), strict=True):
+                    if not len(g):
+                        out.append(float("-inf"))
+                        continue
+                    at, k = np.unique(g, return_counts=True)
+                    took = k if own else np.zeros_like(k)
+                    ratio = np.log((target[at] - took) / (all_target - took.sum())) - np.log(raw[at] / all_raw)
+                    out.append(float((ratio * k).sum()) / (k.sum() + RatioModel.prior))
+            yield pd.Series(out, dtype=float)
 
     return score
 
@@ -144,13 +161,14 @@ def score_udf(spark, model: RatioModel):
     @F.pandas_udf("double")
     def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         m = shared.value
-        grams = NgramHasher(m.bits)
+        grams, ratio = NgramHasher(m.bits), m.ratio.astype(np.float64)
         for s in texts:
-            out = []
-            for t in s:
-                x = grams(t) if t else ()
-                out.append(float(m.ratio[x].sum()) / (len(x) + m.prior) if len(x) else float("-inf"))
-            yield pd.Series(out)
+            out = [np.zeros(0)]
+            for part in _slices(s):
+                x, row, n = grams(part)
+                total = np.bincount(row, ratio[x], len(n))  # text by text in order: the same in any slice
+                out.append(np.where(n > 0, total / (n + m.prior), -np.inf))
+            yield pd.Series(np.concatenate(out))
 
     return score
 
