@@ -251,7 +251,7 @@ def g27_gate(spark, d):
  ok AS (SELECT s.target, s.t, e.rank, e.station, p.h - g.h AS up FROM s JOIN edges e ON e.target = s.target JOIN complete c ON c.station = e.station AND c.day = s.t AND c.complete JOIN points p ON p.id = e.station JOIN targets g ON g.id = s.target),
  x AS (SELECT ok.target, ok.t, sum(d.v / 2) AS total, sum(d.v / 2 * ok.rank * (d.day - ok.t + 3)) AS weighted FROM ok JOIN series_day d ON d.station = ok.station AND d.day BETWEEN ok.t - 2 AND ok.t GROUP BY ok.target, ok.t),
  n AS (SELECT ok.target, ok.t, sum(ok.up * ok.rank) AS up, sum(b.n * ok.rank) AS bg FROM ok LEFT JOIN (SELECT station, day, count(*) AS n FROM reports GROUP BY station, day) b ON b.station = ok.station AND b.day = ok.t GROUP BY ok.target, ok.t)
- SELECT s.target, s.t, {r('coalesce(x.total, 0)', 'total', 5)}, {r('coalesce(weighted, 0)', 'weighted', 4)}, {r('coalesce(up, 0)', 'up', 4)}, {r('coalesce(n.bg, 0)', 'bg')}, {r('CASE WHEN y.station IS NOT NULL THEN coalesce(y.v, 0) END', 'y', 5)}, {r('(s.t - 2) % 7 + 10 * ((s.t - 1) % 7) + 100 * (s.t % 7)', 'marks')}, {r('s.t % 7', 'mark_t')}, {r('g.h', 'height')}, {r('q.n', 'bg_target')}
+ SELECT s.target, s.t, {r('coalesce(x.total, 0)', 'total', 7)}, {r('coalesce(weighted, 0)', 'weighted', 7)}, {r('coalesce(up, 0)', 'up', 4)}, CAST(coalesce(n.bg, 0) AS DOUBLE) AS bg, {r('CASE WHEN y.station IS NOT NULL THEN coalesce(y.v, 0) END', 'y', 7)}, CAST((s.t - 2) % 7 + 10 * ((s.t - 1) % 7) + 100 * (s.t % 7) AS DOUBLE) AS marks, CAST(s.t % 7 AS DOUBLE) AS mark_t, {r('g.h', 'height')}, CAST(q.n AS DOUBLE) AS bg_target
  FROM s JOIN targets g ON g.id = s.target LEFT JOIN x ON x.target = s.target AND x.t = s.t LEFT JOIN n ON n.target = s.target AND n.t = s.t LEFT JOIN series_day y ON y.station = s.target AND y.day = s.t
  LEFT JOIN (SELECT station, day, count(*) AS n FROM reports GROUP BY station, day) q ON q.station = s.target AND q.day = s.t""")
 def g28_assemble(spark, d):
@@ -275,7 +275,7 @@ def g28_assemble(spark, d):
     marks = F.element_at(F.col("marks")[0], 1) + 10 * F.element_at(F.col("marks")[1], 1) + 100 * F.element_at(F.col("marks")[2], 1)
     one = {"y": F.element_at("y", 1), "marks": marks, "mark_t": F.element_at("mark_t", 1), "height": F.element_at("features", 1), "bg_target": F.element_at("bg_target", 1), "up": by_rank(F.col("geometry")), "bg": by_rank(F.col("bg"))}
     out = x.select("target", "t", total.alias("total"), weighted.alias("weighted"), *[v.alias(k) for k, v in one.items()])
-    return out.select("target", "t", *[F.round(c, n).alias(c) for c, n in (("total", 5), ("weighted", 4), ("up", 4), ("y", 5), ("bg", 6), ("marks", 6), ("mark_t", 6), ("height", 6), ("bg_target", 6))])
+    return out.select("target", "t", *[F.round(c, n).alias(c) for c, n in (("total", 7), ("weighted", 7), ("up", 4), ("y", 7), ("bg", 6), ("marks", 6), ("mark_t", 6), ("height", 6), ("bg_target", 6))])
 
 
 @query(f"WITH {REPORTS} SELECT event_id, CAST(max(CASE WHEN value IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY station, day) AS BIGINT) AS mask, {r('coalesce(value, 0)', 'filled')} FROM reports")
