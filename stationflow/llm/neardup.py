@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stationflow.llm.common import join_small, partitions, slices, write_stage
+from stationflow.llm.common import drop_stage, join_small, partitions, slices, write_stage
 from stationflow.llm.components import connected_components
 
 
@@ -304,7 +304,9 @@ def _families(reps: DataFrame, members: DataFrame, least: float, base: float, bl
     """(node, component): documents joined by plausible pairs; every link lies within one family."""
     rows = members.withColumn("blocks", F.ceil(F.col("size") / F.lit(block)).cast("int")).drop("size")
     rows = write_stage(rows.join(reps.select("doc", "n", "regs"), "doc").select("group", "doc", "blocks", "n", "regs"), "neardup-members")
-    return _joined(rows, _linker(least, base, lambda t: lambda x, y: True))
+    out = _joined(rows, _linker(least, base, lambda t: lambda x, y: True))
+    drop_stage(rows)
+    return out
 
 
 def _linked(families: DataFrame, reps: DataFrame, texts: DataFrame, width: int, percent: int, base: float, block: int, block_mb: int) -> DataFrame:
@@ -333,7 +335,9 @@ def _linked(families: DataFrame, reps: DataFrame, texts: DataFrame, width: int,
 
         return linked
 
-    return _joined(rows, _linker(least, base, exact))
+    out = _joined(rows, _linker(least, base, exact))
+    drop_stage(used)
+    return out
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, bands: int = 42, rows: int = 6, base: float = 1.001, block: int = 256, block_mb: int = 16, text_hash: bool = False) -> DataFrame:
@@ -366,6 +370,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, bands: i
     reps = write_stage(live.groupBy("digest").agg(F.min("doc_id").alias("doc"), F.min(F.struct("doc_id", "text_hash"))["text_hash"].alias("text_hash"), F.first("n").alias("n"), F.first("regs").alias("regs")), "neardup-reps")
     members = write_stage(_buckets(reps.select("doc", "regs"), bands, rows), "neardup-buckets")
     families = _families(reps, members, least, base, block)
+    drop_stage(members)
     parts = _linked(families, reps.select("doc", "text_hash", "n", "regs"), texts, width, percent, base, block, block_mb)
     nodes = reps.select("digest", F.col("doc").alias("rep"))
 
