@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stationflow.llm.common import write_stage
+from stationflow.llm.common import join_small, write_stage
 from stationflow.llm.decontaminate import contamination
 from stationflow.llm.language import identify_language
 from stationflow.llm.neardup import near_duplicates
@@ -46,10 +46,13 @@ def neardup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null doc_id: linked with nothing, so each such row stays. Rows of equal doc_id and text are one
     document, of which one row stays. Null or blank text: like no other, stays. Rows that share a doc_id but not the text are kept or dropped each by its own text.
     """
-    kept = near_duplicates(docs, text_hash=True).filter("kept and doc_id is not null").select("doc_id", F.col("text_hash").alias("text_hash_")).distinct()
-    known = docs.filter("doc_id is not null").withColumn("text_hash_", F.xxhash64("text"))
-    rest = known.join(kept, ["doc_id", "text_hash_"], "left_semi").dropDuplicates(["doc_id", "text_hash_", "text"])
-    return rest.select(*docs.columns).unionByName(docs.filter("doc_id is null"))
+    found = near_duplicates(docs, text_hash=True).filter("kept and doc_id is not null")
+    keys = write_stage(found.groupBy(F.col("doc_id").alias("k_"), F.col("text_hash").alias("h_")).agg(F.count("*").alias("n_")), "neardup-kept")
+    known = _whole(docs.filter("doc_id is not null"), "doc_id", "text").withColumn("text_hash", F.xxhash64("text"))
+    mine = (F.col("doc_id") == F.col("k_")) & (F.col("text_hash") == F.col("h_"))
+    once = join_small(known, keys.filter("n_ = 1").select("k_", "h_"), mine, "left_semi")
+    often = join_small(known, keys.filter("n_ > 1").select("k_", "h_"), mine, "left_semi").dropDuplicates(["doc_id", "text_hash", "text"])  # only what repeats is shuffled whole
+    return once.unionByName(often).select("row_.*").unionByName(docs.filter("doc_id is null"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
