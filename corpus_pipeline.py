@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stationflow.llm.common import join_small, write_stage
@@ -18,8 +18,13 @@ from stationflow.llm.quality import resample_quality
 
 
 def _whole(docs: DataFrame, *columns: str) -> DataFrame:
-    """``columns`` for an operator, and each row whole beside them."""
-    return docs.select(*columns, F.struct(*docs.columns).alias("row_"))
+    """``columns`` for an operator, and the rest of each row beside them."""
+    return docs.select(*columns, F.struct(F.lit(0).alias("none_"), *[c for c in docs.columns if c not in columns]).alias("row_"))
+
+
+def _columns(docs: DataFrame, *columns: str) -> list[Column]:
+    """The columns of ``docs`` again."""
+    return [F.col(c) if c in columns else F.col(f"row_.`{c}`").alias(c) for c in docs.columns]
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,7 +33,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null doc_id: judged by its text. Repeated rows share their fate. A table without any known
     language teaches nothing, so all go.
     """
-    return identify_language(_whole(docs, "doc_id", "text", "lang")).filter(~F.col("ambiguous")).select("row_.*")
+    return identify_language(_whole(docs, "doc_id", "text", "lang")).filter(~F.col("ambiguous")).select(*_columns(docs, "doc_id", "text", "lang"))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +42,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null doc_id: judged by its text. Repeated rows share their fate. Ties of the sampling key go to the smaller doc_id. Without labels all
     documents with text stay.
     """
-    return resample_quality(_whole(docs, "doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet")).filter("selected").select("row_.*")
+    return resample_quality(_whole(docs, "doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet")).filter("selected").select(*_columns(docs, "doc_id", "text"))
 
 
 def neardup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +57,7 @@ def neardup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     mine = (F.col("doc_id") == F.col("k_")) & (F.col("text_hash") == F.col("h_"))
     once = join_small(known, keys.filter("n_ = 1").select("k_", "h_"), mine, "left_semi")
     often = join_small(known, keys.filter("n_ > 1").select("k_", "h_"), mine, "left_semi").dropDuplicates(["doc_id", "text_hash", "text"])  # only what repeats is shuffled whole
-    return once.unionByName(often).select("row_.*").unionByName(docs.filter("doc_id is null"))
+    return once.unionByName(often).select(*_columns(docs, "doc_id", "text")).unionByName(docs.filter("doc_id is null"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,7 +65,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
     Null or empty text: stays. Null doc_id: judged by its text. Repeated rows share their fate. Without benchmark items all stay.
     """
-    return contamination(_whole(docs, "doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).filter(~F.col("contaminated")).select("row_.*")
+    return contamination(_whole(docs, "doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).filter(~F.col("contaminated")).select(*_columns(docs, "doc_id", "text"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
