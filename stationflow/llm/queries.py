@@ -6,17 +6,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stationflow.llm.common import join_small
 from stationflow.llm.decontaminate import contamination
 from stationflow.llm.html_text import extract_text
 from stationflow.llm.language import identify_language
 from stationflow.llm.licenses import oracle as licenses_oracle
 from stationflow.llm.licenses import scan_licenses
+from stationflow.llm.merkle import merkle_manifest
 from stationflow.llm.neardup import near_duplicates
 from stationflow.llm.packing import pack_documents
 from stationflow.llm.quality import resample_quality
+from stationflow.llm.spelling import spelling_variants
 from stationflow.llm.token_counts import count_tokens
 from stationflow.llm.token_files import token_digests, write_token_files
 from stationflow.llm.topk import exact_topk
+from stationflow.llm.url_filter import DOUBLE_SUFFIXES, filter_urls
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -74,6 +78,26 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(spark, path)
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_manifest(_read(spark, sf_dir, "documents"))
+
+
+#: (host, path, verdict).
+URL_RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
+
+
+def op13_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables have no labels of pages: those of ``labels`` are taken by the page's id; of low quality or toxic is a bad outcome."""
+    labels = _read(spark, sf_dir, "labels").filter("quality is not null or toxic is not null")
+    bad = labels.groupBy(F.col("doc_id").alias("page_id")).agg(F.max(F.coalesce(F.col("quality") == 0, F.lit(False)) | F.coalesce(F.col("toxic") == 1, F.lit(False))).alias("bad"))
+    pages = join_small(_read(spark, sf_dir, "pages").select("page_id", "url"), bad, ["page_id"], "left")
+    return filter_urls(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict", "n_labelled", "bad_bound")
+
+
 def queries() -> dict:
     return {
         "op1_exact_topk": op1_exact_topk,
@@ -86,6 +110,9 @@ def queries() -> dict:
         "op8_language_id": op8_language_id,
         "op9_minhash_neardup": op9_minhash_neardup,
         "op10_token_files": op10_token_files,
+        "op11_spelling_variants": op11_spelling_variants,
+        "op12_merkle_manifest": op12_merkle_manifest,
+        "op13_url_filters": op13_url_filters,
     }
 
 
@@ -130,5 +157,94 @@ FROM docs d LEFT JOIN sizes USING (doc_id) JOIN (SELECT node, min(low) AS compon
 """
 
 
+#: The checksum's table from its rule, and the checksum of a text's UTF-8 bytes.
+_CRC_TABLE = "crc AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(CAST(i AS BIGINT), [0, 0, 0, 0, 0, 0, 0, 0]), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS t)"
+
+
+def _crc32(text: str) -> str:
+    units = f"list_transform(range(0, strlen({text})), lambda i: CAST('0x' || substr(hex(encode({text})), 2 * i + 1, 2) AS BIGINT))"
+    return f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {units}), lambda c, b: xor(c // 256, t[xor(c, b) % 256 + 1])), 4294967295)"
+
+
+#: Words by what is left of them without each of their letters.
+SPELLING_SQL = f"""
+WITH RECURSIVE {_CRC_TABLE},
+runs AS (SELECT id, w, count(*) AS c FROM (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, unnest(regexp_extract_all({_LOWER}, '[a-z\u00C0-\u00FF]+')) AS w FROM documents) WHERE length(w) >= 6 GROUP BY ALL),
+hashed AS (SELECT w, c, {_crc32("(id || ':' || w)")} AS h FROM runs, crc),
+made AS (SELECT CASE WHEN h % 199 = 0 THEN substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word, c FROM hashed),
+words AS (SELECT word, CAST(sum(c) AS BIGINT) AS n FROM made WHERE length(word) >= 6 GROUP BY word HAVING sum(c) >= 5),
+cuts AS (SELECT word, substr(word, 1, i) AS a, substr(word, i + 2) AS b FROM (SELECT word, unnest(range(0, length(word))) AS i FROM words)),
+found AS (SELECT x.word, y.word AS other FROM cuts x JOIN cuts y ON x.a = y.a AND x.b = y.b AND x.word <> y.word UNION SELECT x.word, y.word FROM cuts x JOIN words y ON y.word = x.a || x.b),
+near AS (SELECT word, other FROM found UNION SELECT other, word FROM found),
+ranked AS (SELECT x.word, other, y.n AS m, count(*) OVER (PARTITION BY x.word) AS n_near, row_number() OVER (PARTITION BY x.word ORDER BY y.n DESC, other) AS r FROM near x JOIN words y ON y.word = other),
+known AS (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 5 * n THEN other END AS form, CASE WHEN m >= 5 * n THEN m END AS form_n FROM words LEFT JOIN (SELECT * FROM ranked WHERE r = 1) USING (word)),
+up AS (SELECT word, word AS seen, form AS further FROM known UNION ALL SELECT u.word, k.word, k.form FROM up u JOIN known k ON k.word = u.further)
+SELECT word, form, seen AS root, n, n_near, form_n FROM known JOIN (SELECT word, seen FROM up WHERE further IS NULL) USING (word)
+"""
+
+_FIELD = "CASE WHEN {0} IS NULL THEN '-' ELSE strlen(CAST({0} AS VARCHAR)) || ':' || CAST({0} AS VARCHAR) END"
+
+
+def _leaf(text: str) -> str:
+    return "sha256(" + " || ".join(_FIELD.format(x) for x in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+
+#: Every level of every tree, and each row's siblings on its way up.
+MERKLE_SQL = f"""
+WITH RECURSIVE {_CRC_TABLE},
+rows AS (SELECT doc_id, source, {_leaf("text")} AS leaf, CASE WHEN {_crc32("CAST(doc_id AS VARCHAR)")} % 2 = 0 THEN {_leaf("replace(text, chr(10), '')")} END AS tampered FROM documents, crc),
+leaves AS (SELECT *, coalesce('=' || source, '') AS g, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY source) AS c FROM rows),
+nodes AS (SELECT g, 0 AS lvl, i, leaf AS h, c FROM leaves
+          UNION ALL SELECT g, lvl + 1, i // 3, sha256(string_agg(h, '' ORDER BY i)), (c + 2) // 3 FROM nodes WHERE c > 1 GROUP BY g, lvl, c, i // 3),
+subs AS (SELECT g, h, lvl AS height, row_number() OVER (ORDER BY g) - 1 AS i, count(*) OVER () AS c FROM nodes WHERE c = 1),
+tops AS (SELECT 0 AS lvl, i, h, c FROM subs UNION ALL SELECT lvl + 1, i // 3, sha256(string_agg(h, '' ORDER BY i)), (c + 2) // 3 FROM tops WHERE c > 1 GROUP BY lvl, c, i // 3),
+own AS (SELECT doc_id, leaf, tampered, l.g, l.i, s.h AS subroot, s.i AS k, s.height, row_number() OVER () AS id FROM leaves l JOIN subs s USING (g)),
+steps AS (SELECT id, 0 AS tree, n.lvl, n.i < o.i // CAST(pow(3, n.lvl) AS BIGINT) AS before, n.i, n.h FROM own o JOIN nodes n ON n.g = o.g AND n.c > 1 AND n.i // 3 = o.i // CAST(pow(3, n.lvl + 1) AS BIGINT) AND n.i <> o.i // CAST(pow(3, n.lvl) AS BIGINT)
+          UNION ALL SELECT id, 1, n.lvl, n.i < o.k // CAST(pow(3, n.lvl) AS BIGINT), n.i, n.h FROM own o JOIN tops n ON n.c > 1 AND n.i // 3 = o.k // CAST(pow(3, n.lvl + 1) AS BIGINT) AND n.i <> o.k // CAST(pow(3, n.lvl) AS BIGINT)),
+levels AS (SELECT id, 0 AS tree, unnest(range(0, height)) AS lvl FROM own UNION ALL SELECT id, 1, unnest(range(0, (SELECT max(lvl) FROM tops))) FROM own),
+sides AS (SELECT id, tree, lvl, coalesce(string_agg(h, '' ORDER BY i) FILTER (before), '') AS a, coalesce(string_agg(h, '' ORDER BY i) FILTER (NOT before), '') AS b FROM levels LEFT JOIN steps USING (id, tree, lvl) GROUP BY ALL),
+ways AS (SELECT id, string_agg(a || b, '' ORDER BY tree, lvl) AS proof, list(a || '|' || b ORDER BY tree, lvl) AS way FROM sides GROUP BY id),
+folded AS (SELECT o.*, coalesce(proof, '') AS proof, list_reduce(list_prepend(coalesce(tampered, leaf), coalesce(way, [])), lambda x, y: sha256(split_part(y, '|', 1) || x || split_part(y, '|', 2))) AS f FROM own o LEFT JOIN ways USING (id))
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, f AS folded_root, f = root AS verified FROM folded, (SELECT h AS root FROM tops WHERE c = 1)
+"""
+
+_DOUBLE = ", ".join(f"'{x}'" for x in DOUBLE_SUFFIXES)
+
+
+def _rate(of: str, by: str) -> str:
+    """Rates of the groups ``of`` (by, k, n, prior) under the prior of their level."""
+    r = "greatest(0.001, least(0.9, coalesce((SELECT CASE WHEN sum(n * (n - 1) * prior * (1 - prior)) > 0 THEN sum(pow(k - n * prior, 2) - n * prior * (1 - prior)) / sum(n * (n - 1) * prior * (1 - prior)) END FROM {0}), CAST(1 AS DOUBLE) / 3)))".format(of)
+    return f"SELECT {by}, k, n, k + m * prior AS a, n - k + m * (1 - prior) AS b, (k + m * prior) / (n + m) AS rate FROM {of}, (SELECT 1 / {r} - 1 AS m)"
+
+
+URL_SQL = f"""
+WITH labelled AS (SELECT doc_id AS page_id, max(CAST(coalesce(quality = 0, false) OR coalesce(toxic = 1, false) AS INT)) AS bad FROM labels WHERE quality IS NOT NULL OR toxic IS NOT NULL GROUP BY doc_id),
+parts AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+split AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM parts),
+rules (h, p, v) AS (VALUES {", ".join(str(r) for r in URL_RULES)}),
+ruled AS (SELECT page_id, host, path, max_by(h || p, length(h || p)) AS rule, max_by(v, length(h || p)) AS verdict FROM split LEFT JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY ALL),
+labels_of AS (SELECT host, CAST(coalesce(sum(bad), 0) AS BIGINT) AS k, count(bad) AS n, string_split(host, '.') AS l FROM split LEFT JOIN labelled USING (page_id) GROUP BY host),
+ends AS (SELECT host, k, n, l, array_to_string(l[-2:], '.') AS two FROM labels_of),
+hosts AS (SELECT host, k, n, CASE WHEN two IN ({_DOUBLE}) THEN array_to_string(l[-3:], '.') ELSE two END AS domain, CASE WHEN two IN ({_DOUBLE}) THEN two ELSE l[-1] END AS suffix FROM ends),
+base AS (SELECT (coalesce(sum(k), 0) + 0.5) / CAST(coalesce(sum(n), 0) + 1 AS DOUBLE) AS prior FROM hosts),
+s AS (SELECT suffix, sum(k) AS k, sum(n) AS n, any_value(prior) AS prior FROM hosts, base GROUP BY suffix),
+s_rate AS ({_rate("s", "suffix")}),
+d AS (SELECT domain, sum(h.k) AS k, sum(h.n) AS n, any_value(rate) AS prior FROM hosts h JOIN s_rate USING (suffix) GROUP BY domain),
+d_rate AS ({_rate("d", "domain")}),
+h AS (SELECT host, h.k, h.n, rate AS prior FROM hosts h JOIN d_rate USING (domain)),
+h_rate AS ({_rate("h", "host")}),
+bounds AS (SELECT host, n AS n_labelled, round(rate - 1.645 * sqrt(a * b / (pow(a + b, 2) * (a + b + 1))), 9) AS bad_bound FROM h_rate)
+SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN bad_bound > 0.5 THEN 'block' ELSE 'allow' END) AS verdict, n_labelled, bad_bound FROM ruled JOIN bounds USING (host)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_topk": TOPK_SQL, "op2_license_scan": licenses_oracle(), "op6_benchmark_decontamination": CONTAMINATION_SQL, "op9_minhash_neardup": NEARDUP_SQL}
+    return {
+        "op1_exact_topk": TOPK_SQL,
+        "op2_license_scan": licenses_oracle(),
+        "op6_benchmark_decontamination": CONTAMINATION_SQL,
+        "op9_minhash_neardup": NEARDUP_SQL,
+        "op11_spelling_variants": SPELLING_SQL,
+        "op12_merkle_manifest": MERKLE_SQL,
+        "op13_url_filters": URL_SQL,
+    }
