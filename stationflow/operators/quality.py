@@ -27,22 +27,25 @@ def plausible(var: Column, value: Column, rules: dict[str, tuple[float, float]]
 
 
 def points_in_polygons(points: DataFrame, edges: DataFrame, lat: str = "lat", lon: str = "lon", cell: float = 1.0) -> DataFrame:
-    """(point columns, ring) for points inside a ring, by ray casting.
+    """(point columns, ring) for points inside a ring, by ray casting; a point that repeats is found as often.
 
     ``edges``: ring, x1, y1, x2, y2. Points are joined with the rings whose box holds them, by the cells of ``cell``
     degrees that a box covers (an equi join, whatever the number of rings),
-    then with the edges of those rings; an odd number of crossings is inside.
+    then with those edges of the rings that reach into their band of latitude; an odd number of crossings is inside.
     """
     boxes = edges.groupBy("ring").agg(F.min(F.least("x1", "x2")).alias("w"), F.max(F.greatest("x1", "x2")).alias("e"), F.min(F.least("y1", "y2")).alias("s"), F.max(F.greatest("y1", "y2")).alias("n"))
     at = lambda x: F.floor(x / cell)
-    covered = lambda low, high: F.sequence(at(F.col(low)), at(F.col(high)))
-    boxes = boxes.withColumn("cx_", F.explode(covered("w", "e"))).withColumn("cy_", F.explode(covered("s", "n")))
-    p = points.withColumn("px", wrap_lon_180(lon)).withColumn("py", F.col(lat)).withColumn("cx_", at(F.col("px"))).withColumn("cy_", at(F.col("py")))
+    covered = lambda low, high: F.sequence(at(low), at(high))
+    boxes = boxes.withColumn("cx_", F.explode(covered(F.col("w"), F.col("e")))).withColumn("cy_", F.explode(covered(F.col("s"), F.col("n"))))
+    once = points.groupBy(*points.columns).agg(F.count("*").alias("times_"))
+    p = once.withColumn("px", wrap_lon_180(lon)).withColumn("py", F.col(lat)).withColumn("cx_", at(F.col("px"))).withColumn("cy_", at(F.col("py")))
     near = p.join(boxes, ["cx_", "cy_"]).filter(F.col("px").between(F.col("w"), F.col("e")) & F.col("py").between(F.col("s"), F.col("n")))
-    hit = near.join(edges, "ring")
+    banded = edges.withColumn("cy_", F.explode(covered(F.least("y1", "y2"), F.greatest("y1", "y2"))))
+    hit = near.join(banded, ["ring", "cy_"])
     spans = (F.col("y1") > F.col("py")) != (F.col("y2") > F.col("py"))
     cross = spans & (F.col("px") < F.try_divide((F.col("x2") - F.col("x1")) * (F.col("py") - F.col("y1")), F.col("y2") - F.col("y1")) + F.col("x1"))
-    return hit.groupBy(*points.columns, "ring").agg(F.count_if(cross).alias("n")).filter("n % 2 = 1").drop("n")
+    inside = hit.groupBy(*points.columns, "ring").agg(F.count_if(cross).alias("n_"), F.max("times_").alias("times_")).filter("n_ % 2 = 1")
+    return inside.withColumn("each_", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times_")))).drop("n_", "times_", "each_")
 
 
 def bbox_crop(df: DataFrame, box: tuple[float, float, float, float], lat: str = "lat", lon: str = "lon", half_cell: float = 0.0) -> DataFrame:

@@ -9,9 +9,18 @@ from stationflow.operators.ordering import seeded
 
 
 def complete_window(series: DataFrame, keys: list[str], step: str, value: str, width: int) -> DataFrame:
-    """Adds complete: all of the last ``width`` steps are there and finite. Gaps need no filling in."""
-    w = Window.partitionBy(*keys).orderBy(step).rangeBetween(-(width - 1), 0)
-    return series.withColumn("complete", F.count(F.when(_finite(value), 1)).over(w) == width)
+    """Adds complete: all of the last ``width`` steps are there and finite. Gaps need no filling in.
+
+    The start of the unbroken run of finite steps that leads to a row is a running maximum of start marks, so the cost
+    doesn't depend on ``width``. Rows that repeat a step count as one step, finite where one of them is, and get the same answer.
+    """
+    w = Window.partitionBy(*keys).orderBy(step)
+    known = F.when(_finite(value), F.col(step))
+    before, upto = F.max(known).over(w.rangeBetween(Window.unboundedPreceding, -1)), F.max("k_").over(w)
+    marked = series.withColumn("k_", known).withColumn("b_", before)
+    marked = marked.withColumn("s_", F.when(F.col("b_").isNull() | (F.col("b_") < F.col("k_") - 1), F.col("k_")))
+    start = F.max("s_").over(w)  # of the run that the last finite step belongs to
+    return marked.withColumn("complete", F.coalesce((upto == F.col(step)) & (F.col(step) - start >= width - 1), F.lit(False))).drop("k_", "b_", "s_")
 
 
 def _finite(value: str) -> Column:
@@ -20,18 +29,35 @@ def _finite(value: str) -> Column:
     return v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))
 
 
-def step_frames(series: DataFrame, wanted: DataFrame, keys: list[str], step: str, value: str, width: int) -> DataFrame:
-    """(keys, step, frames, n): for each row of ``wanted`` the finite values at the last ``width`` steps, NULL for missing ones.
+def step_blocks(series: DataFrame, keys: list[str], step: str, value: str, width: int) -> DataFrame:
+    """(keys, block, cells): the series in blocks of ``width`` steps, each an array with NULL at steps that are missing or not finite.
+
+    A series of any length is dealt out by (keys, block). Of finite values that share a step the largest stays.
+    """
+    none = lambda n: F.array_repeat(F.lit(None).cast("double"), n.cast("int"))
+    once = series.filter(_finite(value)).groupBy(*keys, F.col(step).cast("long").alias("s_")).agg(F.max(F.col(value).cast("double")).alias("v_"))
+    block = once.groupBy(*keys, F.floor(F.col("s_") / width).alias("block")).agg(F.sort_array(F.collect_list(F.struct("s_", "v_"))).alias("c_"))
+    first = F.col("block") * width
+    gap = lambda x, k: x["s_"] - F.coalesce(F.get("c_", k - 1)["s_"], first - 1) - 1
+    cells = F.flatten(F.transform("c_", lambda x, k: F.concat(none(gap(x, k)), F.array(x["v_"]))))
+    return block.select(*keys, "block", F.concat(cells, none(first + width - 1 - F.element_at("c_", -1)["s_"])).alias("cells"))
+
+
+def step_frames(series: DataFrame, wanted: DataFrame, keys: list[str], step: str, value: str, width: int, blocks: DataFrame | None = None) -> DataFrame:
+    """(keys, step, frames, n): for each (keys, step) of ``wanted`` the finite values at the last ``width`` steps, NULL for missing ones.
 
-    Wanted steps are put among the steps of their series and look back over a RANGE frame: one shuffle by the
-    keys, and no row for each step of each window.
+    A window lies in two blocks at most (``step_blocks``, made here unless given), which an equi join on
+    (keys, block) brings to it: every value moves once, and a frame is made only where one is asked for. Repeated
+    wanted rows give one; of finite values that share a step the largest is taken.
     """
-    rows = series.select(*keys, step, F.when(_finite(value), F.struct(F.col(step).alias("s"), F.col(value).cast("double").alias("v"))).alias("x_"), F.lit(False).alias("asks_"))
-    asked = wanted.select(*keys, step).distinct().withColumn("x_", F.lit(None).cast(rows.schema["x_"].dataType)).withColumn("asks_", F.lit(True))
-    w = Window.partitionBy(*keys).orderBy(step).rangeBetween(-(width - 1), 0)
-    got = rows.unionByName(asked).withColumn("m_", F.map_from_entries(F.collect_list("x_").over(w))).filter("asks_")
-    at = F.sequence(F.col(step) - (width - 1), F.col(step))
-    return got.select(*keys, step, F.transform(at, lambda i: F.col("m_")[i]).alias("frames"), F.size("m_").alias("n"))
+    blocks = step_blocks(series, keys, step, value, width) if blocks is None else blocks
+    t = F.col(step).cast("long")
+    low = F.floor((t - (width - 1)) / width)
+    reach = wanted.select(*keys, step).distinct().withColumn("block", F.explode(F.array_distinct(F.array(low, F.floor(t / width)))))
+    cells = F.coalesce("cells", F.array_repeat(F.lit(None).cast("double"), width))
+    met = reach.join(blocks, [*keys, "block"], "left").groupBy(*keys, step).agg(F.sort_array(F.collect_list(F.struct("block", cells.alias("cells")))).alias("m_"))
+    got = met.select(*keys, step, F.slice(F.flatten("m_.cells"), (t - (width - 1) - low * width + 1).cast("int"), F.lit(width)).alias("frames"))
+    return got.withColumn("n", F.size(F.filter("frames", lambda v: v.isNotNull())))
 
 
 def valid_neighbours(edges: DataFrame, complete: DataFrame, target: str, station: str, step: str) -> DataFrame:
@@ -186,7 +212,7 @@ def gate_by_validity(df: DataFrame, target: list[str], rank: str, valid: Column,
     return got.select(*target, F.transform(F.sequence(F.lit(1), F.lit(k)), lambda i: F.coalesce(F.element_at("m", i.cast("long")), F.lit(0.0))).alias("x"))
 
 
-def assemble_samples(index: DataFrame, edges: DataFrame, series: DataFrame, target: str, station: str, step: str, value: str, width: int, k: int, geometry: tuple[str, ...] = (), mean: float = 0.0, std: float = 1.0, y: DataFrame | None = None, marks=None, features: DataFrame | None = None, background: DataFrame | None = None, target_background: DataFrame | None = None) -> DataFrame:
+def assemble_samples(index: DataFrame, edges: DataFrame, series: DataFrame, target: str, station: str, step: str, value: str, width: int, k: int, geometry: tuple[str, ...] = (), mean: float = 0.0, std: float = 1.0, y: DataFrame | None = None, marks=None, features: DataFrame | None = None, background: DataFrame | None = None, target_background: DataFrame | None = None, blocks: DataFrame | None = None) -> DataFrame:
     """One row a sample of ``index`` (target, step as t) with what a model takes in:
 
     x (width x k, scaled windows of the neighbours by rank), geometry (k x columns of ``edges``) and bg (k x values of
@@ -195,10 +221,11 @@ def assemble_samples(index: DataFrame, edges: DataFrame, series: DataFrame, targ
     ``features`` (target, features), 0 for what is missing; marks at all steps and mark_t at T by the function ``marks``
     of a step. Arrays of double; parts that aren't given are left out.
 
-    The window of each (station, T) is made once and joined to the samples that use it: k rows a sample.
+    The window of each (station, T) is made once and joined to the samples that use it: k rows a sample. ``blocks`` is the series
+    as ``step_blocks``, where it is kept as a table.
     """
     want = index.select(target, F.col(step).alias(step)).distinct().join(edges.filter(F.col("rank") <= k).select(target, station, "rank", *geometry), target)
-    frames = step_frames(series, want.select(station, step), [station], step, value, width)
+    frames = step_frames(series, want.select(station, step), [station], step, value, width, blocks)
     near = want.join(frames, [station, step])
     zero = F.lit(0.0)
     parts = [F.col("rank").cast("long").alias("rank"), F.transform("frames", lambda v: (v - mean) / std).alias("x"), F.array(*[F.coalesce(F.col(g).cast("double"), zero) for g in geometry]).cast("array<double>").alias("g")]

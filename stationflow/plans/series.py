@@ -35,6 +35,32 @@ def g1_complete_window(spark, d):
     return G.complete_window(series_day(spark, d), ["station"], "day", "v", 3).select("station", "day", "complete")
 
 
+_GAPPY = f"{REPORTS}, gappy AS (SELECT event_id % 2 AS half, hour, CASE WHEN (hour * 7919) % 397 <> 0 THEN sum(coalesce(value, 0)) END AS v FROM reports GROUP BY event_id % 2, hour)"
+_LONG = 288
+
+
+def _gappy(spark, d):
+    s = reports(spark, d).groupBy((F.col("event_id") % 2).alias("half"), "hour").agg(F.sum(F.coalesce("value", F.lit(0.0))).alias("v"))
+    return s.withColumn("v", F.when((F.col("hour") * 7919) % 397 != 0, F.col("v")))
+
+
+@query(f"WITH {_GAPPY} SELECT half, hour, count(v) OVER (PARTITION BY half ORDER BY hour RANGE BETWEEN {_LONG - 1} PRECEDING AND CURRENT ROW) = {_LONG} AS complete FROM gappy")
+def g1_long_windows(spark, d):
+    """G1: windows of 288 steps without a gap."""
+    return G.complete_window(_gappy(spark, d), ["half"], "hour", "v", _LONG).select("half", "hour", "complete")
+
+
+@query(f"""WITH {_GAPPY} SELECT half, hour AS t, count(v) OVER w AS n, {r('sum(v) OVER w', 'total', 4)}, {r('sum(v * (hour % 24)) OVER w', 'by_hour', 4)} FROM gappy
+ WINDOW w AS (PARTITION BY half ORDER BY hour RANGE BETWEEN {_LONG - 1} PRECEDING AND CURRENT ROW) QUALIFY count(v) OVER w > 0""")
+def e14_long_frames(spark, d):
+    """Frames of 288 steps."""
+    s = _gappy(spark, d)
+    out = E.window_join(s, s.select("half", "hour"), "half", "hour", "v", _LONG)
+    add = lambda f: F.aggregate(F.transform("frames", f), F.lit(0.0), lambda a, x: a + x)
+    at = lambda v, i: F.coalesce(v, F.lit(0.0)) * ((F.col("t") - (_LONG - 1) + i) % 24)
+    return rounded(out.select("half", "t", "n", add(lambda v: F.coalesce(v, F.lit(0.0))).alias("total"), add(at).alias("by_hour")), 4)
+
+
 @query(f"WITH {SERIES_DAY}, {_COMPLETE}, {POINTS}, {_EDGES} SELECT target, day, count(*) AS n_valid FROM edges JOIN complete USING (station) WHERE complete GROUP BY target, day")
 def g2_valid_neighbours(spark, d):
     """Complete neighbours at each step."""

@@ -2,6 +2,7 @@ import gzip
 import io
 import zipfile
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -134,3 +135,43 @@ def test_incomplete_where_a_value_is_nan(spark):
     assert {r.day: (r.frames, r.n) for r in frames.collect()}[4] == ([None, 4.0, 5.0], 2)
     with pytest.raises(ValueError, match="no data"):
         timegrid.clamp_window(df.limit(0), "day", 0, 5)
+
+
+def brute_frames(rows, width):
+    """(station, step) -> the largest finite value of each of the last steps."""
+    best = {}
+    for s, d, v in rows:
+        if v is not None and np.isfinite(v):
+            best[s, d] = max(v, best.get((s, d), v))
+    return {(s, d): [best.get((s, x)) for x in range(d - width + 1, d + 1)] for s, d, _ in rows}
+
+
+@pytest.mark.parametrize("width", [1, 3, 288])
+def test_long_windows_with_repeats(spark, width):
+    from stationflow.operators import windows
+
+    rng = np.random.default_rng(3)
+    rows = [("a", int(d), float(v)) for d, v in zip(rng.integers(-400, 900, 2500), rng.normal(size=2500), strict=True)]
+    rows += [("b", d, 1.0) for d in range(-300, 500) if d not in (-7, 250)] + [("b", 250, None), ("b", 249, 1.0), ("c", 5, float("nan")), ("c", 5, 2.0)]
+    df = spark.createDataFrame(rows, "station string, day long, v double")
+    want = brute_frames(rows, width)
+    got = windows.complete_window(df, ["station"], "day", "v", width).collect()
+    assert len(got) == len(rows) and all(r.complete == (None not in want[r.station, r.day]) for r in got)
+    frames = windows.step_frames(df, df.select("station", "day"), ["station"], "day", "v", width)
+    assert {(r.station, r.day): r.frames for r in frames.collect()} == want
+
+
+def test_three_steps_not_three_rows(spark):
+    from stationflow.operators import windows
+
+    df = spark.createDataFrame([("s", 1, 1.0), ("s", 1, 2.0), ("s", 3, 3.0)], "station string, day long, v double")
+    assert not windows.complete_window(df, ["station"], "day", "v", 3).filter("complete").count()
+
+
+def test_point_that_repeats_is_found_as_often(spark):
+    from stationflow.operators.quality import points_in_polygons
+
+    square = [(7, float(a), float(b), float(c), float(d)) for a, b, c, d in ((0, 0, 4, 0), (4, 0, 4, 4), (4, 4, 0, 4), (0, 4, 0, 0))]
+    edges = spark.createDataFrame(square, "ring int, x1 double, y1 double, x2 double, y2 double")
+    pts = spark.createDataFrame([(1, 1.5, 1.5)] * 2 + [(1, 1.5, 2.0)] * 3 + [(2, 9.0, 1.0), (3, 0.0, 2.0)], "id int, lat double, lon double")
+    assert sorted(r.id for r in points_in_polygons(pts, edges).collect()) == [1, 1, 1, 1, 1, 3]
