@@ -205,3 +205,25 @@ def window_scaler(series: DataFrame, kept: DataFrame, width: int, rank: str = "r
     s = w.groupBy(rank).agg(F.sum(F.col("w") * F.col("v")).alias("s"), F.sum(F.col("w") * F.col("v") * F.col("v")).alias("q"), F.sum("w").alias("n"))
     mean = F.col("s") / F.col("n")
     return s.select(rank, "n", mean.alias("mean"), F.sqrt(F.greatest(F.col("q") / F.col("n") - mean * mean, F.lit(1e-12))).alias("std"))
+
+
+def value_sketches(df: DataFrame, by: list[str], value: str, key: str, k: int = 400, lg: int = 14) -> DataFrame:
+    """(by, n, values, keys): mergeable sketches of each group, a quantile sketch of ``value`` and a distinct sketch of ``key``.
+
+    Kept for each month, they answer for any span of months without the rows: new months are one scan, old ones none.
+    Ranks are right within about 1.7 / sqrt(k) / 2 in 99 of 100 cases at the default (0.7 %), numbers of keys within some 1.04 / sqrt(2^lg) (0.8 %).
+    """
+    v = F.col(value).cast("double")
+    v = F.when(~F.isnan(v), v)
+    return df.groupBy(*by).agg(F.count(v).alias("n"), F.kll_sketch_agg_double(v, F.lit(k)).alias("values"), F.hll_sketch_agg(F.col(key), F.lit(lg)).alias("keys"))
+
+
+def roll_up_sketches(sketches: DataFrame, by: list[str], k: int = 400) -> DataFrame:
+    """The sketches of ``value_sketches`` merged to coarser groups."""
+    return sketches.groupBy(*by).agg(F.sum("n").alias("n"), F.kll_merge_agg_double("values", F.lit(k)).alias("values"), F.hll_union_agg("keys").alias("keys"))
+
+
+def read_sketches(sketches: DataFrame, shares: list[float]) -> DataFrame:
+    """Beside the sketches: quantiles, the values at ``shares`` (NULL for a group without values), and n_keys."""
+    q = F.when(F.col("n") > 0, F.array(*[F.kll_sketch_get_quantile_double("values", F.lit(float(s))) for s in shares]))
+    return sketches.withColumn("quantiles", q).withColumn("n_keys", F.hll_sketch_estimate("keys")).drop("values", "keys")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stationflow.functions.expr import EPS_WET, G0, K1, K2, K2_PRESSURE, K3, K3_PRESSURE, R_DRY, station_pressure, top_dry_column, unzscore, vapor_pressure, zhd_saastamoinen
+from stationflow.operators.spatial import nearest_index
 
 
 def _trapezoid(rows: DataFrame, by: list[str], order: Column, x: Column, y: Column, clip: bool = False, lower: bool = False) -> DataFrame:
@@ -129,6 +130,45 @@ def delay_table(profile: DataFrame, surface: DataFrame, by: list[str], cells: Da
     return cells.join(d, cell, "left").withColumn("ztd", F.col("zhd") + F.col("zwd"))
 
 
+def column_delay(levels: Column, t2m: Column, p_s: Column, h: Column) -> Column:
+    """Struct zhd, zwd in mm of one column, as ``delay_geometric``: ``levels`` is an array of (p, t, r, z), in any order."""
+    down = F.reverse(F.array_sort(levels))  # from the ground up; p is the first field
+    above = F.filter(down, lambda x: x["p"] < p_s)
+    rh = F.coalesce(F.get(above, F.lit(0))["r"], F.get(down, F.lit(0))["r"])
+    node = lambda p, t, e, z: F.struct(p.alias("p"), t.alias("t"), e.alias("e"), z.alias("z"))
+    ground = node(p_s, t2m, vapor_pressure(t2m, rh), h)
+    nodes = F.concat(F.array(ground), F.transform(down, lambda x: F.when(x["p"] >= p_s, ground).otherwise(node(x["p"], x["t"], vapor_pressure(x["t"], x["r"]), x["z"]))))
+    dry = lambda x: K1 * (x["p"] - x["e"]) / x["t"]
+    wet = lambda x: (K2 - EPS_WET * K1) * x["e"] / x["t"] + K3 * x["e"] / (x["t"] * x["t"])
+    part = lambda first: F.slice(nodes, F.lit(first), F.size(nodes) - 1)
+    area = lambda f: lambda a, b: 0.5 * (f(a) + f(b)) * F.greatest(b["z"] - a["z"], F.lit(0.0))
+    total = lambda f: F.aggregate(F.zip_with(part(1), part(2), area(f)), F.lit(0.0), lambda s, x: s + x)
+    top = 1e3 * top_dry_column(F.element_at(nodes, -1)["p"])
+    return F.struct((1e-3 * total(dry) + top).alias("zhd"), (1e-3 * total(wet)).alias("zwd"))
+
+
+def delay_from_forecast(fcst: DataFrame, stats: DataFrame, cells: DataFrame, times: DataFrame, lead: int, levels: list[float], lat0: float, lon0: float, step: float, n_lat: int, n_lon: int, time: str = "t") -> DataFrame:
+    """(ti, tj, time, zhd, zwd, ztd) in mm for every cell and valid time; NULL off the stations and where the forecast lacks a channel.
+
+    ``fcst``: init, lead, channel, i, j, value (standardised, long); ``stats``: channel, mean, std; ``cells``: ti, tj, lat,
+    lon, h of the station there (NULL without one); ``times``: the wanted valid times, in the unit of init and lead.
+    Rows are cut to the lead, the channels of the profile, the source cells nearest to a station (longitudes wrap) and the
+    times, before the one shuffle, by (time, cell); there levels are pivoted and integrated within the row.
+    """
+    wanted = [f"{v}{int(x)}" for v in "trz" for x in levels] + ["t2m", "msl"]
+    i, j = nearest_index(F.col("lat"), lat0, step, n_lat), nearest_index(F.pmod(F.col("lon") - lon0, F.lit(360.0)) + lon0, lon0, step, n_lon)
+    stations = cells.filter("h is not null").select("ti", "tj", "h", i.alias("i"), j.alias("j"))
+    starts = times.select((F.col(time) - lead).alias("init")).distinct()
+    rows = fcst.filter((F.col("lead") == lead) & F.col("channel").isin(wanted)).join(starts, "init", "left_semi").join(stations, ["i", "j"]).join(stats, "channel")
+    rows = rows.select("ti", "tj", "h", (F.col("init") + F.col("lead")).alias(time), "channel", unzscore("value", "mean", "std").alias("x"))
+    column = rows.groupBy("ti", "tj", time).agg(F.first("h").alias("h"), *[F.max(F.when(F.col("channel") == c, F.col("x"))).alias(c) for c in wanted])
+    profile = F.array(*[F.struct(F.lit(x).alias("p"), F.col(f"t{int(x)}").alias("t"), F.col(f"r{int(x)}").alias("r"), (F.col(f"z{int(x)}") / G0).alias("z")) for x in levels])
+    got = column.select("ti", "tj", time, column_delay(profile, F.col("t2m"), station_pressure(F.col("msl") / 100.0, "h", "t2m"), F.col("h")).alias("d"))
+    axis = times.agg(F.sort_array(F.collect_set(time)).alias("axis_"))  # one row: a time axis
+    every = cells.select("ti", "tj").crossJoin(F.broadcast(axis)).select("ti", "tj", F.explode("axis_").alias(time))
+    return every.join(got, ["ti", "tj", time], "left").select("ti", "tj", time, "d.zhd", "d.zwd").withColumn("ztd", F.col("zhd") + F.col("zwd"))
+
+
 def delay_mixed(dry: DataFrame, wet: DataFrame, by: list[str]) -> DataFrame:
     """Hydrostatic part of one source and wet part of another."""
     return dry.select(*by, "zhd").join(wet.select(*by, "zwd"), by).withColumn("ztd", F.col("zhd") + F.col("zwd"))

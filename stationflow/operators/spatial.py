@@ -28,8 +28,8 @@ def _lon_cell(lon: Column, cells: Column) -> Column:
     return F.least(F.floor((lon + 180.0) / 360.0 * cells), cells - 1).cast("int")
 
 
-def radius_join(targets: DataFrame, points: DataFrame, radius_km: float, salt: int = 1) -> DataFrame:
-    """(target, point, distance_km) of all pairs within ``radius_km``: target/point tables have id, lat, lon, h.
+def radius_join(targets: DataFrame, points: DataFrame, radius_km: float, salt: int = 1, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, target, point, distance_km) of all pairs within ``radius_km`` that agree in ``by``: target/point tables have id, lat, lon, h and ``by``.
 
     Points fall into cells of latitude bands a radius high; every band has its own number of
     cells around the globe. A target looks into its own and the adjacent bands and cells, so the join is
@@ -38,15 +38,15 @@ def radius_join(targets: DataFrame, points: DataFrame, radius_km: float, salt: i
     """
     degrees = math.degrees(radius_km / EARTH_KM) * 1.0001
     band = lambda lat: F.floor((F.col(lat) + 90.0) / degrees).cast("int")
-    p = points.select(F.col("id").alias("point"), F.col("lat").alias("plat"), wrap_lon_180("lon").alias("plon"), F.col("h").alias("ph"))
+    p = points.select(*by, F.col("id").alias("point"), F.col("lat").alias("plat"), wrap_lon_180("lon").alias("plon"), F.col("h").alias("ph"))
     p = p.withColumn("band", band("plat")).withColumn("cell", _lon_cell(F.col("plon"), _lon_cells(F.col("band"), degrees))).withColumn("salt", F.pmod(F.xxhash64("point"), F.lit(salt)))
-    t = targets.select(F.col("id").alias("target"), F.col("lat").alias("tlat"), wrap_lon_180("lon").alias("tlon"), F.col("h").alias("th"))
+    t = targets.select(*by, F.col("id").alias("target"), F.col("lat").alias("tlat"), wrap_lon_180("lon").alias("tlon"), F.col("h").alias("th"))
     b = band("tlat")
     t = t.withColumn("band", F.explode(F.array(b - 1, b, b + 1)))
     n = _lon_cells(F.col("band"), degrees)
     at = _lon_cell(F.col("tlon"), n)
     t = t.withColumn("cell", F.explode(F.array_distinct(F.array(F.pmod(at - 1, n), at, F.pmod(at + 1, n))))).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1)).cast("array<bigint>")))
-    near = t.join(p, ["band", "cell", "salt"]).withColumn("distance_km", haversine_km("tlat", "tlon", "plat", "plon"))
+    near = t.join(p, [*by, "band", "cell", "salt"]).withColumn("distance_km", haversine_km("tlat", "tlon", "plat", "plon"))
     return near.filter(F.col("distance_km") <= radius_km)
 
 
@@ -69,10 +69,15 @@ def radius_knn_join(targets: DataFrame, points: DataFrame, radius_km: float, k:
     return out.filter(F.col("rank") <= k).select("target", "point", "rank", "distance_km", initial_bearing("tlat", "tlon", "plat", "plon").alias("bearing_deg"), (F.col("ph") - F.col("th")).alias("height_difference_m"), "n_radius")
 
 
-def nearest_within(targets: DataFrame, points: DataFrame, max_km: float, salt: int = 1) -> DataFrame:
-    """The single nearest point within ``max_km``; ties to the smaller id."""
-    near = radius_join(targets, points, max_km, salt)
-    return near.groupBy("target").agg(F.min(F.struct("distance_km", "point")).alias("m")).select("target", F.col("m.point").alias("point"), F.col("m.distance_km").alias("distance_km"))
+def nearest_within(targets: DataFrame, points: DataFrame, max_km: float, salt: int = 1, time: str | None = None) -> DataFrame:
+    """The single nearest point within ``max_km``; ties to the smaller id.
+
+    With ``time``, a column of both tables, a target is matched at each of its times with the points there are at that
+    time: the cells are those of (time, band, cell), and each task hands on one candidate for (target, time).
+    """
+    by = () if time is None else (time,)
+    near = radius_join(targets, points, max_km, salt, by)
+    return near.groupBy(*by, "target").agg(F.min(F.struct("distance_km", "point")).alias("m")).select(*by, "target", F.col("m.point").alias("point"), F.col("m.distance_km").alias("distance_km"))
 
 
 def coverage(cells: DataFrame, stations: DataFrame, radius_km: float, k: int, least: int, salt: int = 1) -> DataFrame:
@@ -225,7 +230,7 @@ def neighbour_geometry(edges: DataFrame, targets: DataFrame, points: DataFrame,
     if n_geo not in (4, 8):
         raise ValueError("n_geo must be 4 or 8")
     t = targets.select(F.col("id").alias("target"), F.col("lat").alias("tlat"), F.col("lon").alias("tlon"), F.col("h").alias("th"))
-    p = points.select(F.col("id").alias("point"), F.col("lat").alias("plat"), F.col("lon").alias("plon"), F.col("h").alias("ph"))
+    p = points.select(*by, F.col("id").alias("point"), F.col("lat").alias("plat"), F.col("lon").alias("plon"), F.col("h").alias("ph"))
     e = edges.filter(F.col("rank") <= k).join(t, "target").join(p, "point")
     g = enu("tlat", "tlon", "th", "plat", "plon", "ph")
     places = {"target_lat": "tlat", "target_lon": "tlon", "lat": "plat", "lon": "plon"} if n_geo == 8 else {}

@@ -93,10 +93,10 @@ def dft_decompose(df: DataFrame, by: str, pos: str, value: str, k: int) -> DataF
 
 
 def spectrum_mask(spec: DataFrame, share: float) -> DataFrame:
-    """The top ``share`` of frequencies by mean amplitude over the whole table."""
-    mean = spec.groupBy("freq").agg(F.avg("amp").alias("a"))  # one row a frequency
-    n = mean.count()
-    return mean.orderBy(F.desc("a"), "freq").limit(int(n * share)).select("freq")
+    """The top ``share`` of frequencies by mean amplitude over the whole table. One row a frequency is ranked."""
+    mean = spec.groupBy("freq").agg(F.avg("amp").alias("a"))
+    ranked = mean.select("freq", F.row_number().over(Window.orderBy(F.desc("a"), "freq")).alias("i_"), F.count("*").over(Window.partitionBy(F.lit(0))).alias("n_"))
+    return ranked.filter(F.col("i_") <= F.floor(F.col("n_") * share)).select("freq")
 
 
 def choose_modes(spec: DataFrame, k: int, kind: str = "low", seed: int = 0) -> DataFrame:
@@ -107,7 +107,7 @@ def choose_modes(spec: DataFrame, k: int, kind: str = "low", seed: int = 0) -> D
 
 def variant_invariant(df: DataFrame, by: str, pos: str, value: str, share: float) -> DataFrame:
     """invariant: the corpus' dominant frequencies; variant: the rest of each series."""
-    spec = spectrum(df, by, pos, value)
+    spec = spectrum(df, by, pos, value).repartition(by)  # one exchange that both uses read: spectra are made once
     kept = spec.join(F.broadcast(spectrum_mask(spec, share)), "freq")
     inv = rebuild(kept, by, F.lit(True)).withColumnRenamed("v", "invariant").withColumnRenamed("pos", pos)
     return df.join(inv, [by, pos]).withColumn("variant", F.col(value) - F.col("invariant"))
@@ -186,6 +186,44 @@ def wavelet_reconstruct(bands: DataFrame, by: str, level: int, low: tuple[float,
     return cur
 
 
+def wavelet_periodic(df: DataFrame, by: str, pos: str, value: str, level: int, low: tuple[float, ...]) -> DataFrame:
+    """(series, level, band, pos, v, size): a two-band filter bank on series taken as periodic, for an orthogonal filter of any even length.
+
+    Positions are 0 to n - 1 without gaps. A series of odd length is continued by its last value; size is its length at that
+    level before. However long the filter, no position is lost, and ``wavelet_inverse`` gives the series back.
+    """
+    m = len(low)
+    if m % 2:
+        raise ValueError("a filter of even length")
+    taps = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(low[k]).alias("lo"), F.lit((-1) ** k * low[m - 1 - k]).alias("hi")) for k in range(m)])
+    cur = df.select(by, F.col(pos).cast("long").alias("pos"), F.col(value).alias("v")).withColumn("size", F.count("*").over(Window.partitionBy(by)))
+    out = None
+    for lev in range(1, level + 1):
+        even = F.col("size") + F.col("size") % 2
+        tail = (F.col("size") % 2 == 1) & (F.col("pos") == F.col("size") - 1)
+        whole = cur.withColumn("pos", F.explode(F.when(tail, F.array(F.col("pos"), F.col("pos") + 1)).otherwise(F.array("pos"))))
+        to = F.pmod(F.col("pos") - F.col("t.k"), even)
+        bank = whole.withColumn("t", F.explode(taps)).filter(to % 2 == 0).groupBy(by, "size", (to / 2).cast("long").alias("pos")).agg(F.sum(F.col("v") * F.col("t.lo")).alias("lo"), F.sum(F.col("v") * F.col("t.hi")).alias("hi"))
+        part = bank.select(by, F.lit(lev).alias("level"), F.lit("high").alias("band"), "pos", F.col("hi").alias("v"), "size")
+        out = part if out is None else out.unionByName(part)
+        last = bank.select(by, F.lit(lev).alias("level"), F.lit("low").alias("band"), "pos", F.col("lo").alias("v"), "size")
+        cur = bank.select(by, "pos", F.col("lo").alias("v"), ((F.col("size") + 1) / 2).cast("long").alias("size"))
+    return out.unionByName(last)
+
+
+def wavelet_inverse(bands: DataFrame, by: str, level: int, low: tuple[float, ...]) -> DataFrame:
+    """(series, pos, v): the series of ``wavelet_periodic`` again, each level synthesised from its two bands."""
+    m = len(low)
+    taps = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(low[k]).alias("lo"), F.lit((-1) ** k * low[m - 1 - k]).alias("hi")) for k in range(m)])
+    cur = bands.filter("band = 'low'").select(by, "pos", "v")
+    for lev in range(level, 0, -1):
+        high = bands.filter((F.col("band") == "high") & (F.col("level") == lev)).select(by, "pos", F.col("v").alias("h_"), "size")
+        both = cur.join(high, [by, "pos"]).withColumn("t", F.explode(taps))
+        to = F.pmod(2 * F.col("pos") + F.col("t.k"), F.col("size") + F.col("size") % 2)
+        cur = both.groupBy(by, "size", to.alias("pos")).agg(F.sum(F.col("v") * F.col("t.lo") + F.col("h_") * F.col("t.hi")).alias("v")).filter(F.col("pos") < F.col("size")).select(by, "pos", "v")
+    return cur
+
+
 def damped_trend(growth: Column, phi: float, h: Column) -> Column:
     """The last growth times phi + phi^2 + ... + phi^h."""
     return growth * (phi * (1 - F.pow(F.lit(phi), h)) / (1 - phi))

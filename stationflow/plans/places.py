@@ -50,6 +50,15 @@ def e3_nearest(spark, d):
     return rounded(E.nearest_within(t, p, 100.0, E.crowding_salt(p, 100.0)), 5)
 
 
+@query(f"""WITH {SERIES_DAY}, {POINTS}, d AS (SELECT DISTINCT station, day FROM series_day), t AS (SELECT d.day, g.* FROM targets g JOIN d ON d.station = g.id), p AS (SELECT d.day, q.* FROM points q JOIN d ON d.station = q.id),
+ n AS (SELECT t.day, t.id AS target, p.id AS point, {HAV('t.lat', 'p.lat', 't.lon', 'p.lon')} AS km FROM t JOIN p ON p.day = t.day WHERE {HAV('t.lat', 'p.lat', 't.lon', 'p.lon')} <= 100)
+ SELECT day, target, point, {r('km', 'distance_km', 5)} FROM n QUALIFY row_number() OVER (PARTITION BY day, target ORDER BY km, point) = 1""")
+def e3_nearest_by_time(spark, d):
+    """The nearest point that reports at the time; stations come and go."""
+    days = series_day(spark, d).select(F.col("station").alias("id"), "day").distinct()
+    return rounded(E.nearest_within(targets(spark, d).join(days, "id"), neighbours(spark, d).join(days, "id"), 100.0, time="day"), 5)
+
+
 @query(f"WITH {POINTS}, {GRID}, n AS (SELECT g.id, least(count(*), 5) AS n FROM grid g, points p WHERE {HAV('g.lat', 'p.lat', 'g.lon', 'p.lon')} <= 50 GROUP BY g.id) SELECT count(*) AS cells, count(n) AS with_any, {r('avg(CAST(coalesce(n, 0) >= 3 AS DOUBLE))', 'share')} FROM grid LEFT JOIN n USING (id)")
 def e4_grid_knn(spark, d):
     """How many cells have neighbours."""

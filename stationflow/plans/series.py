@@ -250,6 +250,32 @@ def g25_inverse(spark, d):
     return rounded(X.wavelet_reconstruct(bands, "vec_id", 3).select("vec_id", F.col("pos").cast("long").alias("pos"), "v"))
 
 
+#: Orthogonal filters of four and of six taps, by their closed forms.
+_FOUR = tuple((1 + a * 3**0.5 + b) / (4 * 2**0.5) for a, b in ((1, 0), (1, 2), (-1, 2), (-1, 0)))
+_Q, _W = 10**0.5, (5 + 2 * 10**0.5) ** 0.5
+_SIX = tuple(x / (16 * 2**0.5) for x in (1 + _Q + _W, 5 + _Q + 3 * _W, 10 - 2 * _Q + 2 * _W, 10 - 2 * _Q - 2 * _W, 5 + _Q - 3 * _W, 1 + _Q - _W))
+
+
+def _bank(source: str, n: int, taps: tuple[float, ...], high: bool = False) -> str:
+    """List of a band of the periodic series ``source`` of ``n`` values."""
+    h = [(-1) ** k * x for k, x in enumerate(reversed(taps))] if high else taps
+    return f"list_transform(range({n // 2}), lambda k: " + " + ".join(f"CAST({x!r} AS DOUBLE) * {source}[CAST((2 * k + {j}) % {n} + 1 AS BIGINT)]" for j, x in enumerate(h)) + ")"
+
+
+@query(f"""WITH {_VEC}, a AS (SELECT vec_id, {_bank('v', 64, _SIX)} AS lo, {_bank('v', 64, _SIX, True)} AS hi FROM vecs), b AS (SELECT vec_id, hi, {_bank('lo', 32, _SIX)} AS lo2, {_bank('lo', 32, _SIX, True)} AS hi2 FROM a)
+ SELECT vec_id, CAST(1 AS BIGINT) AS level, 'high' AS band, p AS pos, {r('hi[p + 1]', 'v')}, CAST(64 AS BIGINT) AS size FROM b, range(32) t(p) UNION ALL SELECT vec_id, 2, 'high', p, {r('hi2[p + 1]', 'v')}, 32 FROM b, range(16) t(p) UNION ALL SELECT vec_id, 2, 'low', p, {r('lo2[p + 1]', 'v')}, 32 FROM b, range(16) t(p)""")
+def g25_periodic(spark, d):
+    """A long filter on periodic series."""
+    return rounded(X.wavelet_periodic(labelled_series(spark, d), "vec_id", "pos", "x", 2, _SIX))
+
+
+@query(f"WITH {LABELLED} SELECT vec_id, pos, {r('x', 'v')} FROM labelled WHERE pos < 40 + vec_id % 25")
+def g25_long_inverse(spark, d):
+    """Series of all lengths back from four levels of a long filter."""
+    s = labelled_series(spark, d).filter(F.col("pos") < 40 + F.col("vec_id") % 25)
+    return rounded(X.wavelet_inverse(X.wavelet_periodic(s, "vec_id", "pos", "x", 4, _FOUR), "vec_id", 4, _FOUR).select("vec_id", "pos", "v"))
+
+
 @query(f"""WITH {LABELLED}, l1 AS (SELECT vec_id, pos // 3 AS bin, avg(x) AS v, min(pos) % 7 AS mark, count(*) AS n FROM labelled GROUP BY vec_id, pos // 3 HAVING count(*) = 3), l2 AS (SELECT vec_id, bin // 3 AS bin, avg(v) AS v, arg_min(mark, bin) AS mark FROM l1 GROUP BY vec_id, bin // 3 HAVING count(*) = 3)
  SELECT vec_id, 0 AS level, pos AS bin, {r('x', 'v')}, pos % 7 AS mark FROM labelled UNION ALL SELECT vec_id, 1, bin, {r('v', 'v')}, mark FROM l1 UNION ALL SELECT vec_id, 2, bin, {r('v', 'v')}, mark FROM l2""")
 def g16_levels(spark, d):
@@ -407,6 +433,31 @@ def h7_delay_table(spark, d):
     return rounded(H.delay_table(_profile(spark, d), s, ["vec_id"], cells, "vec_id"), 4)
 
 
+#: Vectors as columns of a forecast: start vec_id % 12 (in steps of 6 hours), cell vec_id // 12 of a grid of 30 columns; every third cell has a station.
+_CELL = "CAST(vec_id // 12 AS BIGINT)"
+
+
+@query(f"""WITH {_VEC}, {PROFILE.replace('960 + 100 * v[28] AS p_s', '(960 + 100 * v[28]) * exp(-9.80665 * (vec_id // 12 % 7 * 100) / (287.05 * (288 + 20 * v[27]))) AS p_s').replace('300 + 500 * v[29] AS h', 'CAST(vec_id // 12 % 7 * 100 AS DOUBLE) AS h')}, {_GEO},
+ cells AS (SELECT DISTINCT {_CELL} AS cell FROM embeddings), times AS (SELECT CAST(t AS BIGINT) AS t FROM range(1, 14) x(t)),
+ got AS (SELECT {_CELL} AS cell, vec_id % 12 + 4 AS t, d + top AS zhd, w AS zwd FROM geo WHERE {_CELL} % 3 = 0)
+ SELECT cell // 30 AS ti, cell % 30 AS tj, t, {r('zhd', 'zhd', 4)}, {r('zwd', 'zwd', 4)}, {r('zhd + zwd', 'ztd', 4)} FROM (SELECT * FROM cells, times) LEFT JOIN got USING (cell, t)""")
+def h7_from_forecast(spark, d):
+    """H7: delays from long rows of a forecast: lead, grid map, standardised channels, levels, integral."""
+    p, s = _profile(spark, d), _surface(spark, d)
+    level = F.col("p").cast("int").cast("string")
+    of = lambda df, name, v: df.select("vec_id", name.alias("channel"), v.alias("x"))
+    rows = of(p, F.concat(F.lit("t"), level), F.col("t")).unionByName(of(p, F.concat(F.lit("r"), level), F.col("r"))).unionByName(of(p, F.concat(F.lit("z"), level), F.col("z") * 9.80665)).unionByName(of(s, F.lit("t2m"), F.col("t2m"))).unionByName(of(s, F.lit("msl"), F.col("p_s") * 100.0))
+    cell = F.floor(F.col("vec_id") / 12)
+    stats = spark.createDataFrame([(f"{c}{int(x)}", m, sd) for c, m, sd in (("t", 250.0, 30.0), ("r", 50.0, 20.0), ("z", 1e5, 5e4)) for x in _LEV] + [("t2m", 280.0, 15.0), ("msl", 1e5, 1e3)], "channel string, mean double, std double")
+    fcst = rows.join(stats, "channel").select((F.col("vec_id") % 12).alias("init"), F.explode(F.array(F.lit(4), F.lit(8))).alias("lead"), "channel", (F.floor(cell / 30)).alias("i"), (cell % 30).alias("j"), ((F.col("x") - F.col("mean")) / F.col("std")).alias("value"))
+    fcst = fcst.withColumn("value", F.when(F.col("lead") == 4, F.col("value")).otherwise(F.col("value") + 1.0))
+    grid = read(spark, d, "embeddings").select(cell.alias("c")).distinct().select(F.floor(F.col("c") / 30).alias("ti"), (F.col("c") % 30).alias("tj"), (F.col("c") % 3 == 0).alias("there"), (F.col("c") % 7 * 100).cast("double").alias("h"))
+    cells = grid.select("ti", "tj", (40.0 + F.col("ti")).alias("lat"), (370.0 + F.col("tj")).alias("lon"), F.when(F.col("there"), F.col("h")).alias("h"))
+    times = spark.range(1, 14).select(F.col("id").alias("t"))
+    out = H.delay_from_forecast(fcst, stats, cells, times, 4, [float(x) for x in _LEV], 40.0, 10.0, 1.0, 100_000, 30)
+    return rounded(out.select("ti", "tj", "t", "zhd", "zwd", "ztd"), 4)
+
+
 @query(f"WITH {_VEC}, {PROFILE} SELECT (SELECT list_sort(list(DISTINCT p)) FROM profile) = (SELECT list_sort(list(DISTINCT p)) FROM profile WHERE vec_id % 2 = 0) AS same, (SELECT count(DISTINCT p) FROM profile) AS n")
 def h8_levels(spark, d):
     """H8: same levels whatever the order."""

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import gzip
 import io
+import json
 import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from stationflow.functions.expr import dms_to_deg, nan_to_null
@@ -50,6 +51,11 @@ def ingest_station_archives(spark: SparkSession, path: str, step_s: int, start:
     One archive a row; files that don't match ``glob`` aren't opened. The later record of a slot wins.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).select("path", "content")
+    return exact_slots(archive_records(files), step_s, start, end, closed)
+
+
+def archive_records(files: DataFrame) -> DataFrame:
+    """(archive, site, epoch, total, wet) of the archives (path, content)."""
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -59,11 +65,24 @@ def ingest_station_archives(spark: SparkSession, path: str, step_s: int, start:
                 out["total"], out["wet"] = pd.to_numeric(out["total"], errors="coerce"), pd.to_numeric(out["wet"], errors="coerce")
                 yield out
 
-    rows = files.mapInPandas(parse, _SCHEMA)
+    return files.select("path", "content").mapInPandas(parse, _SCHEMA)
+
+
+def timed_records(rows: DataFrame, step_s: int) -> DataFrame:
+    """Records with a time (ts) on whole steps, and their station_id."""
     ok = rows.filter(F.col("epoch").rlike(r"^\d\d:\d{1,3}:\d{1,5}$")).withColumn("ts", parse_epoch(F.col("epoch")))
-    ok = ok.filter(F.unix_seconds("ts") % step_s == 0).filter(F.col("ts") >= F.lit(start).cast("timestamp"))
+    return ok.filter(F.unix_seconds("ts") % step_s == 0).withColumn("station_id", F.upper("site"))
+
+
+def latest_records(rows: DataFrame) -> DataFrame:
+    """(station_id, ts, archive, total, wet): of the records of a slot the one of the last archive."""
+    return rows.groupBy("station_id", "ts").agg(F.max(F.struct("archive", "total", "wet")).alias("r")).select("station_id", "ts", "r.*")
+
+
+def exact_slots(rows: DataFrame, step_s: int, start: str, end: str, closed: bool) -> DataFrame:
+    ok = timed_records(rows, step_s).filter(F.col("ts") >= F.lit(start).cast("timestamp"))
     ok = ok.filter(F.col("ts") <= F.lit(end).cast("timestamp") if closed else F.col("ts") < F.lit(end).cast("timestamp"))
-    return ok.groupBy(F.upper("site").alias("station_id"), "ts").agg(F.max(F.struct("archive", "total", "wet")).alias("r")).select("station_id", "ts", nan_to_null("r.total").alias("total"), nan_to_null("r.wet").alias("wet"))
+    return latest_records(ok).select("station_id", "ts", nan_to_null("total").alias("total"), nan_to_null("wet").alias("wet"))
 
 
 def ingest_station_catalog(spark: SparkSession, path: str, ids: DataFrame, glob: str = "*.zip") -> DataFrame:
@@ -155,9 +174,39 @@ def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None,
     (w.partitionBy(*partition_by) if partition_by else w).parquet(path)
 
 
-def write_run_metadata(df: DataFrame, path: str, rules: dict[str, str]) -> None:
-    """Counts of a build and its rules as one JSON row."""
-    df.agg(F.count("*").alias("rows")).withColumns({k: F.lit(v) for k, v in rules.items()}).write.mode("overwrite").json(path)
+def write_bucketed(df: DataFrame, table: str, key: str, order: str, buckets: int) -> DataFrame:
+    """The rows as a table bucketed by ``key`` and sorted within it, one file a bucket; returned as a scan of the table.
+
+    Windows and aggregations by the key, and joins with tables of as many buckets, need no exchange of such a scan. For joins on the key
+    and further columns set ``spark.sql.requireAllClusterKeysForCoPartition`` to false.
+    """
+    spread = df.repartition(buckets, key)  # deals rows out as buckets are
+    spread.write.mode("overwrite").option("compression", "zstd").bucketBy(buckets, key).sortBy(key, order).saveAsTable(table)
+    return df.sparkSession.table(table)
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file on any store that Spark writes to."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
+def write_run_metadata(df: DataFrame, path: str, rules: dict[str, str], out: str | None = None, metrics: dict[str, Column] | None = None, partition_by: tuple[str, ...] = ()) -> dict:
+    """Writes ``df`` to ``out`` (nowhere, if not given) and its counts and rules as one JSON row to ``path``.
+
+    rows and ``metrics`` (aggregates by name, such as missing values or covered times) are observed while the rows are written: one job, no second pass.
+    """
+    seen = Observation()
+    w = df.observe(seen, F.count(F.lit(1)).alias("rows"), *[c.alias(n) for n, c in (metrics or {}).items()]).write.mode("overwrite")
+    w = w.partitionBy(*partition_by) if partition_by else w
+    w.format("noop").save() if out is None else w.option("compression", "zstd").parquet(out)
+    row = dict(seen.get) | rules
+    write_text(df.sparkSession, f"{path.rstrip('/')}/part-00000.json", json.dumps(row, default=str) + "\n")
+    return row
 
 
 def write_metric_csv(df: DataFrame, path: str) -> None:
@@ -175,28 +224,41 @@ def pending(todo: DataFrame, done: DataFrame, key: list[str]) -> DataFrame:
     return todo.join(done.select(*key).distinct(), key, "left_anti")
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def exists(spark: SparkSession, path: str) -> bool:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
 
 
-def resume_build(spark: SparkSession, build, todo: DataFrame, key: list[str], path: str, force: bool = False, axes: dict[str, str] | None = None) -> None:
+def resume_build(spark: SparkSession, build, todo: DataFrame, key: list[str], path: str, force: bool = False, axes: dict[str, str] | None = None, batches: int = 1) -> None:
     """Build the keys that ``path`` lacks (all, from nothing, if ``force``) and write them partition by partition.
 
-    A partition appears whole or not at all, so a key is done when it is there, and no markers are left behind. ``key`` should be
-    as coarse as the partitions are wanted. ``axes`` (such as start, end, step, a digest of the stations) are kept beside
-    the table; a build that goes on with others is refused.
+    Keys that are done stand in a manifest beside the table (``path``.done), to which those of a batch are added after their data; a build that
+    breaks off, even between two partitions, goes on with the batches that aren't in it and replaces what they left. A key without rows is
+    done too. ``batches``: how many the keys are parted into by hash. ``key`` should be as coarse as the partitions are wanted. ``axes`` (such as
+    start, end, step, a digest of the stations) are kept beside the table; a build that goes on with others is refused.
     """
-    kept, going_on = f"{path.rstrip('/')}.axes", _exists(spark, path) and not force
+    base = path.rstrip("/")
+    kept, manifest, going_on = f"{base}.axes", f"{base}.done", exists(spark, path) and not force
     if axes is not None:
         if going_on:
-            if not _exists(spark, kept):
+            if not exists(spark, kept):
                 raise ValueError("the table has no axes to compare with; use force")
             before = {r["name"]: r["value"] for r in spark.read.schema("name string, value string").json(kept).collect()}  # a few rows
             if before != axes:
                 raise ValueError(f"the table's axes differ ({before}); use force")
         else:
             spark.createDataFrame(sorted(axes.items()), "name string, value string").coalesce(1).write.mode("overwrite").json(kept)
-    rest = pending(todo, spark.read.parquet(path), key) if going_on else todo
-    w = build(rest).write.mode("overwrite").partitionBy(*key)
-    (w.option("partitionOverwriteMode", "dynamic") if going_on else w.option("partitionOverwriteMode", "static")).parquet(path)
+    keys = todo.select(*key).distinct()
+    if not going_on:
+        keys.limit(0).write.mode("overwrite").parquet(manifest)
+    elif not exists(spark, manifest):  # a table from before there were manifests
+        spark.read.parquet(path).select(*key).distinct().select(*[F.col(k).cast(keys.schema[k].dataType) for k in key]).write.parquet(manifest)
+    part = F.pmod(F.xxhash64(*key), F.lit(batches))
+    for b in range(batches):
+        rest = pending(todo.filter(part == b), spark.read.schema(keys.schema).parquet(manifest), key)
+        if batches > 1 and not rest.limit(1).count():
+            continue
+        w = build(rest).write.mode("overwrite").partitionBy(*key)
+        fresh = not going_on and b == 0
+        w.option("partitionOverwriteMode", "static" if fresh else "dynamic").parquet(path)
+        rest.select(*key).distinct().write.mode("append").parquet(manifest)

@@ -175,3 +175,143 @@ def test_point_that_repeats_is_found_as_often(spark):
     edges = spark.createDataFrame(square, "ring int, x1 double, y1 double, x2 double, y2 double")
     pts = spark.createDataFrame([(1, 1.5, 1.5)] * 2 + [(1, 1.5, 2.0)] * 3 + [(2, 9.0, 1.0), (3, 0.0, 2.0)], "id int, lat double, lon double")
     assert sorted(r.id for r in points_in_polygons(pts, edges).collect()) == [1, 1, 1, 1, 1, 3]
+
+
+def yearly(folder, station, year, days, bump=0.0, broken=()):
+    """An archive as delivered: a gzipped file for each day."""
+    with zipfile.ZipFile(folder / f"{station}.{year}.trop.zip", "w") as z:
+        for day in days:
+            lines = "".join(f" {station} {year % 100}:{day:03d}:{s:05d} {2000 + day + s / 1e5 + bump} 1.0 {day} \n" for s in range(0, 86400, 1800))
+            data = gzip.compress(f"+TROP/SOLUTION\n*c\n{lines}-TROP/SOLUTION\n".encode())
+            z.writestr(f"{day}.gz", data[:-9] if day in broken else data)
+
+
+def test_archive_source_equals_whole_archives(spark, tmp_path):
+    from stationflow.sources import archive_source as S
+
+    for station in ("abcd", "efgh"):
+        for year in (2023, 2024):
+            yearly(tmp_path, station, year, range(1, 9), broken=(3,))
+    (tmp_path / "junk.zip").write_bytes(b"nothing")
+    archive(tmp_path / "odd.zip", "wxyz", 5.0)
+    args = (spark, str(tmp_path), 3600, "2023-01-02", "2024-01-05")
+    want = sorted(map(tuple, A.ingest_station_archives(*args).collect()))
+    assert want and sorted(map(tuple, S.ingest_archives(*args, partBytes="700").collect())) == want
+    assert sorted(map(tuple, S.ingest_archives(*args, mostPlanned="0").collect())) == want
+    rows = S.archives(spark, str(tmp_path), partBytes="700")
+    assert rows.rdd.getNumPartitions() > 10
+    only = rows.filter("station = 'ABCD' and year >= 2024 and total > 0")
+    assert {(r.archive, r.member) for r in only.select("archive", "member").distinct().collect()} == {("abcd.2024.trop.zip", f"{d}.gz") for d in (1, 2, 4, 5, 6, 7, 8)}
+    assert only.rdd.getNumPartitions() < rows.rdd.getNumPartitions() / 3  # the other archives aren't opened
+
+
+def test_archive_source_holds_no_member(tmp_path):
+    import tracemalloc
+
+    from stationflow.sources import archive_source as S
+
+    with zipfile.ZipFile(tmp_path / "big.2024.zip", "w") as z:
+        z.writestr("a.gz", gzip.compress(b"+TROP/SOLUTION\n" + b" big 24:001:00000 2400.5 1.0 100.5\n" * 1_500_000))  # 50 MB of text
+    reader = S.ArchiveReader({"path": str(tmp_path)})
+    tracemalloc.start()
+    assert sum(b.num_rows for p in reader.partitions() for b in reader.read(p)) == 1_500_000
+    assert tracemalloc.get_traced_memory()[1] < 25 << 20
+    tracemalloc.stop()
+
+
+def above(plan, scan):
+    """Names of the operators over a scan, from the tree string of a plan, up to the first aggregate."""
+    lines = plan.splitlines()
+    at = next(i for i, x in enumerate(lines) if "FileScan" in x and scan in x)
+    deep, out = len(lines[at]) - len(lines[at].lstrip(" :+-*")), []
+    for x in reversed(lines[:at]):
+        d = len(x) - len(x.lstrip(" :+-*"))
+        if d < deep:
+            deep = d
+            name = x.lstrip(" :+-*").lstrip("(0123456789) ").split("(")[0].split(" ")[0]
+            out.append(name)
+            if name.startswith(("HashAggregate", "ObjectHash", "SortAggregate")):
+                break
+    return out
+
+
+def test_bucketed_series_is_not_exchanged(spark):
+    from stationflow.operators import timegrid, windows
+
+    rows = [(s, d, float(s * d)) for s in range(40) for d in range(30) if (s * d) % 7]
+    series = A.write_bucketed(spark.createDataFrame(rows, "station long, day long, v double"), "series_by_station", "station", "day", 5)
+    plain = spark.createDataFrame(rows, "station long, day long, v double")
+    edges = spark.createDataFrame([(t, s, 1) for t in range(9) for s in range(t, 40, 9)], "target long, station long, rank int")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold", "spark.sql.requireAllClusterKeysForCoPartition")}
+    try:
+        for k, v in zip(before, ("false", "-1", "false"), strict=True):
+            spark.conf.set(k, v)
+        index = lambda s: windows.valid_neighbours(edges, windows.complete_window(s, ["station"], "day", "v", 3), "target", "station", "day")
+        plan = index(series)._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in above(plan, "station") and "SortMergeJoin" in above(plan, "station") and "Window" in above(plan, "station")
+        dense = timegrid.align_to_axis(series, ["station"], "day")
+        plan = dense._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and not [x for x in plan.splitlines() if "Exchange hashpartitioning" in x]
+        frames = windows.step_blocks(series, ["station"], "day", "v", 10)
+        assert "Exchange" not in frames._jdf.queryExecution().executedPlan().toString()
+        assert sorted(index(series).collect()) == sorted(index(plain).collect()) and sorted(dense.collect(), key=str) == sorted(timegrid.align_to_axis(plain, ["station"], "day").collect(), key=str)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+        spark.sql("DROP TABLE series_by_station")
+
+
+def test_metadata_in_one_job(spark, tmp_path):
+    df = spark.range(1000).withColumn("v", F.when(F.col("id") % 4 > 0, F.col("id")))
+    group = "metadata"
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        row = A.write_run_metadata(df, str(tmp_path / "m"), {"rule": "x"}, str(tmp_path / "d"), {"missing": F.count_if(F.col("v").isNull()), "times": F.max("v")})
+        assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(group)) == 1
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    got = spark.read.json(str(tmp_path / "m")).first()
+    assert (got.rows, got.missing, got.times, got.rule) == (1000, 250, 999, "x") and row["rows"] == spark.read.parquet(str(tmp_path / "d")).count()
+
+
+def test_build_that_breaks_off(spark, tmp_path):
+    out, built = str(tmp_path / "t"), []
+
+    def build(fail):
+        def run(rest):
+            keys = sorted(r.k for r in rest.collect())
+            built.append(keys)
+            if fail and len(built) == 3:
+                raise RuntimeError("lost")
+            return rest.filter("k <> 5").withColumn("v", F.col("k") * 2)  # a key without rows is done too
+
+        return run
+
+    todo = spark.range(20).withColumnRenamed("id", "k")
+    with pytest.raises(RuntimeError):
+        A.resume_build(spark, build(True), todo, ["k"], out, batches=4)
+    done = {k for keys in built[:2] for k in keys}
+    (tmp_path / "t" / "k=77").mkdir()  # what a batch left that was cut off between two partitions isn't in the manifest
+    assert {r.k for r in spark.read.parquet(out + ".done").collect()} == done
+    built.clear()
+    A.resume_build(spark, build(False), todo, ["k"], out, batches=4)
+    assert sorted(k for keys in built for k in keys) == sorted(set(range(20)) - done)
+    built.clear()
+    A.resume_build(spark, build(False), todo, ["k"], out, batches=4)
+    assert not built and sorted(r.k for r in spark.read.parquet(out).collect()) == [k for k in range(20) if k != 5]
+
+
+def test_sketches_within_their_bounds(spark, tmp_path):
+    from stationflow.operators import aggregates as G
+
+    df = spark.range(200_000).select((F.col("id") % 6).alias("month"), ((F.col("id") * 7919) % 100_003).cast("double").alias("v"), ((F.col("id") * 31) % 20_011).alias("station"))
+    G.value_sketches(df, ["month"], "v", "station").write.parquet(str(tmp_path / "s"))  # months are kept
+    kept = spark.read.parquet(str(tmp_path / "s"))
+    got = G.read_sketches(G.roll_up_sketches(kept.filter("month < 4").withColumn("half", F.lit(0)), ["half"]), [0.01, 0.5, 0.9, 0.99]).first()
+    part = df.filter("month < 4")
+    n = part.count()
+    assert got.n == n and abs(got.n_keys / part.select("station").distinct().count() - 1) < 0.03
+    for share, q in zip([0.01, 0.5, 0.9, 0.99], got.quantiles, strict=True):
+        assert abs(part.filter(F.col("v") <= q).count() / n - share) < 0.01
+    empty = G.read_sketches(G.value_sketches(df.limit(1).select("month", F.lit(None).cast("double").alias("v"), F.lit(None).cast("long").alias("station")), ["month"], "v", "station"), [0.5]).first()
+    assert empty.n == 0 and empty.quantiles is None and empty.n_keys == 0
