@@ -118,10 +118,10 @@ def trie_neighbours(words: DataFrame, longest: int = 60) -> DataFrame:
         return words.select("word", F.col("word").alias("other")).limit(0)
     edges = write_stage(trie_edges(spelled, low).sortWithinPartitions("depth"), "spelling-edges")
     w, pos, one = F.col("w"), F.col("pos"), F.lit(1).cast("byte")
-    ends, states, written = [], None, [spelled, edges]
+    ends = [spelled.select("backward", "w", _node(w, F.length("w") - 1).alias("node"))]  # the last letter is deleted
+    states, written = None, [spelled, edges]
     for t in range(low, high):
         own = spelled.filter((start <= t) & (F.length("w") > t)).select("backward", "w", F.lit(t).alias("pos"), _node(w, t).alias("node"), F.lit(0).cast("byte").alias("edits"), F.length("w").alias("goal"))
-        ends.append(own.filter(F.length("w") == t + 1).select("backward", "w", "node"))  # the last letter is deleted
         now = own if states is None else own.unionByName(states.filter(pos < F.length("w")))
         met = now.join(edges.filter(F.col("depth") == t), "node")
         to = lambda used, size: F.struct((used).cast("int").alias("pos"), F.col("child").alias("node"), one.alias("edits"), size.cast("int").alias("goal"))
