@@ -75,14 +75,41 @@ def _hints(attributes: str) -> tuple[frozenset, bool]:
     return frozenset(found), hidden
 
 
+class _Open:
+    """The open elements: (tag, ancestor tags, hints, hidden) each, and where in the stack each tag and the blocks are."""
+
+    def __init__(self):
+        none = frozenset()
+        self.stack = [("", none, none, False)]
+        self.blocks, self.at = [0], {}
+
+    def push(self, tag: str, tags: frozenset, hints: frozenset, hidden: bool) -> None:
+        self.at.setdefault(tag, []).append(len(self.stack))
+        if tag not in INLINE:
+            self.blocks.append(len(self.stack))
+        self.stack.append((tag, tags, hints, hidden))
+
+    def last(self, tags) -> int:
+        """Place of the innermost open element of ``tags``; 0 if there is none."""
+        return max((places[-1] for t in tags if (places := self.at.get(t))), default=0)
+
+    def cut(self, k: int) -> None:
+        """Close the element at place ``k`` and all within it."""
+        while len(self.stack) > k:
+            tag = self.stack.pop()[0]
+            self.at[tag].pop()
+            if tag not in INLINE:
+                self.blocks.pop()
+
+
 def leaf_blocks(page: str) -> list[Block]:
     """Blocks of text in page order; raw text elements and comments are left out.
 
-    Open elements are kept on a stack; what HTML closes by itself (p, li, td and the like) is closed here too.
+    Open elements are kept on a stack; what HTML closes by itself (p, li, td and the like) is closed here too. Time
+    grows with the page alone, however many elements are left open.
     """
     blocks: list[Block] = []
-    none = frozenset()
-    stack: list[tuple[str, frozenset, frozenset, bool]] = [("", none, none, False)]  # tag, tags, hints, hidden
+    open_ = _Open()
     parts: list[tuple[str, bool]] = []
     links = 0
 
@@ -91,12 +118,12 @@ def leaf_blocks(page: str) -> list[Block]:
             return
         text = " ".join(html.unescape("".join(t for t, _ in parts)).split())
         if text:
-            tag, tags, hints, hidden = next(e for e in reversed(stack) if e[0] not in INLINE)
+            tag, tags, hints, hidden = open_.stack[open_.blocks[-1]]
             linked = len(" ".join("".join(t for t, link in parts if link).split()))
             blocks.append(Block(text, linked, tag, tags, hints, hidden))
         parts.clear()
 
-    at, end, paragraphs = 0, len(page), 0
+    at, end = 0, len(page)
     while at < end:
         start = page.find("<", at)
         m = _TAG.match(page, start) if start >= 0 else None
@@ -131,49 +158,41 @@ def leaf_blocks(page: str) -> list[Block]:
             else:
                 flush()
                 links = 0
-                if paragraphs:  # a block ends the paragraph that is open around it, and what is open inside that
-                    k = len(stack) - 1
-                    while stack[k][0] in INLINE:
-                        k -= 1
-                    if stack[k][0] == "p":
-                        del stack[k:]
-                        paragraphs -= 1
-                ends, limits = CLOSES.get(tag, ((), ()))
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] in limits:
-                        break
-                    if stack[k][0] in ends:
-                        paragraphs -= sum(e[0] == "p" for e in stack[k:])
-                        del stack[k:]
-                        break
-            _, tags, hints, hidden = stack[-1]
+                if open_.stack[open_.blocks[-1]][0] == "p":  # a block ends the paragraph that is open around it, and what is open inside that
+                    open_.cut(open_.blocks[-1])
+                if tag in CLOSES:
+                    ends, limits = CLOSES[tag]
+                    k = open_.last(ends)
+                    if k > open_.last(limits):
+                        open_.cut(k)
+            _, tags, hints, hidden = open_.stack[-1]
             if m[3]:
                 more, off = _hints(m[3])
                 hints, hidden = hints | more if more else hints, hidden or off
             if tag in ANCESTORS and tag not in tags:
                 tags = tags | {tag}
-            paragraphs += tag == "p"
-            stack.append((tag, tags, hints, hidden))
+            open_.push(tag, tags, hints, hidden)
         else:
             if tag not in INLINE:
                 flush()
                 links = 0
             elif tag == "a":
                 links = max(0, links - 1)
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == tag:
-                    paragraphs -= sum(e[0] == "p" for e in stack[k:])
-                    del stack[k:]
-                    break
-                if tag in INLINE and stack[k][0] not in INLINE:
-                    break
+            k = open_.last((tag,))
+            if k and (tag not in INLINE or k > open_.blocks[-1]):
+                open_.cut(k)
     flush()
     return blocks
 
 
 def features(blocks: list[Block]) -> list[list[str]]:
-    """Ancestor-tag and text features of each block."""
+    """Ancestor-tag and text features of each block.
+
+    Whether a block lies outside of the article's container, and whether it is the first or last one there, counts only on a page that has one.
+    """
     out = []
+    inside = [bool(b.tags & {"article", "main"}) or "text" in b.hints for b in blocks]
+    contained = any(inside)
     n = len(blocks)
     for k, b in enumerate(blocks):
         size = len(b.text)
@@ -187,12 +206,14 @@ def features(blocks: list[Block]) -> list[list[str]]:
             f.append("cue")
         if b.hidden:
             f.append("hidden")
-        if not b.tags & {"article", "main"} and "text" not in b.hints:
+        if contained and not inside[k]:
             f.append("outside")
-        if k == 0:
-            f.append("first")
-        if k == n - 1:
-            f.append("last")
+            if k == 0:
+                f.append("first")
+            if k == n - 1:
+                f.append("last")
+        if b.linked == size and not inside[k]:
+            f.append("alllink")
         out.append(f)
     return out
 
@@ -327,15 +348,20 @@ def labelled_pages(n: int, seed: int = 2) -> Iterator[tuple[str, list[int]]]:
         body = "".join(pick([f'<div class="comment"><p>{prose(2, 70)}</p></div>', f"<li>{prose(2, 70)}</li>", f"<p>{prose(2, 70)}</p>", f"<article><p>{prose(3, 70)}</p></article>"]) for _ in range(k))
         return wrap([("section", ' class="comments"'), ("div", ' id="comments"'), ("div", ' class="comment-list"'), ("section", ' id="comments"'), ("div", ' class="reader-comments"')], f"<h3>{prose(1, 3)}</h3>" + body), [0] * (k + 1)
 
-    def text():
+    def passage():
+        cue = pick(["share", "reply", "cookies", "subscribe", "copyright", "advertising", "read more", "log in"]) if rng.random() < 0.15 else word()  # such words are no proof
+        return " ".join([prose(3, 24) for _ in range(rng.integers(1, pick([2, 4, 9])))] + [f"{word()} {cue} {prose(2, 12)}"] * int(rng.random() < 0.3))
+
+    def text(alone):
         body, labels = [], []
-        if rng.random() < 0.9:
-            body.append(f"<h1>{prose(2, 14)}</h1>")
+        leaf = pick(["<p>{}</p>", "<p>{}</p>", "<p>{}</p>", "<div>{}</div>", "<p class=\"a1\">{}", "<section>{}</section>"])
+        if rng.random() < 0.5:
+            body.append(pick(["<h1>{}</h1>", "<h1>{}</h1>", "<h2>{}</h2>", "<header><h1>{}</h1></header>"]).format(prose(2, 14)))
             labels.append(1)
-        for _ in range(rng.integers(1, 12)):
-            kind = rng.integers(0, 14)
+        for _ in range(rng.integers(1, pick([3, 6, 12]))):
+            kind = rng.integers(0, 18)
             if kind == 0:
-                body.append(f"<h2>{prose(1, 8)}</h2>")
+                body.append(pick(["<h2>{}</h2>", "<h3>{}</h3>"]).format(prose(1, 8)))
                 labels.append(1)
             elif kind == 1:
                 k = rng.integers(2, 5)
@@ -353,32 +379,42 @@ def labelled_pages(n: int, seed: int = 2) -> Iterator[tuple[str, list[int]]]:
             elif kind == 5:
                 body.append(f"<pre>{prose(2, 30)}</pre>")
                 labels.append(1)
+            elif kind == 6:
+                k = rng.integers(1, 5)
+                body.append("<ul>" + "".join(f'<li><a href="#">{prose(1, 9)}</a></li>' for _ in range(k)) + "</ul>" if not alone else f"<dl><dt>{word()}</dt><dd>{prose(2, 20)}</dd></dl>")
+                labels += [1] * (k if not alone else 2)
+            elif kind == 7:
+                body.append(leaf.format(f'{word().capitalize()} <a href="#">{prose(2, 14)}</a>'))
+                labels.append(1)
             else:
-                body.append(f"<p>{prose(1, pick([4, 30, 200]))}</p>")
+                body.append(leaf.format(passage()))
                 labels.append(1)
             if rng.random() < 0.06:
                 piece, l = pick([advert, notice, side, form, menu])()
                 body.append(piece)
                 labels += l
-        if rng.random() < 0.15:
+        if rng.random() < 0.12:
             piece, l = comments()
             body.append(piece)
             labels += l
-        kinds = [("article", ""), ("article", ""), ("main", ""), ("div", ' class="content"'), ("div", ' id="content"'), ("div", ' class="post"'), ("article", ' class="entry"'), ("section", ""), ("div", ' class="story-body"'), ("div", "")]
         inner = "".join(body)
+        if alone:  # nothing says where the article is
+            return pick(["<div>{}</div>", "{}", "<div><div>{}</div></div>", "<section>{}</section>", "<div class=\"c7\">{}</div>"]).format(inner), labels
+        kinds = [("article", ""), ("article", ""), ("main", ""), ("main", ""), ("div", ' class="content"'), ("div", ' id="content"'), ("div", ' class="post"'), ("article", ' class="entry"'), ("div", ' class="story-body"')]
         return (f"<main>{wrap(kinds, inner)}</main>" if rng.random() < 0.2 else wrap(kinds, inner)), labels
 
     for _ in range(n):
-        bare = rng.random() < 0.1  # an article and nothing else
-        before = [p() for p in (menu, header, notice, advert, form, side) if not bare and rng.random() < 0.45]
-        after = [p() for p in (side, comments, form, advert, menu, notice) if not bare and rng.random() < 0.4]
+        bare = rng.random() < 0.35  # an article and nothing else
+        before = [p() for p in (menu, header, notice, advert, form, side) if not bare and rng.random() < 0.4]
+        after = [p() for p in (side, comments, form, advert, menu, notice) if not bare and rng.random() < 0.35]
         rng.shuffle(before)
         rng.shuffle(after)
-        pieces = [*before, text(), *after]
-        if not bare and rng.random() < 0.85:
+        pieces = [*before, (passage(), [1]) if bare and rng.random() < 0.15 else text(rng.random() < 0.35), *after]
+        if not bare and rng.random() < 0.8:
             pieces.append(footer())
         body = "".join(p for p, _ in pieces)
-        yield f"<!DOCTYPE html><html><head><title>{prose(1, 8)}</title><script>var a = '<p>';</script></head><body>{body}</body></html>", [x for _, l in pieces for x in l]
+        labels = [x for _, l in pieces for x in l]
+        yield pick(["<!DOCTYPE html><html><head><title>{0}</title><script>var a = '<p>';</script></head><body>{1}</body></html>", "<!DOCTYPE html><html><head><title>{0}</title></head><body>{1}</body></html>", "{1}"]).format(prose(1, 8), body), labels
 
 
 @lru_cache(maxsize=4)

@@ -1,10 +1,17 @@
+import os
 import re
+import sys
+import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from stationflow.llm import queries as Q
 from stationflow.llm.html_text import ChainCRF, extract_text, features, labelled_pages, leaf_blocks, main_text, train, viterbi
 
+sys.path.insert(0, os.path.dirname(__file__))
+from page_forms import FORMS  # noqa: E402
+
 MODEL = train(500)
 
 
@@ -81,3 +88,20 @@ def test_raw_text_ends_in_any_case():
 def test_block_ends_an_open_paragraph_at_any_depth():
     blocks = leaf_blocks('<div><p class="ad">one<b><i><u><s><em><q>deep<div>two</div><p>three<table><tr><td>four</table>five')
     assert [(b.text, "ad" in b.hints) for b in blocks] == [("onedeep", True), ("two", False), ("three", False), ("four", False), ("five", False)]
+
+
+@pytest.mark.parametrize("name", FORMS)
+def test_page_forms(name):
+    body, want = FORMS[name]
+    for page in (body, f"<!DOCTYPE html><html><head><title>t</title></head><body>{body}</body></html>"):
+        assert main_text(page, MODEL).split("\n\n") == want
+
+
+@pytest.mark.parametrize("tags", ["<div>", "<b>", "<li><div>", "<p><b>", "<table><tr><td>", "</div><p>", "<ul><li>", "<div></b>"])
+def test_time_grows_with_the_page(tags):
+    def took(n):
+        began = time.process_time()
+        leaf_blocks(tags * n + "end")
+        return time.process_time() - began
+
+    assert took(100_000) < 8 * took(25_000) + 0.5
