@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stationflow.llm.common import join_small, write_stage
+from stationflow.llm.common import drop_stage, join_few, write_stage
 from stationflow.llm.decontaminate import contamination
 from stationflow.llm.language import identify_language
 from stationflow.llm.neardup import near_duplicates
@@ -51,13 +51,15 @@ def neardup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null doc_id: linked with nothing, so each such row stays. Rows of equal doc_id and text are one
     document, of which one row stays. Null or blank text: like no other, stays. Rows that share a doc_id but not the text are kept or dropped each by its own text.
     """
-    found = near_duplicates(docs, text_hash=True).filter("kept and doc_id is not null")
-    keys = write_stage(found.groupBy(F.col("doc_id").alias("k_"), F.col("text_hash").alias("h_")).agg(F.count("*").alias("n_")), "neardup-kept")
-    known = _whole(docs.filter("doc_id is not null"), "doc_id", "text").withColumn("text_hash", F.xxhash64("text"))
+    found = near_duplicates(docs, text_hash=True).filter("doc_id is not null")
+    each = found.groupBy(F.col("doc_id").alias("k_"), F.col("text_hash").alias("h_")).agg(F.max("kept").alias("kept_"), F.count("*").alias("n_"))
+    special = write_stage(each.filter("not kept_ or n_ > 1"), "neardup-special")  # the others stay as they are, where they are
+    known = _whole(docs, "doc_id", "text").withColumn("text_hash", F.xxhash64("text"))
     mine = (F.col("doc_id") == F.col("k_")) & (F.col("text_hash") == F.col("h_"))
-    once = join_small(known, keys.filter("n_ = 1").select("k_", "h_"), mine, "left_semi")
-    often = join_small(known, keys.filter("n_ > 1").select("k_", "h_"), mine, "left_semi").dropDuplicates(["doc_id", "text_hash", "text"])  # only what repeats is shuffled whole
-    return once.unionByName(often).select(*_columns(docs, "doc_id", "text")).unionByName(docs.filter("doc_id is null"))
+    told = join_few(known, special, mine, F.xxhash64(F.col("doc_id").cast("long"), "text_hash"), F.xxhash64("k_", "h_"), "left")
+    once = told.filter("n_ is null")
+    often = told.filter("kept_ and n_ > 1").dropDuplicates(["doc_id", "text_hash", "text"])  # only what repeats is shuffled whole
+    return once.unionByName(often).select(*_columns(docs, "doc_id", "text"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -85,7 +87,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
         docs = write_stage(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if before is not None:
+            drop_stage(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)

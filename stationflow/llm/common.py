@@ -99,7 +99,40 @@ def fits(df: DataFrame, mb: int) -> bool:
     return rows <= most and (total or 0) <= mb << 20
 
 
-def join_small(left: DataFrame, right: DataFrame, on, how: str = "inner", mb: int = 16) -> DataFrame:
+#: MB up to which the right side of a join is broadcast.
+BROADCAST_MB = 16
+#: Numbers of 64 bits that ``flag_possible`` broadcasts at most.
+WORDS = 1 << 20
+
+
+def join_small(left: DataFrame, right: DataFrame, on, how: str = "inner", mb: int | None = None) -> DataFrame:
     """Join that broadcasts ``right`` only if it is proven to take at most ``mb`` MB,
     and is otherwise an ordinary shuffled join."""
-    return left.join(F.broadcast(right) if fits(right, mb) else right, on, how)
+    return left.join(F.broadcast(right) if fits(right, BROADCAST_MB if mb is None else mb) else right, on, how)
+
+
+def flag_possible(left: DataFrame, key: Column, hashes: DataFrame, name: str) -> DataFrame:
+    """``left`` with ``name``: false where the hash ``key`` is certainly none of ``hashes`` (h); never false for one that is.
+
+    The hashes are put in a set of bits, of which at most ``WORDS`` numbers are broadcast, however many hashes there are: with n of
+    them about n / (64 * WORDS) of the others are flagged too.
+    """
+    word = lambda h: F.pmod(F.shiftright(h, 6), F.lit(WORDS))
+    bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(63).cast("int"))
+    at, held = unused(left, "word_of_bits_"), unused(left, "bits_")
+    bits = hashes.groupBy(word(F.col("h")).alias(at)).agg(F.bit_or(bit(F.col("h"))).alias(held))
+    return left.join(F.broadcast(bits), word(key) == F.col(at), "left").withColumn(name, F.coalesce(F.col(held).bitwiseAND(bit(key)) != 0, F.lit(False))).drop(at, held)
+
+
+def join_few(left: DataFrame, right: DataFrame, on: Column, key: Column, hash_: Column, how: str = "inner") -> DataFrame:
+    """Join with a ``right`` that concerns few of the rows of ``left``, which may be wide: broadcast if it is proven small; beyond that
+    only rows of ``left`` whose hash ``key`` may be among the hashes ``hash_`` of ``right`` are shuffled, the others keep their place.
+
+    ``how``: inner, left_semi or left.
+    """
+    if fits(right, BROADCAST_MB):
+        return left.join(F.broadcast(right), on, how)
+    flag = unused(left, "maybe_")
+    flagged = flag_possible(left, key, right.select(hash_.alias("h")), flag)
+    out = flagged.filter(flag).drop(flag).join(right, on, how)
+    return out.unionByName(flagged.filter(~F.col(flag)).drop(flag), allowMissingColumns=True) if how == "left" else out

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stationflow.llm.common import ascii_lower, join_small, write_stage
+from stationflow.llm.common import ascii_lower, join_few, join_small, write_stage
 
 #: What parts words once A-Z is lower-cased: ASCII other than digits and letters.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -88,7 +88,7 @@ def find_benchmark(docs: DataFrame, items: DataFrame, window: int = 13, width: i
     # Verify on the words, one row a document.
     keys = candidates.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h"))
     texts = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
-    texts = join_small(texts, keys, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h")), "left_semi").dropDuplicates(["doc_id", "text_hash"])
+    texts = join_few(texts, keys, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h")), F.col("text_hash"), F.col("h"), "left_semi").dropDuplicates(["doc_id", "text_hash"])
     named = candidates.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h"), "c")
     both = texts.join(named, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h"))).select("doc_id", "text_hash", words_of(F.col("text")).alias("words"), "c")
     same = F.filter("c", lambda x: F.array_join(F.slice("words", x["start"] + 1, x["len"]), " ") == x["window"])
@@ -125,7 +125,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 13, width: in
     found = write_stage(found.select(F.col("doc_id").alias("d_"), F.col("text_hash").alias("t_"), F.col("n_hit").alias("n_"), F.col("ids").alias("i_")), "decontam-found")
 
     rows = docs.select(F.struct(*docs.columns).alias("row_"), F.col("doc_id").alias("k_"), F.xxhash64("text").alias("h_"), count_words(F.col("text")).alias("w_"))
-    out = join_small(rows, found, F.col("k_").eqNullSafe(F.col("d_")) & (F.col("h_") == F.col("t_")), "left")
+    out = join_few(rows, found, F.col("k_").eqNullSafe(F.col("d_")) & (F.col("h_") == F.col("t_")), F.col("h_"), F.col("t_"), "left")
     n_hit = F.coalesce("n_", F.lit(0)).cast("long")
     ids = F.coalesce("i_", F.array().cast("array<string>"))
     return out.select("row_.*", F.col("w_").alias("n_words"), n_hit.alias("n_hit"), ids.alias("item_ids"), F.size(ids).cast("long").alias("n_items"), ((n_hit > 0) & (20 * n_hit >= F.col("w_"))).alias("contaminated"))

@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stationflow.llm.common import drop_stage, join_small, partitions, slices, write_stage
+from stationflow.llm.common import drop_stage, join_few, join_small, partitions, slices, write_stage
 from stationflow.llm.components import connected_components
 
 
@@ -317,8 +317,9 @@ def _linked(families: DataFrame, reps: DataFrame, texts: DataFrame, width: int,
     """
     least = percent / 100
     named = families.join(reps.withColumnRenamed("doc", "node"), "node").select(F.col("component").alias("group"), F.col("node").alias("doc"), "text_hash", "n", "regs")
-    keys = named.select(F.col("doc").alias("doc_id"), "text_hash").distinct()
-    found = join_small(texts.withColumn("text_hash", F.xxhash64("text")), keys, ["doc_id", "text_hash"])
+    keys = write_stage(named.select(F.col("doc").alias("d_"), F.col("text_hash").alias("h_")).distinct(), "neardup-keys")
+    mine = (F.col("doc_id") == F.col("d_")) & (F.col("text_hash") == F.col("h_"))
+    found = join_few(texts.withColumn("text_hash", F.xxhash64("text")), keys, mine, F.xxhash64("doc_id", "text_hash"), F.xxhash64("d_", "h_"), "left_semi")
     used = write_stage(found.select(F.col("doc_id").alias("doc"), "text_hash", "text").dropDuplicates(["doc", "text_hash"]).join(named, ["doc", "text_hash"]), "neardup-texts")
     sizes = used.groupBy("group").agg(F.greatest(F.ceil(F.count("*") / F.lit(block)), F.ceil(F.sum(F.octet_length("text").cast("long")) / F.lit(block_mb << 20))).cast("int").alias("blocks"))
     rows = join_small(used, sizes, "group").select("group", "doc", "blocks", "n", "regs", "text")
@@ -337,6 +338,7 @@ def _linked(families: DataFrame, reps: DataFrame, texts: DataFrame, width: int,
 
     out = _joined(rows, _linker(least, base, exact))
     drop_stage(used)
+    drop_stage(keys)
     return out
 
 
@@ -374,8 +376,13 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, bands: i
     parts = _linked(families, reps.select("doc", "text_hash", "n", "regs"), texts, width, percent, base, block, block_mb)
     nodes = reps.select("digest", F.col("doc").alias("rep"))
 
-    # Copies hang on their representative.
+    # Copies hang on their representative; texts without a digest are joined with nothing.
     named = nodes.join(parts.select(F.col("node").alias("rep"), "component"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
-    out = coded.select("doc_id", "n", "digest", "text_hash").join(named, "digest", "left")
+    slim = coded.select("doc_id", "n", "digest", "text_hash")
+    out = slim.filter("digest is not null").join(named, "digest", "left").unionByName(slim.filter("digest is null"), allowMissingColumns=True)
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"), *(["text_hash"] if text_hash else []))
+    out = out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"), *(["text_hash"] if text_hash else []))
+    out = write_stage(out, "neardup-found")
+    drop_stage(coded)
+    drop_stage(reps)
+    return out
