@@ -26,8 +26,9 @@ class NgramHasher:
     is bounded and doesn't change results.
     """
 
-    def __init__(self, bits: int, most: int = 150_000):
-        self.shift, self.most, self.known = np.uint32(32 - bits), most, {}
+    def __init__(self, bits: int, most: int = 48 << 20):
+        """``most``: bytes that may be remembered."""
+        self.shift, self.most, self.known, self.held = np.uint32(32 - bits), most, {}, 0
 
     def _chunk(self, chunk: str) -> bytes:
         return np.array([zlib.crc32(t.encode("utf-8", "replace")) for t in _TOKENS(chunk)], np.uint32).tobytes()
@@ -38,12 +39,16 @@ class NgramHasher:
         coded = split.values.dictionary_encode()
         at, begin = coded.indices.to_numpy(), split.offsets.to_numpy()
         chunks, known = coded.dictionary.to_pylist(), self.known
-        if len(known) >= self.most:
-            known.clear()
         parts = [known.get(c) for c in chunks]
         for k, part in enumerate(parts):
             if part is None:
-                parts[k] = known[chunks[k]] = self._chunk(chunks[k])
+                parts[k] = part = self._chunk(chunks[k])
+                self.held += 220 + 4 * len(chunks[k]) + len(part)  # a slice's own chunks are bounded by the slice
+                if self.held > self.most:
+                    known.clear()
+                    self.held = 0
+                if len(part) < 4096:
+                    known[chunks[k]] = part
         size = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
         lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(np.frombuffer(b"".join(parts), np.uint32)))
         h = lists.take(pa.array(at)).flatten().to_numpy()
@@ -109,24 +114,24 @@ def fit_quality(docs: DataFrame, labels: DataFrame, bits: int = 16, most_labels:
     ratio = np.log(target / target.sum()) - np.log(raw / raw.sum())
     model = RatioModel(ratio, float("-inf"), bits)
     held_out = held_out_udf(docs.sparkSession, raw, target, bits)("text", F.col("quality") > 0)
-    seen = marked.filter(F.col("quality").isNotNull()).select("quality", held_out.alias("s")).toArrow()
-    model.threshold = best_threshold(seen["s"].to_numpy(), seen["quality"].to_numpy() > 0)
+    seen = marked.filter(F.col("quality").isNotNull()).select((F.col("quality") > 0).alias("good"), held_out.alias("s"))
+    step = F.floor(F.greatest(F.lit(-50.0), F.least(F.lit(50.0), F.col("s"))) * 2000)  # 200,001 bins at most, however often labelled ids repeat
+    bins = seen.groupBy(F.when(F.col("s") > float("-inf"), step).alias("bin")).agg(F.count_if("good").alias("good"), F.count_if(~F.col("good")).alias("bad"), F.min("s").alias("low"), F.max("s").alias("high")).toArrow()
+    model.threshold = best_threshold(*[bins[c].to_numpy() for c in ("low", "high", "good", "bad")])
     return model
 
 
-def best_threshold(score: np.ndarray, good: np.ndarray) -> float:
-    """Midpoint between the classes with the least balanced error; minus infinity without both."""
-    if good.all() or not good.any():
+def best_threshold(low: np.ndarray, high: np.ndarray, good: np.ndarray, bad: np.ndarray) -> float:
+    """Midpoint between two bins of scores (lowest, highest, good and bad ones) with the least balanced error; minus infinity without both classes."""
+    if not good.sum() or not bad.sum():
         return float("-inf")
-    order = np.argsort(score, kind="stable")
-    s, g = score[order], good[order]
-    lost, caught = np.cumsum(g) / g.sum(), np.cumsum(~g) / (~g).sum()
-    error = lost + (1 - caught)  # rejecting the first k + 1
-    error[:-1][s[1:] == s[:-1]] = np.inf
-    k = int(np.argmin(error[:-1]))
-    if error[k] >= 1:
+    order = np.argsort(low, kind="stable")
+    low, high, good, bad = low[order], high[order], good[order], bad[order]
+    error = np.cumsum(good) / good.sum() + 1 - np.cumsum(bad) / bad.sum()  # rejecting the first k + 1 bins
+    k = int(np.argmin(error[:-1])) if len(error) > 1 else 0
+    if error[k] >= 1 or len(error) == 1:
         return float("-inf")
-    return float((s[k] + s[k + 1]) / 2) if s[k] > float("-inf") else float(s[k + 1])
+    return float((high[k] + low[k + 1]) / 2) if high[k] > float("-inf") else float(low[k + 1])
 
 
 def held_out_udf(spark, raw: np.ndarray, target: np.ndarray, bits: int):
