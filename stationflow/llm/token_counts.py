@@ -84,18 +84,20 @@ def load_vocabulary(path: str) -> LongestMatch:
 
 
 class Counter:
-    """Piece counts of texts; words are counted once and remembered, up to a bound."""
+    """Piece counts of texts; words are counted once and remembered, up to a bound in bytes."""
 
-    def __init__(self, automaton: LongestMatch, most: int = 500_000):
-        self.automaton, self.most, self.known = automaton, most, {}
+    def __init__(self, automaton: LongestMatch, most: int = 64 << 20):
+        self.automaton, self.most, self.known, self.held = automaton, most, {}, 0
 
     def __call__(self, text: str) -> tuple[int, int]:
         """(words, pieces)."""
         words, known = _WORDS(text), self.known
-        if len(known) >= self.most:
+        if self.held > self.most:  # before a text, whose own words are bounded by it
             known.clear()
+            self.held = 0
         for w in set(words).difference(known):
             known[w] = self.automaton.count(w.encode("utf-8", "surrogatepass"))
+            self.held += 160 + 4 * len(w)
         return len(words), sum(map(known.__getitem__, words))
 
 

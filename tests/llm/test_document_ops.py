@@ -527,3 +527,66 @@ def test_entry_without_subpackage(monkeypatch):
         assert "g3_sample_index" in e.queries() and not any(n.startswith("op") or n == "pipeline" for n in e.queries())
     e = importlib.reload(e)
     assert "pipeline" in e.queries() and "op1_exact_topk" in e.queries()
+
+
+# joins beyond the bound of broadcasts
+
+@pytest.fixture
+def no_broadcast(monkeypatch):
+    from stationflow.llm import common
+
+    monkeypatch.setattr(common, "BROADCAST_MB", 0)
+    monkeypatch.setattr(common, "WORDS", 64)  # so that many rows are flagged in vain
+
+
+def rows_of(df):
+    return sorted(map(tuple, df.collect()), key=repr)
+
+
+@pytest.mark.parametrize("how", ["inner", "left_semi", "left"])
+@pytest.mark.parametrize("n", [0, 5, 3000])
+def test_join_few(spark, no_broadcast, how, n):
+    from stationflow.llm.common import join_few
+
+    left = spark.range(20_000).selectExpr("if(id % 7 = 0, null, id) as a", "id as b", "1 as maybe_")
+    right = spark.range(n).selectExpr("id * 11 as k", "id as v")
+    on = F.col("a") == F.col("k")
+    assert rows_of(join_few(left, right, on, F.xxhash64("a"), F.xxhash64("k"), how)) == rows_of(left.join(right, on, how))
+
+
+def test_same_rows_beyond_broadcasts(spark, no_broadcast):
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
+    for name in ("op6_benchmark_decontamination", "op9_minhash_neardup"):
+        got, sql = Q.queries()[name](spark, DATA), Q.oracle_sql()[name]
+        assert rows_of(got) == sorted(con.execute(f"SELECT {', '.join(got.columns)} FROM ({sql})").fetchall(), key=repr)
+
+
+def test_neardup_stage_beyond_broadcasts(spark, no_broadcast):
+    import corpus_pipeline
+
+    rows = [(i, " ".join(f"w{(i % 9) * 50 + k}" for k in range(40))) for i in range(30)] + [(None, None), (3, None), (None, "a b c d e f"), (None, "a b c d e f"), (4, "x y z"), (4, "x y z"), (4, "other words")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id int, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.neardup(spark, docs, DATA)
+    assert kept.columns == docs.columns
+    want = [(i, t) for i, t in rows[:9]] + [(None, None), (3, None), (None, "a b c d e f"), (None, "a b c d e f"), (4, "x y z"), (4, "other words")]
+    assert sorted((tuple(r) for r in kept.select("doc_id", "text").collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_threshold_when_a_label_repeats(spark):
+    from stationflow.llm.quality import NgramHasher, best_threshold, fit_quality
+
+    docs = spark.createDataFrame([(1, "good words here")] * 300 + [(2, "bad things there")] * 300, "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    m = fit_quality(docs, labels)
+    assert np.isfinite(m.threshold)
+    one = lambda s, g: (np.array(s, float), np.array(s, float), np.array(g), 1 - np.array(g))
+    assert best_threshold(*one([3, 1, 2, 4], [1, 0, 0, 1])) == 2.5 and best_threshold(*one([1, 2], [1, 1])) == float("-inf")
+    few, many = NgramHasher(16, 2000), NgramHasher(16)
+    import pyarrow as pa
+
+    for k in range(5):
+        texts = pa.array([" ".join(f"w{j}-{k}" for j in range(400)), None, "a" * 9000])
+        assert all((x == y).all() for x, y in zip(few(texts), many(texts), strict=True))
+    assert len(few.known) < 20
