@@ -15,9 +15,26 @@ from pyspark.sql import functions as F
 from stationflow.operators.similarity import _together
 
 
+_PRIME = 2147483647
+
+
+def draw(seed: int, *key: Column) -> Column:
+    """A whole number in [0, 2^31 - 1) by arithmetic on whole numbers alone, the same in any engine."""
+    h = F.lit(seed % _PRIME).cast("long")
+    for k in [*key, F.lit(seed)]:
+        h = F.transform(F.array((h + F.pmod(k.cast("long"), F.lit(_PRIME))) * 1103515245 + 12345), lambda x: x % _PRIME)
+        h = F.element_at(F.transform(h, lambda x: (x * x + x + 1) % _PRIME), 1)
+    return h
+
+
+def key_of(df: DataFrame, name: str) -> Column:
+    """A column as a whole number to draw by: itself, or its hash where it isn't one."""
+    return F.col(name) if dict(df.dtypes)[name] in ("bigint", "int", "smallint", "tinyint") else F.xxhash64(name)
+
+
 def uniform(seed: int, *key: Column) -> Column:
     """In (0, 1)."""
-    return (F.pmod(F.xxhash64(*key, F.lit(seed)), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
+    return (draw(seed, *key) + 0.5) / float(_PRIME)
 
 
 def normal(seed: int, *key: Column) -> Column:
@@ -25,19 +42,24 @@ def normal(seed: int, *key: Column) -> Column:
     return F.sqrt(-2 * F.log(uniform(seed, *key))) * F.cos(2 * F.pi() * uniform(seed + 7919, *key))
 
 
+def channel_order(n: int, seed: int) -> list[int]:
+    """A seeded shuffle of the channels."""
+    return sorted(range(n), key=lambda c: ((c + 1) * 1103515245 + seed * 12345) % _PRIME)
+
+
 def jitter(df: DataFrame, key: str, pos: str, value: str, sigma: float = 0.03, seed: int = 1) -> DataFrame:
-    return df.withColumn(value, F.col(value) + sigma * normal(seed, F.col(key), F.col(pos)))
+    return df.withColumn(value, F.col(value) + sigma * normal(seed, key_of(df, key), F.col(pos)))
 
 
 def scaling(df: DataFrame, key: list[str], value: str, sigma: float = 0.1, seed: int = 2) -> DataFrame:
-    return df.withColumn(value, F.col(value) * (1 + sigma * normal(seed, *[F.col(k) for k in key])))
+    return df.withColumn(value, F.col(value) * (1 + sigma * normal(seed, *[key_of(df, k) for k in key])))
 
 
 def rotation(df: DataFrame, key: list[str], channel: str, value: str, n_channels: int, seed: int = 3) -> DataFrame:
     """A random sign for each series and channel, and one shuffle of the channels for all."""
-    order = sorted(range(n_channels), key=lambda c: hash((seed, c)) % 1000003)
+    order = channel_order(n_channels, seed)
     moved = F.element_at(F.array(*[F.lit(order.index(c)) for c in range(n_channels)]), (F.col(channel) + 1).cast("int"))
-    sign = F.when(uniform(seed, *[F.col(k) for k in key], F.col(channel)) < 0.5, -1.0).otherwise(1.0)
+    sign = F.when(uniform(seed, *[key_of(df, k) for k in key], F.col(channel)) < 0.5, -1.0).otherwise(1.0)
     return df.withColumn(value, F.col(value) * sign).withColumn(channel, moved)
 
 
@@ -48,8 +70,8 @@ def permutation(df: DataFrame, key: str, pos: str, value: str, segments: int = 5
         seg = F.ntile(segments).over(w.orderBy(pos))
     else:
         i, n = F.row_number().over(w.orderBy(pos)) - 1, F.count("*").over(w)
-        seg = sum(((i >= F.floor(uniform(seed + k, F.col(key)) * n)).cast("int") for k in range(1, segments)), F.lit(0))
-    rows = df.withColumn("seg_", seg).withColumn("u_", uniform(seed, F.col(key), F.col("seg_")))
+        seg = sum(((i >= F.floor(uniform(seed + k, key_of(df, key)) * n)).cast("int") for k in range(1, segments)), F.lit(0))
+    rows = df.withColumn("seg_", seg).withColumn("u_", uniform(seed, key_of(df, key), F.col("seg_")))
     return rows.withColumn(pos, F.row_number().over(w.orderBy("u_", "seg_", pos)).cast("long") - 1).drop("seg_", "u_")
 
 
@@ -57,7 +79,7 @@ def window_slice(df: DataFrame, key: str, pos: str, value: str, n: int, share: f
     """A random window of ``share``, stretched back to ``n`` positions on lines between its values."""
     m = int(np.ceil(share * n))
     listed = df.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct(pos, value))), lambda s: s[value]).alias("v"))
-    start = F.floor(uniform(seed, F.col(key)) * (n - m + 1)).cast("int")
+    start = F.floor(uniform(seed, key_of(df, key)) * (n - m + 1)).cast("int")
     cut = listed.withColumn("c_", F.slice("v", start + 1, m))
 
     def at(i: Column) -> Column:
@@ -69,7 +91,7 @@ def window_slice(df: DataFrame, key: str, pos: str, value: str, n: int, share: f
 
 
 def scale_shift_jitter(df: DataFrame, key: str, pos: str, value: str, sigma: float = 0.2, seed: int = 6) -> DataFrame:
-    k = F.col(key)
+    k = key_of(df, key)
     return df.withColumn(value, F.col(value) * (1 + sigma * normal(seed, k)) + sigma * normal(seed + 1, k) + sigma * normal(seed + 2, k, F.col(pos)))
 
 
@@ -144,8 +166,7 @@ def members(series: DataFrame, key: str, label: str, seed: int, buckets: int = 4
     The hash is cut into ``buckets`` ranges that are numbered by themselves and raised by the rows of
     the ranges before, so no task holds a class.
     """
-    u = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1 << 52))
-    rows = series.select(key, label).withColumn("u_", u).withColumn("b_", F.floor(F.col("u_") / ((1 << 52) / buckets)))
+    rows = series.select(key, label).withColumn("u_", draw(seed, key_of(series, key))).withColumn("b_", F.floor(F.col("u_") / (_PRIME / buckets)))
     counts = rows.groupBy(label, "b_").agg(F.count("*").alias("n_"))  # up to ``buckets`` rows a class
     w = Window.partitionBy(label)
     counts = counts.select(F.col(label).alias("l_"), F.col("b_").alias("c_"), (F.sum("n_").over(w.orderBy("b_")) - F.col("n_")).alias("before_"), F.sum("n_").over(w).alias("n"))
@@ -266,11 +287,12 @@ def discriminative_warp(series: DataFrame, key: str, label: str, values: str, sh
     warped = _map_picks(_with_partners(series, key, values, picks), key, f, "warp double")
     if not slices:
         return warped
+    warped = warped.repartition(key)  # one exchange that the largest warp and the result both read: paths are found once
     most = warped.agg(F.max("warp").alias("most"))  # one row
     n = F.size("v")
     share = 0.9 + 0.1 * F.coalesce(F.try_divide("warp", F.col("most")), F.lit(0.0))
     m = F.least(F.ceil(F.round(share * n, 9)), n).cast("int")
-    start = F.floor(uniform(seed, F.col(key)) * (n - m)).cast("int")
+    start = F.floor(uniform(seed, key_of(series, key)) * (n - m)).cast("int")
 
     def at(i: Column) -> Column:
         x = i * F.col("m_") / (n - 1)

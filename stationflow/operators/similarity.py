@@ -72,15 +72,22 @@ def warping_error(x: np.ndarray, y: np.ndarray, warp: int = 1, w: float = np.inf
     before that isn't summed up yet counts with its own gap.
     """
     r, c = len(x), len(y)
-    d = np.full((r + 1, c + 1), np.inf)
+    gap = np.full((r + 1, c + 1), np.inf)
     i, j = np.indices((r, c))
-    d[1:, 1:] = np.where(np.abs(i - j) <= w, np.abs(np.subtract.outer(x, y)), np.inf)
-    d[0, 0] = 0
-    for i in range(r):
-        for j in range(c) if np.isinf(w) else range(max(0, int(i - w)), min(c, int(i + w) + 1)):
-            ahead = range(1, warp + 1)
-            d[i + 1, j + 1] += min(d[i, j], *(s * d[min(i + k, r), j] for k in ahead), *(s * d[i, min(j + k, c)] for k in ahead))
-    return float(d[r, c])
+    gap[1:, 1:] = np.where(np.abs(i - j) <= w, np.abs(np.subtract.outer(x, y)), np.inf)
+    gap[0, 0] = 0
+    total = gap.copy()
+    # Cells with one value of warp * row + column depend on earlier ones alone, so they advance together.
+    for t in range(warp + 1, warp * r + c + 1):
+        i = np.arange(max(1, -(-(t - c) // warp)), min(r, (t - 1) // warp) + 1)
+        j = t - warp * i
+        best = total[i - 1, j - 1]
+        for k in range(warp):
+            below = np.minimum(i + k, r)
+            best = np.minimum(best, s * np.where(below == i, total[i, j - 1], gap[below, j - 1]))
+            best = np.minimum(best, s * total[i - 1, np.minimum(j + k, c)])
+        total[i, j] += best
+    return float(total[r, c])
 
 
 def descriptors(x: np.ndarray) -> np.ndarray:

@@ -138,18 +138,39 @@ def m11_reconstruction(spark, d):
     return rounded(M.reconstruction_score(s, ["vec_id", "step"], "x", "y"), 8)
 
 
-@query()
+def _draw(seed: int, *key: str) -> str:
+    h = f"CAST({seed} AS BIGINT)"
+    for k in [*key, str(seed)]:
+        h = f"list_transform([(({h}) + CAST({k} AS BIGINT)) * 1103515245 + 12345], lambda h: ((h % 2147483647) * (h % 2147483647) + h % 2147483647 + 1) % 2147483647)[1]"
+    return h
+
+
+def _uniform(seed: int, *key: str) -> str:
+    return f"(({_draw(seed, *key)}) + 0.5) / CAST(2147483647 AS DOUBLE)"
+
+
+def _normal(seed: int, *key: str) -> str:
+    return f"sqrt(-2 * ln({_uniform(seed, *key)})) * cos(2 * pi() * ({_uniform(seed + 7919, *key)}))"
+
+
+_MOVED = K.channel_order(4, 3)
+
+
+@query(f"""WITH {LABELLED}, a AS (SELECT *, pos % 4 AS ch, x + 0.03 * {_normal(1, 'vec_id', 'pos')} AS j FROM labelled),
+ b AS (SELECT *, j * (1 + 0.1 * {_normal(2, 'vec_id', 'pos % 4')}) * CASE WHEN {_uniform(3, 'vec_id', 'pos % 4')} < 0.5 THEN -1 ELSE 1 END AS y FROM a)
+ SELECT vec_id, CAST(label AS BIGINT) AS label, pos, {r(f"y * (1 + 0.2 * {_normal(6, 'vec_id')}) + 0.2 * {_normal(7, 'vec_id')} + 0.2 * {_normal(8, 'vec_id', 'pos')}", 'x')}, CAST([{', '.join(str(_MOVED.index(k)) for k in range(4))}][ch + 1] AS BIGINT) AS ch FROM b""")
 def k1_k3_k13_noise(spark, d):
     """Jitter, scaling, rotation, and all three."""
     s = labelled_series(spark, d).withColumn("ch", F.col("pos") % 4)
     a = K.rotation(K.scaling(K.jitter(s, "vec_id", "pos", "x"), ["vec_id", "ch"], "x"), ["vec_id"], "ch", "x", 4)
-    return K.scale_shift_jitter(a, "vec_id", "pos", "x")
+    return rounded(K.scale_shift_jitter(a, "vec_id", "pos", "x"))
 
 
-@query()
+@query(f"""WITH {LABELLED}, s AS (SELECT *, ntile(5) OVER (PARTITION BY vec_id ORDER BY pos) AS seg FROM labelled), u AS (SELECT *, {_draw(4, 'vec_id', 'seg')} AS u FROM s)
+ SELECT vec_id, CAST(label AS BIGINT) AS label, row_number() OVER (PARTITION BY vec_id ORDER BY u, seg, pos) - 1 AS pos, {r('x', 'x')} FROM u""")
 def k4_permutation(spark, d):
     """K4: segments in a random order."""
-    return K.permutation(labelled_series(spark, d), "vec_id", "pos", "x")
+    return rounded(K.permutation(labelled_series(spark, d), "vec_id", "pos", "x"))
 
 
 @query()
@@ -164,10 +185,12 @@ def k6_time_warp(spark, d):
     return K.time_warp(labelled_series(spark, d), "vec_id", "pos", "x")
 
 
-@query()
+@query(f"""WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, CAST(floor(({_uniform(5, 'vec_id')}) * 7) AS BIGINT) AS s FROM embeddings),
+ cut AS (SELECT vec_id, v[s + 1 : s + 58] AS c, unnest(range(64)) AS pos FROM v), a AS (SELECT *, pos * 57 / CAST(63 AS DOUBLE) AS t, CAST(least(floor(pos * 57 / CAST(63 AS DOUBLE)), 56) AS BIGINT) AS k FROM cut)
+ SELECT vec_id, pos, {r('c[k + 1] + (t - k) * (c[k + 2] - c[k + 1])', 'x')} FROM a""")
 def k7_window_slice(spark, d):
     """K7: a window stretched back."""
-    return K.window_slice(labelled_series(spark, d), "vec_id", "pos", "x", 64)
+    return rounded(K.window_slice(labelled_series(spark, d), "vec_id", "pos", "x", 64))
 
 
 @query()
@@ -220,20 +243,38 @@ def _dtw_pairs(spark, d):
     return pairs.join(v.select("vec_id", "label", F.col("v").alias("x")), "vec_id").join(other, "other")
 
 
-@query()
+_RING = f"""ring AS (SELECT vec_id, label, v, row_number() OVER (PARTITION BY label ORDER BY u, vec_id) - 1 AS k, count(*) OVER (PARTITION BY label) AS n FROM (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v, {_draw(1, 'vec_id')} AS u FROM embeddings)),
+ pairs AS (SELECT a.vec_id, b.vec_id AS other, a.label, a.v AS x, b.v AS y FROM ring a JOIN ring b ON a.label IS NOT DISTINCT FROM b.label AND b.k = (a.k + 1) % a.n WHERE a.n > 1)"""
+
+
+def _dtw(cost: str) -> str:
+    """CTE dtw (vec_id, other, label, distance, steps) of pairs of 64 steps, row by row; ``cost`` of the steps i + 1 and j (1 to 64)."""
+    inf = "CAST('inf' AS DOUBLE)"
+    cell = "least(e[2], e[4], acc[-2])"
+    steps = f"1 + CASE WHEN e[2] = {cell} THEN e[3] WHEN e[4] = {cell} THEN e[5] ELSE acc[-1] END"
+    row = f"list_transform(range(1, 65), lambda j: [{cost}, d[2 * j - 1], d[2 * j], d[2 * j + 1], d[2 * j + 2]])"
+    return f"""dp AS (SELECT vec_id, other, label, x, y, CAST(0 AS BIGINT) AS i, list_concat([CAST(0 AS DOUBLE), 0], list_transform(range(128), lambda k: CASE WHEN k % 2 = 0 THEN {inf} ELSE 0 END)) AS d FROM pairs
+ UNION ALL SELECT vec_id, other, label, x, y, i + 1, list_reduce(list_prepend([{inf}, CAST(0 AS DOUBLE)], {row}), lambda acc, e: list_concat(acc, [e[1] + {cell}, {steps}])) FROM dp WHERE i < 64),
+ dtw AS (SELECT vec_id, other, label, d[129] AS distance, CAST(d[130] AS BIGINT) AS steps FROM dp WHERE i = 64)"""
+
+
+_SHAPE = "sqrt(" + " + ".join(f"pow(x[greatest(1, least(64, i + 1 + ({o})))] - y[greatest(1, least(64, j + ({o})))], 2)" for o in range(-3, 2)) + ")"
+
+
+@query(f"WITH RECURSIVE {_RING}, {_dtw('CASE WHEN abs(i + 1 - j) <= 8 THEN abs(x[i + 1] - y[j]) ELSE ' + chr(39) + 'inf' + chr(39) + ' END')} SELECT vec_id, other, {r('distance', 'distance')}, steps FROM dtw")
 def l1_pairwise_dtw(spark, d):
     """L1: warping distance in a band, with paths."""
     out = L.pairwise_dtw(_dtw_pairs(spark, d), ["vec_id", "other"], band=8)
     return out.select("vec_id", "other", F.round("distance", 6).alias("distance"), F.size("path").alias("steps"))
 
 
-@query()
+@query(f"WITH RECURSIVE {_RING}, {_dtw(_SHAPE)} SELECT vec_id, other, {r('distance', 'distance')} FROM dtw")
 def l2_shape_dtw(spark, d):
     """L2: distance of shape descriptors."""
     return L.pairwise_dtw(_dtw_pairs(spark, d), ["vec_id", "other"], shape=True).select("vec_id", "other", F.round("distance", 6).alias("distance"))
 
 
-@query()
+@query(f"WITH RECURSIVE {_RING}, {_dtw('abs(x[i + 1] - y[j])')} SELECT CAST(label AS BIGINT) AS label, {r('avg(distance)', 'dtw')}, count(*) AS n FROM dtw GROUP BY label")
 def l3_forecast_dtw(spark, d):
     """L3: mean warping error by class."""
     return rounded(L.mean_dtw(_dtw_pairs(spark, d), "vec_id", ["label"]))

@@ -101,6 +101,21 @@ def test_warping_equals_the_definition(slope, band, shape):
     assert L.warping_error(x[0], y[0]) == pytest.approx(slow_warp(x[0], y[0], "symmetric", None, lambda p, q: abs(p - q))[0])
     assert L.warping_error(x[0], y[0], w=2) == pytest.approx(slow_warp(x[0], y[0], "symmetric", 2, lambda p, q: abs(p - q))[0])
     assert L.warping_error(x[0], x[0], warp=2, s=1.5) == 0
+
+    def by_cells(x, y, warp, w, s):
+        r, c = len(x), len(y)
+        d = np.full((r + 1, c + 1), np.inf)
+        i, j = np.indices((r, c))
+        d[1:, 1:] = np.where(np.abs(i - j) <= w, np.abs(np.subtract.outer(x, y)), np.inf)
+        d[0, 0] = 0
+        for i in range(r):
+            for j in range(c):
+                d[i + 1, j + 1] += min(d[i, j], *(s * d[min(i + k, r), j] for k in range(1, warp + 1)), *(s * d[i, min(j + k, c)] for k in range(1, warp + 1)))
+        return d[r, c]
+
+    for warp, w, factor in ((1, np.inf, 1.3), (2, np.inf, 1.0), (3, 5, 1.1), (4, 2, 0.5)):
+        for a, b in ((x[0], y[0]), (x[0][:9], y[0]), (x[0], y[0][:1])):
+            assert L.warping_error(a, b, warp, w, factor) == pytest.approx(by_cells(a, b, warp, w, factor))
     assert L._together([np.zeros(0), np.zeros(2)], [np.zeros(0), np.zeros(0)], slope, band, shape)[1][0] == np.inf
 
 
