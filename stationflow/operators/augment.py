@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stationflow.operators.similarity import _together
+from stationflow.operators.similarity import _steps, _together
 
 
 _PRIME = 2147483647
@@ -207,17 +207,22 @@ def _with_partners(series: DataFrame, key: str, values: str, picks: DataFrame) -
 
 
 def _map_picks(df: DataFrame, key: str, f, more: str = "") -> DataFrame:
-    """f(key, x, [(side, y)]) for each row; a series without partners goes through f as well."""
+    """f(key, x, [(side, y)]) for each row; a series without partners goes through f as well.
+
+    A series is an array of numbers, or of one array of channels a step; one path then moves all its channels.
+    """
+    kind = dict(df.dtypes)["x"]
+    kind = "array<array<double>>" if kind.startswith("array<array") else "array<double>"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
             for k, x, picks in zip(b[key], b["x"], b["picks"], strict=True):
-                got = f(int(k), np.asarray(x, float), [(p["side"], np.asarray(p["y"], float)) for p in picks] if picks is not None else [])
+                got = f(int(k), _steps(x), [(p["side"], _steps(p["y"])) for p in picks] if picks is not None else [])
                 rows.append((k, *(v.tolist() if isinstance(v, np.ndarray) else v for v in (got if isinstance(got, tuple) else (got,)))))
             yield pd.DataFrame(rows, columns=[key, "v", *[m.split()[0] for m in more.split(",") if m]])
 
-    return df.mapInPandas(run, f"{key} long, v array<double>" + (f", {more}" if more else ""))
+    return df.mapInPandas(run, f"{key} long, v {kind}" + (f", {more}" if more else ""))
 
 
 def _band(x: np.ndarray) -> int:
@@ -230,6 +235,9 @@ def _path(x: np.ndarray, y: np.ndarray, band: int, shape: bool = False) -> np.nd
 
 
 def _stretched(v: np.ndarray, n: int) -> np.ndarray:
+    """``n`` steps on lines between those of ``v``, channel by channel."""
+    if v.ndim == 2:
+        return np.stack([_stretched(c, n) for c in v.T], 1)
     return np.interp(np.arange(n), np.linspace(0, n - 1, len(v)), v)
 
 
@@ -246,7 +254,7 @@ def spawner(series: DataFrame, key: str, label: str, values: str, sigma: float =
             y, s = picks[0][1], int(rng.integers(1, n - 1))
             path = np.concatenate([_path(x[:s], y[:s], _band(x)), _path(x[s:], y[s:], _band(x)) + s])
             out = _stretched((x[path[:, 0]] + y[path[:, 1]]) / 2, n)
-        return out + rng.normal(0, sigma, n)
+        return out + rng.normal(0, sigma, out.shape)
 
     return _map_picks(_with_partners(series, key, values, partners(series, key, label, seed)), key, f)
 
@@ -288,6 +296,7 @@ def discriminative_warp(series: DataFrame, key: str, label: str, values: str, sh
     if not slices:
         return warped
     warped = warped.repartition(key)  # one exchange that the largest warp and the result both read: paths are found once
+    channels = dict(warped.dtypes)["v"].startswith("array<array")
     most = warped.agg(F.max("warp").alias("most"))  # one row
     n = F.size("v")
     share = 0.9 + 0.1 * F.coalesce(F.try_divide("warp", F.col("most")), F.lit(0.0))
@@ -298,7 +307,9 @@ def discriminative_warp(series: DataFrame, key: str, label: str, values: str, sh
         x = i * F.col("m_") / (n - 1)
         low = F.least(F.floor(x), F.col("m_") - 1).cast("int")
         high = F.least(low + 1, F.col("m_") - 1)
-        return F.element_at("v", F.col("s_") + low + 1) + (F.least(x, F.col("m_") - 1.0) - low) * (F.element_at("v", F.col("s_") + high + 1) - F.element_at("v", F.col("s_") + low + 1))
+        part = F.least(x, F.col("m_") - 1.0) - low
+        a, b = F.element_at("v", F.col("s_") + low + 1), F.element_at("v", F.col("s_") + high + 1)
+        return F.zip_with(a, b, lambda u, v: u + part * (v - u)) if channels else a + part * (b - a)
 
     cut = warped.crossJoin(F.broadcast(most)).withColumn("m_", m).withColumn("s_", start)
     return cut.select(key, F.when(F.col("m_") >= n, F.col("v")).otherwise(F.transform(F.sequence(F.lit(0), n - 1), at)).alias("v"), "warp")
@@ -317,7 +328,7 @@ def weighted_dba(series: DataFrame, key: str, label: str, values: str, size: int
             dist[a, b] = dist[b, a] = d
         medoid = int(dist.sum(1).argmin())
         nearest = np.sort(dist[medoid])[1] if n > 1 else 0.0
-        total, weights = np.zeros(len(group[medoid])), np.zeros(len(group[medoid]))
+        total, weights = np.zeros(group[medoid].shape), np.zeros(len(group[medoid]))
         for k, y in enumerate(group):
             if k == medoid or nearest == 0:
                 total += group[medoid]
@@ -328,7 +339,7 @@ def weighted_dba(series: DataFrame, key: str, label: str, values: str, size: int
             last = np.append(path[1:, 0] != path[:-1, 0], True)
             total[path[last, 0]] += w * y[path[last, 1]]
             weights[path[last, 0]] += w
-        return total / weights
+        return total / (weights[:, None] if total.ndim == 2 else weights)
 
     return _map_picks(_with_partners(series, key, values, partners(series, key, label, seed, 0, size - 1)), key, f)
 

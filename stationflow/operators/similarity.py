@@ -91,12 +91,20 @@ def warping_error(x: np.ndarray, y: np.ndarray, warp: int = 1, w: float = np.inf
 
 
 def descriptors(x: np.ndarray) -> np.ndarray:
-    """A window around each step (5 % of the length, 5 to 100; the longer half before it), the edges repeated."""
+    """A window around each step (5 % of the length, 5 to 100; the longer half before it), the edges repeated; of several channels
+    one beside the other."""
+    if x.ndim == 2:
+        return np.concatenate([descriptors(c) for c in x.T], 1)
     w = int(np.clip(round(0.05 * len(x)), 5, 100))
     padded = np.pad(x, ((w + 1) // 2, w // 2), mode="edge")
     return np.stack([padded[k : k + len(x)] for k in range(w)], 1)
 
 
+def _steps(x) -> np.ndarray:
+    """A series as an array of steps, or of steps x channels."""
+    return np.array([np.asarray(v, float) for v in x]) if len(x) and np.ndim(x[0]) else np.asarray(x, float)
+
+
 def _together(x: list[np.ndarray], y: list[np.ndarray], slope: str, band: int | None, shape: bool, cost: str = "euclidean", cells: int = 1 << 21) -> list[tuple[float, np.ndarray]]:
     """Distance and path of each pair; pairs of the same lengths go together, ``cells`` cells at a time."""
     out: list = [None] * len(x)
@@ -119,12 +127,12 @@ def _together(x: list[np.ndarray], y: list[np.ndarray], slope: str, band: int |
 
 
 def pairwise_dtw(pairs: DataFrame, key: list[str], slope: str = "symmetric", band: int | None = None, shape: bool = False, tasks: int = 64, cost: str = "euclidean") -> DataFrame:
-    """(key, distance, path) for rows with arrays x and y; pairs are dealt evenly over ``tasks``."""
+    """(key, distance, path) for rows with arrays x and y, of numbers or of channels; pairs are dealt evenly over ``tasks``."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for part in (b.iloc[k : k + 512] for k in range(0, len(b), 512)):
-                got = _together([np.asarray(v, float) for v in part["x"]], [np.asarray(v, float) for v in part["y"]], slope, band, shape, cost)
+                got = _together([_steps(v) for v in part["x"]], [_steps(v) for v in part["y"]], slope, band, shape, cost)
                 out = part[key].copy()
                 out["distance"] = [d for d, _ in got]
                 out["path"] = [[{"i": i, "j": j} for i, j in p.tolist()] for _, p in got]

@@ -267,3 +267,16 @@ def test_crowded_cells_are_salted(spark):
     assert E.crowding_salt(p, 50.0, rows=100) == 3 and E.crowding_salt(p.limit(0), 50.0) == 1
     one, two = (sorted((r.target, r.point, r["rank"]) for r in E.radius_knn_join(p.limit(20), p, 50.0, 4, salt).collect()) for salt in (1, 3))
     assert one == two
+
+
+def test_channels_move_along_one_path(spark, series):
+    arrays = K.as_arrays(series, ["vec_id", "label"], "pos", "x")
+    twice = arrays.select("vec_id", "label", F.transform("v", lambda x: F.array(x, x)).alias("v"))
+    other = arrays.select("vec_id", "label", F.transform("v", lambda x, i: F.array(x, F.sin(i.cast("double")))).alias("v"))
+    for warp in (lambda a: K.guided_warp(a, "vec_id", "label", "v"), lambda a: K.guided_warp(a, "vec_id", "label", "v", shape=True), lambda a: K.discriminative_warp(a, "vec_id", "label", "v"), lambda a: K.weighted_dba(a, "vec_id", "label", "v"), lambda a: K.spawner(a, "vec_id", "label", "v", sigma=0.0)):
+        one = {r.vec_id: np.array(r.v) for r in warp(arrays).collect()}
+        two = {r.vec_id: np.array(r.v) for r in warp(twice).collect()}
+        assert one.keys() == two.keys() and all(np.allclose(two[k], np.stack([one[k], one[k]], 1)) for k in one)  # equal channels have the path of one
+        assert all(np.shape(r.v) == (32, 2) for r in warp(other).collect())
+    x = spark.createDataFrame([(1, [[0.0, 0.0], [3.0, 4.0]], [[0.0, 0.0], [0.0, 0.0]])], "k long, x array<array<double>>, y array<array<double>>")
+    assert L.pairwise_dtw(x, ["k"]).first().distance == 5.0
