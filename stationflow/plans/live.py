@@ -2,27 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stationflow.operators.timegrid import to_utc
-from stationflow.plans.registry import TRIMMED, query, r, rounded
+from stationflow.plans.registry import TRIMMED, query, r, rounded, scratch
 from stationflow.streaming import live
 
 
-def _scratch(spark: SparkSession) -> str:
-    """A new folder below the one that the session's executors share; a temporary one where a single machine runs all."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        where = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    return f"{where.rstrip('/')}/live-{uuid.uuid4().hex}"
-
-
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``events`` as a stream of reports."""
     table = f"{sf_dir}/events.parquet"
@@ -36,7 +23,7 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _drained(stream: DataFrame, mode: str = "append") -> DataFrame:
     """The rows that a stream has given once its source is read to the end."""
-    spark, at = stream.sparkSession, _scratch(stream.sparkSession)
+    spark, at = stream.sparkSession, scratch(stream.sparkSession)
 
     def put(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{at}/rows/batch={number}")
@@ -53,7 +40,7 @@ _FEED = """feed AS (SELECT event_id, user_id AS station, event_type AS var, epoc
 @query(f"WITH {_FEED} SELECT event_id, station, hour, {r('value', 'value')} FROM feed")
 def s1_ingest(spark, d):
     """Files of a folder to a table, each once, also when the stream starts again."""
-    at = _scratch(spark)
+    at = scratch(spark)
     schema = spark.read.parquet(f"{d}/events.parquet").schema.simpleString()[len("struct<") : -1].replace(":", " ")
     folder = f"{at}/in"
     spark.read.parquet(f"{d}/events.parquet").withColumn("part_", F.col("event_id") % 3).write.partitionBy("part_").parquet(folder)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -40,6 +42,16 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder below the one that the session's executors share; a temporary one where a single machine runs all."""
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        where = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return f"{where.rstrip('/')}/plans-{uuid.uuid4().hex}"
+
+
 # Views: the same rows from Spark and as SQL.
 
 REPORTS = """reports AS (SELECT event_id, user_id AS station, event_type AS var, CAST(floor(epoch(ts) / 86400) AS BIGINT) AS day,
