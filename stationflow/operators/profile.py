@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from stationflow.functions.expr import EPS_WET, G0, K1, K2, K2_PRESSURE, K3, K3_PRESSURE, R_DRY, station_pressure, top_dry_column, unzscore, vapor_pressure, zhd_saastamoinen
 from stationflow.operators.spatial import nearest_index
 
+# Saturation over water (hPa, 1, degrees Celsius) and the inverse compressibility of water vapour.
+BOLTON = (6.112, 17.67, 243.5)
+COMPRESSIBILITY = (1650.0, 0.01317, 1.75e-4, 1.44e-6)
+
 
 def _trapezoid(rows: DataFrame, by: list[str], order: Column, x: Column, y: Column, clip: bool = False, lower: bool = False) -> DataFrame:
     """Integral of y over x along the order; negative steps count as 0 if ``clip``; ``lower``: the value below times the thickness."""
@@ -84,7 +88,7 @@ def delay_layers(profile: DataFrame, by: list[str], ground: str | None = None, c
     ``compressibility``: the inverse compressibility of water vapour on the wet part.
     """
     tc = F.col("t") - 273.15
-    rows = profile.withColumn("e", F.col("r") / 100.0 * 6.112 * F.exp(17.67 * tc / (tc + 243.5)))
+    rows = profile.withColumn("e", F.col("r") / 100.0 * BOLTON[0] * F.exp(BOLTON[1] * tc / (tc + BOLTON[2])))
     w = Window.partitionBy(*by).orderBy("z")
     if ground:
         whole = Window.partitionBy(*by)
@@ -96,7 +100,8 @@ def delay_layers(profile: DataFrame, by: list[str], ground: str | None = None, c
         keep = F.when(~F.coalesce(cut, F.lit(False)) | (F.col("z") > g), F.struct("p", "t", "e", "z"))
         rows = rows.withColumn("n_", F.array_compact(F.array(first, keep))).select(*by, F.explode("n_").alias("n_")).select(*by, "n_.*")
     tc, e, t = F.col("t") - 273.15, F.col("e"), F.col("t")
-    inverse = 1.0 + 1650.0 * (e / (t * t * t)) * (1.0 - 0.01317 * tc + 1.75e-4 * tc * tc + 1.44e-6 * tc * tc * tc) if compressibility else F.lit(1.0)
+    a, b, c, d = COMPRESSIBILITY
+    inverse = 1.0 + a * (e / (t * t * t)) * (1.0 - b * tc + c * tc * tc + d * tc * tc * tc) if compressibility else F.lit(1.0)
     dry, wet = K1 * (F.col("p") - e) / t, ((K2 - EPS_WET * K1) * e / t + K3 * e / (t * t)) * inverse
     dz = F.lead("z").over(w) - F.col("z")
     layer = lambda x: (0.5 * (x + F.lead(x).over(w)) if trapezoid else x) * dz
