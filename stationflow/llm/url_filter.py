@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stationflow.llm.common import LOWER, UPPER, drop_stage, join_small, write_stage
+from stationflow.llm.common import LOWER, UPPER, drop_stage, join_small, unused, write_stage
 
 # Suffixes of two labels under which names are registered.
 DOUBLE_SUFFIXES = ("ac.uk", "co.in", "co.jp", "co.kr", "co.nz", "co.uk", "co.za", "com.ar", "com.au", "com.br", "com.cn", "com.mx", "com.tr", "com.tw", "gov.uk", "ne.jp", "net.au", "or.jp", "org.au", "org.uk")
@@ -100,6 +100,7 @@ def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = (), li
     added = ("host", "path", "rule", "verdict", "n_labelled", "bad_bound")
     mine = pages.select(*[c for c in pages.columns if c.lower() not in added], host.alias("host"), path.alias("path"))
     name, verdict = rule_for(F.col("host"), F.col("path"), rules)
-    known = host_reputation(mine.select("host", "bad"), z).select(F.col("host").alias("h_"), F.col("n").alias("n_labelled"), F.round("bound", 9).alias("bad_bound"))
-    out = join_small(mine, known, F.col("host") == F.col("h_"), "left").drop("h_").withColumn("rule", name).withColumn("verdict", verdict)
+    own = unused(mine, "h_")
+    known = host_reputation(mine.select("host", "bad"), z).select(F.col("host").alias(own), F.col("n").alias("n_labelled"), F.round("bound", 9).alias("bad_bound"))
+    out = join_small(mine, known, F.col("host") == F.col(own), "left").drop(own).withColumn("rule", name).withColumn("verdict", verdict)
     return out.withColumn("verdict", F.coalesce("verdict", F.when(F.col("bad_bound") > limit, "block").otherwise("allow")))

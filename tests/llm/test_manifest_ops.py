@@ -170,5 +170,9 @@ def test_reputation_is_shrunk(spark):
 def test_reputation_odd_rows(spark):
     df = spark.createDataFrame([(None, True), ("", None), ("nohost", False), ("http://a.b/" + "x" * 300000, None)], "url string, bad boolean")
     assert {(r.host, r.verdict) for r in filter_urls(df).collect()} == {("", "allow"), ("a.b", "allow")}
+    clash = df
+    for name in ("h_", "k", "n", "m_", "domain", "suffix", "prior", "Host", "rule"):
+        clash = clash.withColumn(name, F.lit("x"))
+    assert {(r.host, r.verdict, r.h_) for r in filter_urls(clash).collect()} == {("", "allow", "x"), ("a.b", "allow", "x")}
     assert filter_urls(df.limit(0)).count() == 0
     assert {r.verdict for r in filter_urls(df.withColumn("bad", F.lit(None).cast("boolean"))).collect()} == {"allow"}
