@@ -7,10 +7,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stationflow.llm.common import write_stage
+from stationflow.llm.common import drop_stage, write_stage
 
 
 def _locate(values: DataFrame, k: int, bins: int = 4096) -> tuple[int, int] | None:
@@ -45,31 +46,52 @@ def kth_largest(rows: DataFrame, k: int) -> tuple[int, int] | None:
     return key, -value
 
 
-def _integers(batches: Iterator[pa.RecordBatch], block: int) -> Iterator[pa.RecordBatch]:
-    """Blocks of at most ``block`` vectors of one length: ids and floor(256 x) as bytes."""
-    held: dict[int, list] = {}
+#: Bytes of a block of candidates, and of the queries that are broadcast at once.
+BLOCK_BYTES, BROADCAST_BYTES = 16 << 20, 32 << 20
+
 
-    def out(dim: int) -> pa.RecordBatch:
-        rows = held.pop(dim)
-        ids, vectors = np.array([i for i, _ in rows], "<i8"), np.array([v for _, v in rows], "<f8")
-        return pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([ids.tobytes()]), pa.array([vectors.tobytes()])], ["dim", "ids", "vectors"])
+def _floors(vectors: pa.ListArray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each length of vector: it, the places of those vectors, and floor(256 x) with one row a vector."""
+    length = pc.list_value_length(vectors).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = np.floor(256.0 * vectors.flatten().to_numpy(zero_copy_only=False))
+    start = np.cumsum(length) - length
+    for dim in np.unique(length).tolist():
+        at = np.flatnonzero(length == dim)
+        yield dim, at, flat[start[at][:, None] + np.arange(dim)]
+
+
+def _integers(batches: Iterator[pa.RecordBatch], block: int) -> Iterator[pa.RecordBatch]:
+    """Blocks of at most ``block`` vectors of one length: ids and floor(256 x) as bytes; fewer where vectors are long."""
+    held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+    size = 0
+
+    def out(dim: int) -> Iterator[pa.RecordBatch]:
+        parts = held.pop(dim)
+        ids, vectors = np.concatenate([i for i, _ in parts]), np.concatenate([v for _, v in parts])
+        step = max(1, min(block, BLOCK_BYTES // (8 * max(dim, 1))))
+        for k in range(0, len(ids), step):
+            part = [pa.array([x[k : k + step].tobytes()], pa.binary()) for x in (ids.astype("<i8"), vectors.astype("<f8"))]
+            yield pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), *part], ["dim", "ids", "vectors"])
 
     for b in batches:
-        for i, v in zip(b["id"].to_pylist(), b["vector"].to_pylist(), strict=True):
-            x = np.floor(256.0 * np.array(v, np.float64))
-            rows = held.setdefault(len(x), [])
-            rows.append((i, x))
-            if len(rows) == block:
-                yield out(len(x))
+        ids = b["id"].to_numpy(zero_copy_only=False)
+        for dim, at, vectors in _floors(b["vector"]):
+            held.setdefault(dim, []).append((ids[at], vectors))
+            size += vectors.nbytes + 8 * len(at)
+        if size >= BLOCK_BYTES:
+            for dim in list(held):
+                yield from out(dim)
+            size = 0
     for dim in list(held):
-        yield out(dim)
+        yield from out(dim)
 
 
 def _queries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row a query: its id, and floor(256 x) as bytes."""
     for b in batches:
-        vectors = [np.floor(256.0 * np.array(v, np.float64)).astype("<f8") for v in b["vector"].to_pylist()]
-        yield pa.RecordBatch.from_arrays([b["id"], pa.array([len(v) for v in vectors], pa.int32()), pa.array([v.tobytes() for v in vectors], pa.binary())], ["query_id", "dim", "vector"])
+        for dim, at, vectors in _floors(b["vector"]):
+            whole = [pa.array(np.full(len(at), dim, np.int32)), pa.array([v.tobytes() for v in vectors.astype("<f8")], pa.binary())]
+            yield pa.RecordBatch.from_arrays([b["id"].take(pa.array(at)), *whole], ["query_id", "dim", "vector"])
 
 
 _BLOCK = "dim int, ids binary, vectors binary"
@@ -82,15 +104,19 @@ def _scores(q: np.ndarray, c: np.ndarray) -> np.ndarray:
     return (q @ c.T).astype(np.int64)
 
 
+def _vectors(b: pa.RecordBatch, i: int) -> np.ndarray:
+    dim = b["dim"][i].as_py()
+    flat = np.frombuffer(b["vectors"][i].as_buffer(), "<f8")
+    return flat.reshape(-1, dim) if dim else np.zeros((b["ids"][i].as_buffer().size // 8, 0))
+
+
 def _parts(b: pa.RecordBatch) -> Iterator[tuple]:
-    for r in b.to_pylist():
-        dim = r["dim"]
-        ids = np.frombuffer(r["ids"], "<i8")
-        c = np.frombuffer(r["vectors"], "<f8").reshape(len(ids), dim)
-        qid = np.array([x["query_id"] for x in r["queries"]], np.int64)
-        q = np.frombuffer(b"".join(x["vector"] for x in r["queries"]), "<f8").reshape(len(qid), dim)
-        low = np.array([x["low"] for x in r["queries"]], np.int64)
-        width = np.array([x["width"] for x in r["queries"]], np.int64)
+    for i in range(b.num_rows):
+        ids = np.frombuffer(b["ids"][i].as_buffer(), "<i8")
+        c = _vectors(b, i)
+        asked = b["queries"][i].values
+        qid, low, width = (asked.field(x).to_numpy(zero_copy_only=False) for x in ("query_id", "low", "width"))
+        q = np.frombuffer(b"".join(asked.field("vector").to_pylist()), "<f8").reshape(len(qid), c.shape[1])
         s = _scores(q, c)
         yield qid, low, width, ids, s, qid[:, None] != ids[None, :]
 
@@ -107,8 +133,8 @@ def exact_topk(vectors: DataFrame, is_query, k: int = 5, bins: int = 1024, block
     current score range; a block reports only the bins down to its own k-th value. The bin
     with the k-th value becomes the next range, until it is one score wide. The last pass
     keeps what lies above that score, and of the ties the k smallest ids of a block.
-    Queries go ``at_once`` blocks of about ``query_block`` at a time, so what is
-    broadcast is bounded by those parameters.
+    Queries go ``at_once`` blocks of about ``query_block`` at a time, fewer where their vectors are long, so what is
+    broadcast is bounded by those parameters and by ``BROADCAST_BYTES``.
 
     Null ids, null vectors and vectors with null or non-finite components take no part.
     Vectors are compared only with those of the same length. Repeated rows are separate
@@ -121,17 +147,15 @@ def exact_topk(vectors: DataFrame, is_query, k: int = 5, bins: int = 1024, block
     cands = write_stage(usable.select("id", "vector").mapInArrow(lambda it: _integers(it, block), _BLOCK), "topk-candidates")
     asked = usable.filter("asks").groupBy("id").agg(F.min("vector").alias("vector"))
     asked = write_stage(asked.select("id", "vector").mapInArrow(_queries, "query_id long, dim int, vector binary"), "topk-queries")
-    n = asked.count()
-    groups = max(1, math.ceil(n / (query_block * at_once)))
+    n, size = asked.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("vector") + 40), F.lit(0))).first()
+    groups = max(1, math.ceil(n / (query_block * at_once)), math.ceil(size / BROADCAST_BYTES))
     part = F.pmod(F.xxhash64("query_id"), F.lit(groups * at_once)).cast("int")
     asked = asked.withColumn("part", part)
 
     # The widest possible range of scores, from the largest length of any vector.
     def norms(batches):
         for b in batches:
-            for r in b.to_pylist():
-                x = np.frombuffer(r["vectors"], "<f8").reshape(-1, r["dim"]) if r["dim"] else np.zeros((1, 1))
-                yield pa.RecordBatch.from_arrays([pa.array([float(np.sqrt((x * x).sum(1)).max())])], ["norm"])
+            yield pa.RecordBatch.from_arrays([pa.array([float(np.sqrt((_vectors(b, i) ** 2).sum(1).max(initial=0.0))) for i in range(b.num_rows)], pa.float64())], ["norm"])
 
     top = cands.mapInArrow(norms, "norm double").agg(F.max("norm")).first()[0] or 0.0
     reach = int(min(top * top, 2.0**61)) + 1
@@ -154,19 +178,15 @@ def exact_topk(vectors: DataFrame, is_query, k: int = 5, bins: int = 1024, block
         for b in batches:
             for qid, low, width, _, s, other in _parts(b):
                 at = np.clip((s - low[:, None]) // width[:, None], -1, bins)  # bins: above the range
-                at = np.where(other, at, -1)
-                rows: list[np.ndarray] = []
-                for i in range(len(qid)):
-                    x = np.bincount(at[i] + 1, minlength=bins + 2)[1:]
-                    down = np.cumsum(x[::-1])[::-1]
-                    keep = np.flatnonzero((x > 0) & (down - x < k))
-                    rows.append(np.stack([np.full(len(keep), qid[i]), keep, x[keep]], 1))
-                r = np.concatenate(rows)
-                yield pa.RecordBatch.from_arrays([pa.array(r[:, 0]), pa.array(r[:, 1]), pa.array(r[:, 2])], ["query_id", "bin", "n"])
+                at = np.where(other, at, -1) + 1 + (bins + 2) * np.arange(len(qid))[:, None]
+                x = np.bincount(at.ravel(), minlength=(bins + 2) * len(qid)).reshape(-1, bins + 2)[:, 1:]
+                down = np.cumsum(x[:, ::-1], 1)[:, ::-1]
+                q, bin_ = np.nonzero((x > 0) & (down - x < k))
+                yield pa.RecordBatch.from_arrays([pa.array(qid[q]), pa.array(bin_), pa.array(x[q, bin_])], ["query_id", "bin", "n"])
 
     width = (2 * reach) // bins + 1
     state = asked.withColumn("low", F.lit(-reach).cast("long")).withColumn("width", F.lit(width).cast("long"))
-    down = Window.partitionBy("query_id").orderBy(F.desc("bin"))
+    down, before = Window.partitionBy("query_id").orderBy(F.desc("bin")), asked
     while True:
         counts = union([p.mapInArrow(histogram, "query_id long, bin long, n long") for p in pairs(state)]).groupBy("query_id", "bin").agg(F.sum("n").alias("n"))
         run = counts.withColumn("run", F.sum("n").over(down))
@@ -179,6 +199,8 @@ def exact_topk(vectors: DataFrame, is_query, k: int = 5, bins: int = 1024, block
         narrow = F.greatest(F.floor((F.col("width") - 1) / bins) + 1, F.lit(1)).cast("long")
         state = state.select("query_id", "dim", "vector", "part", F.when(few, F.col("low")).otherwise(bottom).cast("long").alias("low"), F.lit(narrow if width > 1 else F.lit(1)).cast("long").alias("width"))
         state = write_stage(state, "topk-state")
+        drop_stage(before)
+        before = state
         if width == 1:
             break
         width = (width - 1) // bins + 1
@@ -186,12 +208,12 @@ def exact_topk(vectors: DataFrame, is_query, k: int = 5, bins: int = 1024, block
     def final(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for qid, low, _, ids, s, other in _parts(b):
-                for i in range(len(qid)):
-                    at = np.flatnonzero((s[i] >= low[i]) & other[i])
-                    if not len(at):
-                        continue
-                    at = at[np.lexsort((ids[at], -s[i][at]))][:k]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), qid[i])), pa.array(ids[at]), pa.array(s[i][at])], ["query_id", "id", "score"])
+                q, c = np.nonzero((s >= low[:, None]) & other)
+                order = np.lexsort((ids[c], -s[q, c], q))
+                q, c = q[order], c[order]
+                first = np.arange(len(q)) - np.searchsorted(q, q) < k  # the k best of each query
+                q, c = q[first], c[first]
+                yield pa.RecordBatch.from_arrays([pa.array(qid[q]), pa.array(ids[c]), pa.array(s[q, c])], ["query_id", "id", "score"])
 
     best = union([p.mapInArrow(final, "query_id long, id long, score long") for p in pairs(state)])
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))

@@ -10,11 +10,13 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
 from stationflow.llm import queries as Q
+from stationflow.llm import topk
 from stationflow.llm.components import connected_components
 from stationflow.llm.decontaminate import contamination
 from stationflow.llm.language import codewords, identify_language
@@ -55,7 +57,7 @@ def test_topk(spark):
 
 @pytest.mark.parametrize("k,bins,block", [(1, 4, 2), (5, 16, 3), (50, 1024, 1024)])
 def test_topk_odd_rows(spark, k, bins, block):
-    rows = [(0, [1.0, 0.0]), (50, None), (100, [0.5, None]), (150, [float("nan"), 1.0]), (200, [0.0, -2.0]), (None, [9.0, 9.0]), (250, [1.0]), (300, [3e9, 3e9])]
+    rows = [(0, [1.0, 0.0]), (50, None), (100, [0.5, None]), (150, [float("nan"), 1.0]), (200, [0.0, -2.0]), (None, [9.0, 9.0]), (250, [1.0]), (300, [3e9, 3e9]), (350, []), (351, []), (400, [0.5] * 900), (401, [0.25] * 900)]
     rows += [(i, [0.25 * (i % 3), 0.5]) for i in range(1, 30)] + [(7, [0.25, 0.5]), (0, [2.0, 0.0])]
     df = spark.createDataFrame([(i, v, "s") for i, v in rows], "id long, vector array<double>, score string")
     got = sorted(tuple(r) for r in exact_topk(df, F.col("id") % 50 == 0, k, bins=bins, block=block, query_block=2, at_once=2).collect())
@@ -63,6 +65,20 @@ def test_topk_odd_rows(spark, k, bins, block):
     assert exact_topk(df.limit(0), F.col("id") % 50 == 0, k).count() == 0
 
 
+def test_topk_blocks(monkeypatch):
+    """Blocks are bounded in vectors and in bytes, and hold every vector once, whatever the lengths."""
+    monkeypatch.setattr(topk, "BLOCK_BYTES", 4000)
+    rows = [(i, [float(i)] * (1, 0, 700, 3)[i % 4]) for i in range(200)]
+    kind = pa.schema([("id", pa.int64()), ("vector", pa.list_(pa.float64()))])
+    batches = [pa.RecordBatch.from_pylist([{"id": i, "vector": v} for i, v in rows[k : k + 30]], kind) for k in range(0, 200, 30)]
+    found = []
+    for b in topk._integers(iter(batches), 5):
+        ids, v = np.frombuffer(b["ids"][0].as_py(), "<i8"), topk._vectors(b, 0)
+        assert len(ids) == len(v) <= 5 and (v.nbytes <= 4000 or len(v) == 1)
+        found += zip(ids.tolist(), v.tolist(), strict=True)
+    assert sorted(found) == [(i, [256 * x for x in v]) for i, v in rows]
+
+
 def test_kth_largest(spark):
     keys = [(int(k), i) for i, k in enumerate(np.random.default_rng(0).integers(-5, 5, 200))]
     df = spark.createDataFrame(keys, "key long, id long")
