@@ -101,14 +101,26 @@ def fits(df: DataFrame, mb: int) -> bool:
 
 #: MB up to which the right side of a join is broadcast.
 BROADCAST_MB = 16
+#: Parts over which a salted join deals the rows of a key.
+SALTS = 64
 #: Numbers of 64 bits that ``flag_possible`` broadcasts at most.
 WORDS = 1 << 20
 
 
-def join_small(left: DataFrame, right: DataFrame, on, how: str = "inner", mb: int | None = None) -> DataFrame:
+def join_small(left: DataFrame, right: DataFrame, on, how: str = "inner", mb: int | None = None, salt: str | None = None) -> DataFrame:
     """Join that broadcasts ``right`` only if it is proven to take at most ``mb`` MB,
-    and is otherwise an ordinary shuffled join."""
-    return left.join(F.broadcast(right) if fits(right, BROADCAST_MB if mb is None else mb) else right, on, how)
+    and is otherwise an ordinary shuffled join.
+
+    With ``salt``, a column of ``left``, the shuffled join deals the rows of each key (one column, ``on``) over ``SALTS`` parts and
+    copies ``right`` to all of them, so that a key with many rows of ``left`` isn't one task. ``how``: inner or left.
+    """
+    if fits(right, BROADCAST_MB if mb is None else mb):
+        return left.join(F.broadcast(right), on, how)
+    if salt is None:
+        return left.join(right, on, how)
+    name = unused(left, "salt_")
+    dealt = left.withColumn(name, F.pmod(F.xxhash64(salt), F.lit(SALTS)).cast("int"))
+    return dealt.join(right.withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), [on, name], how).drop(name)
 
 
 def flag_possible(left: DataFrame, key: Column, hashes: DataFrame, name: str) -> DataFrame:

@@ -197,7 +197,7 @@ def _across(rows: DataFrame, parts: DataFrame) -> DataFrame:
     sizes = many.groupBy("group", "part").agg(F.count("*").alias("rows"))
     groups = sizes.groupBy("group").agg(F.max(F.struct("rows", "part"))["part"].alias("main"), F.sum("rows").alias("all"), F.max("rows").alias("most")).filter(F.col("all") > F.col("most"))
     share = F.ceil(F.col("blocks") * (F.col("all") - F.col("most")) / F.col("all")).cast("int")
-    many = join_small(many, groups, "group").withColumn("share", F.greatest(share, F.lit(1)))
+    many = join_small(many, groups, "group", salt="doc").withColumn("share", F.greatest(share, F.lit(1)))
     block = F.pmod(F.xxhash64("doc", "group"), "blocks").cast("int")
     rest = many.filter("part <> main").withColumn("i", F.pmod(F.xxhash64("group", "doc"), "share").cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1))).withColumn("side", F.lit(0))
     every = many.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("share") - 1))).withColumn("j", block).withColumn("side", F.lit(1))
@@ -322,7 +322,8 @@ def _linked(families: DataFrame, reps: DataFrame, texts: DataFrame, width: int,
     found = join_few(texts.withColumn("text_hash", F.xxhash64("text")), keys, mine, F.xxhash64("doc_id", "text_hash"), F.xxhash64("d_", "h_"), "left_semi")
     used = write_stage(found.select(F.col("doc_id").alias("doc"), "text_hash", "text").dropDuplicates(["doc", "text_hash"]).join(named, ["doc", "text_hash"]), "neardup-texts")
     sizes = used.groupBy("group").agg(F.greatest(F.ceil(F.count("*") / F.lit(block)), F.ceil(F.sum(F.octet_length("text").cast("long")) / F.lit(block_mb << 20))).cast("int").alias("blocks"))
-    rows = join_small(used, sizes, "group").select("group", "doc", "blocks", "n", "regs", "text")
+    large = write_stage(sizes.filter("blocks > 1"), "neardup-large")  # few: each has more rows or bytes than a block
+    rows = join_small(used, large, "group", "left", salt="doc").select("group", "doc", F.coalesce("blocks", F.lit(1)).alias("blocks"), "n", "regs", "text")
 
     def exact(t: pa.Table) -> Callable[[int, int], bool]:
         sets, n = shingle_sets(t["text"].combine_chunks(), width)
@@ -337,8 +338,8 @@ def _linked(families: DataFrame, reps: DataFrame, texts: DataFrame, width: int,
         return linked
 
     out = _joined(rows, _linker(least, base, exact))
-    drop_stage(used)
-    drop_stage(keys)
+    for x in (used, keys, large):
+        drop_stage(x)
     return out
 
 

@@ -593,6 +593,33 @@ def test_join_few(spark, no_broadcast, how, n):
     assert rows_of(join_few(left, right, on, F.xxhash64("a"), F.xxhash64("k"), how)) == rows_of(left.join(right, on, how))
 
 
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_join_small_salted(spark, no_broadcast, how):
+    """A key with most of the rows comes from many parts, each row once."""
+    from stationflow.llm.common import SALTS, join_small
+
+    left = spark.range(6_000).selectExpr("if(id % 9 = 0, id, 1) as a", "id as b", "'x' as salt_")
+    right = spark.range(1, 900).selectExpr("id as a", "id * 2 as v")
+    got = join_small(left, right, "a", how, salt="b")
+    assert rows_of(got.select("a", "b", "salt_", "v")) == rows_of(left.join(right, "a", how).select("a", "b", "salt_", "v"))
+    assert f"sequence(0, {SALTS - 1}" in got._jdf.queryExecution().toString()
+
+
+def test_large_families_beyond_broadcasts(spark, no_broadcast):
+    """Families of many blocks, exact and near copies in them."""
+    words = [f"w{k}" for k in range(80)]
+    rows = [(i, " ".join([*words[:40], f"x{i}", *words[41:]])) for i in range(40)] + [(100 + i, " ".join(f"y{i}-{k}" for k in range(30))) for i in range(6)] + [(200 + i, " ".join(words)) for i in range(9)]
+    found = near_duplicates(frame(spark, rows).select("doc_id", "text"), block=4)
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t in rows}
+    lead = {i: i for i in sets}
+    for _ in sets:
+        for a in sets:
+            for b in sets:
+                if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+                    lead[b] = min(lead[a], lead[b])
+    assert {(r.doc_id, r.component_id) for r in found.collect()} == set(lead.items()) and len(set(lead.values())) == 7
+
+
 def test_same_rows_beyond_broadcasts(spark, no_broadcast):
     con = duckdb.connect()
     for t in ("documents", "benchmark"):
