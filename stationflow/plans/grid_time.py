@@ -73,10 +73,16 @@ def b1_b2_align(spark, d):
     return rounded(B.align_to_axis(series_day(spark, d), ["station"], "day"))
 
 
-@query("SELECT CAST(epoch(t) AS BIGINT) AS sec FROM (SELECT unnest(range(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-03', INTERVAL 6 HOUR)) AS t)")
+@query(f"""WITH {REPORTS}, axis AS (SELECT CAST(epoch(t) AS BIGINT) AS sec FROM (SELECT unnest(range(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-31', INTERVAL 6 HOUR)) AS t)),
+ counts AS (SELECT CAST(floor(sec / 21600.0) AS BIGINT) * 21600 AS sec, count(*) AS n_reports, count(DISTINCT station) AS n_stations FROM reports GROUP BY ALL)
+ SELECT axis.sec, coalesce(n_reports, 0) AS n_reports, coalesce(n_stations, 0) AS n_stations FROM axis LEFT JOIN counts USING (sec)""")
 def b1_time_axis(spark, d):
-    """B1: a half-open axis."""
-    return B.time_axis(spark, "2024-01-01", "2024-01-03", "6 hours", closed=False).select(F.unix_seconds("ts").alias("sec"))
+    """B1: a half-open axis, with the reports and stations of each step; steps without any stay."""
+    axis = B.time_axis(spark, "2024-01-01", "2024-01-31", "6 hours", closed=False).select(F.unix_seconds("ts").alias("sec"))
+    step = (F.floor(F.col("sec") / 21600) * 21600).alias("sec")
+    counts = reports(spark, d).select(step, "station").groupBy("sec").agg(F.count("*").alias("n_reports"), F.countDistinct("station").alias("n_stations"))
+    zero = F.lit(0).cast("long")
+    return axis.join(counts, "sec", "left").select("sec", F.coalesce("n_reports", zero).alias("n_reports"), F.coalesce("n_stations", zero).alias("n_stations"))
 
 
 @query(f"WITH {REPORTS} SELECT event_id, sec % 300 = 0 AS exact, CAST(floor((sec - 1704067200) / 300) AS BIGINT) AS step, CAST(hour AS BIGINT) AS hour FROM reports WHERE sec % 4 = 0")
