@@ -24,7 +24,7 @@ def field(spark, d):
     part = read(spark, d, "part")
     n = part.agg(F.count("*").alias("n"))
     g = grid(spark).crossJoin(F.broadcast(n)).withColumn("p_partkey", F.col("id") % F.col("n"))
-    return g.join(part, "p_partkey").select("i", "j", F.col("p_retailprice").alias("value"))
+    return part.join(F.broadcast(g), "p_partkey").select("i", "j", F.col("p_retailprice").alias("value"))  # a grid of fixed size
 
 
 @query(f"WITH {POINTS}, r AS (SELECT c_custkey, c_custkey % 100 AS k FROM customer) SELECT c_custkey, p.id AS station_id FROM r JOIN points q ON q.id = r.k JOIN points p ON p.lat = q.lat AND p.lon = q.lon AND p.h = q.h")
