@@ -25,7 +25,8 @@ def nan_to_null(x) -> Column:
 
 
 def wrap_lon_180(x) -> Column:
-    return F.pmod(c(x) + 180.0, F.lit(360.0)) - 180.0
+    """In [-180, 180); a longitude that lies there keeps its very bits."""
+    return F.when((c(x) >= -180.0) & (c(x) < 180.0), c(x)).otherwise(F.pmod(c(x) + 180.0, F.lit(360.0)) - 180.0)
 
 
 def wrap_lon_360(x) -> Column:

@@ -3,6 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
+from stationflow.operators import quality as Q
 from stationflow.operators import spatial as E
 
 
@@ -14,3 +15,11 @@ def test_heights_are_averaged_by_cell_not_by_point(spark):
     mean = lambda i, j: np.mean([z[p, q] for p in range(i - 1, i + 2) for q in range(j - 1, j + 2) if (p, q) in z])
     assert {r.id: (r.nearest, round(r["mean"], 9)) for r in out.collect()} == {1: (0.0, round(mean(0, 0), 9)), 2: (None, round(mean(2, 2), 9)), 3: (z[3, 4], round(mean(3, 4), 9))}
     assert "Hint=(strategy=broadcast)" in out._jdf.queryExecution().optimizedPlan().toString()  # the cells, never the points
+
+
+def test_points_on_an_edge_keep_their_longitude(spark):
+    ring = [(5.1, 0.0), (6.0, 0.0), (6.0, 1.0), (5.1, 1.0)]
+    edges = spark.createDataFrame([("a", *p, *q) for p, q in zip(ring, ring[1:] + ring[:1], strict=True)], "ring string, x1 double, y1 double, x2 double, y2 double")
+    pts = spark.createDataFrame([(1, 0.5, 5.1), (2, 0.5, 6.0), (3, 0.5, 365.5), (4, 0.5, 180.0)], "id long, lat double, lon double")
+    assert (5.1 + 180) % 360 - 180 < 5.1  # wrapping it would put it out of the ring
+    assert sorted(r.id for r in Q.points_in_polygons(pts, edges).collect()) == [1, 3]
