@@ -5,7 +5,7 @@ Random numbers are hashes of series, position and seed, so results don't depend
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Generator, Iterator
 
 import numpy as np
 import pandas as pd
@@ -210,16 +210,15 @@ def _map_picks(df: DataFrame, key: str, f, more: str = "") -> DataFrame:
     """f(key, x, [(side, y)]) for each row; a series without partners goes through f as well.
 
     A series is an array of numbers, or of one array of channels a step; one path then moves all its channels.
+    f yields lists of (x, y, band, shape) and is sent the distance and path of each; those that the rows of a slice ask for are found together.
     """
     kind = dict(df.dtypes)["x"]
     kind = "array<array<double>>" if kind.startswith("array<array") else "array<double>"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for k, x, picks in zip(b[key], b["x"], b["picks"], strict=True):
-                got = f(int(k), _steps(x), [(p["side"], _steps(p["y"])) for p in picks] if picks is not None else [])
-                rows.append((k, *(v.tolist() if isinstance(v, np.ndarray) else v for v in (got if isinstance(got, tuple) else (got,)))))
+        for b in (batch.iloc[k : k + 256] for batch in batches for k in range(0, len(batch), 256)):
+            asked = [f(int(k), _steps(x), [(p["side"], _steps(p["y"])) for p in picks] if picks is not None else []) for k, x, picks in zip(b[key], b["x"], b["picks"], strict=True)]
+            rows = [(k, *(v.tolist() if isinstance(v, np.ndarray) else v for v in (got if isinstance(got, tuple) else (got,)))) for k, got in zip(b[key], _answered(asked), strict=True)]
             yield pd.DataFrame(rows, columns=[key, "v", *[m.split()[0] for m in more.split(",") if m]])
 
     return df.mapInPandas(run, f"{key} long, v {kind}" + (f", {more}" if more else ""))
@@ -230,8 +229,25 @@ def _band(x: np.ndarray) -> int:
     return int(np.ceil(len(x) / 10))
 
 
-def _path(x: np.ndarray, y: np.ndarray, band: int, shape: bool = False) -> np.ndarray:
-    return _together([x], [y], "symmetric", band, shape)[0][1]
+def _answered(runs: list[Generator]) -> list:
+    """What each run returns, all answered round by round: a round finds the paths that the runs ask for together."""
+    out, said = [None] * len(runs), dict.fromkeys(range(len(runs)))
+    while said:
+        asked = {}
+        for k, answer in said.items():
+            try:
+                asked[k] = runs[k].send(answer)
+            except StopIteration as end:
+                out[k] = end.value
+        said = {k: [None] * len(questions) for k, questions in asked.items()}
+        alike: dict[tuple[int, bool], list] = {}
+        for k, questions in asked.items():
+            for at, (x, y, band, shape) in enumerate(questions):
+                alike.setdefault((band, shape), []).append((k, at, x, y))
+        for (band, shape), each in alike.items():
+            for (k, at, _, _), got in zip(each, _together([e[2] for e in each], [e[3] for e in each], "symmetric", band, shape), strict=True):
+                said[k][at] = got
+    return out
 
 
 def _stretched(v: np.ndarray, n: int) -> np.ndarray:
@@ -252,7 +268,8 @@ def spawner(series: DataFrame, key: str, label: str, values: str, sigma: float =
         out = x
         if picks and n > 2:
             y, s = picks[0][1], int(rng.integers(1, n - 1))
-            path = np.concatenate([_path(x[:s], y[:s], _band(x)), _path(x[s:], y[s:], _band(x)) + s])
+            (_, head), (_, tail) = yield [(x[:s], y[:s], _band(x), False), (x[s:], y[s:], _band(x), False)]
+            path = np.concatenate([head, tail + s])
             out = _stretched((x[path[:, 0]] + y[path[:, 1]]) / 2, n)
         return out + rng.normal(0, sigma, out.shape)
 
@@ -264,7 +281,10 @@ def guided_warp(series: DataFrame, key: str, label: str, values: str, shape: boo
     tenth of the length. Alone in its class, a series stays as it is."""
 
     def f(_, x, picks):
-        return _stretched(x[_path(picks[0][1], x, _band(x), shape)[:, 1]], len(x)) if picks else x
+        if not picks:
+            return x
+        ((_, path),) = yield [(picks[0][1], x, _band(x), shape)]
+        return _stretched(x[path[:, 1]], len(x))
 
     return _map_picks(_with_partners(series, key, values, partners(series, key, label, seed)), key, f)
 
@@ -284,12 +304,14 @@ def discriminative_warp(series: DataFrame, key: str, label: str, values: str, sh
             return x, 0.0
         n, m, band = len(same), len(other), _band(x)
         pairs = [(a, b) for a in range(n) for b in range(a + 1, n)]
+        got = yield [(same[a], same[b], band, shape) for a, b in pairs] + [(a, b, band, shape) for a in same for b in other]
         near = np.zeros((n, n))
-        for (a, b), (d, _) in zip(pairs, _together([same[a] for a, _ in pairs], [same[b] for _, b in pairs], "symmetric", band, shape), strict=True):
+        for (a, b), (d, _) in zip(pairs, got[: len(pairs)], strict=True):
             near[a, b] = near[b, a] = d
-        far = np.array([d for d, _ in _together([a for a in same for _ in other], other * n, "symmetric", band, shape)]).reshape(n, m)
+        far = np.array([d for d, _ in got[len(pairs) :]]).reshape(n, m)
         teacher = same[int(np.argmax(far.mean(1) - near.sum(1) / max(n - 1, 1)))]
-        order = _path(teacher, x, band, shape)[:, 1]
+        ((_, path),) = yield [(teacher, x, band, shape)]
+        order = path[:, 1]
         return _stretched(x[order], len(x)), float(np.abs(np.arange(len(x)) - _stretched(order.astype(float), len(x))).sum())
 
     warped = _map_picks(_with_partners(series, key, values, picks), key, f, "warp double")
@@ -324,17 +346,19 @@ def weighted_dba(series: DataFrame, key: str, label: str, values: str, size: int
         n, band = len(group), _band(x)
         pairs = [(a, b) for a in range(n) for b in range(a + 1, n)]
         dist = np.zeros((n, n))
-        for (a, b), (d, _) in zip(pairs, _together([group[a] for a, _ in pairs], [group[b] for _, b in pairs], "symmetric", band, False), strict=True):
+        for (a, b), (d, _) in zip(pairs, (yield [(group[a], group[b], band, False) for a, b in pairs]), strict=True):
             dist[a, b] = dist[b, a] = d
         medoid = int(dist.sum(1).argmin())
         nearest = np.sort(dist[medoid])[1] if n > 1 else 0.0
         total, weights = np.zeros(group[medoid].shape), np.zeros(len(group[medoid]))
+        moved = [k for k in range(n) if k != medoid and nearest != 0]
+        paths = dict(zip(moved, [p for _, p in (yield [(group[medoid], group[k], band, False) for k in moved])], strict=True))
         for k, y in enumerate(group):
             if k == medoid or nearest == 0:
                 total += group[medoid]
                 weights += 1
                 continue
-            path, w = _path(group[medoid], y, band), float(np.exp(np.log(0.5) * dist[medoid, k] / nearest))
+            path, w = paths[k], float(np.exp(np.log(0.5) * dist[medoid, k] / nearest))
             # of several steps that meet one step of the medoid, the last counts
             last = np.append(path[1:, 0] != path[:-1, 0], True)
             total[path[last, 0]] += w * y[path[last, 1]]

@@ -16,46 +16,51 @@ def dtw_paths(x: np.ndarray, y: np.ndarray, slope: str = "symmetric", band: int
     symmetric: steps (1,1), (1,0), (0,1), the first of equal ones; asymmetric: (1,0), (1,1), (1,2). ``band``: largest distance from the
     diagonal. ``cost`` of two steps: euclidean or absolute. All pairs advance together, by anti-diagonals or by rows.
     """
-    a, b = (v[:, :, None] if v.ndim == 2 else v for v in (x, y))
-    pairs, n, m = len(a), a.shape[1], b.shape[1]
-    d = np.zeros((pairs, n, m))
-    for k in range(a.shape[2]):  # width by width: no array of pairs x steps x steps x width
-        gap = a[:, :, None, k] - b[:, None, :, k]
-        d += np.abs(gap) if cost == "absolute" else gap * gap
+    a, b = (np.moveaxis(v[:, :, None] if v.ndim == 2 else v, 0, -1) for v in (x, y))  # steps, width, pairs: pairs lie side by side
+    n, m, pairs = len(a), len(b), a.shape[2]
+    # Where a path within the band exists and no step is missing, cells outside of it are never looked at.
+    narrow = slope == "symmetric" and band is not None and abs(n - m) <= band and bool(np.isfinite(a).all() and np.isfinite(b).all())
+    reach = band if narrow else n + m
+    i, j = np.indices((n, m))
+    i, j = (v[np.abs(i - j) <= reach] for v in (i, j))
+    gaps = np.zeros((len(i), pairs))
+    for k in range(a.shape[1]):  # width by width: no array of pairs x steps x steps x width
+        gap = a[i, k] - b[j, k]
+        gaps += np.abs(gap) if cost == "absolute" else gap * gap
     if cost != "absolute":
-        np.sqrt(d, out=d)
+        np.sqrt(gaps, out=gaps)
+    d = np.full((n, m, pairs), np.inf)
+    d[i, j] = gaps
     if band is not None:
         i, j = np.indices((n, m))
-        d[:, np.abs(i - j) > band] = np.inf
-    total = np.full((pairs, n + 1, m + 3), np.inf)  # one row and two columns of margin before the first cell, one behind
-    total[:, 0, 1] = 0
-    back = np.zeros((pairs, n, m), np.int8)
+        d[np.abs(i - j) > band] = np.inf
+    total = np.full((n + 1, m + 3, pairs), np.inf)  # one row and two columns of margin before the first cell, one behind
+    total[0, 1] = 0
+    back = np.zeros((n, m, pairs), np.int8)
     if slope == "symmetric":
         moves = [(1, 1), (1, 0), (0, 1)]
         for s in range(n + m - 1):
-            i = np.arange(max(0, s - m + 1), min(n, s + 1))
+            i = np.arange(max(0, s - m + 1, (s - reach + 1) // 2), min(n, s + 1, (s + reach) // 2 + 1))
             j = s - i
-            before = np.stack([total[:, i, j + 1], total[:, i, j + 2], total[:, i + 1, j + 1]])
-            best = before.argmin(0)
-            back[:, i, j] = best
-            total[:, i + 1, j + 2] = d[:, i, j] + np.take_along_axis(before, best[None], 0)[0]
+            before = np.stack([total[i, j + 1], total[i, j + 2], total[i + 1, j + 1]])
+            back[i, j] = before.argmin(0)
+            total[i + 1, j + 2] = d[i, j] + before.min(0)
     else:
         moves = [(1, 0), (1, 1), (1, 2)]
         for i in range(n):
-            before = np.stack([total[:, i, 2 : m + 2], total[:, i, 1 : m + 1], total[:, i, :m]])
-            best = before.argmin(0)
-            back[:, i] = best
-            total[:, i + 1, 2 : m + 2] = d[:, i] + np.take_along_axis(before, best[None], 0)[0]
+            before = np.stack([total[i, 2 : m + 2], total[i, 1 : m + 1], total[i, :m]])
+            back[i] = before.argmin(0)
+            total[i + 1, 2 : m + 2] = d[i] + before.min(0)
     step = np.array(moves)
     at, who = np.tile([n - 1, m - 1], (pairs, 1)), np.arange(pairs)
     seen, live = [], np.ones(pairs, bool)
     while live.any():
         seen.append((at.copy(), live.copy()))
-        move = step[back[who, np.maximum(at[:, 0], 0), np.maximum(at[:, 1], 0)]]
+        move = step[back[np.maximum(at[:, 0], 0), np.maximum(at[:, 1], 0), who]]
         at = np.where(live[:, None], at - move, at)
         live = live & (at >= 0).all(1)
     places, there = np.stack([p for p, _ in seen[::-1]], 1), np.stack([t for _, t in seen[::-1]], 1)
-    return total[:, n, m + 1], [places[k, there[k]] for k in range(pairs)]
+    return total[n, m + 1], [places[k, there[k]] for k in range(pairs)]
 
 
 def dtw_path(x: np.ndarray, y: np.ndarray, slope: str = "symmetric", band: int | None = None) -> tuple[float, list[tuple[int, int]]]:
@@ -93,11 +98,9 @@ def warping_error(x: np.ndarray, y: np.ndarray, warp: int = 1, w: float = np.inf
 def descriptors(x: np.ndarray) -> np.ndarray:
     """A window around each step (5 % of the length, 5 to 100; the longer half before it), the edges repeated; of several channels
     one beside the other."""
-    if x.ndim == 2:
-        return np.concatenate([descriptors(c) for c in x.T], 1)
     w = int(np.clip(round(0.05 * len(x)), 5, 100))
-    padded = np.pad(x, ((w + 1) // 2, w // 2), mode="edge")
-    return np.stack([padded[k : k + len(x)] for k in range(w)], 1)
+    at = np.clip(np.arange(len(x))[:, None] + np.arange(w) - (w + 1) // 2, 0, len(x) - 1)
+    return x[at] if x.ndim == 1 else np.moveaxis(x[at], 1, 2).reshape(len(x), -1)
 
 
 def _steps(x) -> np.ndarray:

@@ -3,7 +3,9 @@
 import numpy as np
 from pyspark.sql import functions as F
 
+from stationflow.operators import augment as K
 from stationflow.operators import quality as Q
+from stationflow.operators import similarity as L
 from stationflow.operators import spatial as E
 
 
@@ -23,3 +25,22 @@ def test_points_on_an_edge_keep_their_longitude(spark):
     pts = spark.createDataFrame([(1, 0.5, 5.1), (2, 0.5, 6.0), (3, 0.5, 365.5), (4, 0.5, 180.0)], "id long, lat double, lon double")
     assert (5.1 + 180) % 360 - 180 < 5.1  # wrapping it would put it out of the ring
     assert sorted(r.id for r in Q.points_in_polygons(pts, edges).collect()) == [1, 3]
+
+
+def test_paths_of_a_slice_are_found_together(monkeypatch):
+    calls = []
+    monkeypatch.setattr(K, "_together", lambda *a: calls.append(len(a[0])) or L._together(*a))
+
+    def f(x, y):
+        (got,) = yield [(x, y, 2, False)]
+        (_, path), (far, _) = yield [(x, y, 2, False), (y, x + 1, 2, True)]
+        return got[0], len(path), far
+
+    rng = np.random.default_rng(3)
+    rows = [(rng.normal(size=12), rng.normal(size=12)) for _ in range(40)]
+    out = K._answered([f(x, y) for x, y in rows])
+    assert calls == [40, 40, 40]  # not one call a row
+    for (x, y), (d, steps, far) in zip(rows, out, strict=True):
+        want, path = L.dtw_path(x, y, band=2)
+        assert abs(d - want) < 1e-12 and steps == len(path) and max(abs(i - j) for i, j in path) <= 2
+        assert abs(far - L.dtw_paths(L.descriptors(y)[None], L.descriptors(x + 1)[None], band=2)[0][0]) < 1e-12
