@@ -47,7 +47,7 @@ def e2_radius_knn(spark, d):
 def e3_nearest(spark, d):
     """The nearest point."""
     t, p = targets(spark, d), neighbours(spark, d)
-    return rounded(E.nearest_within(t, p, 100.0, E.crowding_salt(p, 100.0)), 5)
+    return rounded(E.nearest_within(t, p, 100.0), 5)
 
 
 @query(f"""WITH {SERIES_DAY}, {POINTS}, d AS (SELECT DISTINCT station, day FROM series_day), t AS (SELECT d.day, g.* FROM targets g JOIN d ON d.station = g.id), p AS (SELECT d.day, q.* FROM points q JOIN d ON d.station = q.id),
@@ -63,7 +63,7 @@ def e3_nearest_by_time(spark, d):
 def e4_grid_knn(spark, d):
     """How many cells have neighbours."""
     p = neighbours(spark, d)
-    return rounded(E.coverage(grid(spark).select("id", "lat", "lon", "h"), p, 50.0, 5, 3, E.crowding_salt(p, 50.0)))
+    return rounded(E.coverage(grid(spark).select("id", "lat", "lon", "h"), p, 50.0, 5, 3))
 
 
 @query(f"""WITH {POINTS} SELECT id, greatest(0, least(79, CAST(ceil((lat - 36.5) / 0.25 - 0.5) AS BIGINT))) AS i, greatest(0, least(119, CAST(ceil((lon + 5.25) / 0.25 - 0.5) AS BIGINT))) AS j,
@@ -183,7 +183,7 @@ def e17_stats(spark, d):
 @query(f"WITH {POINTS}, {_NEAR}, {_RANKED} SELECT target, string_agg(CAST(point AS VARCHAR), ',' ORDER BY rank) AS points FROM ranked WHERE rank <= 5 GROUP BY target")
 def e18_neighbour_list(spark, d):
     """Ids of neighbours by rank."""
-    out = E.neighbour_list(E.radius_knn_join(targets(spark, d), neighbours(spark, d), 100.0, 5), 5)
+    out = E.neighbour_list(E.radius_knn_join(targets(spark, d), neighbours(spark, d), 100.0, 5, counts=False), 5)
     return out.select("target", F.concat_ws(",", F.transform("points", lambda x: x.cast("string"))).alias("points"))
 
 
@@ -191,7 +191,7 @@ def e18_neighbour_list(spark, d):
 def e19_geometry(spark, d):
     """neighbours' frame by rank, zero padded."""
     t, p = targets(spark, d), neighbours(spark, d)
-    return E.neighbour_geometry(E.radius_knn_join(t, p, 100.0, 5), t, p, 5).select("target", "rank", "up_m", "height_m")
+    return E.neighbour_geometry(E.radius_knn_join(t, p, 100.0, 5, counts=False), t, p, 5).select("target", "rank", "up_m", "height_m")
 
 
 @query(f"WITH {POINTS}, {_NEAR}, {_RANKED}, t AS (SELECT DISTINCT target FROM ranked), k AS (SELECT target, unnest(range(1, 6)) AS rank FROM t) SELECT k.target, k.rank, coalesce(dh, 0) AS up_m, coalesce(p.h, 0) AS height_m, {r('CASE WHEN p.id IS NULL THEN 0 ELSE g.lat END', 'target_lat')}, {r('coalesce(p.lon, 0)', 'lon')}, {r('coalesce(p.h + 2 * p.lat, 0)', 'static')} FROM k LEFT JOIN ranked USING (target, rank) LEFT JOIN points p ON p.id = point LEFT JOIN targets g ON g.id = k.target")
@@ -199,7 +199,7 @@ def e19_geometry8(spark, d):
     """With both places and a static vector."""
     t, p = targets(spark, d), neighbours(spark, d)
     static = p.select("id", F.array("h", "lat").alias("static"))
-    out = E.neighbour_geometry(E.radius_knn_join(t, p, 100.0, 5), t, p, 5, 8, static)
+    out = E.neighbour_geometry(E.radius_knn_join(t, p, 100.0, 5, counts=False), t, p, 5, 8, static)
     return rounded(out.select("target", "rank", "up_m", "height_m", "target_lat", "lon", (F.col("static")[0] + 2 * F.col("static")[1]).alias("static")))
 
 

@@ -22,7 +22,7 @@ def _vecs(spark, d):
 
 
 def _edges(spark, d):
-    e = E.radius_knn_join(targets(spark, d), neighbours(spark, d), 100.0, 3)
+    e = E.radius_knn_join(targets(spark, d), neighbours(spark, d), 100.0, 3, counts=False)
     return e.select("target", F.col("point").alias("station"), "rank")
 
 

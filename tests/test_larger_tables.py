@@ -44,3 +44,27 @@ def test_paths_of_a_slice_are_found_together(monkeypatch):
         want, path = L.dtw_path(x, y, band=2)
         assert abs(d - want) < 1e-12 and steps == len(path) and max(abs(i - j) for i, j in path) <= 2
         assert abs(far - L.dtw_paths(L.descriptors(y)[None], L.descriptors(x + 1)[None], band=2)[0][0]) < 1e-12
+
+
+def test_nearest_of_crowds_and_copies_equal_brute_force(spark):
+    rng = np.random.default_rng(4)
+    lon = np.concatenate([rng.normal(180.0, 0.02, 60), rng.uniform(-180, 180, 60), np.full(30, 12.5), rng.normal(179.0, 0.5, 50)])
+    lat = np.concatenate([rng.normal(50.0, 0.02, 60), rng.choice([89.7, -89.8, 88.0], 60), np.full(30, 45.25), rng.normal(50.0, 0.5, 50)])
+    place = [(i, float(a), float((b + 180) % 360 - 180), float(i % 7)) for i, (a, b) in enumerate(zip(lat, lon, strict=True))]
+    p = spark.createDataFrame(place, "id long, lat double, lon double, h double")
+    a, b = np.radians(np.array([r[1] for r in place])), np.radians(np.array([r[2] for r in place]))
+    km = 2 * 6371.0088 * np.arcsin(np.sqrt(np.minimum(1, np.sin((a[None] - a[:, None]) / 2) ** 2 + np.cos(a[None]) * np.cos(a[:, None]) * np.sin((b[None] - b[:, None]) / 2) ** 2)))
+    rows = E.radius_knn_join(p, p, 100.0, 4).collect()
+    got = {(r.target, r["rank"]): r for r in rows}
+    want = {t: sorted((round(km[t, q], 6), q) for q in range(len(place)) if km[t, q] <= 100.0) for t in range(len(place))}
+    assert len(rows) == len(got) == sum(min(4, len(w)) for w in want.values())
+    for (t, k), r in got.items():
+        assert abs(r.distance_km - want[t][k - 1][0]) < 1e-5 and r.n_radius == len(want[t]) and r.height_difference_m == r.point % 7 - t % 7
+    assert {(r.target, r.point) for r in rows if 120 <= r.target < 150} == {(t, q) for t in range(120, 150) for q in range(120, 124)}
+    at = p.withColumn("day", F.explode(F.array(F.lit(1), F.lit(2)))).filter("day = 1 or id % 3 = 0")
+    one = {(r.day, r.target): r.distance_km for r in E.nearest_within(at, at.filter("id % 2 = 0"), 100.0, time="day").collect()}
+    near = lambda d, t: min((km[t, q] for q in range(0, len(place), 2) if (d == 1 or q % 3 == 0) and km[t, q] <= 100.0), default=None)
+    expected = {(d, t): near(d, t) for d in (1, 2) for t in range(len(place)) if d == 1 or t % 3 == 0}
+    assert one.keys() == {k for k, v in expected.items() if v is not None} and all(abs(v - expected[k]) < 1e-5 for k, v in one.items())
+    shown = E.nearest_within(p, p, 100.0)._jdf.queryExecution().optimizedPlan().toString()
+    assert "far_" in shown  # candidates are bounded by the k-th distance, not by the radius alone
