@@ -3,10 +3,13 @@
 import numpy as np
 from pyspark.sql import functions as F
 
+from stationflow.functions import expr as X
+from stationflow.operators import aggregates as A
 from stationflow.operators import augment as K
 from stationflow.operators import quality as Q
 from stationflow.operators import similarity as L
 from stationflow.operators import spatial as E
+from stationflow.plans import QUERIES
 
 
 def test_heights_are_averaged_by_cell_not_by_point(spark):
@@ -68,3 +71,12 @@ def test_nearest_of_crowds_and_copies_equal_brute_force(spark):
     assert one.keys() == {k for k, v in expected.items() if v is not None} and all(abs(v - expected[k]) < 1e-5 for k, v in one.items())
     shown = E.nearest_within(p, p, 100.0)._jdf.queryExecution().optimizedPlan().toString()
     assert "far_" in shown  # candidates are bounded by the k-th distance, not by the radius alone
+
+
+def test_frames_are_found_once_a_row_not_once_a_pair(spark):
+    t = spark.createDataFrame([(40.0, 3.0, 10.0, 41.0, 4.0, 30.0)], "la double, lo double, h0 double, lat double, lon double, h double")
+    both = t.select(X.enu("la", "lo", "h0", "lat", "lon", "h").alias("a"), X.enu_frame("la", "lo", "h0").alias("f"), X.ecef("lat", "lon", "h").alias("p"), "h")
+    r = both.select("a", X.enu_in("f", "p", "h").alias("b")).first()
+    assert r.a == r.b and r.a.up_m == 20.0
+    plan = QUERIES["d6_enu"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "SIN" in plan.split("Join")[1] and "SIN" not in plan.split("Join")[0]
