@@ -80,3 +80,15 @@ def test_frames_are_found_once_a_row_not_once_a_pair(spark):
     assert r.a == r.b and r.a.up_m == 20.0
     plan = QUERIES["d6_enu"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "SIN" in plan.split("Join")[1] and "SIN" not in plan.split("Join")[0]
+
+
+def test_quantiles_are_exact_without_a_task_that_holds_a_group(spark):
+    rng = np.random.default_rng(5)
+    rows = [(g, float(x)) for g, n in ((0, 4000), (1, 7), (2, 1)) for x in np.round(rng.normal(size=n), 2)] + [(None, 1.0), (None, 2.0), (3, None), (4, float("nan")), (4, 1.0), (4, 2.0)]
+    df = spark.createDataFrame(rows, "g int, v double")
+    at = {"a": 0.0, "b": 0.01, "c": 0.5, "d": 0.99, "e": 1.0}
+    want = {r.g: tuple(map(str, r[1:])) for r in df.groupBy("g").agg(*[F.percentile("v", q).alias(n) for n, q in at.items()]).collect()}
+    for whole in (1000, 100_000):
+        out = A.quantiles(df, ["g"], "v", at, whole=whole)
+        assert {r.g: tuple(map(str, r[1:])) for r in out.collect()} == want
+        assert "percentile(" not in out._jdf.queryExecution().optimizedPlan().toString()
